@@ -15,13 +15,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from .materialize import materialize
 from .surrogate import assign_keys
 
 
-def assert_unique_key(batch: DataFrame, keys: list[str]) -> None:
-    dup = batch.groupBy(*keys).count().filter("count > 1").limit(1).collect()
-    if dup:
-        raise ValueError(f"batch holds duplicate business keys {keys}: {dup[0].asDict()}")
+def assert_unique_key(batch: DataFrame, keys: list[str]) -> int:
+    """Raise when a business key repeats; return the batch's row count (one job)."""
+    per_key = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows, worst = per_key.agg(F.sum("_n"), F.max("_n")).first()
+    if worst is not None and worst > 1:
+        raise ValueError(f"batch holds duplicate business keys {keys} ({worst} rows for one key)")
+    return int(rows or 0)
 
 
 def _same(tracked: list[str]):
@@ -81,10 +85,18 @@ def scd2_initial(batch, keys, tracked, key_col="key", ts_col="ods_update_time",
 
 def scd2_apply(target: DataFrame | None, batch: DataFrame, keys: list[str], tracked: list[str],
                key_col: str = "key", ts_col: str = "ods_update_time",
-               check_unique: bool = True, max_rows: int | None = None) -> DataFrame:
-    """The new dimension table: untouched rows + closed versions + new versions."""
+               check_unique: bool = True, max_rows: int | None = None,
+               stored_batch: bool = False) -> DataFrame:
+    """The new dimension table: untouched rows + closed versions + new versions.
+
+    The batch is read three times, so it is written once unless it already is
+    a cheap projection of a stored table (``stored_batch=True``).
+    """
     if check_unique:
-        assert_unique_key(batch, keys)
+        if not stored_batch:
+            batch = materialize(batch, "scd2-batch")
+        n = assert_unique_key(batch, keys)
+        max_rows = n if max_rows is None else max_rows
     if target is None:
         return scd2_initial(batch, keys, tracked, key_col, ts_col, max_rows=max_rows)
     start = target.agg(F.max(key_col)).first()[0] or 0

@@ -6,7 +6,7 @@ and an SQL ``row_number() over (order by ...)`` can check them.
 Small frames (a proven row bound) use one window.  Large frames are range
 partitioned on the full order (a hot value of the first column is split by
 the later ones), numbered inside each partition, saved to the checkpoint
-folder (so a lost executor cannot renumber half the rows), and shifted by
+folder (one write; a lost executor cannot renumber half the rows), and shifted by
 the row counts of the earlier partitions (a tiny broadcast table).
 """
 
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .materialize import materialize
+
 SMALL_ROWS = 1_000_000
 
 
@@ -28,14 +30,20 @@ def _order(cols: list) -> list[Column]:
 
 
 def assign_keys(df: DataFrame, order: list, key: str = "key", start: int | Column = 0,
-                max_rows: int | None = None, partitions: int | None = None) -> DataFrame:
+                max_rows: int | None = None, large: bool = False,
+                partitions: int | None = None) -> DataFrame:
     """Add ``key`` = start + 1, start + 2, ... following ``order`` (NULLS FIRST).
 
     ``order`` must make rows distinct up to identical content, or reruns may
-    number ties differently.
+    number ties differently.  ``max_rows`` is a proven bound on the input;
+    without one the input is written once and counted exactly (``large=True``
+    skips that for inputs known to be big, such as the fact).
     """
     start_col = start if isinstance(start, Column) else F.lit(int(start))
     cols = df.columns
+    if max_rows is None and not large:
+        df = materialize(df, f"keys-in-{key}")
+        max_rows = df.count()
     if max_rows is not None and max_rows <= SMALL_ROWS:
         w = Window.orderBy(*_order(order))
         return df.select((start_col + F.row_number().over(w)).cast("long").alias(key), *cols)
@@ -46,9 +54,7 @@ def assign_keys(df: DataFrame, order: list, key: str = "key", start: int | Colum
                  .sortWithinPartitions(*_order(order))
                  .withColumn("_pid", F.spark_partition_id())
                  .withColumn("_mid", F.monotonically_increasing_id()))
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    saved = ordered.checkpoint(eager=True)
+    saved = materialize(ordered, f"keys-{key}")
     counts = saved.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

@@ -14,13 +14,13 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import normalize_text
-from ..operators import (scd2_apply, scd2_changed, scd2_closed, scd2_new, quality_summary,
+from ..operators import (materialize, scd2_apply, scd2_changed, scd2_closed, scd2_new, quality_summary,
                          unique_violations, not_null_violations, empty_watermarks, set_mark,
                          append, high_water, after_event_mark)
 from ..sources import standins as S
 from ..sources.standins import Tables
 from . import ods, mart, reports, charts
-from .star import build_star, RUN_TS, STAR_DATE_START, STAR_DATE_END
+from .star import build_star, stored_lookups, RUN_TS, STAR_DATE_START, STAR_DATE_END
 
 RUN_TS2 = _dt.datetime(2024, 7, 1)
 # First-load boundary of the two-run scenarios over the events table.
@@ -82,8 +82,10 @@ def trip_filter_valid(spark, d):
 
 
 def _zones(t):
-    b = ods.ods_borough(S.raw_borough(t), RUN_TS)
-    return b, ods.ods_neighborhood(S.raw_neighborhood(t), b, RUN_TS)
+    """Stored ODS borough and zone tables (small; written once)."""
+    b = materialize(ods.ods_borough(S.raw_borough(t), RUN_TS), "ods_borough")
+    return b, materialize(ods.ods_neighborhood(S.raw_neighborhood(t), b, RUN_TS),
+                          "ods_neighborhood")
 
 
 def trip_transform(spark, d):

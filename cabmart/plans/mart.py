@@ -41,13 +41,16 @@ def _mark_filter(batch, marks, name, col):
 
 
 def dm_vendor(ods_vendor: DataFrame, target: DataFrame | None = None,
-              marks: DataFrame | None = None) -> DataFrame:
-    """M9: type-2 vendor dimension keyed by id_vendor, tracking the name."""
+              marks: DataFrame | None = None, stored: bool = False) -> DataFrame:
+    """M9: type-2 vendor dimension keyed by id_vendor, tracking the name.
+
+    ``stored=True`` says the ODS input is a stored table (no extra write)."""
     batch = ods_vendor.select("id_vendor", "vendor_name",
                               F.col("last_update").alias("ods_update_time"))
     if target is not None:
         batch = _mark_filter(batch, marks, "dm_vendor", "ods_update_time")
-    return scd2_apply(target, batch, ["id_vendor"], ["vendor_name"], key_col="key_vendor")
+    return scd2_apply(target, batch, ["id_vendor"], ["vendor_name"], key_col="key_vendor",
+                      stored_batch=stored)
 
 
 def zone_source(ods_borough: DataFrame, ods_neighborhood: DataFrame) -> DataFrame:
@@ -60,13 +63,15 @@ def zone_source(ods_borough: DataFrame, ods_neighborhood: DataFrame) -> DataFram
 
 
 def dm_zone(ods_borough: DataFrame, ods_neighborhood: DataFrame,
-            target: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
+            target: DataFrame | None = None, marks: DataFrame | None = None,
+            stored: bool = False) -> DataFrame:
     """Type-2 zone dimension keyed by id_neighborhood (the name pair is not unique)."""
     batch = zone_source(ods_borough, ods_neighborhood)
     if target is not None:
         batch = _mark_filter(batch, marks, "dm_zone", "ods_update_time")
     out = scd2_apply(target, batch, ["id_neighborhood"],
-                     ["neighborhood_name", "borough_name", "service_zone"], key_col="key_zone")
+                     ["neighborhood_name", "borough_name", "service_zone"], key_col="key_zone",
+                     stored_batch=stored)
     return out.select("key_zone", "id_neighborhood", "neighborhood_name", "borough_name",
                       "service_zone", "valid_from", "valid_to", "is_current")
 
@@ -91,7 +96,8 @@ def weather_attributes(ods_weather: DataFrame, ods_borough: DataFrame) -> DataFr
 
 
 def dm_weather_dt(ods_weather: DataFrame, ods_borough: DataFrame,
-                  target: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
+                  target: DataFrame | None = None, marks: DataFrame | None = None,
+                  max_rows: int | None = None) -> DataFrame:
     """Weather dimension; new readings get fresh keys, a re-read reading keeps its row
     replaced by id_weather."""
     src = ods_weather
@@ -103,7 +109,8 @@ def dm_weather_dt(ods_weather: DataFrame, ods_borough: DataFrame,
         start = target.agg(F.max("key_weather")).first()[0] or 0
     order = ["id_weather", "weather_date", "weather_time", "temperature",
              "apparent_temperature", "rain", "snowfall", "wind_speed", "humidity"]
-    keyed = assign_keys(attrs, order, "key_weather", start=start).select(*WEATHER_DIM_COLUMNS)
+    keyed = assign_keys(attrs, order, "key_weather", start=start,
+                        max_rows=max_rows).select(*WEATHER_DIM_COLUMNS)
     return keyed if target is None else upsert_by_key(target, keyed, ["id_weather"])
 
 
@@ -182,7 +189,8 @@ def dm_fact_taxi_trip(ods_trip: DataFrame, vendors: DataFrame, zones: DataFrame,
     if marks is not None:
         src = _mark_filter(src, marks, "dm_fact_taxi_trip", "last_update")
     rows = fact_rows(src, vendors, zones, dates, weather, payments, ratecodes, date_rows)
-    return assign_keys(rows, FACT_KEY_ORDER, "key_taxi_trip", start=start).select(*FACT_COLUMNS)
+    return assign_keys(rows, FACT_KEY_ORDER, "key_taxi_trip", start=start,
+                       large=True).select(*FACT_COLUMNS)
 
 
 def date_rows_between(start: str, end: str) -> int:

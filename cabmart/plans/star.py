@@ -1,12 +1,21 @@
-"""The whole warehouse over one set of raw roles: ODS tables, dimensions and the fact."""
+"""The whole warehouse over one set of raw roles: ODS tables, dimensions and the fact.
+
+The small ODS tables (code lists, zones, hourly weather) are written once,
+as the warehouse stores them; their scans then carry a real size, so the
+fact's lookups are planned as broadcast joins from the start instead of
+shuffling the fact.  Independent tables are built concurrently (Spark runs
+jobs submitted from several threads side by side).
+"""
 
 from __future__ import annotations
 
 import datetime as _dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from ..operators import materialize
 from ..sources import standins as S
 from . import ods, mart
 
@@ -33,21 +42,36 @@ class Star:
     fact: DataFrame
 
 
+def parallel(*thunks):
+    """Run independent table builds concurrently; returns their results in order."""
+    with ThreadPoolExecutor(max_workers=len(thunks)) as pool:
+        futures = [pool.submit(f) for f in thunks]
+        return [f.result() for f in futures]
+
+
+def stored_lookups(t: S.Tables, run_ts=RUN_TS):
+    """ODS borough, zone, vendor, rate code and payment tables, written once."""
+    b, v, rc, pt = parallel(
+        lambda: materialize(ods.ods_borough(S.raw_borough(t), run_ts), "ods_borough"),
+        lambda: materialize(ods.ods_vendor(S.raw_vendor(t), run_ts), "ods_vendor"),
+        lambda: materialize(ods.ods_ratecode(S.raw_ratecode(t), run_ts), "ods_ratecode"),
+        lambda: materialize(ods.ods_payment_type(S.raw_payment_type(t), run_ts), "ods_payment"))
+    n = materialize(ods.ods_neighborhood(S.raw_neighborhood(t), b, run_ts), "ods_neighborhood")
+    return b, n, v, rc, pt
+
+
 def build_star(t: S.Tables, trips: str = "money", run_ts=RUN_TS, fact_keys: bool = True,
                date_start: str = STAR_DATE_START, date_end: str = STAR_DATE_END) -> Star:
     spark = t.spark
-    b = ods.ods_borough(S.raw_borough(t), run_ts)
-    n = ods.ods_neighborhood(S.raw_neighborhood(t), b, run_ts)
-    v = ods.ods_vendor(S.raw_vendor(t), run_ts)
-    rc = ods.ods_ratecode(S.raw_ratecode(t), run_ts)
-    pt = ods.ods_payment_type(S.raw_payment_type(t), run_ts)
+    b, n, v, rc, pt = stored_lookups(t, run_ts)
+    wx = materialize(ods.ods_weather_dt(S.raw_weather(t), b, run_ts), "ods_weather")
     raw_trips = S.raw_trip_money(t) if trips == "money" else S.raw_trip_events(t)
     trip = ods.ods_taxi_trip(raw_trips, n, run_ts)
-    wx = ods.ods_weather_dt(S.raw_weather(t), b, run_ts)
     dates = mart.dm_date(spark, date_start, date_end)
-    dv = mart.dm_vendor(v)
-    dz = mart.dm_zone(b, n)
-    dw = mart.dm_weather_dt(wx, b)
+    dv, dz, dw = parallel(
+        lambda: materialize(mart.dm_vendor(v, stored=True), "dm_vendor"),
+        lambda: materialize(mart.dm_zone(b, n, stored=True), "dm_zone"),
+        lambda: materialize(mart.dm_weather_dt(wx, b, max_rows=wx.count()), "dm_weather"))
     n_dates = mart.date_rows_between(date_start, date_end)
     if fact_keys:
         fact = mart.dm_fact_taxi_trip(trip, dv, dz, dates, dw, pt, rc, date_rows=n_dates)

@@ -45,9 +45,13 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._frames: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        if name not in self._frames:
+            path = os.path.join(self.sf_dir, f"{name}.parquet")
+            self._frames[name] = self.spark.read.parquet(path)
+        return self._frames[name]
 
 
 TRIP_EVENT_TYPES = ["click", "purchase", "signup"]
