@@ -76,3 +76,23 @@ def append_rows(df: DataFrame, root: str, partition_by: list[str] | None = None)
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return path
+
+
+def read_partitioned(spark: SparkSession, root: str, schema: StructType | str | None = None):
+    """A month-partitioned table (or None/empty frame when it does not exist yet)."""
+    fs, path, _ = _fs(spark, root)
+    if not fs.exists(path):
+        return None if schema is None else spark.createDataFrame([], schema)
+    return spark.read.parquet(root)
+
+
+def overwrite_partitions(df: DataFrame, root: str, partition_by: list[str]) -> str:
+    """Replace only the partitions present in ``df`` (dynamic partition overwrite).
+
+    ``df`` must not read ``root`` lazily (write it to the checkpoint folder
+    first when it was computed from the same table).
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(root)
+    return root
