@@ -26,6 +26,18 @@ SEASONS = [
 ]
 
 
+def ntz_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a naive datetime or text, with no time-zone round trip.
+
+    (A Python datetime literal would pass through the session and process time
+    zones on its way to a zone-free timestamp.)"""
+    if value is None:
+        return F.lit(None).cast("timestamp_ntz")
+    if hasattr(value, "isoformat"):
+        value = value.isoformat(sep=" ")
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def date_key(d) -> Column:
     """yyyymmdd as INT."""
     return F.date_format(_col(d), "yyyyMMdd").cast("int")

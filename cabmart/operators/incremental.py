@@ -11,6 +11,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.calendar import ntz_lit
 from .lookup import broadcast_if_small
 
 # Floors used when a target has no mark yet.
@@ -22,7 +23,7 @@ WATERMARK_DDL = "target_table string, time timestamp_ntz"
 
 def stamp(df: DataFrame, run_ts, col: str = "last_update") -> DataFrame:
     """One load timestamp for the whole run (a literal, not CURRENT_TIMESTAMP)."""
-    return df.withColumn(col, F.lit(run_ts).cast("timestamp_ntz"))
+    return df.withColumn(col, ntz_lit(run_ts))
 
 
 def upsert_by_key(target: DataFrame, batch: DataFrame, keys: list[str],
@@ -59,8 +60,8 @@ def after_event_mark(batch: DataFrame, col: str, mark, lookback: str | None = "1
     reaches the parquet scan.
     """
     if strict:
-        return batch if mark is None else batch.filter(F.col(col) > F.lit(mark))
-    base = F.lit(mark if mark is not None else floor).cast("timestamp_ntz")
+        return batch if mark is None else batch.filter(F.col(col) > ntz_lit(mark))
+    base = ntz_lit(mark if mark is not None else floor)
     if lookback:
         base = base - F.expr(f"INTERVAL {lookback}")
     return batch.filter(F.col(col) >= base)
@@ -80,7 +81,7 @@ def read_mark(marks: DataFrame | None, target_table: str, floor=PROCESS_TIME_FLO
 
 def after_process_mark(batch: DataFrame, col: str, mark) -> DataFrame:
     """``col > mark`` on the load timestamp."""
-    return batch.filter(F.col(col) > F.lit(mark).cast("timestamp_ntz"))
+    return batch.filter(F.col(col) > ntz_lit(mark))
 
 
 def set_mark(marks: DataFrame, target_table: str, time) -> DataFrame:

@@ -13,7 +13,7 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import normalize_text
+from ..functions import normalize_text, ntz_lit
 from ..operators import (materialize, scd2_apply, scd2_changed, scd2_closed, scd2_new, quality_summary,
                          unique_violations, not_null_violations, empty_watermarks, set_mark,
                          append, high_water, after_event_mark)
@@ -211,7 +211,7 @@ def _trip_runs(spark, d):
     t = _t(spark, d)
     _, n = _zones(t)
     raw = S.raw_trip_events(t)
-    first = ods.ods_taxi_trip(raw.filter(F.col("tpep_pickup_datetime") < F.lit(CUT)), n, RUN_TS)
+    first = ods.ods_taxi_trip(raw.filter(F.col("tpep_pickup_datetime") < ntz_lit(CUT)), n, RUN_TS)
     return t, n, raw, first
 
 
@@ -231,7 +231,7 @@ def high_water_strict(spark, d):
     t = _t(spark, d)
     b, _ = _zones(t)
     raw = S.raw_weather(t)
-    first = ods.ods_weather_dt(raw.filter(F.col("time") < F.lit(CUT)), b, RUN_TS)
+    first = ods.ods_weather_dt(raw.filter(F.col("time") < ntz_lit(CUT)), b, RUN_TS)
     return ods.ods_weather_dt(raw, b, RUN_TS2, target=first)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import (normalize_text, clean_name, hash_key, unknown_hash, UNKNOWN,
-                         int_half_even, clamp_zero, trip_id, weather_id, time_text)
+                         int_half_even, clamp_zero, trip_id, weather_id, time_text, ntz_lit)
 from ..operators import (keep_first, lookup, stamp, upsert_by_key, high_water,
                          after_event_mark)
 from ..operators.incremental import EVENT_TIME_FLOOR
@@ -88,7 +88,7 @@ def valid_trips(raw: DataFrame, min_pickup=EVENT_TIME_FLOOR) -> DataFrame:
     """both times present, dropoff after pickup, pickup on or after the floor."""
     p, d = F.col("tpep_pickup_datetime"), F.col("tpep_dropoff_datetime")
     return raw.filter(p.isNotNull() & d.isNotNull() & (d > p)
-                      & (p >= F.lit(min_pickup).cast("timestamp_ntz")))
+                      & (p >= ntz_lit(min_pickup)))
 
 
 TRIP_COLUMNS = [

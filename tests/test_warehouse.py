@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from cabmart.functions import ntz_lit
 from cabmart.plans import warehouse, reports
 from cabmart.sources import Tables
 from conftest import SF_SMALL
@@ -13,8 +14,8 @@ CUT = dt.datetime(2024, 1, 20)
 
 
 def _first_part(trips, weather):
-    return (trips.filter(F.col("tpep_pickup_datetime") < F.lit(CUT)),
-            weather.filter(F.col("time") < F.lit(CUT)))
+    return (trips.filter(F.col("tpep_pickup_datetime") < ntz_lit(CUT)),
+            weather.filter(F.col("time") < ntz_lit(CUT)))
 
 
 def test_two_runs_then_replay(spark, tmpdir_path):
