@@ -369,6 +369,12 @@ def quality_summary_q(spark, d):
     return out
 
 
+def quality_watermark(spark, d):
+    """The watermark table keeps one non-NULL time per target."""
+    return quality_summary(watermark_upsert(spark, d), "last_execution_times",
+                           ["target_table", "time"])
+
+
 QUERIES = {
     "clean_borough": clean_borough,
     "clean_zone_dedup": clean_zone_dedup,
@@ -423,6 +429,10 @@ QUERIES = {
     "rate_snowy_by_borough": _rate("is_snowy", ("Snowy", "Not snowy"), by_borough=True),
     "rate_bin_by_borough": _rate("temperature_category", by_borough=True,
                                  value="trips_per_category", out="intensity"),
+    "rate_rain_bin_by_borough": _rate("rain_intensity", by_borough=True,
+                                      value="trips_per_category", out="intensity"),
+    "rate_snow_bin_by_borough": _rate("snow_intensity", by_borough=True,
+                                      value="trips_per_category", out="intensity"),
     "distance_by_borough": distance_by_borough,
     "tip_rate_by_temp": tip_rate_by_temp,
     "chart_topn_label": chart_topn_label,
@@ -431,4 +441,5 @@ QUERIES = {
     "quality_not_null": quality_not_null,
     "quality_unique": quality_unique,
     "quality_summary": quality_summary_q,
+    "quality_watermark": quality_watermark,
 }

@@ -20,7 +20,7 @@ import os
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import (materialize, read_mark, set_mark, empty_watermarks, high_water,
-                         after_event_mark, after_process_mark)
+                         after_event_mark, after_process_mark, enforce_schema)
 from ..sources import standins as S
 from ..sources import tables as T
 from . import ods, mart
@@ -101,6 +101,8 @@ def run_warehouse(t: S.Tables, root: str, run_ts=RUN_TS, trips: str = "money",
     # ODS weather: strict event-time mark, upsert on id_weather.
     prev_w = _stored(spark, root, "ods_weather_dt")
     w = ods.ods_weather_dt(raw_weather, b, run_ts, target=prev_w)
+    if prev_w is not None:
+        w = enforce_schema(w, prev_w.schema, "sync_all_columns")
     wx = _save(w, root, "ods_weather_dt")
 
     # Datamart.
@@ -110,11 +112,14 @@ def run_warehouse(t: S.Tables, root: str, run_ts=RUN_TS, trips: str = "money",
     prev_dw = _stored(spark, root, "dm_weather_dt")
     dw_src = wx if prev_dw is None else after_process_mark(
         wx, "last_update", read_mark(marks, "dm_weather_dt"))
+    def _policy(df, prev):
+        return df if prev is None else enforce_schema(df, prev.schema, "fail")
+
     dv, dz, dw = parallel(
-        lambda: _save(mart.dm_vendor(v, target=prev_v, marks=marks, stored=True), root,
-                      "dm_vendor"),
-        lambda: _save(mart.dm_zone(b, n, target=prev_z, marks=marks, stored=True), root,
-                      "dm_zone"),
+        lambda: _save(_policy(mart.dm_vendor(v, target=prev_v, marks=marks, stored=True), prev_v),
+                      root, "dm_vendor"),
+        lambda: _save(_policy(mart.dm_zone(b, n, target=prev_z, marks=marks, stored=True), prev_z),
+                      root, "dm_zone"),
         lambda: _save(mart.dm_weather_dt(dw_src, b, target=prev_dw), root, "dm_weather_dt"))
 
     fact_root = os.path.join(root, "dm_fact_taxi_trip")
@@ -127,6 +132,8 @@ def run_warehouse(t: S.Tables, root: str, run_ts=RUN_TS, trips: str = "money",
     n_dates = mart.date_rows_between(date_start, date_end)
     fact = mart.dm_fact_taxi_trip(trip_src, dv, dz, dates, dw, pt, rc, start=start,
                                   date_rows=n_dates)
+    if prev_f is not None:
+        fact = enforce_schema(fact, prev_f.drop(MONTH).schema, "fail")
     if fact_mode == "append":
         fact.withColumn(MONTH, _fact_month()).write.mode("append").partitionBy(MONTH) \
             .parquet(fact_root)
