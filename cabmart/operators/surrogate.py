@@ -3,7 +3,8 @@
 Keys are ``start + rank`` in a total order, so a rerun gives the same keys
 and an SQL ``row_number() over (order by ...)`` can check them.
 
-Small frames (a proven row bound) use one window.  Large frames are range
+Small frames (a proven bound, or an exact count of the written input) use
+one window.  Large frames are range
 partitioned on the full order (a hot value of the first column is split by
 the later ones), numbered inside each partition, saved to the checkpoint
 folder (one write; a lost executor cannot renumber half the rows), and shifted by
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .materialize import materialize
 
 SMALL_ROWS = 1_000_000
+# Rows per range partition of a large input (about 1-2 GB of fact rows).
+ROWS_PER_PARTITION = 5_000_000
 
 
 def _order(cols: list) -> list[Column]:
@@ -30,26 +33,26 @@ def _order(cols: list) -> list[Column]:
 
 
 def assign_keys(df: DataFrame, order: list, key: str = "key", start: int | Column = 0,
-                max_rows: int | None = None, large: bool = False,
-                partitions: int | None = None) -> DataFrame:
+                max_rows: int | None = None, partitions: int | None = None) -> DataFrame:
     """Add ``key`` = start + 1, start + 2, ... following ``order`` (NULLS FIRST).
 
     ``order`` must make rows distinct up to identical content, or reruns may
     number ties differently.  ``max_rows`` is a proven bound on the input;
-    without one the input is written once and counted exactly (``large=True``
-    skips that for inputs known to be big, such as the fact).
+    without one the input is written once (it is read twice below) and
+    counted exactly from the written copy.
     """
     start_col = start if isinstance(start, Column) else F.lit(int(start))
     cols = df.columns
-    if max_rows is None and not large:
+    if max_rows is None:
         df = materialize(df, f"keys-in-{key}")
         max_rows = df.count()
-    if max_rows is not None and max_rows <= SMALL_ROWS:
+    if max_rows <= SMALL_ROWS:
         w = Window.orderBy(*_order(order))
         return df.select((start_col + F.row_number().over(w)).cast("long").alias(key), *cols)
 
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                          max_rows // ROWS_PER_PARTITION + 1)
     ordered = (df.repartitionByRange(n, *_order(order))
                  .sortWithinPartitions(*_order(order))
                  .withColumn("_pid", F.spark_partition_id())

@@ -27,7 +27,8 @@ WEATHER_MEASURES = [
 
 def ods_borough(raw: DataFrame, run_ts, first_only: bool = False) -> DataFrame:
     """M1: normalised distinct borough names + the 'unknown' member, keyed by SHA-256."""
-    names = (raw.select(normalize_text("boroughname", lower=True, first_only=first_only)
+    names = (raw.select("boroughname").distinct()
+                .select(normalize_text("boroughname", lower=True, first_only=first_only)
                         .alias("borough_name"))
                 .filter(F.col("borough_name").isNotNull()
                         & (F.col("borough_name") != F.lit(UNKNOWN)))
@@ -41,6 +42,7 @@ def ods_borough(raw: DataFrame, run_ts, first_only: bool = False) -> DataFrame:
 
 def ods_neighborhood(raw: DataFrame, boroughs: DataFrame, run_ts) -> DataFrame:
     """M2: one row per zone id (first by borough, name, service zone), borough by hash."""
+    raw = raw.select("LocationID", "Borough", "Zone", "service_zone").distinct()
     src = raw.select(F.col("LocationID").cast("int").alias("id_neighborhood"),
                      clean_name("Borough", lower=True).alias("borough_name"),
                      clean_name("Zone").alias("neighborhood_name"),
@@ -58,8 +60,14 @@ def ods_neighborhood(raw: DataFrame, boroughs: DataFrame, run_ts) -> DataFrame:
 def ods_code_lookup(raw: DataFrame, id_col: str, name_col: str, out_id: str, out_name: str,
                     run_ts, lower: bool = False, first_only: bool = False,
                     require_id: bool = True) -> DataFrame:
-    """M3-M5: code -> name lookups: cleaned text, non-NULL, smallest name per code."""
-    src = raw.select(F.col(id_col).cast("int").alias(out_id),
+    """M3-M5: code -> name lookups: cleaned text, non-NULL, smallest name per code.
+
+    Raw (code, name) pairs are made distinct first (a map-side hash
+    aggregate), so the text cleaning and the MIN run over a handful of rows
+    however many raw rows repeat them.
+    """
+    src = raw.select(id_col, name_col).distinct().select(
+                     F.col(id_col).cast("int").alias(out_id),
                      normalize_text(name_col, lower=lower, first_only=first_only).alias(out_name))
     cond = F.col(out_name).isNotNull()
     if require_id:

@@ -48,6 +48,7 @@ class Tables:
         self._frames: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
+        # One reader per table and folder: the file listing and footers are read once.
         if name not in self._frames:
             path = os.path.join(self.sf_dir, f"{name}.parquet")
             self._frames[name] = self.spark.read.parquet(path)

@@ -34,10 +34,12 @@ def test_keep_first_matches_row_number(spark):
     assert got_d == want_d
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_assign_keys_dense_and_ordered(spark, large):
+@pytest.mark.parametrize("small_limit", [1_000_000, 100])
+def test_assign_keys_dense_and_ordered(spark, small_limit, monkeypatch):
+    from cabmart.operators import surrogate
+    monkeypatch.setattr(surrogate, "SMALL_ROWS", small_limit)   # 100: force the range path
     df = spark.range(0, 5000).select((F.col("id") % 3).alias("day"), (F.col("id") * 7 % 5000).alias("x"))
-    keyed = assign_keys(df, ["day", "x"], "key", start=10, large=large, partitions=6)
+    keyed = assign_keys(df, ["day", "x"], "key", start=10, partitions=6)
     rows = keyed.orderBy("key").collect()
     assert [r.key for r in rows] == list(range(11, 5011))
     assert [(r.day, r.x) for r in rows] == sorted((r.day, r.x) for r in rows)
