@@ -63,15 +63,28 @@ def stored_lookups(t: S.Tables, run_ts=RUN_TS):
 def build_star(t: S.Tables, trips: str = "money", run_ts=RUN_TS, fact_keys: bool = True,
                date_start: str = STAR_DATE_START, date_end: str = STAR_DATE_END) -> Star:
     spark = t.spark
-    b, n, v, rc, pt = stored_lookups(t, run_ts)
-    wx = materialize(ods.ods_weather_dt(S.raw_weather(t), b, run_ts), "ods_weather")
+    b = materialize(ods.ods_borough(S.raw_borough(t), run_ts), "ods_borough")
+
+    # Independent chains after the borough table, built side by side.
+    def vendors():
+        v = materialize(ods.ods_vendor(S.raw_vendor(t), run_ts), "ods_vendor")
+        return v, materialize(mart.dm_vendor(v, stored=True), "dm_vendor")
+
+    def zones():
+        n = materialize(ods.ods_neighborhood(S.raw_neighborhood(t), b, run_ts), "ods_neighborhood")
+        return n, materialize(mart.dm_zone(b, n, stored=True), "dm_zone")
+
+    def weather():
+        wx = materialize(ods.ods_weather_dt(S.raw_weather(t), b, run_ts), "ods_weather")
+        return wx, materialize(mart.dm_weather_dt(wx, b, max_rows=wx.count()), "dm_weather")
+
+    (v, dv), (n, dz), (wx, dw), rc, pt = parallel(
+        vendors, zones, weather,
+        lambda: materialize(ods.ods_ratecode(S.raw_ratecode(t), run_ts), "ods_ratecode"),
+        lambda: materialize(ods.ods_payment_type(S.raw_payment_type(t), run_ts), "ods_payment"))
     raw_trips = S.raw_trip_money(t) if trips == "money" else S.raw_trip_events(t)
     trip = ods.ods_taxi_trip(raw_trips, n, run_ts)
     dates = mart.dm_date(spark, date_start, date_end)
-    dv, dz, dw = parallel(
-        lambda: materialize(mart.dm_vendor(v, stored=True), "dm_vendor"),
-        lambda: materialize(mart.dm_zone(b, n, stored=True), "dm_zone"),
-        lambda: materialize(mart.dm_weather_dt(wx, b, max_rows=wx.count()), "dm_weather"))
     n_dates = mart.date_rows_between(date_start, date_end)
     if fact_keys:
         fact = mart.dm_fact_taxi_trip(trip, dv, dz, dates, dw, pt, rc, date_rows=n_dates)
