@@ -122,12 +122,19 @@ def weather_bins(spark, d):
 
 
 # ------------------------------------------------------------------ dates
+def _trip_dates(spark, d):
+    """Date dimension spanning the trips: first order date to last ship date."""
+    t = _t(spark, d)
+    lo, hi = mart.date_bounds(t("orders"), "o_orderdate", t("lineitem"), "l_shipdate")
+    return mart.dm_date(spark, lo, hi)
+
+
 def date_dim(spark, d):
-    return mart.dm_date(spark)
+    return _trip_dates(spark, d)
 
 
 def date_dim_flags(spark, d):
-    dd = mart.dm_date(spark, STAR_DATE_START, STAR_DATE_END)
+    dd = _trip_dates(spark, d)
     return dd.filter(F.col("is_holiday") | (F.col("week") == 53)).select(
         "key_date", "date", "day_name", "week", "is_weekend", "season", "holiday_name")
 

@@ -34,6 +34,14 @@ def dm_date(spark: SparkSession, start: str = DATE_START, end: str = DATE_END) -
         is_holiday("d").alias("is_holiday"), holiday_name("d").alias("holiday_name"))
 
 
+def date_bounds(first: DataFrame, first_col: str, last: DataFrame, last_col: str):
+    """(earliest date of ``first_col``, latest date of ``last_col``): two aggregates, read
+    as driver values, to size a date dimension to the data."""
+    lo = first.agg(F.min(F.to_date(first_col))).first()[0]
+    hi = last.agg(F.max(F.to_date(last_col))).first()[0]
+    return lo.isoformat(), hi.isoformat()
+
+
 def _mark_filter(batch, marks, name, col):
     if marks is None:
         return batch

@@ -103,3 +103,11 @@ def test_hash_and_ids(spark):
     assert r[0] == "b23a6a8439c0dde5515893e7c90c1e3233b8616e634470f20dc4928bcf3609bc"
     assert r[1] == "1_2024-01-01 00:00:00"
     assert r[2] == r[0] + "_2024-01-01 00:00:00"
+
+
+def test_reference_date_range(spark):
+    from cabmart.plans import mart
+    dd = mart.dm_date(spark)                     # 2024-01-01 .. 2050-12-31, both ends
+    assert dd.count() == 9862
+    r = dd.agg(F.min("key_date"), F.max("key_date"), F.sum(F.col("is_holiday").cast("int"))).first()
+    assert (r[0], r[1], r[2]) == (20240101, 20501231, 27 * 4)
