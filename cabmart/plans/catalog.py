@@ -144,6 +144,23 @@ def fact_star(spark, d):
     return _star(spark, d, "money", keys=True).fact
 
 
+def fact_keys(spark, d):
+    return fact_star(spark, d).select("key_taxi_trip", "id_trip", "key_date_pickup")
+
+
+def scd2_zone_apply(spark, d):
+    """Second zone load where some zones changed service zone: closed + new versions."""
+    t = _t(spark, d)
+    b, n = _zones(t)
+    target = materialize(mart.dm_zone(b, n, stored=True), "dm_zone")
+    raw2 = S.raw_neighborhood(t)
+    raw2 = raw2.withColumn("service_zone", F.when(F.col("LocationID") % 3 == 0,
+                                                  F.lower("service_zone"))
+                                            .otherwise(F.col("service_zone")))
+    n2 = materialize(ods.ods_neighborhood(raw2, b, RUN_TS2), "ods_neighborhood2")
+    return mart.dm_zone(b, n2, target=target, stored=True)
+
+
 def fact_weather_join(spark, d):
     return _star(spark, d, "events", keys=True).fact
 
@@ -401,6 +418,8 @@ QUERIES = {
     "date_dim": date_dim,
     "date_dim_flags": date_dim_flags,
     "fact_star": fact_star,
+    "fact_keys": fact_keys,
+    "scd2_zone_apply": scd2_zone_apply,
     "fact_weather_join": fact_weather_join,
     "fact_measures": fact_measures,
     "dim_zone": dim_zone,

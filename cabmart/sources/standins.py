@@ -91,7 +91,7 @@ def raw_ratecode(t: Tables) -> DataFrame:
 def raw_payment_type(t: Tables) -> DataFrame:
     p = F.col("o_orderpriority")
     return t("orders").select(F.substring(p, 1, 1).cast("int").alias("id"),
-                              F.substring(p, 3, 100).alias("type"))
+                              F.expr("substr(o_orderpriority, 3)").alias("type"))
 
 
 def raw_trip_money(t: Tables) -> DataFrame:
