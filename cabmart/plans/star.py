@@ -63,9 +63,11 @@ def stored_lookups(t: S.Tables, run_ts=RUN_TS):
 def build_star(t: S.Tables, trips: str = "money", run_ts=RUN_TS, fact_keys: bool = True,
                date_start: str = STAR_DATE_START, date_end: str = STAR_DATE_END) -> Star:
     spark = t.spark
-    b = materialize(ods.ods_borough(S.raw_borough(t), run_ts), "ods_borough")
+    # The borough table is a handful of names from a tiny scan: kept lazy (no
+    # job of its own); its plan is small and broadcast where it is used.
+    b = ods.ods_borough(S.raw_borough(t), run_ts)
 
-    # Independent chains after the borough table, built side by side.
+    # Independent chains, built side by side.
     def vendors():
         v = materialize(ods.ods_vendor(S.raw_vendor(t), run_ts), "ods_vendor")
         return v, materialize(mart.dm_vendor(v, stored=True), "dm_vendor")
