@@ -43,18 +43,22 @@ def assign_keys(df: DataFrame, order: list, key: str = "key", start: int | Colum
     """
     start_col = start if isinstance(start, Column) else F.lit(int(start))
     cols = df.columns
-    if max_rows is None:
-        df = materialize(df, f"keys-in-{key}")
-        max_rows = df.count()
-    if max_rows <= SMALL_ROWS:
-        w = Window.orderBy(*_order(order))
-        return df.select((start_col + F.row_number().over(w)).cast("long").alias(key), *cols)
+    if max_rows is not None and max_rows <= SMALL_ROWS:
+        return _window_keys(df, order, key, start_col, cols)
+    # Exact copies of a row are interchangeable, so a random tie-breaker,
+    # fixed by writing it with the input, lets the range partitioner split a
+    # group of copies that could hold a large share of the rows.
+    df = materialize(df.withColumn("_tie", F.rand(17)), f"keys-in-{key}")
+    n_rows = df.count()
+    if n_rows <= SMALL_ROWS:
+        return _window_keys(df.drop("_tie"), order, key, start_col, cols)
 
     spark = df.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                          max_rows // ROWS_PER_PARTITION + 1)
-    ordered = (df.repartitionByRange(n, *_order(order))
-                 .sortWithinPartitions(*_order(order))
+                          n_rows // ROWS_PER_PARTITION + 1)
+    full = _order(order) + [F.col("_tie").asc()]
+    ordered = (df.repartitionByRange(n, *full)
+                 .sortWithinPartitions(*full)
                  .withColumn("_pid", F.spark_partition_id())
                  .withColumn("_mid", F.monotonically_increasing_id()))
     saved = materialize(ordered, f"keys-{key}")
@@ -66,6 +70,11 @@ def assign_keys(df: DataFrame, order: list, key: str = "key", start: int | Colum
                  .select((start_col + F.col("_off") + local + 1).cast("long").alias(key), *cols))
 
 
+def _window_keys(df, order, key, start_col, cols):
+    w = Window.orderBy(*_order(order))
+    return df.select((start_col + F.row_number().over(w)).cast("long").alias(key), *cols)
+
+
 def next_key(target: DataFrame | None, key: str) -> int:
     """Largest key already used (0 for a first load); one small action."""
     if target is None:

@@ -45,6 +45,20 @@ def test_assign_keys_dense_and_ordered(spark, small_limit, monkeypatch):
     assert [(r.day, r.x) for r in rows] == sorted((r.day, r.x) for r in rows)
 
 
+def test_assign_keys_splits_a_group_of_copies(spark, monkeypatch):
+    from cabmart.operators import surrogate
+    monkeypatch.setattr(surrogate, "SMALL_ROWS", 100)
+    hot = spark.range(0, 3000).select(F.lit(1).alias("day"), F.lit(7).alias("x"))   # 3000 copies
+    rest = spark.range(0, 6000).select((F.col("id") % 3).alias("day"), F.col("id").alias("x"))
+    df = hot.unionByName(rest)
+    keyed = assign_keys(df, ["day", "x"], "key", partitions=6)
+    per_part = keyed.filter("day = 1 and x = 7").select(F.spark_partition_id().alias("p")).distinct().count()
+    rows = keyed.orderBy("key").collect()
+    assert [r.key for r in rows] == list(range(1, 9001))
+    assert [(r.day, r.x) for r in rows] == sorted((r.day, r.x) for r in rows)
+    assert per_part > 1          # the copies are spread over several partitions
+
+
 def test_lookup_defaults_and_broadcast(spark):
     fact = spark.createDataFrame([(1,), (2,), (None,)], "fk int")
     dim = spark.createDataFrame([(1, 100)], "id int, key long")
