@@ -9,4 +9,4 @@ from .incremental import (stamp, upsert_by_key, append, high_water, after_event_
 from .scd2 import (scd2_changed, scd2_closed, scd2_new, scd2_initial, scd2_apply,
                    assert_unique_key)
 from .quality import not_null_violations, unique_violations, quality_summary
-from .materialize import materialize
+from .materialize import materialize, clear_scratch

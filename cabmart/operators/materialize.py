@@ -23,3 +23,21 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     path = os.path.join(root, "cabmart", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_root(spark) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "cabmart")
+
+
+def clear_scratch(spark) -> bool:
+    """Delete this library's lineage-cut tables under the checkpoint folder.
+
+    Call it once no frame returned by the library is still in use (for
+    example at the end of a warehouse run whose tables were written
+    elsewhere).
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    fs = path.getFileSystem(conf)
+    return bool(fs.exists(path) and fs.delete(path, True))
