@@ -1,7 +1,7 @@
 """Table-level operators: dedup, lookups, surrogate keys, incremental loads, SCD2, quality."""
 
 from .dedup import keep_first, min_per_key, distinct_values
-from .lookup import broadcast_if_small, lookup, estimated_bytes
+from .lookup import broadcast_if_small, lookup, lookup_many, estimated_bytes
 from .surrogate import assign_keys, next_key
 from .incremental import (stamp, upsert_by_key, append, high_water, after_event_mark,
                           empty_watermarks, read_mark, after_process_mark, set_mark,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import (date_key, day_name, month_name, iso_week, is_weekend, season,
                          holiday_name, is_holiday, weather_bins, positive_flag, time_text,
                          hour_of, minutes_between, dec2, time_of_day)
-from ..operators import (assign_keys, lookup, broadcast_if_small, scd2_apply, upsert_by_key, read_mark,
+from ..operators import (assign_keys, lookup, lookup_many, broadcast_if_small, scd2_apply, upsert_by_key, read_mark,
                          after_process_mark)
 
 # The reference range of the date dimension.
@@ -156,26 +156,29 @@ def fact_rows(ods_trip: DataFrame, vendors: DataFrame, zones: DataFrame, dates:
         "total_amount", "pickup_neighborhood_fk", "dropoff_neighborhood_fk", "rate_code_fk",
         "vendor_fk", "store_and_fwd_flag", "payment_type_fk")
     current = F.col("is_current")
-    o = lookup(o, vendors, [("vendor_fk", "id_vendor")], {"key_vendor": ("key_vendor", -1)},
-               dim_filter=current)
-    o = lookup(o, zones, [("pickup_neighborhood_fk", "id_neighborhood")],
-               {"key_zone_pickup": ("key_zone", -1), "_pu_borough": ("borough_name", None)},
-               dim_filter=current)
-    o = lookup(o, zones, [("dropoff_neighborhood_fk", "id_neighborhood")],
-               {"key_zone_dropoff": ("key_zone", -1), "_do_borough": ("borough_name", None)},
-               dim_filter=current)
-    o = lookup(o, dates, [("_pickup_date", "date")], {"key_date_pickup": ("key_date", -1)},
-               max_rows=date_rows)
-    o = lookup(o, dates, [("_dropoff_date", "date")], {"key_date_dropoff": ("key_date", -1)},
-               max_rows=date_rows)
     w = weather.select("key_weather", "borough_name", "weather_date",
                        F.substring("weather_time", 1, 2).cast("int").alias("_hour"))
-    o = lookup(o, w, [("_pu_borough", "borough_name"), ("_pickup_date", "weather_date"),
-                      ("_pickup_hour", "_hour")], {"key_weather": ("key_weather", -1)})
-    o = lookup(o, payments, [("payment_type_fk", "id_payment_type")],
-               {"payment_type": ("payment_type", "Unknown")})
-    o = lookup(o, ratecodes, [("rate_code_fk", "id_ratecode")],
-               {"ratecode_name": ("ratecode_name", "Unknown")})
+    o = lookup_many(o, [
+        dict(dim=vendors, on=[("vendor_fk", "id_vendor")], take={"key_vendor": ("key_vendor", -1)},
+             dim_filter=current),
+        dict(dim=zones, on=[("pickup_neighborhood_fk", "id_neighborhood")],
+             take={"key_zone_pickup": ("key_zone", -1), "_pu_borough": ("borough_name", None)},
+             dim_filter=current),
+        dict(dim=zones, on=[("dropoff_neighborhood_fk", "id_neighborhood")],
+             take={"key_zone_dropoff": ("key_zone", -1), "_do_borough": ("borough_name", None)},
+             dim_filter=current),
+        dict(dim=dates, on=[("_pickup_date", "date")], take={"key_date_pickup": ("key_date", -1)},
+             max_rows=date_rows),
+        dict(dim=dates, on=[("_dropoff_date", "date")], take={"key_date_dropoff": ("key_date", -1)},
+             max_rows=date_rows),
+        # the weather hour of the trip's pickup borough (borough from the pickup zone above)
+        dict(dim=w, on=[("_pu_borough", "borough_name"), ("_pickup_date", "weather_date"),
+                        ("_pickup_hour", "_hour")], take={"key_weather": ("key_weather", -1)}),
+        dict(dim=payments, on=[("payment_type_fk", "id_payment_type")],
+             take={"payment_type": ("payment_type", "Unknown")}),
+        dict(dim=ratecodes, on=[("rate_code_fk", "id_ratecode")],
+             take={"ratecode_name": ("ratecode_name", "Unknown")}),
+    ])
     fare, tip = F.col("fare_amount"), F.col("tip_amount")
     o = o.select(
         "*",

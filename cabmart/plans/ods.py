@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import (normalize_text, clean_name, hash_key, unknown_hash, UNKNOWN,
                          int_half_even, clamp_zero, trip_id, weather_id, time_text, ntz_lit)
-from ..operators import (keep_first, lookup, stamp, upsert_by_key, high_water,
+from ..operators import (keep_first, lookup, lookup_many, stamp, upsert_by_key, high_water,
                          after_event_mark)
 from ..operators.incremental import EVENT_TIME_FLOOR
 
@@ -129,12 +129,13 @@ def transform_trips(valid: DataFrame, zones: DataFrame, run_ts) -> DataFrame:
         clamp_zero("tolls_amount").alias("tolls_amount"),
         "improvement_surcharge", "congestion_surcharge", "airport_fee", "total_amount")
     ids = zones.select("id_neighborhood")
-    bound = 1_000_000  # zone tables are code lists, far below this
-    t = lookup(t, ids, [("_pu", "id_neighborhood")],
-               {"pickup_neighborhood_fk": ("id_neighborhood", -1)}, max_rows=bound)
-    t = lookup(t, ids, [("_do", "id_neighborhood")],
-               {"dropoff_neighborhood_fk": ("id_neighborhood", -1)}, max_rows=bound)
-    return stamp(t, run_ts).select(*TRIP_COLUMNS)
+    t = lookup_many(t, [
+        dict(dim=ids, on=[("_pu", "id_neighborhood")],
+             take={"pickup_neighborhood_fk": ("id_neighborhood", -1)}),
+        dict(dim=ids, on=[("_do", "id_neighborhood")],
+             take={"dropoff_neighborhood_fk": ("id_neighborhood", -1)})])
+    return t.select(*[c for c in TRIP_COLUMNS if c != "last_update"],
+                    ntz_lit(run_ts).alias("last_update"))
 
 
 def ods_taxi_trip(raw: DataFrame, zones: DataFrame, run_ts, target: DataFrame | None = None,
