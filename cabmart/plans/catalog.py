@@ -169,8 +169,9 @@ def fact_measures(spark, d):
     f = _star(spark, d, "money").fact
     return (f.groupBy("time_of_day_category", "is_cross_borough", "payment_type")
              .agg(F.count(F.lit(1)).alias("trips"),
-                  F.sum("trip_duration_minutes").alias("sum_duration"),
-                  F.sum("tip_percentage").alias("sum_tip_percentage"),
+                  # widest decimal for sums of DECIMAL(10,2), as the SQL engine gives
+                  F.sum("trip_duration_minutes").cast("decimal(38,2)").alias("sum_duration"),
+                  F.sum("tip_percentage").cast("decimal(38,2)").alias("sum_tip_percentage"),
                   F.max("trip_duration_minutes").alias("max_duration")))
 
 

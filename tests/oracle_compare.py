@@ -59,10 +59,16 @@ def compare(spark, name, fn, sql, sf_dir, con=None):
     sdf = fn(spark, sf_dir)
     scols = sdf.columns
     srows = [tuple(norm_value(r[c]) for c in scols) for r in sdf.collect()]
-    res = con.execute(sql)
-    ocols = [d[0] for d in res.description]
-    orows_raw = res.fetchall()
+    rel = con.sql(sql)
+    ocols = list(rel.columns)
+    otypes = {c.lower(): str(t) for c, t in zip(ocols, rel.types)}
+    orows_raw = rel.fetchall()
     problems = []
+    from schema_compare import spark_type
+    stypes = {f.name.lower(): spark_type(f.dataType) for f in sdf.schema.fields}
+    tdiff = {c: (stypes[c], otypes.get(c)) for c in stypes if stypes[c] != otypes.get(c)}
+    if tdiff:
+        problems.append(f"types differ: {tdiff}")
     if sorted(c.lower() for c in scols) != sorted(c.lower() for c in ocols):
         problems.append(f"columns differ: spark={scols} oracle={ocols}")
         return problems, len(srows), len(orows_raw)
