@@ -138,7 +138,9 @@ def trips_per_weather_record(fact, weather, category: str, zones=None,
     cols = [F.col(category).alias(out_category or category), "taxi_trips"]
     if zones is not None:
         cols.append("borough")
-    return r.select(*cols, rate)
+    out = r.select(*cols, rate)
+    # ordered like the original reports: by category, or by borough when split
+    return out.orderBy("borough" if zones is not None else (out_category or category))
 
 
 def with_condition_label(df, flag_col: str, yes: str, no: str, out: str = "label"):
