@@ -62,6 +62,30 @@ def _upsert_months(prev: DataFrame | None, batch: DataFrame, key: str, month_col
     T.overwrite_partitions(merged, root, [MONTH])
 
 
+KEYS_DDL = "table_name string, last_key bigint"
+
+
+def _last_key(spark, root, table, prev, key_col) -> int:
+    """Largest key handed out so far: from the small key table, not a scan of the fact."""
+    keys = _stored(spark, root, "last_keys")
+    if keys is not None:
+        v = keys.filter(F.col("table_name") == table).agg(F.max("last_key")).first()[0]
+        if v is not None:
+            return int(v)
+    if prev is None:
+        return 0
+    return int(prev.agg(F.max(key_col)).first()[0] or 0)   # first run with an older layout
+
+
+def _save_last_key(spark, root, table, batch, key_col, start) -> None:
+    top = batch.agg(F.max(key_col)).first()[0]
+    last = int(top) if top is not None else int(start)
+    keys = _stored(spark, root, "last_keys") or spark.createDataFrame([], KEYS_DDL)
+    row = spark.createDataFrame([(table, last)], KEYS_DDL)
+    merged = keys.filter(F.col("table_name") != table).unionByName(row)
+    _save(merged, root, "last_keys")
+
+
 def run_warehouse(t: S.Tables, root: str, run_ts=RUN_TS, trips: str = "money",
                   fact_mode: str = "upsert", date_start: str = STAR_DATE_START,
                   date_end: str = STAR_DATE_END, raw_filter=None) -> Star:
@@ -92,7 +116,8 @@ def run_warehouse(t: S.Tables, root: str, run_ts=RUN_TS, trips: str = "money",
     prev_trips = T.read_partitioned(spark, trip_root)
     valid = ods.valid_trips(raw_trips)
     if prev_trips is not None:
-        mark = high_water(prev_trips, "pickup_datetime")
+        # the newest pickup lies in the newest month: read that partition only
+        mark = high_water(T.latest_partition(spark, trip_root, MONTH), "pickup_datetime")
         valid = after_event_mark(valid, "tpep_pickup_datetime", mark, lookback="1 day")
     trip_batch = ods.transform_trips(valid, n, run_ts)
     _upsert_months(prev_trips, trip_batch, "id_trip", _trip_month(), trip_root)
@@ -128,7 +153,7 @@ def run_warehouse(t: S.Tables, root: str, run_ts=RUN_TS, trips: str = "money",
     if prev_f is not None:
         trip_src = after_process_mark(trip_src, "last_update",
                                       read_mark(marks, "dm_fact_taxi_trip"))
-    start = 0 if prev_f is None else (prev_f.agg(F.max("key_taxi_trip")).first()[0] or 0)
+    start = _last_key(spark, root, "dm_fact_taxi_trip", prev_f, "key_taxi_trip")
     n_dates = mart.date_rows_between(date_start, date_end)
     fact = mart.dm_fact_taxi_trip(trip_src, dv, dz, dates, dw, pt, rc, start=start,
                                   date_rows=n_dates)
@@ -140,6 +165,7 @@ def run_warehouse(t: S.Tables, root: str, run_ts=RUN_TS, trips: str = "money",
     else:
         _upsert_months(prev_f, fact, "id_trip", _fact_month(), fact_root)
     stored_fact = T.read_partitioned(spark, fact_root)
+    _save_last_key(spark, root, "dm_fact_taxi_trip", fact, "key_taxi_trip", start)
 
     # Watermarks: the newest load time read by each datamart table.
     new_marks = marks

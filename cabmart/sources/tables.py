@@ -96,3 +96,26 @@ def overwrite_partitions(df: DataFrame, root: str, partition_by: list[str]) -> s
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(root)
     return root
+
+
+def partition_values(spark: SparkSession, root: str, column: str) -> list[str]:
+    """Values of a partition column, from the folder names (no data is read)."""
+    fs, path, _ = _fs(spark, root)
+    if not fs.exists(path):
+        return []
+    prefix = f"{column}="
+    return [st.getPath().getName()[len(prefix):] for st in fs.listStatus(path)
+            if st.isDirectory() and st.getPath().getName().startswith(prefix)]
+
+
+def latest_partition(spark: SparkSession, root: str, column: str):
+    """The table's rows in its highest partition of ``column`` (None when empty).
+
+    Lets a high-water mark on a partitioned table read one partition instead
+    of the whole table.
+    """
+    vals = [v for v in partition_values(spark, root, column) if v != "__HIVE_DEFAULT_PARTITION__"]
+    if not vals:
+        return None
+    top = max(vals, key=lambda v: int(v))
+    return spark.read.parquet(root).filter(f"{column} = {int(top)}")

@@ -28,8 +28,9 @@ def load_trip_batch(batch: DataFrame, zones: DataFrame, trip_root: str, run_ts)
     prev = T.read_partitioned(spark, trip_root)
     valid = ods.valid_trips(batch)
     if prev is not None:
+        newest = T.latest_partition(spark, trip_root, "pickup_month")
         valid = after_event_mark(valid, "tpep_pickup_datetime",
-                                 high_water(prev, "pickup_datetime"), lookback="1 day")
+                                 high_water(newest, "pickup_datetime"), lookback="1 day")
     rows = ods.transform_trips(valid, zones, run_ts)
     _upsert_months(prev, rows, "id_trip", _trip_month(), trip_root)
 
