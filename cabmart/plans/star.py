@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import materialize
 from ..sources import standins as S
+from ..sources.raw import roles as raw_roles
 from . import ods, mart
 
 # Fixed load time of the driver-table runs, so reruns give equal tables.
@@ -49,42 +50,45 @@ def parallel(*thunks):
         return [f.result() for f in futures]
 
 
-def stored_lookups(t: S.Tables, run_ts=RUN_TS):
+def stored_lookups(t, run_ts=RUN_TS):
     """ODS borough, zone, vendor, rate code and payment tables, written once."""
+    r = raw_roles(t)
     b, v, rc, pt = parallel(
-        lambda: materialize(ods.ods_borough(S.raw_borough(t), run_ts), "ods_borough"),
-        lambda: materialize(ods.ods_vendor(S.raw_vendor(t), run_ts), "ods_vendor"),
-        lambda: materialize(ods.ods_ratecode(S.raw_ratecode(t), run_ts), "ods_ratecode"),
-        lambda: materialize(ods.ods_payment_type(S.raw_payment_type(t), run_ts), "ods_payment"))
-    n = materialize(ods.ods_neighborhood(S.raw_neighborhood(t), b, run_ts), "ods_neighborhood")
+        lambda: materialize(ods.ods_borough(r.borough(), run_ts), "ods_borough"),
+        lambda: materialize(ods.ods_vendor(r.vendor(), run_ts), "ods_vendor"),
+        lambda: materialize(ods.ods_ratecode(r.ratecode(), run_ts), "ods_ratecode"),
+        lambda: materialize(ods.ods_payment_type(r.payment_type(), run_ts), "ods_payment"))
+    n = materialize(ods.ods_neighborhood(r.neighborhood(), b, run_ts), "ods_neighborhood")
     return b, n, v, rc, pt
 
 
-def build_star(t: S.Tables, trips: str = "money", run_ts=RUN_TS, fact_keys: bool = True,
+def build_star(t, trips: str = "money", run_ts=RUN_TS, fact_keys: bool = True,
                date_start: str = STAR_DATE_START, date_end: str = STAR_DATE_END) -> Star:
-    spark = t.spark
+    """Every table of the warehouse, from raw roles (``FileRoles``) or driver ``Tables``."""
+    r = raw_roles(t, trips)
+    spark = r.spark
     # The borough table is a handful of names from a tiny scan: kept lazy (no
     # job of its own); its plan is small and broadcast where it is used.
-    b = ods.ods_borough(S.raw_borough(t), run_ts)
+    b = ods.ods_borough(r.borough(), run_ts)
 
     # Independent chains, built side by side.
     def vendors():
-        v = materialize(ods.ods_vendor(S.raw_vendor(t), run_ts), "ods_vendor")
+        v = materialize(ods.ods_vendor(r.vendor(), run_ts), "ods_vendor")
         return v, materialize(mart.dm_vendor(v, stored=True), "dm_vendor")
 
     def zones():
-        n = materialize(ods.ods_neighborhood(S.raw_neighborhood(t), b, run_ts), "ods_neighborhood")
+        n = materialize(ods.ods_neighborhood(r.neighborhood(), b, run_ts), "ods_neighborhood")
         return n, materialize(mart.dm_zone(b, n, stored=True), "dm_zone")
 
     def weather():
-        wx = materialize(ods.ods_weather_dt(S.raw_weather(t), b, run_ts), "ods_weather")
+        wx = materialize(ods.ods_weather_dt(r.weather(), b, run_ts), "ods_weather")
         return wx, materialize(mart.dm_weather_dt(wx, b, max_rows=wx.count()), "dm_weather")
 
     (v, dv), (n, dz), (wx, dw), rc, pt = parallel(
         vendors, zones, weather,
-        lambda: materialize(ods.ods_ratecode(S.raw_ratecode(t), run_ts), "ods_ratecode"),
-        lambda: materialize(ods.ods_payment_type(S.raw_payment_type(t), run_ts), "ods_payment"))
-    raw_trips = S.raw_trip_money(t) if trips == "money" else S.raw_trip_events(t)
+        lambda: materialize(ods.ods_ratecode(r.ratecode(), run_ts), "ods_ratecode"),
+        lambda: materialize(ods.ods_payment_type(r.payment_type(), run_ts), "ods_payment"))
+    raw_trips = r.trips()
     trip = ods.ods_taxi_trip(raw_trips, n, run_ts)
     dates = mart.dm_date(spark, date_start, date_end)
     n_dates = mart.date_rows_between(date_start, date_end)

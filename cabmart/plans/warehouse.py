@@ -23,6 +23,7 @@ from ..operators import (materialize, read_mark, set_mark, empty_watermarks, hig
                          after_event_mark, after_process_mark, enforce_schema)
 from ..sources import standins as S
 from ..sources import tables as T
+from ..sources.raw import roles as raw_roles
 from . import ods, mart
 from .star import Star, parallel, RUN_TS, STAR_DATE_START, STAR_DATE_END
 
@@ -86,7 +87,7 @@ def _save_last_key(spark, root, table, batch, key_col, start) -> None:
     _save(merged, root, "last_keys")
 
 
-def run_warehouse(t: S.Tables, root: str, run_ts=RUN_TS, trips: str = "money",
+def run_warehouse(t, root: str, run_ts=RUN_TS, trips: str = "money",
                   fact_mode: str = "upsert", date_start: str = STAR_DATE_START,
                   date_end: str = STAR_DATE_END, raw_filter=None) -> Star:
     """Build or update every table under ``root``; returns the stored tables.
@@ -94,20 +95,21 @@ def run_warehouse(t: S.Tables, root: str, run_ts=RUN_TS, trips: str = "money",
     ``raw_filter`` optionally restricts the raw trip and weather roles (used to
     play a source that grows between runs).
     """
-    spark = t.spark
+    r = raw_roles(t, trips)
+    spark = r.spark
     marks = _stored(spark, root, "last_execution_times") or empty_watermarks(spark)
 
     # ODS lookups: full refresh.
     b, v, rc, pt = parallel(
-        lambda: _save(ods.ods_borough(S.raw_borough(t), run_ts), root, "ods_borough"),
-        lambda: _save(ods.ods_vendor(S.raw_vendor(t), run_ts), root, "ods_vendor"),
-        lambda: _save(ods.ods_ratecode(S.raw_ratecode(t), run_ts), root, "ods_ratecode"),
-        lambda: _save(ods.ods_payment_type(S.raw_payment_type(t), run_ts), root,
+        lambda: _save(ods.ods_borough(r.borough(), run_ts), root, "ods_borough"),
+        lambda: _save(ods.ods_vendor(r.vendor(), run_ts), root, "ods_vendor"),
+        lambda: _save(ods.ods_ratecode(r.ratecode(), run_ts), root, "ods_ratecode"),
+        lambda: _save(ods.ods_payment_type(r.payment_type(), run_ts), root,
                       "ods_payment_type"))
-    n = _save(ods.ods_neighborhood(S.raw_neighborhood(t), b, run_ts), root, "ods_neighborhood")
+    n = _save(ods.ods_neighborhood(r.neighborhood(), b, run_ts), root, "ods_neighborhood")
 
-    raw_trips = S.raw_trip_money(t) if trips == "money" else S.raw_trip_events(t)
-    raw_weather = S.raw_weather(t)
+    raw_trips = r.trips()
+    raw_weather = r.weather()
     if raw_filter is not None:
         raw_trips, raw_weather = raw_filter(raw_trips, raw_weather)
 
