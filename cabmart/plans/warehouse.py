@@ -180,3 +180,15 @@ def run_warehouse(t, root: str, run_ts=RUN_TS, trips: str = "money",
 
     return Star(b, n, v, rc, pt, ods_trips.drop(MONTH), wx, dates, dv, dz, dw,
                 stored_fact.drop(MONTH))
+
+
+def read_stored(spark, root: str) -> Star:
+    """The current version of every stored table under ``root``."""
+    def cur(name):
+        return _stored(spark, root, name)
+
+    trips = T.read_partitioned(spark, os.path.join(root, "ods_taxi_trip"))
+    fact = T.read_partitioned(spark, os.path.join(root, "dm_fact_taxi_trip"))
+    return Star(cur("ods_borough"), cur("ods_neighborhood"), cur("ods_vendor"), cur("ods_ratecode"),
+                cur("ods_payment_type"), trips.drop(MONTH), cur("ods_weather_dt"), cur("dm_date"),
+                cur("dm_vendor"), cur("dm_zone"), cur("dm_weather_dt"), fact.drop(MONTH))

@@ -78,3 +78,17 @@ def test_warehouse_on_file_layout(spark, tmpdir_path):
     assert {r.borough for r in rate} <= {"bronx", "queens", "staten island"}
     top = reports.trips_by_zone(star.fact, star.dm_zone).collect()
     assert sum(r.total_trips for r in top) == star.fact.filter("key_zone_dropoff <> -1").count()
+
+
+def test_command_line(spark, tmpdir_path):
+    from cabmart.__main__ import main
+    raw_root = os.path.join(tmpdir_path, "data")
+    make_layout(spark, raw_root)
+    wh = os.path.join(tmpdir_path, "wh")
+    assert main(["build", "--raw", raw_root, "--out", wh, "--run-ts", "2024-06-01T00:00:00"]) == 0
+    dest = os.path.join(tmpdir_path, "out")
+    assert main(["report", "rate", "--out", wh, "--param", "category=wind_intensity",
+                 "--param", "by_borough=true", "--dest", dest]) == 0
+    assert spark.read.parquet(dest).count() > 0
+    assert main(["report", "month_calendar", "--out", wh, "--dest", dest + "2"]) == 0
+    assert spark.read.parquet(dest + "2").count() == 1       # January 2024
