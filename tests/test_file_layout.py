@@ -92,3 +92,25 @@ def test_command_line(spark, tmpdir_path):
     assert spark.read.parquet(dest).count() > 0
     assert main(["report", "month_calendar", "--out", wh, "--dest", dest + "2"]) == 0
     assert spark.read.parquet(dest + "2").count() == 1       # January 2024
+
+
+def test_report_sql_on_registered_catalog(spark, tmpdir_path):
+    from cabmart.sources.catalog import register_catalog
+    raw_root = os.path.join(tmpdir_path, "data")
+    make_layout(spark, raw_root)
+    wh = os.path.join(tmpdir_path, "wh")
+    star = warehouse.run_warehouse(FileRoles(spark, raw_root), wh, dt.datetime(2024, 6, 1),
+                                   date_start="2024-01-01", date_end="2024-12-31")
+    made = register_catalog(spark, wh, raw_roles=FileRoles(spark, raw_root))
+    assert "dwh_datamart.dm_fact_taxi_trip" in made and "raw_weather" in made
+    got = spark.sql("""
+        SELECT z.borough_name, COUNT(*) AS n
+        FROM dwh_datamart.dm_fact_taxi_trip f
+        JOIN dwh_datamart.dm_zone z ON f.key_zone_pickup = z.key_zone AND z.is_current = TRUE
+        JOIN dwh_datamart.dm_date d ON f.key_date_pickup = d.key_date
+        LEFT JOIN dwh_datamart.dm_weather w ON f.key_weather = w.key_weather
+        WHERE d.date >= '2024-01-01' AND d.date < '2024-04-01'
+        GROUP BY z.borough_name""").collect()
+    want = reports.weather_multidim(star.fact, star.dm_zone, star.dm_date).groupBy("pickup_borough") \
+        .sum("total_trips").collect()
+    assert sorted((r.borough_name.lower(), r.n) for r in got) == sorted(tuple(r) for r in want)
