@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import normalize_text, ntz_lit
 from ..operators import (materialize, scd2_apply, scd2_changed, scd2_closed, scd2_new, quality_summary,
@@ -20,7 +20,7 @@ from ..operators import (materialize, scd2_apply, scd2_changed, scd2_closed, scd
 from ..sources import standins as S
 from ..sources.standins import Tables
 from . import ods, mart, reports, charts
-from .star import build_star, stored_lookups, RUN_TS, STAR_DATE_START, STAR_DATE_END
+from .star import build_star, RUN_TS
 
 RUN_TS2 = _dt.datetime(2024, 7, 1)
 # First-load boundary of the two-run scenarios over the events table.

@@ -16,7 +16,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators import materialize
-from ..sources import standins as S
 from ..sources.raw import roles as raw_roles
 from . import ods, mart
 

@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import (materialize, read_mark, set_mark, empty_watermarks, high_water,
                          after_event_mark, after_process_mark, enforce_schema)
-from ..sources import standins as S
 from ..sources import tables as T
 from ..sources.raw import roles as raw_roles
 from . import ods, mart

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from cabmart.plans import warehouse, reports
+from cabmart.plans import warehouse, reports, ods
 from cabmart.sources import Tables, standins as S
 from cabmart.sources.raw import FileRoles
 from conftest import SF_SMALL
@@ -68,7 +68,7 @@ def test_warehouse_on_file_layout(spark, tmpdir_path):
     assert w.count() == 3 * 24 * 30
     star = warehouse.run_warehouse(roles, os.path.join(tmpdir_path, "wh"), dt.datetime(2024, 6, 1),
                                    date_start="2024-01-01", date_end="2024-12-31")
-    valid = warehouse.ods.valid_trips(roles.trips()).count()
+    valid = ods.valid_trips(roles.trips()).count()
     assert star.fact.count() == valid
     assert star.dm_zone.filter("is_current").count() == 8
     matched = star.fact.filter("key_weather <> -1").count()

@@ -6,7 +6,8 @@ import os
 from pyspark.sql import functions as F
 
 from cabmart.functions import ntz_lit
-from cabmart.plans import warehouse, reports
+from cabmart.plans import warehouse, reports, ods
+from cabmart.sources import standins as S
 from cabmart.sources import Tables
 from conftest import SF_SMALL
 
@@ -28,7 +29,7 @@ def test_two_runs_then_replay(spark, tmpdir_path):
     fact2 = s2.fact
     ids = fact2.select("id_trip").distinct().count()
     # every valid trip is in the fact once per raw row; nothing lost between the runs
-    full = warehouse.ods.valid_trips(warehouse.S.raw_trip_events(t)).count()
+    full = ods.valid_trips(S.raw_trip_events(t)).count()
     assert fact2.count() == full and n1 < full
     keys = [r[0] for r in fact2.select("key_taxi_trip").collect()]
     assert len(set(keys)) == len(keys)
@@ -55,5 +56,5 @@ def test_append_mode(spark, tmpdir_path):
     s2 = warehouse.run_warehouse(t, root, dt.datetime(2024, 7, 1), trips="events",
                                  fact_mode="append")
     # the lookback re-reads a day of trips and append keeps both copies
-    full = warehouse.ods.valid_trips(warehouse.S.raw_trip_events(t)).count()
+    full = ods.valid_trips(S.raw_trip_events(t)).count()
     assert s2.fact.count() >= full
