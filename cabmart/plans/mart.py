@@ -64,7 +64,7 @@ def dm_vendor(ods_vendor: DataFrame, target: DataFrame | None = None,
 def zone_source(ods_borough: DataFrame, ods_neighborhood: DataFrame) -> DataFrame:
     """Zones with their borough name (inner join parent-child)."""
     b = ods_borough.select("id_borough", "borough_name")
-    b = broadcast_if_small(b, max_rows=1_000_000)
+    b = broadcast_if_small(b)
     return (ods_neighborhood.join(b, ods_neighborhood["borough_fk"] == b["id_borough"])
             .select("id_neighborhood", "neighborhood_name", "service_zone", "borough_name",
                     F.col("last_update").alias("ods_update_time")))
@@ -95,7 +95,7 @@ WEATHER_DIM_COLUMNS = [
 def weather_attributes(ods_weather: DataFrame, ods_borough: DataFrame) -> DataFrame:
     """Borough name by key ('unknown' when missing) and the category bins."""
     w = lookup(ods_weather, ods_borough, [("borough_fk", "id_borough")],
-               {"borough_name": ("borough_name", "unknown")}, max_rows=1_000_000)
+               {"borough_name": ("borough_name", "unknown")})
     return w.select("id_weather", "weather_date", "weather_time", "temperature",
                     "apparent_temperature", "rain", "snowfall", "wind_speed", "humidity",
                     "borough_name", *weather_bins(),

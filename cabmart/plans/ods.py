@@ -178,7 +178,7 @@ def ods_weather_dt(raw: DataFrame, boroughs: DataFrame, run_ts,
                                strict=True)
     best = best_reading(src)
     j = lookup(best, boroughs, [("borough_name", "borough_name")],
-               {"borough_fk": ("id_borough", None)}, max_rows=1_000_000)
+               {"borough_fk": ("id_borough", None)})
     rows = j.select(
         weather_id("borough_fk", "weather_datetime").alias("id_weather"), "borough_fk",
         F.to_date("weather_datetime").alias("weather_date"),

@@ -14,21 +14,10 @@ from ..functions import dec2, safe_div
 from ..functions.bins import BINS
 from ..operators import broadcast_if_small
 
-DIM_BOUND = 1_000_000  # zone / date / vendor / weather dims of one report are below this
-
-
-def _dim(df: DataFrame) -> DataFrame:
-    return broadcast_if_small(df)
-
-
-def _fixed(df: DataFrame) -> DataFrame:
-    """A dimension whose size is bounded by its definition (code lists, days, zones)."""
-    return broadcast_if_small(df, max_rows=DIM_BOUND)
-
-
-def _join(fact, dim, fact_key, dim_key, cols, how="inner", bounded=True):
-    d = dim.select(F.col(dim_key).alias(f"_{fact_key}"), *cols)
-    d = _fixed(d) if bounded else _dim(d)
+def _join(fact, dim, fact_key, dim_key, cols, how="inner"):
+    """Inner join on a dimension key; the dimension side is broadcast when its size
+    estimate is under the limit (stored dimensions carry their file size)."""
+    d = broadcast_if_small(dim.select(F.col(dim_key).alias(f"_{fact_key}"), *cols))
     return fact.join(d, fact[fact_key] == d[f"_{fact_key}"], how)
 
 
@@ -66,14 +55,14 @@ def trips_by_zone(fact, zones, role="dropoff"):
 
 def avg_revenue_by_vendor(fact, vendors):
     """Q3."""
-    j = _join(fact, vendors, "key_vendor", "key_vendor", ["vendor_name"], bounded=False)
+    j = _join(fact, vendors, "key_vendor", "key_vendor", ["vendor_name"])
     return (j.groupBy("vendor_name").agg(F.avg("total_amount").alias("avg_revenue"))
              .orderBy(F.desc("avg_revenue")))
 
 
 def trips_by_weather_category(fact, weather, category="apparent_temperature_category"):
     """Q4: trips per weather category, most first."""
-    j = _join(fact, weather, "key_weather", "key_weather", [category], bounded=False)
+    j = _join(fact, weather, "key_weather", "key_weather", [category])
     return (j.groupBy(category).agg(F.count(F.lit(1)).alias("total_trips"))
              .orderBy(F.desc("total_trips")))
 
@@ -127,7 +116,7 @@ def trips_per_weather_record(fact, weather, category: str, zones=None,
     if category not in RATE_COLUMNS:
         raise ValueError(f"not a weather category column: {category}")
     totals = weather.groupBy(category).agg(F.count_distinct("key_weather").alias("total_weather"))
-    j = _join(fact, weather, "key_weather", "key_weather", [category], bounded=False)
+    j = _join(fact, weather, "key_weather", "key_weather", [category])
     keys = [category]
     if zones is not None:
         j = _join(j, zones, "key_zone_pickup", "key_zone", [F.col("borough_name").alias("borough")])
@@ -160,8 +149,7 @@ def distance_by_borough(fact, zones):
 
 def tip_rate_by_temperature(fact, weather):
     """Q22: tips / total per apparent temperature category."""
-    j = _join(fact, weather, "key_weather", "key_weather", ["apparent_temperature_category"],
-              bounded=False)
+    j = _join(fact, weather, "key_weather", "key_weather", ["apparent_temperature_category"])
     return (j.groupBy("apparent_temperature_category")
              .agg(safe_div(F.sum("tip_amount"), F.sum("total_amount")).alias("tip_rate")))
 
