@@ -33,3 +33,14 @@ def test_upsert_is_an_anti_join_on_distinct_keys(spark):
     b = spark.range(500, 600).selectExpr("id as k", "id * 2 as v")
     plan = plan_text(upsert_by_key(t, b, ["k"]))
     assert "LeftAnti" in plan and "HashAggregate" in plan
+
+
+def test_report_plan_has_no_shuffle_join(spark):
+    from cabmart.plans import reports
+    s = star.build_star(Tables(spark, SF_SMALL), "events", fact_keys=False)
+    for df in (reports.revenue_by_year_month(s.fact, s.dm_date, True),
+               reports.trips_per_weather_record(s.fact, s.dm_weather, "is_rainy", zones=s.dm_zone),
+               reports.weather_multidim(s.fact, s.dm_zone, s.dm_date)):
+        plan = plan_text(df)
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert "HashAggregate" in plan          # partial + final aggregation
