@@ -97,57 +97,58 @@ def run_warehouse(t, root: str, run_ts=RUN_TS, trips: str = "money",
     r = raw_roles(t, trips)
     spark = r.spark
     marks = _stored(spark, root, "last_execution_times") or empty_watermarks(spark)
-
-    # ODS lookups: full refresh.
-    b, v, rc, pt = parallel(
-        lambda: _save(ods.ods_borough(r.borough(), run_ts), root, "ods_borough"),
-        lambda: _save(ods.ods_vendor(r.vendor(), run_ts), root, "ods_vendor"),
-        lambda: _save(ods.ods_ratecode(r.ratecode(), run_ts), root, "ods_ratecode"),
-        lambda: _save(ods.ods_payment_type(r.payment_type(), run_ts), root,
-                      "ods_payment_type"))
-    n = _save(ods.ods_neighborhood(r.neighborhood(), b, run_ts), root, "ods_neighborhood")
-
     raw_trips = r.trips()
     raw_weather = r.weather()
     if raw_filter is not None:
         raw_trips, raw_weather = raw_filter(raw_trips, raw_weather)
 
-    # ODS trips: incremental with a one-day lookback, upsert on id_trip by month.
-    trip_root = os.path.join(root, "ods_taxi_trip")
-    prev_trips = T.read_partitioned(spark, trip_root)
-    valid = ods.valid_trips(raw_trips)
-    if prev_trips is not None:
-        # the newest pickup lies in the newest month: read that partition only
-        mark = high_water(T.latest_partition(spark, trip_root, MONTH), "pickup_datetime")
-        valid = after_event_mark(valid, "tpep_pickup_datetime", mark, lookback="1 day")
-    trip_batch = ods.transform_trips(valid, n, run_ts)
-    _upsert_months(prev_trips, trip_batch, "id_trip", _trip_month(), trip_root)
-    ods_trips = T.read_partitioned(spark, trip_root)
-
-    # ODS weather: strict event-time mark, upsert on id_weather.
-    prev_w = _stored(spark, root, "ods_weather_dt")
-    w = ods.ods_weather_dt(raw_weather, b, run_ts, target=prev_w)
-    if prev_w is not None:
-        w = enforce_schema(w, prev_w.schema, "sync_all_columns")
-    wx = _save(w, root, "ods_weather_dt")
-
-    # Datamart.
-    dates = _save(mart.dm_date(spark, date_start, date_end), root, "dm_date")
-    prev_v = _stored(spark, root, "dm_vendor")
-    prev_z = _stored(spark, root, "dm_zone")
-    prev_dw = _stored(spark, root, "dm_weather_dt")
-    dw_src = wx if prev_dw is None else after_process_mark(
-        wx, "last_update", read_mark(marks, "dm_weather_dt"))
-    def _policy(df, prev):
-        return df if prev is None else enforce_schema(df, prev.schema, "fail")
-
-    dv, dz, dw = parallel(
-        lambda: _save(_policy(mart.dm_vendor(v, target=prev_v, marks=marks, stored=True), prev_v),
-                      root, "dm_vendor"),
-        lambda: _save(_policy(mart.dm_zone(b, n, target=prev_z, marks=marks, stored=True), prev_z),
-                      root, "dm_zone"),
-        lambda: _save(mart.dm_weather_dt(dw_src, b, target=prev_dw), root, "dm_weather_dt"))
+    def _policy(df, prev, mode="fail"):
+        return df if prev is None else enforce_schema(df, prev.schema, mode)
 
+    # Stage A, side by side: ODS lookups (full refresh) and the date dimension.
+    b, v, rc, pt, dates = parallel(
+        lambda: _save(ods.ods_borough(r.borough(), run_ts), root, "ods_borough"),
+        lambda: _save(ods.ods_vendor(r.vendor(), run_ts), root, "ods_vendor"),
+        lambda: _save(ods.ods_ratecode(r.ratecode(), run_ts), root, "ods_ratecode"),
+        lambda: _save(ods.ods_payment_type(r.payment_type(), run_ts), root, "ods_payment_type"),
+        lambda: _save(mart.dm_date(spark, date_start, date_end), root, "dm_date"))
+
+    # Stage B, three independent chains side by side.
+    def zones_and_trips():
+        n = _save(ods.ods_neighborhood(r.neighborhood(), b, run_ts), root, "ods_neighborhood")
+        # ODS trips: incremental with a one-day lookback, upsert on id_trip by month.
+        trip_root = os.path.join(root, "ods_taxi_trip")
+        prev_trips = T.read_partitioned(spark, trip_root)
+        valid = ods.valid_trips(raw_trips)
+        if prev_trips is not None:
+            # the newest pickup lies in the newest month: read that partition only
+            mark = high_water(T.latest_partition(spark, trip_root, MONTH), "pickup_datetime")
+            valid = after_event_mark(valid, "tpep_pickup_datetime", mark, lookback="1 day")
+        _upsert_months(prev_trips, ods.transform_trips(valid, n, run_ts), "id_trip",
+                       _trip_month(), trip_root)
+        prev_z = _stored(spark, root, "dm_zone")
+        dz = _save(_policy(mart.dm_zone(b, n, target=prev_z, marks=marks, stored=True), prev_z),
+                   root, "dm_zone")
+        return n, T.read_partitioned(spark, trip_root), dz
+
+    def weather():
+        # ODS weather: strict event-time mark, upsert on id_weather.
+        prev_w = _stored(spark, root, "ods_weather_dt")
+        w = ods.ods_weather_dt(raw_weather, b, run_ts, target=prev_w)
+        wx = _save(_policy(w, prev_w, "sync_all_columns"), root, "ods_weather_dt")
+        prev_dw = _stored(spark, root, "dm_weather_dt")
+        src = wx if prev_dw is None else after_process_mark(
+            wx, "last_update", read_mark(marks, "dm_weather_dt"))
+        return wx, _save(mart.dm_weather_dt(src, b, target=prev_dw), root, "dm_weather_dt")
+
+    def vendors():
+        prev_v = _stored(spark, root, "dm_vendor")
+        return _save(_policy(mart.dm_vendor(v, target=prev_v, marks=marks, stored=True), prev_v),
+                     root, "dm_vendor")
+
+    (n, ods_trips, dz), (wx, dw), dv = parallel(zones_and_trips, weather, vendors)
+
+    # The fact: trips stamped after the fact's mark, delete+insert by id_trip by month.
     fact_root = os.path.join(root, "dm_fact_taxi_trip")
     prev_f = T.read_partitioned(spark, fact_root)
     trip_src = ods_trips.drop(MONTH)
@@ -168,10 +169,10 @@ def run_warehouse(t, root: str, run_ts=RUN_TS, trips: str = "money",
     stored_fact = T.read_partitioned(spark, fact_root)
     _save_last_key(spark, root, "dm_fact_taxi_trip", fact, "key_taxi_trip", start)
 
-    # Watermarks: the newest load time read by each datamart table.
+    # Watermarks: the newest load time each datamart table actually read.
     new_marks = marks
     for name, src in (("dm_vendor", v), ("dm_zone", n), ("dm_weather_dt", wx),
-                      ("dm_fact_taxi_trip", ods_trips)):
+                      ("dm_fact_taxi_trip", trip_src)):
         m = high_water(src, "last_update")
         if m is not None:
             new_marks = set_mark(new_marks, name, m)
