@@ -92,9 +92,8 @@ def overwrite_partitions(df: DataFrame, root: str, partition_by: list[str]) -> s
     ``df`` must not read ``root`` lazily (write it to the checkpoint folder
     first when it was computed from the same table).
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(root)
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(*partition_by).parquet(root))
     return root
 
 
