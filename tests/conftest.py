@@ -14,7 +14,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from cabmart.session import local_session
     s = local_session("*", shuffle_partitions=8, app="cabmart-tests",
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="cabmart-test-ckpt-")})
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="cabmart-test-ckpt-"),
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="cabmart-test-wh-")})
     yield s
     s.stop()
 
