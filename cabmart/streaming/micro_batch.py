@@ -55,3 +55,49 @@ def stream_trips(spark: SparkSession, source_dir: str, zones: DataFrame, trip_ro
     if available_now:
         q.awaitTermination()
     return q
+
+
+def load_weather_batch(batch: DataFrame, boroughs: DataFrame, weather_root: str, run_ts) -> None:
+    """Apply one batch of raw weather readings to the ODS weather table (new version)."""
+    spark = batch.sparkSession
+    prev = T.read_current(spark, weather_root)
+    rows = ods.ods_weather_dt(batch, boroughs, run_ts, target=prev)
+    T.write_version(rows, weather_root)
+
+
+def stream_weather(spark: SparkSession, folders_glob: str, boroughs: DataFrame,
+                   weather_root: str, run_ts, header: list[str], name: str = "ods_weather_dt",
+                   available_now: bool = True):
+    """Stream new hourly weather files (``Weather_<Name>/*.csv`` with a preamble).
+
+    ``header`` is the column order of the files (their header line); the
+    borough comes from the folder name, as in the batch reader.
+    """
+    from pyspark.sql import functions as F
+    from ..sources.raw import WEATHER_FOLDERS, conform
+
+    ckpt = os.path.join(ensure_checkpoint_dir(spark), "cabmart-streams", name)
+    ddl = ", ".join(f"`{n}` {'timestamp_ntz' if n == 'time' else 'double'}" for n in header)
+    lines = (spark.readStream.format("text").load(folders_glob)
+             .select("value", F.col("_metadata.file_path").alias("_path"))
+             .filter(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}")))
+    folder = F.regexp_extract("_path", r"(Weather_[^/]+)/", 1)
+    mapping = F.create_map(*[F.lit(x) for kv in WEATHER_FOLDERS.items() for x in kv])
+    parsed = lines.select(
+        F.coalesce(mapping[folder], F.regexp_replace(folder, "^Weather_", "")).alias("borough_name"),
+        F.from_csv("value", ddl, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm"}).alias("r"))
+    raw = parsed.select("borough_name", "r.*")
+    from pyspark.sql.types import StructType
+    want = StructType([*StructType.fromDDL("borough_name string").fields,
+                       *schemas.schema("weather").fields])
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        load_weather_batch(conform(batch, want), boroughs, weather_root, run_ts)
+
+    writer = raw.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
+        processingTime="1 minute")
+    q = writer.start()
+    if available_now:
+        q.awaitTermination()
+    return q

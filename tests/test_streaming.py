@@ -32,3 +32,22 @@ def test_stream_two_arrivals(spark, tmpdir_path):
     want = ods.ods_taxi_trip(raw, zones, run_ts)
     assert first < got.count()
     assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+
+
+def test_stream_weather_files(spark, tmpdir_path):
+    from test_file_layout import make_layout
+    from cabmart.sources.raw import FileRoles
+    from cabmart.streaming import stream_weather
+    raw_root = os.path.join(tmpdir_path, "data")
+    make_layout(spark, raw_root)
+    roles = FileRoles(spark, raw_root)
+    b = ods.ods_borough(roles.borough(), dt.datetime(2024, 6, 1))
+    header = ["time", "temperature_2m (°C)", "relative_humidity_2m (%)", "apparent_temperature (°C)",
+              "rain (mm)", "snowfall (cm)", "wind_speed_10m (km/h)"]
+    root = os.path.join(tmpdir_path, "ods_weather_dt")
+    stream_weather(spark, os.path.join(raw_root, "weather_dt", "Weather_*", "*.csv"), b, root,
+                   dt.datetime(2024, 6, 1), header, name="w1")
+    got = T.read_current(spark, root)
+    want = ods.ods_weather_dt(roles.weather(), b, dt.datetime(2024, 6, 1))
+    assert got.count() == want.count() == 3 * 24 * 30
+    assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
