@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, packing, quality, toxicity
-from .common import labelled_fold, table
+from . import ann_search, byte_bpe, exact_search, packing, quality, toxicity, warc
+from .common import labelled_fold, scratch_path, table
 
 
 def vocabulary(name: str) -> str:
@@ -37,16 +37,53 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", labelled_fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op4_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return warc.read_archives(spark, path, payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality": op3_quality,
+    "op4_exact_search": op4_exact_search,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
+    "op8_ann_search": op8_ann_search,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_exact_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vec FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x:
+                  x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.vec, c.vec)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
+        SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <= 20""",
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS bytes FROM pages),
+        g AS (SELECT digest, min(page_id) AS first_id FROM p WHERE bytes >= 100 GROUP BY digest)
+        SELECT p.page_id, p.bytes::BIGINT AS payload_bytes, p.digest AS payload_digest,
+               CASE WHEN first_id IS NULL OR p.page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN p.page_id <> first_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN g USING (digest)""",
+}
