@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann_search, byte_bpe, exact_search, packing, quality, toxicity, warc
+from . import ann_search, byte_bpe, exact_search, ngram_join, packing, quality, toxicity, warc
 from .common import labelled_fold, scratch_path, table
 
 
@@ -56,6 +56,10 @@ def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op8_ann_search": op8_ann_search,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE: dict[str, str] = {
