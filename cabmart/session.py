@@ -9,6 +9,7 @@ passes its own session and the checkpoint folder it names in
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -57,3 +58,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="cabmart-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers then find it wherever the driver was started from.  Spark serves
+    the archive from the driver, so no folder has to be shared.
+    """
+    sc = spark.sparkContext
+    if any(os.path.basename(f) == "cabmart.zip" for f in sc._python_includes):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="cabmart-package-"), "cabmart"), "zip",
+                                  root_dir=os.path.dirname(here), base_dir=os.path.basename(here))
+    sc.addPyFile(archive)
