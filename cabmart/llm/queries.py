@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann_search, byte_bpe, exact_search, ngram_join, packing, quality, toxicity, warc
+from . import ann_search, byte_bpe, exact_search, line_dedup, ngram_join, packing, quality, toxicity, warc
 from .common import labelled_fold, scratch_path, table
 
 
@@ -52,6 +52,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, percent=80, least_words=5)
+
+
 def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op4_exact_search": op4_exact_search,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_ann_search": op8_ann_search,
     "op10_ngram_join": op10_ngram_join,
 }
