@@ -37,9 +37,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import cut
+from .common import cut, free_name
 from .components import components
 from .words import Words, mix, ngrams, runs
 
@@ -89,15 +89,15 @@ def profile(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     Rows of counts have ``part`` and ``counts`` and no document.
     """
     step = COUNTERS // _PARTS
-    names = ["doc_id", "n", "node", "minhash", "part", "counts"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    names = ["doc_id", "version", "n", "node", "minhash", "part", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def run(batches):
         counters = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
-            ids = batch.column(0)
+            ids, versions = batch.column(0), batch.column(1)
             done = 0
-            for part in runs([(t or "").encode() for t in batch.column(1).to_pylist()]):
+            for part in runs([(t or "").encode() for t in batch.column(2).to_pylist()]):
                 text, gram = shingles(part, n)
                 counters += np.bincount((gram % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
                 bounds = _bounds(text, len(part))
@@ -110,19 +110,20 @@ def profile(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                     least[full, k] = mix(np.minimum.reduceat(value, bounds[full]) + np.uint64(k)).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * MINHASHES),
                                                 pa.array(least.ravel()))
-                none = [pa.nulls(len(part), type=k) for k in kinds[4:]]
+                none = [pa.nulls(len(part), type=k) for k in kinds[5:]]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(done, len(part)), pa.array(size, type=pa.int32()), pa.array(node), flat, *none],
+                    [ids.slice(done, len(part)), versions.slice(done, len(part)), pa.array(size, type=pa.int32()), pa.array(node), flat, *none],
                     names=names)
                 done += len(part)
         for p in range(_PARTS):
             own = counters[p * step:(p + 1) * step]
             if own.any():
-                row = [None, None, None, None, p, own.astype("<i8").tobytes()]
+                row = [None, None, None, None, None, p, own.astype("<i8").tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row, kinds)], names=names)
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, n int, node long, minhash array<long>, part int, counts binary"))
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"),
+                        F.col(text_col).alias("text"))
+            .mapInArrow(run, "doc_id long, version long, n int, node long, minhash array<long>, part int, counts binary"))
 
 
 def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +269,8 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
          ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets and the groups that links make of them.
 
-    Returns (documents, labels): every row of ``docs`` as (``doc_id``, ``n``,
-    ``node``), and (``node``, ``component_id``) of every class.  Two sets are linked
+    Returns (documents, labels): every row of ``docs`` as (``doc_id``, ``version``, a
+    hash of the text, ``n``, ``node``), and (``node``, ``component_id``) of every class.  Two sets are linked
     when 100 * |intersection| >= percent * |union|.
     """
     profiled = cut(profile(docs, n, id_col, text_col), "profile")
@@ -286,7 +287,7 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     named = labelled.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("rep").alias("least"))
     labels = (labelled.join(named, "comp", "left")
               .select("node", F.coalesce("least", "rep").alias("component_id")))
-    return rows.select("doc_id", "n", "node"), labels
+    return rows.select("doc_id", "version", "n", "node"), labels
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,3 +296,28 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     named = rows.join(labels, "node", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest id (and text hash, if ids repeat).
+
+    Documents without words all stay; rows that repeat an id and text are one
+    document, of which one row stays.
+    """
+    rows, labels = link(docs, n, percent, id_col, text_col)
+    named = cut(rows.filter("n > 0").join(labels, "node")
+                .select("component_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version").alias("row"),
+                        "node"), "named")
+    # A group is told apart by its classes' label, and by its class where no id is known.
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("node")).alias("lone")]
+    first = named.groupBy(*group).agg(F.min("row").alias("first"))
+    same = (F.col("component_id").eqNullSafe(F.col("f_component")) & F.col("lone").eqNullSafe(F.col("f_lone")))
+    gone = (named.select(*group, "row").join(first.toDF("f_component", "f_lone", "first"), same)
+            .filter("row <> first").select("row.doc_id", "row.version").distinct())
+    a, b, c, d = (free_name(docs, x) for x in ("version", "g_doc", "g_version", "number"))
+    gone = gone.toDF(b, c)
+    kept = docs.withColumn(a, F.xxhash64(text_col)).join(
+        gone, F.col(b).eqNullSafe(F.col(id_col).cast("long")) & (F.col(a) == F.col(c)), "left_anti")
+    once = W.partitionBy(id_col, a).orderBy(F.lit(0))
+    return kept.withColumn(d, F.row_number().over(once)).filter(F.col(d) == 1).select(*docs.columns)

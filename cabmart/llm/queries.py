@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann_search, byte_bpe, exact_search, line_dedup, ngram_join, packing, quality, toxicity, warc
+from . import ann_search, byte_bpe, exact_search, html_text, line_dedup, ngram_join, packing, quality, toxicity, warc
 from .common import labelled_fold, scratch_path, table
 
 
@@ -61,6 +61,11 @@ def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_ann_search": op8_ann_search,
+    "op9_html_text": op9_html_text,
     "op10_ngram_join": op10_ngram_join,
 }
 
