@@ -16,7 +16,7 @@ Defined results: rows without an id and vectors that are null, empty or hold
 null or non-finite components take no part; shorter vectors count as filled
 up with zeros; a candidate with the query's id is the query's own; repeated
 rows are candidates each for itself, a repeated query is asked once; an empty
-table gives no rows.
+table gives no rows.  Products that a long cannot hold raise an error.
 """
 
 from __future__ import annotations
@@ -48,13 +48,19 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate((parts.mean(axis=2), parts.std(axis=2)), axis=1) * np.sqrt(length)
 
 
+def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers of any size."""
+    whole = np.frompyfunc(int, 1, 1)
+    return whole(q) @ whole(c).T
+
+
 def block_search(k: int):
     def search(cand_ids, cand, query_ids, queries):
         steps = [(statistics(cand, s), statistics(queries, s)) for s in levels(cand.shape[1])]
         exact = lambda q, c: np.rint(q @ c.T).astype(np.int64)
         most = float(np.abs(cand).max(initial=0) * np.abs(queries).max(initial=0)) * cand.shape[1]
         if most >= 2.0 ** 53:                            # beyond doubles: whole numbers of any size
-            exact = lambda q, c: q.astype(object) @ c.T.astype(object)
+            exact = products
         out = []
         for at in range(0, len(queries), AT_ONCE):
             part = slice(at, at + AT_ONCE)
