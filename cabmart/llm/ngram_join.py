@@ -15,8 +15,8 @@ at a pair of frequent tokens.  What meets, passes the length and positional
 bounds and is not linked already is verified on whole texts.
 
 Copies cost little: documents with equal sets are one class; classes that
-share a min-hash are first verified against the smallest of them and linked;
-and then only keys that join *different* groups are kept, the largest group of
+share a min-hash are first verified against the one of most common tokens
+among them (of near copies, their source) and linked; and then only keys that join *different* groups are kept, the largest group of
 a key meeting the rest but not itself.  Neither step takes a decision that the
 exact one would not: links are verified, and pairs are left out only if they
 are connected already.
@@ -148,7 +148,10 @@ def frequencies(profiled: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, level: np.ndarray, text_col: str) -> DataFrame:
-    """(``node``, ``n``, ``keys`` array<int>): the extended prefix of every set, rare tokens first.
+    """(``node``, ``n``, ``common``, ``keys`` array<int>): the extended prefix of every set, rare tokens first.
+
+    ``common`` is the mean level of its tokens: of near copies, the text that the
+    others were made from has the highest.
 
     Keys are 32 bits of the tokens: a clash only brings a candidate more.
     """
@@ -163,6 +166,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, level: np.ndarray, text_col:
                 size = np.diff(bounds)
                 node = signatures(gram, bounds).view(np.int64)
                 rank = order_of[(gram % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
+                common = 1000 * np.bincount(text, weights=rank, minlength=len(part)) // np.maximum(size, 1)
                 order = np.lexsort((gram, rank, text))
                 place = np.arange(len(gram)) - np.repeat(bounds[:-1], size)
                 upto = size + (-percent * size) // 100 + 2            # |s| - ceil(t |s|) + k
@@ -177,10 +181,11 @@ def prefixes(docs: DataFrame, n: int, percent: int, level: np.ndarray, text_col:
                 ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[fresh]), pa.array(size[fresh], type=pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["node", "n", "keys"])
+                     pa.array(common[fresh].astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["node", "n", "common", "keys"])
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, n int, keys array<int>")
-    return found.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, n int, common int, keys array<int>")
+    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "common", "keys")])
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str,
@@ -218,10 +223,11 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
     return (pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
 
 
-def first_links(classes: DataFrame) -> DataFrame:
-    """Pairs to verify first: every class with the smallest class that shares a min-hash."""
-    keys = classes.select("node", "rep", F.explode("minhash").alias("key"))
-    lead = (keys.groupBy("key").agg(F.min(F.struct("rep", "node")).alias("lead"), F.count("*").alias("many"))
+def first_links(classes: DataFrame, prefixed: DataFrame) -> DataFrame:
+    """Pairs to verify first: every class with the one of most common tokens that shares a min-hash."""
+    keys = (classes.select("node", F.explode("minhash").alias("key"))
+            .join(prefixed.select("node", "common"), "node"))
+    lead = (keys.groupBy("key").agg(F.max(F.struct("common", "node")).alias("lead"), F.count("*").alias("many"))
             .filter("many > 1").select("key", F.col("lead.node").alias("b")))
     return keys.join(lead, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
@@ -229,14 +235,17 @@ def first_links(classes: DataFrame) -> DataFrame:
 def _meet(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different groups that share a key and pass the length and positional bounds.
 
-    ``rows``: key, node, comp, n, pos.  The largest group of a key meets the others, not itself.
+    ``rows``: key, node, comp, n, pos, before.  The largest group of a key meets the
+    others, not itself.  A pair is wanted at the first key it shares; of what lies
+    before that key, only tokens that are indexed otherwise can be shared
+    (``before``, how many of them a set has).
     """
     by_group = rows.groupBy("key", "comp").agg(F.count("*").alias("many"))
     home = by_group.groupBy("key").agg(F.max_by("comp", "many").alias("home"))
     tagged = rows.join(home, "key")
-    few = tagged.filter("comp <> home").select(*(F.col(c).alias(f"l_{c}") for c in ("node", "comp", "n", "pos")), "key")
+    few = tagged.filter("comp <> home").select(*(F.col(c).alias(f"l_{c}") for c in ("node", "comp", "n", "pos", "before")), "key")
     both = few.join(tagged, "key").filter("l_comp <> comp AND (comp = home OR l_node < node)")
-    shared_most = (F.least("pos", "l_pos") + 1
+    shared_most = (F.least("before", "l_before") + 1
                    + F.least(F.col("n") - F.col("pos") - 1, F.col("l_n") - F.col("l_pos") - 1))
     close = ((F.lit(100) * F.least("n", "l_n") >= F.lit(percent) * F.greatest("n", "l_n"))
              & (F.lit(100 + percent) * shared_most >= F.lit(percent) * (F.col("n") + F.col("l_n"))))
@@ -253,12 +262,15 @@ def candidates(prefixed: DataFrame, groups: DataFrame, percent: int) -> DataFram
     rows = cut(rows.join(joining, "key"), "index")       # tokens that join different groups: few
     spread = rows.groupBy("key", "comp").count().groupBy("key").agg(F.count("*").alias("groups"))
     rows = rows.join(spread, "key")
-    singles = rows.filter(F.col("groups") < FREQUENT).drop("groups")
     often = (rows.filter(F.col("groups") >= FREQUENT).groupBy("node", "n", "comp")
              .agg(F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("tokens")))    # at most a prefix
+    singles = (rows.filter(F.col("groups") < FREQUENT).drop("groups")
+               .join(often.select("node", F.size("tokens").alias("before")), "node", "left")
+               .withColumn("before", F.coalesce("before", F.lit(0))))
     two = (often.select("node", "n", "comp", "tokens", F.posexplode("tokens").alias("i", "one"))
            .select("node", "n", "comp", "one", F.explode(F.expr("slice(tokens, i + 2, size(tokens))")).alias("other"))
-           .select("node", "n", "comp", F.xxhash64("one.key", "other.key").alias("key"), F.col("one.pos").alias("pos")))
+           .select("node", "n", "comp", F.xxhash64("one.key", "other.key").alias("key"), F.col("one.pos").alias("pos"),
+                   F.lit(0).alias("before")))
     joining = (two.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                .filter("lo <> hi").select("key"))
     pairs = _meet(two.join(joining, "key"), percent)
@@ -278,9 +290,9 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     rows = profiled.filter("part IS NULL")
     classes = cut(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("minhash").alias("minhash")),
                   "classes")
-    links = cut(verify(first_links(classes), classes, docs, n, percent, id_col, text_col), "links")
-    groups = components(links)
     prefixed = cut(prefixes(docs, n, percent, level, text_col), "prefixes")
+    links = cut(verify(first_links(classes, prefixed), classes, docs, n, percent, id_col, text_col), "links")
+    groups = components(links)
     more = verify(candidates(prefixed, groups, percent), classes, docs, n, percent, id_col, text_col)
     every = cut(links.union(more), "links")
     labelled = classes.select("node", "rep").join(components(every), "node", "left")
