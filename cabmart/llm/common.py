@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -30,6 +31,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now.
+
+    It does so once nothing refers to their plans any more, which the driver's
+    JVM notices only when it collects its garbage; after a lineage cut that is
+    worth doing, as the jobs before it may have shuffled far more than they left.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that no frame reads any more."""
     spark = df.sparkSession

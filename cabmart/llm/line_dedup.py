@@ -13,10 +13,9 @@ words always stay.
    n - ceil(t n) + 1.  Tokens that two sets or more have there are the keys.
    Length and positional filter: the sizes, and what is left behind a shared
    token, must allow the overlap.
-4. A key of fewer than ``HOT`` sets brings each of its sets together with the
-   earlier ones.  On a hotter key each set first meets the earliest one only;
-   sets that this removes need no further partner, and only the others meet
-   all earlier sets of that key.  So a line with thousands of variants costs
+4. A key of fewer than ``HOT`` sets brings all its sets together.  On a hotter
+   key each set first meets the earliest one only; sets that this removes need
+   no further partner, and only the others meet all sets of that key.  So a line with thousands of variants costs
    its count, not the square of it.
 5. Candidates are verified on whole lines, and documents are put together
    again without the lines removed.
@@ -36,22 +35,24 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, release
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Sets from which on a key is hot.
-HOT = 32
-_SPACE = r"[ \t\x0B\f\r]+"
+HOT = 64
+_SPACE = " \t\x0b\f\r"
 
 
-def _words(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(text), _SPACE, " ")), " ")
+def _words(line: Column) -> Column:
+    """The words of a line; one empty word if it has none."""
+    return F.split(F.trim(F.lower(line), F.lit(_SPACE)), r"[ \t\x0B\f\r]+")
 
 
 def word_levels(texts: DataFrame) -> bytearray:
     """For each hashed counter of words, a level of 0 (rare) to 127; ``BUCKETS`` counts come to the driver."""
-    words = texts.select(F.explode(_words(F.regexp_replace("text", "\n", " "))).alias("word"))
-    counted = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("b")).count().collect()
+    words = texts.select(F.explode(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+")).alias("word"))
+    counted = (words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
+               .count().collect())
     levels = bytearray(BUCKETS)
     for b, n in counted:
         levels[b] = min(127, int(4 * math.log2(n + 1)))
@@ -62,12 +63,12 @@ def _tokens(line: Column, levels: bytearray) -> Column:
     """Sorted distinct tokens of a line, rare words first."""
     table = F.lit(bytes(levels))
 
-    def token(word):
-        h = F.xxhash64(word)
-        level = F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
+    def token(h):
+        level = F.ascii(F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(_words(line), token)))
+    hashes = F.transform(_words(line), lambda word: F.xxhash64(word))
+    return F.sort_array(F.transform(F.array_distinct(hashes), token))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -87,21 +88,43 @@ def _close(percent: int) -> Column:
 
 
 def _left(rows: DataFrame) -> DataFrame:
-    return rows.select("key", *(F.col(c).alias(f"l_{c}") for c in ("set", "first", "n", "at")))
+    return rows.select("key", *(F.col(c).alias(f"l_{c}") for c in ("set", "n", "at")))
 
 
-def similar(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The sets (``later``) of the pairs (later, earlier) that are similar enough."""
-    for side in ("later", "earlier"):
-        pairs = pairs.join(tokens.select(F.col("set").alias(side), F.col("tokens").alias(f"{side}_tokens")), side)
-    both = F.size(F.array_intersect("later_tokens", "earlier_tokens"))
-    union = F.size("later_tokens") + F.size("earlier_tokens") - both
-    return pairs.filter(100 * both >= percent * union).select("later").distinct()
+def _pairs(left: DataFrame, right: DataFrame, percent: int, once: bool = False) -> DataFrame:
+    """Pairs (``a``, ``b``) of sets that share a key and pass the filters; with ``once`` each in one order."""
+    other = F.col("l_set") < F.col("set") if once else F.col("l_set") != F.col("set")
+    return (_left(left).join(right, "key").filter(other & _close(percent))
+            .select(F.col("l_set").alias("a"), F.col("set").alias("b")))
+
+
+def _tokens_of(asked: DataFrame, sets: DataFrame, texts: DataFrame, levels: bytearray) -> DataFrame:
+    """(``set``, ``first``, ``tokens``) of the sets asked for, from their first lines."""
+    wanted = sets.join(asked, "set", "left_semi").select("set", "first")
+    some = (wanted.groupBy(F.col("first.doc").alias("w_doc"), F.col("first.version").alias("w_version"))
+            .agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "set", "first")).alias("wanted")))
+    match = F.col("w_doc").eqNullSafe(F.col("doc")) & (F.col("w_version") == F.col("version"))
+    found = (texts.join(some, match)
+             .select(F.split("text", "\n").alias("split"), F.explode("wanted").alias("w"))
+             .select("w.set", "w.first", F.element_at("split", F.col("w.line") + 1).alias("body")))
+    return found.select("set", "first", _tokens(F.col("body"), levels).alias("tokens")).dropDuplicates(["set"])
+
+
+def _later(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The later set (``set``) of each pair that is similar enough."""
+    for side in "ab":
+        pairs = pairs.join(tokens.select(*(F.col(c).alias(f"{side}_{c}") for c in ("set", "first", "tokens"))),
+                           F.col(side) == F.col(f"{side}_set"))
+    both = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    union = F.size("a_tokens") + F.size("b_tokens") - both
+    later = F.when(F.col("a_first") > F.col("b_first"), F.col("a")).otherwise(F.col("b"))
+    return pairs.filter(100 * both >= percent * union).select(later.alias("set")).distinct()
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, least_words: int = 5, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """(``doc``, ``version``, ``lines`` array<int>): the numbers of the lines that go, of documents that lose any."""
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("version"),
                         F.col(text_col).alias("text")).filter("text IS NOT NULL")
     levels = word_levels(texts)
@@ -114,35 +137,32 @@ def removed_lines(docs: DataFrame, percent: int = 80, least_words: int = 5, id_c
                                        lambda t: F.hash(t)).alias("prefix")), "lines")
     sets = cut(held.groupBy("set").agg(F.min(place).alias("first"), F.first("n").alias("n"),
                                        F.first("prefix").alias("prefix")), "sets")
+    release(spark)
 
-    rows = sets.select("set", "first", "n", F.posexplode("prefix").alias("at", "key"))
+    rows = sets.select("set", "n", F.posexplode("prefix").alias("at", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
     index = cut(rows.join(shared, "key"), "index")
+    release(spark)
     cold, hot = index.filter(F.col("many") < HOT).drop("many"), index.filter(F.col("many") >= HOT).drop("many")
-    near = (_left(cold).join(cold, "key").filter((F.col("first") < F.col("l_first")) & _close(percent))
-            .select(F.col("l_set").alias("later"), F.col("set").alias("earlier")))
-    lead = hot.groupBy("key").agg(F.min(F.struct("first", "set", "n", "at")).alias("lead")).select("key", "lead.*")
-    led = (_left(hot).join(lead, "key").filter((F.col("first") < F.col("l_first")) & _close(percent))
-           .select(F.col("l_set").alias("later"), F.col("set").alias("earlier")))
-    pairs = cut(near.union(led).distinct(), "pairs")
-
-    # Tokens of every set that may have to be verified, from its first line.
-    asked = pairs.select(F.explode(F.array("later", "earlier")).alias("set")).union(hot.select("set")).distinct()
-    wanted = sets.join(asked, "set").select("set", "first.doc", "first.version", "first.line")
-    some = wanted.groupBy("doc", "version").agg(F.collect_list(F.struct("line", "set")).alias("wanted"))
-    match = F.col("w_doc").eqNullSafe(F.col("doc")) & (F.col("w_version") == F.col("version"))
-    found = (texts.join(some.toDF("w_doc", "w_version", "wanted"), match)
-             .select(F.split("text", "\n").alias("split"), F.explode("wanted").alias("w"))
-             .select(F.col("w.set").alias("set"), F.element_at("split", F.col("w.line") + 1).alias("body")))
-    tokens = cut(found.select("set", _tokens(F.col("body"), levels).alias("tokens")).dropDuplicates(["set"]), "tokens")
-
-    first_gone = cut(similar(pairs, tokens, percent), "gone")
-    open_ = hot.join(first_gone.select(F.col("later").alias("set")), "set", "left_anti")
-    more = (_left(open_).join(hot, "key").filter((F.col("first") < F.col("l_first")) & _close(percent))
-            .select(F.col("l_set").alias("later"), F.col("set").alias("earlier")).distinct())
-    gone = first_gone.union(similar(more, tokens, percent)).distinct().select(F.col("later").alias("set"), F.lit(True).alias("gone"))
-
-    verdict = sets.select("set", "first").join(gone, "set", "left")
+    lead = (hot.join(sets.select("set", "first"), "set").groupBy("key")
+            .agg(F.min(F.struct("first", "set", "n", "at")).alias("lead"))
+            .select("key", "lead.set", "lead.n", "lead.at"))
+    pairs = cut(_pairs(cold, cold, percent, once=True).union(_pairs(hot, lead, percent)).distinct(), "pairs")
+    release(spark)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("set"))
+    tokens = cut(_tokens_of(asked, sets, texts, levels), "tokens")
+    release(spark)
+    gone = cut(_later(pairs, tokens, percent), "gone")
+    release(spark)
+
+    # What the leaders of hot keys did not remove meets all sets of those keys.
+    open_ = hot.join(gone, "set", "left_anti")
+    more = cut(_pairs(open_, hot, percent).join(pairs, ["a", "b"], "left_anti").distinct(), "pairs")
+    tokens = cut(_tokens_of(more.select(F.explode(F.array("a", "b")).alias("set")), sets, texts, levels), "tokens")
+    gone = cut(gone.union(_later(more, tokens, percent)).distinct(), "gone")
+    release(spark)
+
+    verdict = sets.select("set", "first").join(gone.withColumn("gone", F.lit(True)), "set", "left")
     lost = (held.select("set", "doc", "version", "line").join(verdict, "set")
             .filter(F.coalesce("gone", F.lit(False)) | (place > F.col("first"))))
     return lost.groupBy("doc", "version").agg(F.collect_set("line").alias("lines"))

@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, release
 from .components import components
 from .words import Words, mix, ngrams, runs
 
@@ -291,10 +291,15 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     classes = cut(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("minhash").alias("minhash")),
                   "classes")
     prefixed = cut(prefixes(docs, n, percent, level, text_col), "prefixes")
+    release(docs.sparkSession)
     links = cut(verify(first_links(classes, prefixed), classes, docs, n, percent, id_col, text_col), "links")
     groups = components(links)
-    more = verify(candidates(prefixed, groups, percent), classes, docs, n, percent, id_col, text_col)
+    release(docs.sparkSession)
+    pairs = cut(candidates(prefixed, groups, percent), "pairs")
+    release(docs.sparkSession)
+    more = verify(pairs, classes, docs, n, percent, id_col, text_col)
     every = cut(links.union(more), "links")
+    release(docs.sparkSession)
     labelled = classes.select("node", "rep").join(components(every), "node", "left")
     named = labelled.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("rep").alias("least"))
     labels = (labelled.join(named, "comp", "left")
