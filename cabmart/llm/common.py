@@ -23,14 +23,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "cabmart", f"{name}-{uuid.uuid4().hex}")
 
 
+_cuts: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back (a lineage cut)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _cuts.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all lineage cuts made so far.
+
+    For a chain of stages: once a stage's result is written, no frame reads the
+    cuts it was made with.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _cuts:
+        path = jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished jobs now.
 
@@ -42,19 +59,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by ``cut`` that no frame reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = os.path.join(ensure_checkpoint_dir(spark), "cabmart") + "/"
-    folders = {os.path.dirname(f) for f in df.inputFiles()}
-    for folder in folders:
-        if root.split(":", 1)[-1].lstrip("/") not in folder:
-            raise ValueError(f"not a scratch table: {folder}")
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, with underscores put in front until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

@@ -7,13 +7,20 @@ import pytest
 
 import corpus_pipeline as C
 from cabmart.llm import quality, toxicity
-from cabmart.llm.common import cut, labelled_fold
+from cabmart.llm.common import labelled_fold, scratch_path
 from conftest import SF_SMALL
 from plain import dedup_lines, group_rows
 from pyspark.sql import functions as F
 from test_packing import check
 
 
+def cut(df, name):
+    """Written and read again, as the pipeline does (a stage deletes the cuts of those before it)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def test_stages_against_plain_python(spark, small):
     """Every stage on its own input, and the whole run."""
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
