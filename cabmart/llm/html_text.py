@@ -389,9 +389,13 @@ def _layout_labels(tree: Tree) -> list[int]:
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample of the pages that mark their main part, and on the layouts above."""
     marked = F.lower(F.col(html_col)).rlike(r"<(article|main)[\s>]|role=.?(main|article)|articlebody")
-    picked = (pages.filter(marked & (F.octet_length(F.col(html_col)) <= LONGEST))
-              .select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-              .orderBy(F.xxhash64(F.col("id")), F.col("id"), F.xxhash64("html")).limit(sample))
+    rows = (pages.filter(marked & (F.octet_length(F.col(html_col)) <= LONGEST))
+            .select(F.col(id_col).alias("id"), F.col(html_col).alias("html"),
+                    F.xxhash64(F.col(id_col)).alias("place"), F.xxhash64(html_col).alias("version")))
+    # The few pages are chosen by their hashes; only theirs come to the driver.
+    chosen = rows.select("place", "version").distinct().orderBy("place", "version").limit(sample)
+    picked = (rows.join(F.broadcast(chosen), ["place", "version"]).groupBy("place", "version")
+              .agg(F.first("id").alias("id"), F.first("html").alias("html")))
     forest = Forest()
     for r in sorted(picked.collect(), key=lambda r: (r.id is None, r.id or 0, r.html)):  # at most SAMPLE x LONGEST bytes
         tree = parse(r.html)

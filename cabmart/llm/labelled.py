@@ -19,14 +19,18 @@ def sample_rows(labels: DataFrame, label_col: str, n: int, id_col: str = "doc_id
     keep = F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)
     if held_out is not None:
         keep &= ~held_out
-    return (labels.filter(keep).select(id_col, F.col(label_col).cast("int").alias("y"))
+    return (labels.filter(keep).select(id_col, F.col(label_col).cast("int").alias("y")).distinct()
             .orderBy(F.xxhash64(F.col(id_col)), F.col(id_col), F.col("y")).limit(n))
 
 
 def sample_texts(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``y``, ``text``) of the sampled ids; the sample is bounded, so it is broadcast."""
+    """(``y``, ``text``) of the sampled ids; the sample is bounded, so it is broadcast.
+
+    Of rows that share an id one text counts, so the result is bounded as well.
+    """
     return (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-            .join(F.broadcast(sample.select(F.col(id_col).alias("_id"), "y")), "_id").select("y", "text"))
+            .join(F.broadcast(sample.select(F.col(id_col).alias("_id"), "y")), "_id")
+            .groupBy("_id", "y").agg(F.min("text").alias("text")).select("y", "text"))
 
 
 def feature_rows(texts: DataFrame, features) -> DataFrame:

@@ -11,8 +11,8 @@ words always stay.
 2. Lines with equal sets are one set, of which the first line is kept.
 3. Prefix filter: two similar sets share a token among their first
    n - ceil(t n) + 1.  Tokens that two sets or more have there are the keys.
-   Length and positional filter: the sizes, and what is left behind a shared
-   token, must allow the overlap.
+   Length and positional filters: the sizes, what is left behind a shared token,
+   and what both prefixes share in all, must allow the overlap.
 4. A key of fewer than ``HOT`` sets brings all its sets together.  On a hotter
    key each set first meets the earliest one only; sets that this removes need
    no further partner, and only the others meet all sets of that key.  So a line with thousands of variants costs
@@ -98,16 +98,36 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, once: bool = False)
             .select(F.col("l_set").alias("a"), F.col("set").alias("b")))
 
 
+def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose prefixes share enough.
+
+    Of two prefixes, the one whose last token comes first in the order shares
+    with the other set only what lies in the other's prefix; so the overlap is at
+    most the tokens common to both prefixes and what follows that prefix.
+    """
+    for side in "ab":
+        pairs = pairs.join(sets.select(*(F.col(c).alias(f"{side}_{c}") for c in ("set", "n", "prefix"))),
+                           F.col(side) == F.col(f"{side}_set"))
+    # Keys are 32 bits of tokens: within a prefix two may be equal, which must not lessen the count.
+    twins = sum(F.size(f"{side}_prefix") - F.size(F.array_distinct(f"{side}_prefix")) for side in "ab")
+    both = F.size(F.array_intersect("a_prefix", "b_prefix")) + twins
+    behind = F.greatest(F.col("a_n") - F.size("a_prefix"), F.col("b_n") - F.size("b_prefix"))
+    return (pairs.filter((100 + percent) * (both + behind) >= percent * (F.col("a_n") + F.col("b_n")))
+            .select("a", "b"))
+
+
 def _tokens_of(asked: DataFrame, sets: DataFrame, texts: DataFrame, levels: bytearray) -> DataFrame:
     """(``set``, ``first``, ``tokens``) of the sets asked for, from their first lines."""
     wanted = sets.join(asked, "set", "left_semi").select("set", "first")
     some = (wanted.groupBy(F.col("first.doc").alias("w_doc"), F.col("first.version").alias("w_version"))
             .agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "set", "first")).alias("wanted")))
     match = F.col("w_doc").eqNullSafe(F.col("doc")) & (F.col("w_version") == F.col("version"))
-    found = (texts.join(some, match)
-             .select(F.split("text", "\n").alias("split"), F.explode("wanted").alias("w"))
-             .select("w.set", "w.first", F.element_at("split", F.col("w.line") + 1).alias("body")))
-    return found.select("set", "first", _tokens(F.col("body"), levels).alias("tokens")).dropDuplicates(["set"])
+    # A generator keeps the optimizer from splitting a text again for each of its lines.
+    split = texts.join(some, match).select("wanted", F.explode(F.array(F.split("text", "\n"))).alias("split"))
+    found = split.select(F.explode(F.transform("wanted", lambda w: F.struct(
+        w["set"].alias("set"), w["first"].alias("first"),
+        F.element_at("split", w["line"] + 1).alias("body")))).alias("w")).select("w.*")
+    return found.select("set", "first", _tokens(F.col("body"), levels).alias("tokens"))
 
 
 def _later(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -149,6 +169,8 @@ def removed_lines(docs: DataFrame, percent: int = 80, least_words: int = 5, id_c
             .select("key", "lead.set", "lead.n", "lead.at"))
     pairs = cut(_pairs(cold, cold, percent, once=True).union(_pairs(hot, lead, percent)).distinct(), "pairs")
     release(spark)
+    pairs = cut(_promising(pairs, sets, percent), "pairs")
+    release(spark)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("set"))
     tokens = cut(_tokens_of(asked, sets, texts, levels), "tokens")
     release(spark)
@@ -157,7 +179,8 @@ def removed_lines(docs: DataFrame, percent: int = 80, least_words: int = 5, id_c
 
     # What the leaders of hot keys did not remove meets all sets of those keys.
     open_ = hot.join(gone, "set", "left_anti")
-    more = cut(_pairs(open_, hot, percent).join(pairs, ["a", "b"], "left_anti").distinct(), "pairs")
+    more = cut(_promising(_pairs(open_, hot, percent).distinct(), sets, percent), "pairs")
+    release(spark)
     tokens = cut(_tokens_of(more.select(F.explode(F.array("a", "b")).alias("set")), sets, texts, levels), "tokens")
     gone = cut(gone.union(_later(more, tokens, percent)).distinct(), "gone")
     release(spark)
