@@ -68,7 +68,7 @@ def main(argv=None) -> int:
 
     spark = SparkSession.builder.appName("cabmart").getOrCreate()
     if a.cmd == "build":
-        run_ts = dt.datetime.fromisoformat(a.run_ts) if a.run_ts else dt.datetime.now().replace(microsecond=0)
+        run_ts = dt.datetime.fromisoformat(a.run_ts) if a.run_ts else dt.datetime.now(dt.UTC).replace(tzinfo=None)
         warehouse.run_warehouse(FileRoles(spark, a.raw), a.out, run_ts, fact_mode=a.fact_mode,
                                 date_start=a.date_start, date_end=a.date_end)
         return 0

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.calendar import ntz_lit
 from .lookup import broadcast_if_small
@@ -91,39 +90,46 @@ def set_mark(marks: DataFrame, target_table: str, time) -> DataFrame:
     return upsert_by_key(marks, row, ["target_table"], key_rows_bound=1)
 
 
-def mark_from_batch(batch: DataFrame, col: str = "last_update"):
-    """The mark to store after a load: the newest load time actually read."""
-    return batch.agg(F.max(col)).first()[0]
+def require_newer(marks: DataFrame | None, run_ts) -> None:
+    """Raise unless ``run_ts`` is later than every stored mark.
+
+    Marks are load times and the next run reads what is stamped later, so two
+    runs with one load time would lose the second run's rows.
+    """
+    newest = None if marks is None else marks.agg(F.max("time")).first()[0]
+    if newest is not None and run_ts <= newest:
+        raise ValueError(f"load time {run_ts} is not later than the newest stored mark {newest}")
 
 
-def enforce_schema(df: DataFrame, target: StructType, mode: str = "fail") -> DataFrame:
-    """Schema-change policy of an incremental target.
+def sync_schema(target: DataFrame, batch: DataFrame, mode: str = "fail") -> tuple[DataFrame, DataFrame]:
+    """Schema-change policy of an incremental target (L17): (target, batch) ready to be merged.
 
-    ``fail``: raise when names or types differ.  ``sync_all_columns``: take the
-    target's columns, add missing ones as NULL, drop extra ones, cast types.
-    ``append_new_columns``: keep extra columns and add missing ones as NULL.
-    ``ignore``: return unchanged.
+    ``fail``: raise when names or types differ.  ``sync_all_columns``: the
+    target takes the batch's columns and types; new ones are NULL in old rows,
+    vanished ones go.  ``append_new_columns`` / ``merge``: the target also gains
+    new columns but keeps vanished ones, which the batch gets as NULL.
+    ``ignore``: the target stays as it is and the batch follows it.
     """
-    have = {f.name.lower(): f for f in df.schema.fields}
-    want = {f.name.lower(): f for f in target.fields}
-    if mode == "ignore":
-        return df
+    have = {f.name.lower(): f for f in batch.schema.fields}
+    want = {f.name.lower(): f for f in target.schema.fields}
+
+    def as_fields(df: DataFrame, fields, own) -> DataFrame:
+        cols = [(F.col(f"`{own[f.name.lower()].name}`") if f.name.lower() in own else F.lit(None))
+                .cast(f.dataType).alias(f.name) for f in fields]
+        return df.select(*cols)
+
     if mode == "fail":
         diff = sorted(set(have) ^ set(want))
-        types = sorted(n for n in set(have) & set(want)
-                       if have[n].dataType != want[n].dataType)
+        types = sorted(n for n in set(have) & set(want) if have[n].dataType != want[n].dataType)
         if diff or types:
             raise ValueError(f"schema change refused: columns {diff}, types {types}")
-        return df.select(*[F.col(f.name) for f in target.fields])
-    cols: list[Column] = []
-    for f in target.fields:
-        if f.name.lower() in have:
-            cols.append(F.col(have[f.name.lower()].name).cast(f.dataType).alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+        return target, batch.select(*target.columns)
     if mode == "sync_all_columns":
-        return df.select(*cols)
-    if mode in ("append_new_columns", "merge"):
-        extra = [F.col(f.name) for f in df.schema.fields if f.name.lower() not in want]
-        return df.select(*cols, *extra)
-    raise ValueError(f"unknown on_schema_change mode {mode!r}")
+        fields = batch.schema.fields
+    elif mode in ("append_new_columns", "merge"):
+        fields = [*target.schema.fields, *(f for n, f in have.items() if n not in want)]
+    elif mode == "ignore":
+        fields = target.schema.fields
+    else:
+        raise ValueError(f"unknown on_schema_change mode {mode!r}")
+    return as_fields(target, fields, want), as_fields(batch, fields, have)

@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Upper bound for a broadcast side (bytes).  Kept below Spark's 8 GB hard
-# limit and well inside executor memory.
+# Upper bound for a broadcast side in memory (bytes).  Kept below Spark's 8 GB
+# hard limit and well inside executor memory.
 DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
+# Estimates of stored tables are sizes of compressed files; in memory they can be
+# several times that, and this much is allowed for.
+UNPACKED = 8
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -30,7 +33,7 @@ def broadcast_if_small(dim: DataFrame, limit: int = DEFAULT_BROADCAST_LIMIT,
     if max_rows is not None and max_rows * row_bytes <= limit:
         return F.broadcast(dim)
     size = estimated_bytes(dim)
-    if size is not None and size <= limit:
+    if size is not None and size * UNPACKED <= limit:
         return F.broadcast(dim)
     return dim
 

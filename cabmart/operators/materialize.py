@@ -2,42 +2,54 @@
 
 Used where a result must not be recomputed differently (numbered keys) or is
 read several times (a batch that is checked and then joined).  The folder is
-the one the session names in ``spark.checkpoint.dir`` (set by the cluster;
-tests set a scratch one), never a machine-local temp folder.  A parquet
-write is one job; files written by finished tasks survive a lost executor.
+the one the session names in ``spark.checkpoint.dir`` (only a local session
+without one gets a scratch folder of its own).  A parquet write is one job;
+files written by finished tasks survive a lost executor.
 """
 
 from __future__ import annotations
 
 import os
+import threading
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
+_scopes: list[list[str]] = []
+_lock = threading.Lock()
+
 
 def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     path = os.path.join(root, "cabmart", f"{name}-{uuid.uuid4().hex}")
+    with _lock:
+        for made in _scopes:
+            made.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch_root(spark) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), "cabmart")
-
-
-def clear_scratch(spark) -> bool:
-    """Delete this library's lineage-cut tables under the checkpoint folder.
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete at its end every lineage cut made inside.
 
-    Call it once no frame returned by the library is still in use (for
-    example at the end of a warehouse run whose tables were written
-    elsewhere).
+    For work whose results are written elsewhere: no frame that reads a cut may
+    be used after the scope.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    fs = path.getFileSystem(conf)
-    return bool(fs.exists(path) and fs.delete(path, True))
+    made: list[str] = []
+    with _lock:
+        _scopes.append(made)
+    try:
+        yield
+    finally:
+        with _lock:
+            _scopes.remove(made)
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in made:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)

@@ -18,18 +18,39 @@ def unique_violations(df: DataFrame, col: str) -> DataFrame:
 def quality_summary(df: DataFrame, table: str, cols: list[str]) -> DataFrame:
     """One row per column: rows, NULLs, rows beyond the first of a repeated value.
 
-    A single pass: one aggregate computes all counts, then a stack turns the
-    wide row into rows.
+    Each column is counted by value (a hash aggregate with partial sums), so
+    no row is multiplied as several exact distinct counts in one aggregate would.
     """
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        aggs += [F.count(F.col(c)).alias(f"_nn{i}"), F.count_distinct(F.col(c)).alias(f"_nd{i}")]
-    wide = df.agg(*aggs)
-    pieces = ", ".join(f"'{c}', _nn{i}, _nd{i}" for i, c in enumerate(cols))
-    long = wide.selectExpr("_rows", f"stack({len(cols)}, {pieces}) as (column_name, nn, nd)")
-    return long.select(
-        F.lit(table).alias("table_name"), "column_name",
-        F.col("_rows").cast("long").alias("n_rows"),
-        (F.col("_rows") - F.col("nn")).cast("long").alias("n_null"),
-        (F.col("nn") - F.col("nd")).cast("long").alias("n_duplicate"),
-        ((F.col("_rows") == F.col("nn")) & (F.col("nn") == F.col("nd"))).alias("passed"))
+    out = None
+    for c in cols:
+        by_value = df.groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        null = F.col("_v").isNull()
+        one = by_value.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
+                           F.coalesce(F.sum(F.when(null, F.col("_n"))), F.lit(0)).alias("n_null"),
+                           F.coalesce(F.sum(F.when(~null, F.col("_n") - 1)), F.lit(0)).alias("n_duplicate"))
+        row = one.select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"),
+                         *[F.col(n).cast("long").alias(n) for n in ("n_rows", "n_null", "n_duplicate")],
+                         ((F.col("n_null") == 0) & (F.col("n_duplicate") == 0)).alias("passed"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# The declared checks: every ODS model's key is present and unique.
+ODS_KEYS = {
+    "ods_borough": ["id_borough"],
+    "ods_neighborhood": ["id_neighborhood"],
+    "ods_taxi_trip": ["id_trip"],
+    "ods_weather_dt": ["id_weather"],
+    "ods_ratecode": ["id_ratecode"],
+    "ods_payment_type": ["id_payment_type"],
+    "ods_vendor": ["id_vendor"],
+}
+
+
+def check_models(models: dict[str, DataFrame], keys: dict[str, list[str]] | None = None) -> DataFrame:
+    """The summary of every declared check of the given models."""
+    out = None
+    for name, cols in (keys or ODS_KEYS).items():
+        part = quality_summary(models[name], name, cols)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -60,7 +60,7 @@ def scd2_closed(target, batch, keys, tracked, key_col="key", ts_col="ods_update_
 
 
 def scd2_new(target, batch, keys, tracked, key_col="key", ts_col="ods_update_time",
-             start: int = 0, max_rows: int | None = None):
+             start: int = 0):
     """New versions: unseen business keys and changed ones, numbered after ``start``."""
     m = _matched(target, batch, keys, tracked, key_col, ts_col)
     fresh = m.filter(F.col("t_key").isNull() | ~_same(tracked)).select(
@@ -68,25 +68,23 @@ def scd2_new(target, batch, keys, tracked, key_col="key", ts_col="ods_update_tim
         F.col("o_ts").cast("timestamp_ntz").alias("valid_from"),
         F.lit(None).cast("timestamp_ntz").alias("valid_to"),
         F.lit(True).alias("is_current"))
-    keyed = assign_keys(fresh, list(keys), key_col, start=start, max_rows=max_rows)
+    keyed = assign_keys(fresh, list(keys), key_col, start=start)
     return keyed.select(*target.columns)
 
 
-def scd2_initial(batch, keys, tracked, key_col="key", ts_col="ods_update_time",
-                 max_rows: int | None = None):
+def scd2_initial(batch, keys, tracked, key_col="key", ts_col="ods_update_time"):
     """First load: every row is a current version valid from its update time."""
     rows = batch.select(*keys, *tracked,
                         F.col(ts_col).cast("timestamp_ntz").alias("valid_from"),
                         F.lit(None).cast("timestamp_ntz").alias("valid_to"),
                         F.lit(True).alias("is_current"))
-    keyed = assign_keys(rows, list(keys), key_col, start=0, max_rows=max_rows)
+    keyed = assign_keys(rows, list(keys), key_col, start=0)
     return keyed.select(key_col, *keys, *tracked, "valid_from", "valid_to", "is_current")
 
 
 def scd2_apply(target: DataFrame | None, batch: DataFrame, keys: list[str], tracked: list[str],
                key_col: str = "key", ts_col: str = "ods_update_time",
-               check_unique: bool = True, max_rows: int | None = None,
-               stored_batch: bool = False) -> DataFrame:
+               check_unique: bool = True, stored_batch: bool = False) -> DataFrame:
     """The new dimension table: untouched rows + closed versions + new versions.
 
     The batch is read three times, so it is written once unless it already is
@@ -95,13 +93,12 @@ def scd2_apply(target: DataFrame | None, batch: DataFrame, keys: list[str], trac
     if check_unique:
         if not stored_batch:
             batch = materialize(batch, "scd2-batch")
-        n = assert_unique_key(batch, keys)
-        max_rows = n if max_rows is None else max_rows
+        assert_unique_key(batch, keys)
     if target is None:
-        return scd2_initial(batch, keys, tracked, key_col, ts_col, max_rows=max_rows)
+        return scd2_initial(batch, keys, tracked, key_col, ts_col)
     start = target.agg(F.max(key_col)).first()[0] or 0
     closed = scd2_closed(target, batch, keys, tracked, key_col, ts_col)
-    new = scd2_new(target, batch, keys, tracked, key_col, ts_col, start=start, max_rows=max_rows)
+    new = scd2_new(target, batch, keys, tracked, key_col, ts_col, start=start)
     changed = scd2_changed(target, batch, keys, tracked, key_col, ts_col).select(key_col)
     kept = target.join(changed, key_col, "left_anti")
     return kept.unionByName(closed).unionByName(new)

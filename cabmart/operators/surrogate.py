@@ -3,12 +3,11 @@
 Keys are ``start + rank`` in a total order, so a rerun gives the same keys
 and an SQL ``row_number() over (order by ...)`` can check them.
 
-Small frames (a proven bound, or an exact count of the written input) use
-one window.  Large frames are range
-partitioned on the full order (a hot value of the first column is split by
-the later ones), numbered inside each partition, saved to the checkpoint
-folder (one write; a lost executor cannot renumber half the rows), and shifted by
-the row counts of the earlier partitions (a tiny broadcast table).
+``assign_keys`` numbers tables with a proven bound (code lists, type-2
+dimensions, whose batch is counted by the uniqueness check) in one window.
+``number_in_buckets`` numbers tables of any size: rows are counted by bucket,
+the few bucket counts are summed up in bucket order, and rows are numbered
+inside their bucket.
 """
 
 from __future__ import annotations
@@ -17,10 +16,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .materialize import materialize
 
-SMALL_ROWS = 1_000_000
-# Rows per range partition of a large input (about 1-2 GB of fact rows).
-ROWS_PER_PARTITION = 5_000_000
-
 
 def _order(cols: list) -> list[Column]:
     out = []
@@ -32,52 +27,42 @@ def _order(cols: list) -> list[Column]:
     return out
 
 
-def assign_keys(df: DataFrame, order: list, key: str = "key", start: int | Column = 0,
-                max_rows: int | None = None, partitions: int | None = None) -> DataFrame:
-    """Add ``key`` = start + 1, start + 2, ... following ``order`` (NULLS FIRST).
+def assign_keys(df: DataFrame, order: list, key: str = "key", start: int | Column = 0) -> DataFrame:
+    """Add ``key`` = start + 1, start + 2, ... following ``order`` (NULLS FIRST), in one window.
 
-    ``order`` must make rows distinct up to identical content, or reruns may
-    number ties differently.  ``max_rows`` is a proven bound on the input;
-    without one the input is written once (it is read twice below) and
-    counted exactly from the written copy.
+    For dimensions only: the caller knows that the input is small.
     """
     start_col = start if isinstance(start, Column) else F.lit(int(start))
-    cols = df.columns
-    if max_rows is not None and max_rows <= SMALL_ROWS:
-        return _window_keys(df, order, key, start_col, cols)
-    # Exact copies of a row are interchangeable, so a random tie-breaker,
-    # fixed by writing it with the input, lets the range partitioner split a
-    # group of copies that could hold a large share of the rows.
-    df = materialize(df.withColumn("_tie", F.rand(17)), f"keys-in-{key}")
-    n_rows = df.count()
-    if n_rows <= SMALL_ROWS:
-        return _window_keys(df.drop("_tie"), order, key, start_col, cols)
-
-    spark = df.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                          n_rows // ROWS_PER_PARTITION + 1)
-    full = _order(order) + [F.col("_tie").asc()]
-    ordered = (df.repartitionByRange(n, *full)
-                 .sortWithinPartitions(*full)
-                 .withColumn("_pid", F.spark_partition_id())
-                 .withColumn("_mid", F.monotonically_increasing_id()))
-    saved = materialize(ordered, f"keys-{key}")
-    counts = saved.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (saved.join(F.broadcast(offsets), "_pid")
-                 .select((start_col + F.col("_off") + local + 1).cast("long").alias(key), *cols))
-
-
-def _window_keys(df, order, key, start_col, cols):
     w = Window.orderBy(*_order(order))
-    return df.select((start_col + F.row_number().over(w)).cast("long").alias(key), *cols)
+    return df.select((start_col + F.row_number().over(w)).cast("long").alias(key), *df.columns)
 
 
-def next_key(target: DataFrame | None, key: str) -> int:
-    """Largest key already used (0 for a first load); one small action."""
-    if target is None:
-        return 0
-    v = target.agg(F.max(key)).first()[0]
-    return int(v or 0)
+def number_in_buckets(df: DataFrame, buckets: list[Column], order: list, key: str = "key",
+                      start: int | Column = 0) -> DataFrame:
+    """Add ``key`` = start + 1, ... following ``buckets``, then ``order`` (both NULLS FIRST).
+
+    Buckets should be many and even, and their number must not grow with the
+    rows (such as a day and two hex digits of a hash).  Exact copies of a row are
+    counted first (with partial sums) and numbered as one, so a group of copies
+    that holds a large share of the rows is one row here.  The counted rows are
+    written once: numbering reads them twice.
+    """
+    start_col = start if isinstance(start, Column) else F.lit(int(start))
+    cols = df.columns
+    names = [f"_bucket{i}" for i in range(len(buckets))]
+    held = materialize(df.select(*[b.alias(n) for b, n in zip(buckets, names)], *cols)
+                         .groupBy(*names, *cols).agg(F.count(F.lit(1)).alias("_copies")), f"keys-{key}")
+    before = Window.orderBy(*_order(names)).rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = (held.groupBy(*names).agg(F.sum("_copies").alias("_n"))
+                   .select(*[F.col(n).alias(f"o{n}") for n in names],
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    inside = (Window.partitionBy(*names).orderBy(*_order(order))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    ranked = held.withColumn("_before", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
+    same = None
+    for n in names:
+        c = F.col(n).eqNullSafe(F.col(f"o{n}"))
+        same = c if same is None else same & c
+    numbered = ranked.join(offsets, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return numbered.select((start_col + F.col("_off") + F.col("_before") + F.col("_copy")).cast("long").alias(key), *cols)

@@ -6,7 +6,7 @@ collects them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import reports
 
@@ -40,3 +40,32 @@ def rate_by_borough_chart(fact, weather, zones, category: str) -> DataFrame:
                                           out_category="intensity")
     df = with_category_rank(df, "intensity", reports.category_order(category))
     return df.orderBy("borough", "category_rank")
+
+
+def bars(df: DataFrame, x: str, y: str) -> DataFrame:
+    """D-8: a bar chart's rows in the report's order: ``x``, ``y`` and the position of the bar."""
+    place = Window.orderBy(F.desc(y), x)             # one row per bar: a report's few groups
+    return df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"),
+                     F.row_number().over(place).alias("position"))
+
+
+def top_bars(df: DataFrame, n: int, label: str, count: str) -> DataFrame:
+    """D-8: the ``n`` longest bars of a lying bar chart, the longest drawn on top (last position)."""
+    top = df.orderBy(F.desc(count), label).limit(n)
+    place = Window.orderBy(count, F.desc(label))
+    return top.select(F.col(count).alias("x"), F.col(label).alias("y"), F.row_number().over(place).alias("position"))
+
+
+def bars_with_text(df: DataFrame, x: str, y: str, order: list[str]) -> DataFrame:
+    """D-8: bars in a fixed order of labels, with the value as text of two digits."""
+    ranked = with_category_rank(df, x, order, "position")
+    return ranked.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"),
+                         F.format_string("%.2f", F.col(y).cast("double")).alias("text"),
+                         F.col("taxi_trips").alias("hover_trips"), "position").orderBy("position")
+
+
+def revenue_lines(revenue_by_month: DataFrame) -> DataFrame:
+    """D-8: one line per year over the months in calendar order."""
+    return revenue_by_month.select(F.col("month_name").alias("x"), F.col("revenue").alias("y"),
+                                   F.col("year").cast("string").alias("colour"),
+                                   F.col("month_num").alias("position")).orderBy("colour", "position")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import (date_key, day_name, month_name, iso_week, is_weekend, season,
                          holiday_name, is_holiday, weather_bins, positive_flag, time_text,
                          hour_of, minutes_between, dec2, time_of_day)
-from ..operators import (assign_keys, lookup, lookup_many, broadcast_if_small, scd2_apply, upsert_by_key, read_mark,
-                         after_process_mark)
+from ..operators import (number_in_buckets, lookup, lookup_many, broadcast_if_small, scd2_apply, upsert_by_key,
+                         read_mark, after_process_mark, high_water)
 
 # The reference range of the date dimension.
 DATE_START = "2024-01-01"
@@ -104,22 +104,25 @@ def weather_attributes(ods_weather: DataFrame, ods_borough: DataFrame) -> DataFr
 
 
 def dm_weather_dt(ods_weather: DataFrame, ods_borough: DataFrame,
-                  target: DataFrame | None = None, marks: DataFrame | None = None,
-                  max_rows: int | None = None) -> DataFrame:
-    """Weather dimension; new readings get fresh keys, a re-read reading keeps its row
-    replaced by id_weather."""
+                  target: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """Weather dimension; new readings get fresh keys, a re-read reading keeps the key it
+    had (facts hold it) and has its other columns replaced."""
     src = ods_weather
     if target is not None:
         src = _mark_filter(src, marks, "dm_weather_dt", "last_update")
     attrs = weather_attributes(src, ods_borough)
-    start = 0
-    if target is not None:
-        start = target.agg(F.max("key_weather")).first()[0] or 0
+    # Ids begin with the hex digits of a hash: two of them make 256 even buckets.
+    bucket = [F.substring("id_weather", 1, 2)]
     order = ["id_weather", "weather_date", "weather_time", "temperature",
              "apparent_temperature", "rain", "snowfall", "wind_speed", "humidity"]
-    keyed = assign_keys(attrs, order, "key_weather", start=start,
-                        max_rows=max_rows).select(*WEATHER_DIM_COLUMNS)
-    return keyed if target is None else upsert_by_key(target, keyed, ["id_weather"])
+    if target is None:
+        return number_in_buckets(attrs, bucket, order, "key_weather").select(*WEATHER_DIM_COLUMNS)
+    known = target.select("id_weather", "key_weather")
+    fresh = number_in_buckets(attrs.join(known, "id_weather", "left_anti"), bucket, order, "key_weather",
+                              start=high_water(target, "key_weather") or 0)
+    again = attrs.join(known, "id_weather")
+    batch = fresh.select(*WEATHER_DIM_COLUMNS).unionByName(again.select(*WEATHER_DIM_COLUMNS))
+    return upsert_by_key(target, batch, ["id_weather"])
 
 
 FACT_COLUMNS = [
@@ -131,19 +134,44 @@ FACT_COLUMNS = [
     "tip_percentage", "is_cross_borough", "time_of_day_category",
 ]
 
-# Total order for fact keys: pickup day first (keys grow with time), then
+# Partition column of the stored fact: the month of the pickup itself, so a
+# trip stays in its month whatever the date dimension covers.
+PICKUP_MONTH = "pickup_month"
+
+# Total order for fact keys: pickup day first (keys grow with time) and two hex
+# digits of the trip id's hash (buckets that are numbered side by side), then
 # every column, so reruns number identical input identically.
-FACT_KEY_ORDER = [c for c in FACT_COLUMNS if c != "key_taxi_trip"]
-FACT_KEY_ORDER.remove("key_date_pickup")
-FACT_KEY_ORDER.remove("id_trip")
-FACT_KEY_ORDER = ["key_date_pickup", "id_trip"] + FACT_KEY_ORDER
+FACT_KEY_ORDER = [c for c in FACT_COLUMNS if c not in ("key_taxi_trip", "id_trip", "key_date_pickup")]
+FACT_KEY_ORDER = ["id_trip"] + FACT_KEY_ORDER
+
+
+def fact_key_buckets():
+    return [F.col("key_date_pickup"), F.substring(F.sha2("id_trip", 256), 1, 2)]
+
+
+def trip_month(c="pickup_datetime"):
+    return F.date_format(F.col(c), "yyyyMM").cast("int")
+
+
+def _frame(dim):
+    """A dimension, or a function that builds it (called only where it is joined)."""
+    return dim() if callable(dim) else dim
+
 
+def fact_rows(ods_trip: DataFrame, vendors, zones, dates, weather, payments, ratecodes,
+              date_rows: int | None = None, only: list[str] | None = None,
+              month: bool = False) -> DataFrame:
+    """M12 without the key: date/time split, eight lookups with unknown members, measures.
 
-def fact_rows(ods_trip: DataFrame, vendors: DataFrame, zones: DataFrame, dates: DataFrame,
-              weather: DataFrame, payments: DataFrame, ratecodes: DataFrame,
-              date_rows: int | None = None) -> DataFrame:
-    """M12 without the key: date/time split, eight lookups with unknown members, measures."""
+    ``only`` names the fact columns that are needed: lookups that none of them
+    comes from are not joined, and dimensions given as functions not built.
+    ``month`` adds the pickup month.
+    """
+    wanted = [c for c in FACT_COLUMNS if c != "key_taxi_trip" and (only is None or c in only)]
+    need = set(wanted)
+    by_borough = bool(need & {"key_weather", "is_cross_borough"})
     o = ods_trip.select(
+        *([trip_month().alias(PICKUP_MONTH)] if month else []),
         "id_trip",
         F.to_date("pickup_datetime").alias("_pickup_date"),
         F.to_date("dropoff_datetime").alias("_dropoff_date"),
@@ -156,51 +184,57 @@ def fact_rows(ods_trip: DataFrame, vendors: DataFrame, zones: DataFrame, dates:
         "total_amount", "pickup_neighborhood_fk", "dropoff_neighborhood_fk", "rate_code_fk",
         "vendor_fk", "store_and_fwd_flag", "payment_type_fk")
     current = F.col("is_current")
-    w = weather.select("key_weather", "borough_name", "weather_date",
-                       F.substring("weather_time", 1, 2).cast("int").alias("_hour"))
-    o = lookup_many(o, [
-        dict(dim=vendors, on=[("vendor_fk", "id_vendor")], take={"key_vendor": ("key_vendor", -1)},
-             dim_filter=current),
-        dict(dim=zones, on=[("pickup_neighborhood_fk", "id_neighborhood")],
-             take={"key_zone_pickup": ("key_zone", -1), "_pu_borough": ("borough_name", None)},
-             dim_filter=current),
-        dict(dim=zones, on=[("dropoff_neighborhood_fk", "id_neighborhood")],
-             take={"key_zone_dropoff": ("key_zone", -1), "_do_borough": ("borough_name", None)},
-             dim_filter=current),
-        dict(dim=dates, on=[("_pickup_date", "date")], take={"key_date_pickup": ("key_date", -1)},
-             max_rows=date_rows),
-        dict(dim=dates, on=[("_dropoff_date", "date")], take={"key_date_dropoff": ("key_date", -1)},
-             max_rows=date_rows),
+    zoned = _frame(zones) if by_borough or need & {"key_zone_pickup", "key_zone_dropoff"} else None
+    dated = _frame(dates) if need & {"key_date_pickup", "key_date_dropoff"} else None
+    specs = []
+    if "key_vendor" in need:
+        specs.append(dict(dim=_frame(vendors), on=[("vendor_fk", "id_vendor")],
+                          take={"key_vendor": ("key_vendor", -1)}, dim_filter=current))
+    for side, borough in (("pickup", "_pu_borough"), ("dropoff", "_do_borough")):
+        # the weather lookup needs the pickup borough, the cross-borough flag both
+        if f"key_zone_{side}" in need or "is_cross_borough" in need or by_borough and side == "pickup":
+            specs.append(dict(dim=zoned, on=[(f"{side}_neighborhood_fk", "id_neighborhood")],
+                              take={f"key_zone_{side}": ("key_zone", -1), borough: ("borough_name", None)},
+                              dim_filter=current))
+        if f"key_date_{side}" in need:
+            specs.append(dict(dim=dated, on=[(f"_{side}_date", "date")],
+                              take={f"key_date_{side}": ("key_date", -1)}, max_rows=date_rows))
+    if "key_weather" in need:
         # the weather hour of the trip's pickup borough (borough from the pickup zone above)
-        dict(dim=w, on=[("_pu_borough", "borough_name"), ("_pickup_date", "weather_date"),
-                        ("_pickup_hour", "_hour")], take={"key_weather": ("key_weather", -1)}),
-        dict(dim=payments, on=[("payment_type_fk", "id_payment_type")],
-             take={"payment_type": ("payment_type", "Unknown")}),
-        dict(dim=ratecodes, on=[("rate_code_fk", "id_ratecode")],
-             take={"ratecode_name": ("ratecode_name", "Unknown")}),
-    ])
+        w = _frame(weather).select("key_weather", "borough_name", "weather_date",
+                                   F.substring("weather_time", 1, 2).cast("int").alias("_hour"))
+        specs.append(dict(dim=w, on=[("_pu_borough", "borough_name"), ("_pickup_date", "weather_date"),
+                                     ("_pickup_hour", "_hour")], take={"key_weather": ("key_weather", -1)}))
+    if "payment_type" in need:
+        specs.append(dict(dim=_frame(payments), on=[("payment_type_fk", "id_payment_type")],
+                          take={"payment_type": ("payment_type", "Unknown")}))
+    if "ratecode_name" in need:
+        specs.append(dict(dim=_frame(ratecodes), on=[("rate_code_fk", "id_ratecode")],
+                          take={"ratecode_name": ("ratecode_name", "Unknown")}))
+    o = lookup_many(o, specs) if specs else o
     fare, tip = F.col("fare_amount"), F.col("tip_amount")
-    o = o.select(
-        "*",
-        dec2("_minutes").alias("trip_duration_minutes"),
-        F.when(fare > 0, dec2(tip / fare * 100))
-         .otherwise(F.lit(0).cast("decimal(10,2)")).alias("tip_percentage"),
-        F.coalesce(F.col("_pu_borough") != F.col("_do_borough"), F.lit(False))
-         .alias("is_cross_borough"),
-        time_of_day("_pickup_hour").alias("time_of_day_category"))
-    return o.select(*[c for c in FACT_COLUMNS if c != "key_taxi_trip"])
+    made = {
+        "trip_duration_minutes": lambda: dec2("_minutes"),
+        "tip_percentage": lambda: F.when(fare > 0, dec2(tip / fare * 100))
+                                   .otherwise(F.lit(0).cast("decimal(10,2)")),
+        "is_cross_borough": lambda: F.coalesce(F.col("_pu_borough") != F.col("_do_borough"), F.lit(False)),
+        "time_of_day_category": lambda: time_of_day("_pickup_hour"),
+    }
+    return o.select(*[made[c]().alias(c) if c in made else F.col(c) for c in wanted],
+                    *([PICKUP_MONTH] if month else []))
 
 
 def dm_fact_taxi_trip(ods_trip: DataFrame, vendors: DataFrame, zones: DataFrame,
                       dates: DataFrame, weather: DataFrame, payments: DataFrame,
                       ratecodes: DataFrame, start: int = 0, marks: DataFrame | None = None,
-                      date_rows: int | None = None) -> DataFrame:
+                      date_rows: int | None = None, month: bool = False) -> DataFrame:
     """The trip fact with dense keys after ``start``."""
     src = ods_trip
     if marks is not None:
         src = _mark_filter(src, marks, "dm_fact_taxi_trip", "last_update")
-    rows = fact_rows(src, vendors, zones, dates, weather, payments, ratecodes, date_rows)
-    return assign_keys(rows, FACT_KEY_ORDER, "key_taxi_trip", start=start).select(*FACT_COLUMNS)
+    rows = fact_rows(src, vendors, zones, dates, weather, payments, ratecodes, date_rows, month=month)
+    keyed = number_in_buckets(rows, fact_key_buckets(), FACT_KEY_ORDER, "key_taxi_trip", start=start)
+    return keyed.select(*FACT_COLUMNS, *([PICKUP_MONTH] if month else []))
 
 
 def date_rows_between(start: str, end: str) -> int:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import (normalize_text, clean_name, hash_key, unknown_hash, UNKNOWN,
                          int_half_even, clamp_zero, trip_id, weather_id, time_text, ntz_lit)
 from ..operators import (keep_first, lookup, lookup_many, stamp, upsert_by_key, high_water,
-                         after_event_mark)
+                         after_event_mark, sync_schema)
 from ..operators.incremental import EVENT_TIME_FLOOR
 
 # Measured raw weather columns -> ODS names.
@@ -108,8 +108,12 @@ TRIP_COLUMNS = [
 ]
 
 
-def transform_trips(valid: DataFrame, zones: DataFrame, run_ts) -> DataFrame:
-    """Trip record -> ODS row: id, casts, clamps, zone ids checked against the zone table."""
+def transform_trips(valid: DataFrame, zones: DataFrame | None, run_ts) -> DataFrame:
+    """Trip record -> ODS row: id, casts, clamps, zone ids checked against the zone table.
+
+    Without ``zones`` the ids stay unchecked: for a fact that looks its zones up
+    anyway, where an unknown id becomes the unknown member all the same.
+    """
     t = valid.select(
         trip_id("VendorID", "tpep_pickup_datetime", "tpep_dropoff_datetime").alias("id_trip"),
         F.col("tpep_pickup_datetime").alias("pickup_datetime"),
@@ -128,6 +132,9 @@ def transform_trips(valid: DataFrame, zones: DataFrame, run_ts) -> DataFrame:
         clamp_zero("tip_amount").alias("tip_amount"),
         clamp_zero("tolls_amount").alias("tolls_amount"),
         "improvement_surcharge", "congestion_surcharge", "airport_fee", "total_amount")
+    if zones is None:
+        t = t.withColumnsRenamed({"_pu": "pickup_neighborhood_fk", "_do": "dropoff_neighborhood_fk"})
+        return t.select(*[c for c in TRIP_COLUMNS if c != "last_update"], ntz_lit(run_ts).alias("last_update"))
     ids = zones.select("id_neighborhood")
     t = lookup_many(t, [
         dict(dim=ids, on=[("_pu", "id_neighborhood")],
@@ -169,11 +176,15 @@ def best_reading(src: DataFrame) -> DataFrame:
                       descending=True)
 
 
-def ods_weather_dt(raw: DataFrame, boroughs: DataFrame, run_ts,
-                   target: DataFrame | None = None) -> DataFrame:
-    """M7: typed, deduplicated hourly readings per borough, upserted on id_weather."""
+def ods_weather_dt(raw: DataFrame, boroughs: DataFrame, run_ts, target: DataFrame | None = None,
+                   policy: str = "fail", mark: bool = True) -> DataFrame:
+    """M7: typed, deduplicated hourly readings per borough, upserted on id_weather.
+
+    With ``mark`` only readings newer than the target's newest are taken (the
+    whole source is read in every run); a batch of new files is taken whole.
+    """
     src = weather_source(raw)
-    if target is not None:
+    if target is not None and mark:
         src = after_event_mark(src, "weather_datetime", high_water(target, "weather_datetime"),
                                strict=True)
     best = best_reading(src)
@@ -185,4 +196,6 @@ def ods_weather_dt(raw: DataFrame, boroughs: DataFrame, run_ts,
         time_text("weather_datetime").alias("weather_time"),
         *[dst for _, dst in WEATHER_MEASURES], "weather_datetime")
     batch = stamp(rows, run_ts).select(*WEATHER_COLUMNS)
-    return batch if target is None else upsert_by_key(target, batch, ["id_weather"])
+    if target is None:
+        return batch
+    return upsert_by_key(*sync_schema(target, batch, policy), ["id_weather"])

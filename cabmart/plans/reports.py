@@ -18,6 +18,9 @@ def _join(fact, dim, fact_key, dim_key, cols, how="inner"):
     """Inner join on a dimension key; the dimension side is broadcast when its size
     estimate is under the limit (stored dimensions carry their file size)."""
     d = broadcast_if_small(dim.select(F.col(dim_key).alias(f"_{fact_key}"), *cols))
+    # No dimension holds the unknown member, so its facts (which can be many, all
+    # with one key) need not reach the join.
+    fact = fact.filter(F.col(fact_key) != -1)
     return fact.join(d, fact[fact_key] == d[f"_{fact_key}"], how)
 
 

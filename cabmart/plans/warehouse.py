@@ -7,10 +7,20 @@ Each table gets its load strategy:
   with the same key; trips are partitioned by pickup month and only months
   present in the batch are rewritten;
 * type-2 (vendor and zone dimensions): closed + new versions, new version folder;
-* weather dimension: upsert on id_weather, fresh keys after the largest one;
+* weather dimension: upsert on id_weather; re-read readings keep their keys,
+  new ones get keys after the largest one;
 * fact: delete + insert by id_trip inside the batch's pickup months
-  (``fact_mode="upsert"``), or a pure append (``fact_mode="append"``);
-* watermarks: one row per target with the newest load time actually read.
+  (``fact_mode="upsert"``), or a pure append (``fact_mode="append"``); it is
+  partitioned by the month of the pickup itself, so another date range of the
+  date dimension moves no row; the run's key range is reserved before it is
+  written, so a run that breaks off never leaves its keys to the next;
+* watermarks: one row per target with the newest load time actually read; a
+  run whose load time is not later than all of them is refused;
+* the declared checks of all seven ODS models, stored as ``quality_summary``.
+
+Schema changes follow each table's policy, applied to target and batch before
+they are merged: trips gain new columns (``merge``), weather follows the source
+(``sync_all_columns``), all others refuse.
 """
 
 from __future__ import annotations
@@ -19,22 +29,14 @@ import os
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import (materialize, read_mark, set_mark, empty_watermarks, high_water,
-                         after_event_mark, after_process_mark, enforce_schema)
+from ..operators import (materialize, read_mark, set_mark, empty_watermarks, high_water, after_event_mark,
+                         after_process_mark, sync_schema, require_newer, scratch_scope, check_models, upsert_by_key)
 from ..sources import tables as T
 from ..sources.raw import roles as raw_roles
 from . import ods, mart
-from .star import Star, parallel, RUN_TS, STAR_DATE_START, STAR_DATE_END
+from .star import Star, parallel, STAR_DATE_START, STAR_DATE_END
 
-MONTH = "pickup_month"
-
-
-def _trip_month(c="pickup_datetime"):
-    return F.date_format(F.col(c), "yyyyMM").cast("int")
-
-
-def _fact_month():
-    return F.floor(F.col("key_date_pickup") / 100).cast("int")
+MONTH = mart.PICKUP_MONTH
 
 
 def _stored(spark, root, name):
@@ -46,19 +48,22 @@ def _save(df: DataFrame, root: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _upsert_months(prev: DataFrame | None, batch: DataFrame, key: str, month_col,
-                   root: str) -> None:
-    """delete+insert by ``key`` inside the months of the batch only."""
-    spark = batch.sparkSession
-    batch = materialize(batch.withColumn(MONTH, month_col), f"batch-{os.path.basename(root)}")
+def _by_month(df: DataFrame, key: str) -> DataFrame:
+    """Dealt by month and a part of the key: few files per month, and no month in one task."""
+    return df.repartition(F.col(MONTH), F.pmod(F.xxhash64(key), F.lit(16)))
+
+
+def _upsert_months(prev: DataFrame | None, batch: DataFrame, key: str, root: str,
+                   policy: str = "fail") -> None:
+    """delete+insert by ``key`` inside the months of the batch only (the batch has its month)."""
     if prev is None:
-        T.overwrite_partitions(batch, root, [MONTH])
+        T.overwrite_partitions(_by_month(batch, key), root, [MONTH])
         return
+    prev, batch = sync_schema(prev, batch.select(*[c for c in batch.columns if c != MONTH], MONTH), policy)
+    batch = materialize(batch, f"batch-{os.path.basename(root)}")
     months = [r[0] for r in batch.select(MONTH).distinct().collect()]  # a few month numbers
-    old = prev.filter(F.col(MONTH).isin(months))
-    keys = batch.select(key).distinct()
-    merged = old.join(keys, key, "left_anti").unionByName(batch)
-    merged = materialize(merged, f"merged-{os.path.basename(root)}")
+    merged = upsert_by_key(prev.filter(F.col(MONTH).isin(months)), batch, [key])
+    merged = materialize(_by_month(merged, key), f"merged-{os.path.basename(root)}")
     T.overwrite_partitions(merged, root, [MONTH])
 
 
@@ -74,36 +79,44 @@ def _last_key(spark, root, table, prev, key_col) -> int:
             return int(v)
     if prev is None:
         return 0
-    return int(prev.agg(F.max(key_col)).first()[0] or 0)   # first run with an older layout
+    return int(high_water(prev, key_col) or 0)             # first run with an older layout
 
 
-def _save_last_key(spark, root, table, batch, key_col, start) -> None:
-    top = batch.agg(F.max(key_col)).first()[0]
-    last = int(top) if top is not None else int(start)
+def _reserve_keys(spark, root, table, last: int) -> None:
     keys = _stored(spark, root, "last_keys") or spark.createDataFrame([], KEYS_DDL)
     row = spark.createDataFrame([(table, last)], KEYS_DDL)
     merged = keys.filter(F.col("table_name") != table).unionByName(row)
     _save(merged, root, "last_keys")
 
 
-def run_warehouse(t, root: str, run_ts=RUN_TS, trips: str = "money",
-                  fact_mode: str = "upsert", date_start: str = STAR_DATE_START,
-                  date_end: str = STAR_DATE_END, raw_filter=None) -> Star:
+def run_warehouse(t, root: str, run_ts, trips: str = "money", fact_mode: str = "upsert",
+                  date_start: str | None = None, date_end: str | None = None, raw_filter=None) -> Star:
     """Build or update every table under ``root``; returns the stored tables.
 
-    ``raw_filter`` optionally restricts the raw trip and weather roles (used to
-    play a source that grows between runs).
+    ``run_ts`` (naive UTC) stamps the run's rows and must be later than that of
+    every run before.  ``raw_filter`` optionally restricts the raw trip and
+    weather roles (used to play a source that grows between runs).
     """
     r = raw_roles(t, trips)
+    with scratch_scope(r.spark):
+        _run(r, root, run_ts, fact_mode, date_start, date_end, raw_filter)
+    return read_stored(r.spark, root)
+
+
+def _run(r, root, run_ts, fact_mode, date_start, date_end, raw_filter) -> None:
     spark = r.spark
     marks = _stored(spark, root, "last_execution_times") or empty_watermarks(spark)
+    require_newer(marks, run_ts)
+    if date_start is None or date_end is None:
+        date_start, date_end = r.date_range() or (STAR_DATE_START, STAR_DATE_END)
     raw_trips = r.trips()
     raw_weather = r.weather()
     if raw_filter is not None:
         raw_trips, raw_weather = raw_filter(raw_trips, raw_weather)
 
-    def _policy(df, prev, mode="fail"):
-        return df if prev is None else enforce_schema(df, prev.schema, mode)
+    def unchanged(df, prev):
+        """Type-2 tables refuse a schema change."""
+        return df if prev is None else sync_schema(prev, df, "fail")[1]
 
     # Stage A, side by side: ODS lookups (full refresh) and the date dimension.
     b, v, rc, pt, dates = parallel(
@@ -119,23 +132,23 @@ def run_warehouse(t, root: str, run_ts=RUN_TS, trips: str = "money",
         # ODS trips: incremental with a one-day lookback, upsert on id_trip by month.
         trip_root = os.path.join(root, "ods_taxi_trip")
         prev_trips = T.read_partitioned(spark, trip_root)
-        valid = ods.valid_trips(raw_trips)
+        valid = ods.valid_trips(raw_trips, r.min_pickup)
         if prev_trips is not None:
             # the newest pickup lies in the newest month: read that partition only
             mark = high_water(T.latest_partition(spark, trip_root, MONTH), "pickup_datetime")
             valid = after_event_mark(valid, "tpep_pickup_datetime", mark, lookback="1 day")
-        _upsert_months(prev_trips, ods.transform_trips(valid, n, run_ts), "id_trip",
-                       _trip_month(), trip_root)
+        rows = ods.transform_trips(valid, n, run_ts).withColumn(MONTH, mart.trip_month())
+        _upsert_months(prev_trips, rows, "id_trip", trip_root, policy="merge")
         prev_z = _stored(spark, root, "dm_zone")
-        dz = _save(_policy(mart.dm_zone(b, n, target=prev_z, marks=marks, stored=True), prev_z),
+        dz = _save(unchanged(mart.dm_zone(b, n, target=prev_z, marks=marks, stored=True), prev_z),
                    root, "dm_zone")
         return n, T.read_partitioned(spark, trip_root), dz
 
     def weather():
         # ODS weather: strict event-time mark, upsert on id_weather.
         prev_w = _stored(spark, root, "ods_weather_dt")
-        w = ods.ods_weather_dt(raw_weather, b, run_ts, target=prev_w)
-        wx = _save(_policy(w, prev_w, "sync_all_columns"), root, "ods_weather_dt")
+        w = ods.ods_weather_dt(raw_weather, b, run_ts, target=prev_w, policy="sync_all_columns")
+        wx = _save(w, root, "ods_weather_dt")
         prev_dw = _stored(spark, root, "dm_weather_dt")
         src = wx if prev_dw is None else after_process_mark(
             wx, "last_update", read_mark(marks, "dm_weather_dt"))
@@ -143,7 +156,7 @@ def run_warehouse(t, root: str, run_ts=RUN_TS, trips: str = "money",
 
     def vendors():
         prev_v = _stored(spark, root, "dm_vendor")
-        return _save(_policy(mart.dm_vendor(v, target=prev_v, marks=marks, stored=True), prev_v),
+        return _save(unchanged(mart.dm_vendor(v, target=prev_v, marks=marks, stored=True), prev_v),
                      root, "dm_vendor")
 
     (n, ods_trips, dz), (wx, dw), dv = parallel(zones_and_trips, weather, vendors)
@@ -157,17 +170,14 @@ def run_warehouse(t, root: str, run_ts=RUN_TS, trips: str = "money",
                                       read_mark(marks, "dm_fact_taxi_trip"))
     start = _last_key(spark, root, "dm_fact_taxi_trip", prev_f, "key_taxi_trip")
     n_dates = mart.date_rows_between(date_start, date_end)
+    # Every trip becomes one fact row, so the run's keys are known before it writes any.
+    _reserve_keys(spark, root, "dm_fact_taxi_trip", start + trip_src.count())
     fact = mart.dm_fact_taxi_trip(trip_src, dv, dz, dates, dw, pt, rc, start=start,
-                                  date_rows=n_dates)
-    if prev_f is not None:
-        fact = enforce_schema(fact, prev_f.drop(MONTH).schema, "fail")
+                                  date_rows=n_dates, month=True)
     if fact_mode == "append":
-        fact.withColumn(MONTH, _fact_month()).write.mode("append").partitionBy(MONTH) \
-            .parquet(fact_root)
+        _by_month(unchanged(fact, prev_f), "id_trip").write.mode("append").partitionBy(MONTH).parquet(fact_root)
     else:
-        _upsert_months(prev_f, fact, "id_trip", _fact_month(), fact_root)
-    stored_fact = T.read_partitioned(spark, fact_root)
-    _save_last_key(spark, root, "dm_fact_taxi_trip", fact, "key_taxi_trip", start)
+        _upsert_months(prev_f, fact, "id_trip", fact_root)
 
     # Watermarks: the newest load time each datamart table actually read.
     new_marks = marks
@@ -177,9 +187,9 @@ def run_warehouse(t, root: str, run_ts=RUN_TS, trips: str = "money",
         if m is not None:
             new_marks = set_mark(new_marks, name, m)
     _save(new_marks, root, "last_execution_times")
-
-    return Star(b, n, v, rc, pt, ods_trips.drop(MONTH), wx, dates, dv, dz, dw,
-                stored_fact.drop(MONTH))
+    _save(check_models({"ods_borough": b, "ods_neighborhood": n, "ods_taxi_trip": ods_trips,
+                        "ods_weather_dt": wx, "ods_ratecode": rc, "ods_payment_type": pt, "ods_vendor": v}),
+          root, "quality_summary")
 
 
 def read_stored(spark, root: str) -> Star:

@@ -46,8 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that one is
-    used as is.  Only when it is unset (local tests) a fresh scratch folder is
-    made.
+    used as is.  Only a local session (tests) gets a fresh scratch folder when
+    it is unset; on a cluster the workers would not share such a folder, so
+    that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="cabmart-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -13,11 +13,12 @@ import os
 from pyspark.sql import SparkSession
 
 from . import tables as T
+from .files import register_views
 
 ODS_TABLES = ["ods_borough", "ods_neighborhood", "ods_vendor", "ods_ratecode",
               "ods_payment_type", "ods_weather_dt", "ods_taxi_trip"]
 MART_TABLES = ["dm_date", "dm_vendor", "dm_zone", "dm_weather_dt", "dm_fact_taxi_trip",
-               "last_execution_times"]
+               "last_execution_times", "quality_summary"]
 PARTITIONED = {"ods_taxi_trip", "dm_fact_taxi_trip"}
 
 
@@ -47,10 +48,10 @@ def register_catalog(spark: SparkSession, root: str, ods_schema: str = "dwh_ods"
     spark.sql(f"CREATE VIEW {mart_schema}.dm_weather AS SELECT * FROM {mart_schema}.dm_weather_dt")
     made.append(f"{mart_schema}.dm_weather")
     if raw_roles is not None:
-        for name, fn in (("borough", raw_roles.borough), ("neighborhood", raw_roles.neighborhood),
-                         ("vendor_id", raw_roles.vendor), ("ratecode_id", raw_roles.ratecode),
-                         ("payment_type", raw_roles.payment_type), ("taxi_trip", raw_roles.trips),
-                         ("weather", raw_roles.weather)):
-            fn().createOrReplaceTempView(f"raw_{name}")
-            made.append(f"raw_{name}")
+        views = {"raw_borough": raw_roles.borough(), "raw_neighborhood": raw_roles.neighborhood(),
+                 "raw_vendor_id": raw_roles.vendor(), "raw_ratecode_id": raw_roles.ratecode(),
+                 "raw_payment_type": raw_roles.payment_type(), "raw_taxi_trip": raw_roles.trips(),
+                 "raw_weather": raw_roles.weather()}
+        register_views(views)
+        made += views
     return made

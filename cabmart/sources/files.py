@@ -30,58 +30,43 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
             .csv(path))
 
 
-def read_csv_after_preamble(spark: SparkSession, path: str, schema,
-                            data_line: str = r"^\d{4}-\d{2}-\d{2}") -> DataFrame:
-    """CSV files that start with a few metadata lines and then a header.
-
-    Spark's CSV reader cannot skip lines, so the files are read as text and
-    only data lines (by default: lines starting with a date) are parsed with
-    ``from_csv`` against the explicit schema.  Empty fields become NULL.
-    """
-    st = _as_struct(schema)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in st.fields)
-    lines = spark.read.text(path).filter(F.col("value").rlike(data_line))
-    parsed = lines.select(F.from_csv("value", ddl, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm",
-                                                     "ignoreLeadingWhiteSpace": "true",
-                                                     "ignoreTrailingWhiteSpace": "true"}).alias("r"))
-    return parsed.select("r.*")
-
-
-def read_tagged_folders(spark: SparkSession, path_glob: str, schema, tag_col: str,
-                        tag_regex: str, **kw) -> DataFrame:
-    """One scan over many folders; the folder name becomes a constant column.
-
-    Same rows as a UNION ALL of one ``SELECT 'tag', *`` per folder, without a
-    scan per folder.
+def read_headed_folders(spark: SparkSession, path_glob: str, schema, tag_col: str, tag_regex: str,
+                        tags: dict[str, str], other_prefix: str = "", header: str = r"^time\b",
+                        data_line: str = r"^\d{4}-\d{2}-\d{2}") -> DataFrame:
+    """CSV files with a preamble in one folder per tag, in one scan.
+
+    ``tags`` maps a folder's name to its tag; of other folders ``other_prefix`` is
+    cut off.  Every file's columns go by its own header line: files are joined
+    to their header, and parsed by layout (a handful of distinct header lines
+    comes to the driver).  A header with an unknown column raises.
     """
     st = _as_struct(schema)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in st.fields)
-    data_line = kw.get("data_line", r"^\d{4}-\d{2}-\d{2}")
-    lines = (spark.read.text(path_glob)
-             .select("value", F.col("_metadata.file_path").alias("_path"))
-             .filter(F.col("value").rlike(data_line)))
-    parsed = lines.select(
-        F.regexp_extract("_path", tag_regex, 1).alias(tag_col),
-        F.from_csv("value", ddl, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm",
-                                  "ignoreLeadingWhiteSpace": "true",
-                                  "ignoreTrailingWhiteSpace": "true"}).alias("r"))
-    return parsed.select(tag_col, "r.*")
-
-
-def union_tagged(frames: dict[str, DataFrame], tag_col: str) -> DataFrame:
-    """UNION ALL of already-read frames, each with its constant tag first."""
+    known = {f.name.lower(): f for f in st.fields}
+    text = spark.read.text(path_glob).select("value", F.col("_metadata.file_path").alias("_path"))
+    heads = text.filter(F.col("value").rlike(header)).select("_path", F.trim("value").alias("_head")).distinct()
+    lines = text.filter(F.col("value").rlike(data_line)).join(heads, "_path")
+    # paths are URL-encoded (a blank is %20, and a plus sign stays itself)
+    folder = F.url_decode(F.replace(F.regexp_extract("_path", tag_regex, 1), F.lit("+"), F.lit("%2B")))
+    named = F.create_map(*[F.lit(x) for kv in tags.items() for x in kv])
+    tag = F.coalesce(F.try_element_at(named, folder), F.regexp_replace(folder, other_prefix, "")).alias(tag_col)
     out = None
-    for tag, df in frames.items():
-        tagged = df.select(F.lit(tag).alias(tag_col), *df.columns)
-        out = tagged if out is None else out.unionByName(tagged)
-    return out
-
-
-def read_parquet(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(_as_struct(schema))
-    return reader.parquet(path)
+    for row in heads.select("_head").distinct().collect():
+        names = [n.strip() for n in row[0].split(",")]
+        unknown = [n for n in names if n.lower() not in known]
+        if unknown:
+            raise ValueError(f"columns {unknown} of the header {row[0]!r} are not known")
+        ddl = ", ".join(f"`{n}` {known[n.lower()].dataType.simpleString()}" for n in names)
+        parsed = lines.filter(F.col("_head") == F.lit(row[0])).select(
+            tag, F.from_csv("value", ddl, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm",
+                                           "ignoreLeadingWhiteSpace": "true",
+                                           "ignoreTrailingWhiteSpace": "true"}).alias("r"))
+        have = {n.lower(): n for n in names}
+        part = parsed.select(tag_col, *[
+            (F.col(f"r.`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None))
+            .cast(f.dataType).alias(f.name) for f in st.fields])
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame(
+        [], StructType([*StructType.fromDDL(f"{tag_col} string").fields, *st.fields]))
 
 
 def register_views(frames: dict[str, DataFrame]) -> None:

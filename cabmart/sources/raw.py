@@ -14,11 +14,13 @@ File layout (as the original registers it)::
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.incremental import EVENT_TIME_FLOOR
 from . import files, schemas
 from . import standins as S
 
@@ -67,27 +69,38 @@ class FileRoles:
     def payment_type(self):
         return files.read_csv(self.spark, self._p("taxi_trip", "payment_type.csv"), "payment_type")
 
+    def _files(self, *parts) -> list[str]:
+        """Paths that match a glob, by the file system of the root."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self._p(*parts))
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        return sorted(st.getPath().toString() for st in found or [])
+
     def trips(self):
-        raw = self.spark.read.parquet(self._p("taxi_trip", "*.parquet"))
-        return conform(raw, schemas.schema("taxi_trip"))
+        """All trip files.  A column's physical type may differ between files (a count as INT64 or
+        DOUBLE), so files are grouped by their footer's schema, and each group is cast."""
+        groups: dict[str, list[str]] = {}
+        for f in self._files("taxi_trip", "*.parquet"):
+            groups.setdefault(self.spark.read.parquet(f).schema.json(), []).append(f)
+        want = schemas.schema("taxi_trip")
+        out = None
+        for footer, paths in groups.items():
+            part = conform(self.spark.read.schema(StructType.fromJson(json.loads(footer))).parquet(*paths), want)
+            out = part if out is None else out.unionByName(part)
+        return self.spark.createDataFrame([], want) if out is None else out
 
     def weather(self):
-        glob = self._p("weather_dt", "Weather_*", "*.csv")
-        lines = self.spark.read.text(glob)
-        # Column order is taken from a header line (files share one layout).
-        header = lines.filter(F.col("value").startswith("time")).limit(1).collect()
-        if not header:
-            return self.spark.createDataFrame([], "borough_name string, " + schemas.RAW["weather"])
-        names = [h.strip() for h in header[0][0].split(",")]
-        ddl = ", ".join(f"`{n}` {'timestamp_ntz' if n == 'time' else 'double'}" for n in names)
-        tagged = files.read_tagged_folders(self.spark, glob, ddl, "folder", r"(Weather_[^/]+)/")
-        mapping = F.create_map(*[F.lit(x) for kv in WEATHER_FOLDERS.items() for x in kv])
-        named = tagged.withColumn("borough_name",
-                                  F.coalesce(mapping[F.col("folder")],
-                                             F.regexp_replace("folder", "^Weather_", "")))
-        want = schemas.schema("weather")
-        return conform(named, StructType([*StructType.fromDDL("borough_name string").fields,
-                                          *want.fields]))
+        """Readings of all borough folders; each file's columns go by its own header line."""
+        return files.read_headed_folders(
+            self.spark, self._p("weather_dt", "Weather_*", "*.csv"), schemas.schema("weather"),
+            "borough_name", r"(Weather_[^/]+)/", WEATHER_FOLDERS, r"^Weather_")
+
+    @property
+    def min_pickup(self):
+        return EVENT_TIME_FLOOR
+
+    def date_range(self):
+        return None                          # the declared range of the date dimension
 
 
 class StandInRoles:
@@ -119,6 +132,18 @@ class StandInRoles:
     def weather(self):
         return S.raw_weather(self.t)
 
+    @property
+    def min_pickup(self):
+        return S.MIN_PICKUP
+
+    def date_range(self):
+        """First and last day of the trips (read from the tables), or None for the events."""
+        if self.kind != "money":
+            return None
+        lo = self.t("orders").agg(F.min(F.to_date("o_orderdate"))).first()[0]
+        hi = self.t("lineitem").agg(F.max(F.to_date("l_shipdate"))).first()[0]
+        return (lo.isoformat(), hi.isoformat()) if lo and hi else None
+
 
 def roles(src, trips: str = "money"):
     """Accept a roles object, or driver ``Tables`` (wrapped as stand-ins)."""

@@ -16,6 +16,7 @@ payment types order priority digit -> priority text
 
 from __future__ import annotations
 
+import datetime as _dt
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -55,6 +56,9 @@ class Tables:
         return self._frames[name]
 
 
+# Stand-in trips are as old as the tables' orders; the floor of real trip records would drop most of them.
+MIN_PICKUP = _dt.datetime(1900, 1, 1)
+
 TRIP_EVENT_TYPES = ["click", "purchase", "signup"]
 WEATHER_EVENT_TYPES = ["view", "error"]
 

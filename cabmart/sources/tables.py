@@ -67,17 +67,6 @@ def write_version(df: DataFrame, root: str, partition_by: list[str] | None = Non
     return path
 
 
-def append_rows(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
-    """Append-only load into the current version (L4)."""
-    spark = df.sparkSession
-    path = current_path(spark, root) or os.path.join(root, "v=0")
-    w = df.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return path
-
-
 def read_partitioned(spark: SparkSession, root: str, schema: StructType | str | None = None):
     """A month-partitioned table (or None/empty frame when it does not exist yet)."""
     fs, path, _ = _fs(spark, root)

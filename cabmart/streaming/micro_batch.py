@@ -2,44 +2,38 @@
 
 New raw trip files arriving in a folder are picked up by a file stream;
 each micro-batch goes through the same operators as the batch load (validity
-filter, the high-water mark with its one-day lookback, transform, upsert by
-id_trip inside the batch's pickup months).  The upsert is a delete+insert by
-key, so a micro-batch replayed after a failure leaves the same table.  The
-stream's progress is kept under the cluster's checkpoint folder.
+filter, transform, upsert by id_trip inside the batch's pickup months).  A file
+stream hands over every file once, whatever the times in it, so there is no
+high-water mark here: files may come late or in any order.  The upsert is a
+delete+insert by key, so a micro-batch replayed after a failure leaves the same
+table.  The caller names the folder of the stream's progress (``checkpoint``,
+in storage that outlives the application), so a restart goes on where the
+stream stopped.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import high_water, after_event_mark
-from ..session import ensure_checkpoint_dir
+from ..operators import scratch_scope
 from ..sources import schemas
 from ..sources import tables as T
-from ..plans import ods
-from ..plans.warehouse import _upsert_months, _trip_month
+from ..plans import mart, ods
+from ..plans.warehouse import _upsert_months
 
 
 def load_trip_batch(batch: DataFrame, zones: DataFrame, trip_root: str, run_ts) -> None:
     """Apply one batch of raw trips to the month-partitioned ODS trip table."""
     spark = batch.sparkSession
-    prev = T.read_partitioned(spark, trip_root)
-    valid = ods.valid_trips(batch)
-    if prev is not None:
-        newest = T.latest_partition(spark, trip_root, "pickup_month")
-        valid = after_event_mark(valid, "tpep_pickup_datetime",
-                                 high_water(newest, "pickup_datetime"), lookback="1 day")
-    rows = ods.transform_trips(valid, zones, run_ts)
-    _upsert_months(prev, rows, "id_trip", _trip_month(), trip_root)
+    rows = ods.transform_trips(ods.valid_trips(batch), zones, run_ts).withColumn(mart.PICKUP_MONTH, mart.trip_month())
+    with scratch_scope(spark):
+        _upsert_months(T.read_partitioned(spark, trip_root), rows, "id_trip", trip_root, policy="merge")
 
 
 def stream_trips(spark: SparkSession, source_dir: str, zones: DataFrame, trip_root: str,
-                 run_ts, name: str = "ods_taxi_trip", max_files_per_trigger: int | None = None,
+                 run_ts, checkpoint: str, max_files_per_trigger: int | None = None,
                  available_now: bool = True):
     """Start (and, with ``available_now``, finish) a stream of raw trip parquet files."""
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "cabmart-streams", name)
     reader = spark.readStream.schema(schemas.schema("taxi_trip"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -48,7 +42,7 @@ def stream_trips(spark: SparkSession, source_dir: str, zones: DataFrame, trip_ro
     def each(batch: DataFrame, batch_id: int) -> None:
         load_trip_batch(batch, zones, trip_root, run_ts)
 
-    writer = raw.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
+    writer = raw.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="1 minute")
     q = writer.start()
@@ -61,12 +55,12 @@ def load_weather_batch(batch: DataFrame, boroughs: DataFrame, weather_root: str,
     """Apply one batch of raw weather readings to the ODS weather table (new version)."""
     spark = batch.sparkSession
     prev = T.read_current(spark, weather_root)
-    rows = ods.ods_weather_dt(batch, boroughs, run_ts, target=prev)
+    rows = ods.ods_weather_dt(batch, boroughs, run_ts, target=prev, policy="sync_all_columns", mark=False)
     T.write_version(rows, weather_root)
 
 
 def stream_weather(spark: SparkSession, folders_glob: str, boroughs: DataFrame,
-                   weather_root: str, run_ts, header: list[str], name: str = "ods_weather_dt",
+                   weather_root: str, run_ts, header: list[str], checkpoint: str,
                    available_now: bool = True):
     """Stream new hourly weather files (``Weather_<Name>/*.csv`` with a preamble).
 
@@ -76,7 +70,6 @@ def stream_weather(spark: SparkSession, folders_glob: str, boroughs: DataFrame,
     from pyspark.sql import functions as F
     from ..sources.raw import WEATHER_FOLDERS, conform
 
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "cabmart-streams", name)
     ddl = ", ".join(f"`{n}` {'timestamp_ntz' if n == 'time' else 'double'}" for n in header)
     lines = (spark.readStream.format("text").load(folders_glob)
              .select("value", F.col("_metadata.file_path").alias("_path"))
@@ -84,7 +77,7 @@ def stream_weather(spark: SparkSession, folders_glob: str, boroughs: DataFrame,
     folder = F.regexp_extract("_path", r"(Weather_[^/]+)/", 1)
     mapping = F.create_map(*[F.lit(x) for kv in WEATHER_FOLDERS.items() for x in kv])
     parsed = lines.select(
-        F.coalesce(mapping[folder], F.regexp_replace(folder, "^Weather_", "")).alias("borough_name"),
+        F.coalesce(F.try_element_at(mapping, folder), F.regexp_replace(folder, "^Weather_", "")).alias("borough_name"),
         F.from_csv("value", ddl, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm"}).alias("r"))
     raw = parsed.select("borough_name", "r.*")
     from pyspark.sql.types import StructType
@@ -94,7 +87,7 @@ def stream_weather(spark: SparkSession, folders_glob: str, boroughs: DataFrame,
     def each(batch: DataFrame, batch_id: int) -> None:
         load_weather_batch(conform(batch, want), boroughs, weather_root, run_ts)
 
-    writer = raw.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
+    writer = raw.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="1 minute")
     q = writer.start()

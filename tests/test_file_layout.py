@@ -21,16 +21,16 @@ def make_layout(spark, root):
     _write(f"{root}/zones/borough.csv", "boroughname\nManhattan\nBrooklyn\nQueens\nBronx\nStaten Island\nEWR\n")
     _write(f"{root}/zones/taxi_zone_lookup.csv",
            '"LocationID","Borough","Zone","service_zone"\n'
-           '1,"EWR","Newark Airport","EWR"\n2,"Queens","Jamaica Bay","Boro Zone"\n'
-           '3,"Bronx","Allerton/Pelham Gardens","Boro Zone"\n4,"Manhattan","Alphabet City","Yellow Zone"\n'
-           '5,"Staten Island","Arden Heights","Boro Zone"\n6,"Brooklyn","Bay Ridge","Boro Zone"\n'
-           '264,"Unknown","N/A","N/A"\n265,"N/A","Outside of NYC","N/A"\n')
+           '1,"EWR","Runway North","EWR"\n2,"Queens","Salt Marsh","Boro Zone"\n'
+           '3,"Bronx","Rose/Elm Gardens","Boro Zone"\n4,"Manhattan","Letter Row","Yellow Zone"\n'
+           '5,"Staten Island","Fern Heights","Boro Zone"\n6,"Brooklyn","Pier Ridge","Boro Zone"\n'
+           '264,"Unknown","N/A","N/A"\n265,"N/A","Elsewhere","N/A"\n')
     _write(f"{root}/taxi_trip/vendor_id.csv",
-           'id,vendor\n1, "Creative Mobile Technologies, LLC"\n2, "Curb Mobility, LLC"\n6, "Myle Technologies Inc"\n7, "Helix"\n')
+           'id,vendor\n1, "Yellow Wheels, Ltd"\n2, "Kerb Riders, Ltd"\n6, "Mile Works"\n7, "Spiral"\n')
     _write(f"{root}/taxi_trip/ratecode_id.csv",
-           'id,ratecode\n1, "Standard rate"\n2, "JFK"\n3, "Newark"\n99, "Null/unknown"\n')
+           'id,ratecode\n1, "Plain rate"\n2, "Airport east"\n3, "Airport west"\n99, "Not known"\n')
     _write(f"{root}/taxi_trip/payment_type.csv",
-           'id,type\n0, "flex fare trip"\n1, "credit card"\n2, "cash"\n5, "unknown"\n')
+           'id,type\n0, "app fare"\n1, "by card"\n2, "in coins"\n5, "not known"\n')
     # trip records in the original column names, from the driver's events
     trips = S.raw_trip_events(Tables(spark, SF_SMALL))
     trips = trips.select(
@@ -61,7 +61,7 @@ def test_warehouse_on_file_layout(spark, tmpdir_path):
     make_layout(spark, raw_root)
     roles = FileRoles(spark, raw_root)
     v = {r.id: r.vendor for r in roles.vendor().collect()}
-    assert v[2] == "Curb Mobility, LLC"
+    assert v[2] == "Kerb Riders, Ltd"
     w = roles.weather()
     assert sorted(r.borough_name for r in w.select("borough_name").distinct().collect()) == [
         "Bronx", "Queens", "Staten Island"]
@@ -104,13 +104,10 @@ def test_report_sql_on_registered_catalog(spark, tmpdir_path):
     made = register_catalog(spark, wh, raw_roles=FileRoles(spark, raw_root))
     assert "dwh_datamart.dm_fact_taxi_trip" in made and "raw_weather" in made
     got = spark.sql("""
-        SELECT z.borough_name, COUNT(*) AS n
-        FROM dwh_datamart.dm_fact_taxi_trip f
-        JOIN dwh_datamart.dm_zone z ON f.key_zone_pickup = z.key_zone AND z.is_current = TRUE
-        JOIN dwh_datamart.dm_date d ON f.key_date_pickup = d.key_date
-        LEFT JOIN dwh_datamart.dm_weather w ON f.key_weather = w.key_weather
-        WHERE d.date >= '2024-01-01' AND d.date < '2024-04-01'
-        GROUP BY z.borough_name""").collect()
+        WITH quarter AS (SELECT key_date FROM dwh_datamart.dm_date WHERE key_date BETWEEN 20240101 AND 20240331),
+             per_zone AS (SELECT key_zone_pickup AS key_zone, count(*) AS n FROM dwh_datamart.dm_fact_taxi_trip
+                          WHERE key_date_pickup IN (SELECT key_date FROM quarter) GROUP BY key_zone_pickup)
+        SELECT borough_name, sum(n) AS n FROM per_zone NATURAL JOIN dwh_datamart.dm_zone GROUP BY borough_name""").collect()
     want = reports.weather_multidim(star.fact, star.dm_zone, star.dm_date).groupBy("pickup_borough") \
         .sum("total_trips").collect()
     assert sorted((r.borough_name.lower(), r.n) for r in got) == sorted(tuple(r) for r in want)

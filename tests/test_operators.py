@@ -7,10 +7,9 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from cabmart.operators import (keep_first, assign_keys, lookup, upsert_by_key, after_event_mark,
-                               empty_watermarks, set_mark, read_mark, enforce_schema, scd2_apply,
+                               empty_watermarks, set_mark, read_mark, sync_schema, require_newer, number_in_buckets, scd2_apply,
                                scd2_initial, quality_summary, unique_violations, not_null_violations,
-                               broadcast_if_small)
-from pyspark.sql.types import StructType
+                               broadcast_if_small, check_models)
 
 TS1, TS2 = dt.datetime(2024, 6, 1), dt.datetime(2024, 7, 1)
 
@@ -34,29 +33,24 @@ def test_keep_first_matches_row_number(spark):
     assert got_d == want_d
 
 
-@pytest.mark.parametrize("small_limit", [1_000_000, 100])
-def test_assign_keys_dense_and_ordered(spark, small_limit, monkeypatch):
-    from cabmart.operators import surrogate
-    monkeypatch.setattr(surrogate, "SMALL_ROWS", small_limit)   # 100: force the range path
-    df = spark.range(0, 5000).select((F.col("id") % 3).alias("day"), (F.col("id") * 7 % 5000).alias("x"))
-    keyed = assign_keys(df, ["day", "x"], "key", start=10, partitions=6)
-    rows = keyed.orderBy("key").collect()
-    assert [r.key for r in rows] == list(range(11, 5011))
+def test_assign_keys_dense_and_ordered(spark):
+    df = spark.range(0, 500).select((F.col("id") % 3).alias("day"), (F.col("id") * 7 % 500).alias("x"))
+    rows = assign_keys(df, ["day", "x"], "key", start=10).orderBy("key").collect()
+    assert [r.key for r in rows] == list(range(11, 511))
     assert [(r.day, r.x) for r in rows] == sorted((r.day, r.x) for r in rows)
 
 
-def test_assign_keys_splits_a_group_of_copies(spark, monkeypatch):
-    from cabmart.operators import surrogate
-    monkeypatch.setattr(surrogate, "SMALL_ROWS", 100)
+def test_number_in_buckets_with_a_large_group_of_copies(spark):
     hot = spark.range(0, 3000).select(F.lit(1).alias("day"), F.lit(7).alias("x"))   # 3000 copies
     rest = spark.range(0, 6000).select((F.col("id") % 3).alias("day"), F.col("id").alias("x"))
-    df = hot.unionByName(rest)
-    keyed = assign_keys(df, ["day", "x"], "key", partitions=6)
-    per_part = keyed.filter("day = 1 and x = 7").select(F.spark_partition_id().alias("p")).distinct().count()
+    nulls = spark.createDataFrame([(None, 5), (0, None)], "day long, x long")
+    df = hot.unionByName(rest).unionByName(nulls)
+    keyed = number_in_buckets(df, [F.col("day"), F.col("x") % 4], ["x"], "key", start=5)
     rows = keyed.orderBy("key").collect()
-    assert [r.key for r in rows] == list(range(1, 9001))
-    assert [(r.day, r.x) for r in rows] == sorted((r.day, r.x) for r in rows)
-    assert per_part > 1          # the copies are spread over several partitions
+    assert [r.key for r in rows] == list(range(6, 9008))
+    low = lambda v: (v is not None, v)
+    order = [(low(r.day), low(None if r.x is None else r.x % 4), low(r.x)) for r in rows]
+    assert order == sorted(order) and sum(r.day == 1 and r.x == 7 for r in rows) == 3001
 
 
 def test_lookup_defaults_and_broadcast(spark):
@@ -98,15 +92,27 @@ def test_watermark_table(spark):
     assert m.count() == 2 and read_mark(m, "x") == TS2 and read_mark(m, "y") == TS1
 
 
-def test_enforce_schema_modes(spark):
-    target = StructType.fromDDL("a int, b string")
-    df = spark.createDataFrame([(1, 2.0)], "a long, c double")
+def test_schema_policies(spark):
+    target = spark.createDataFrame([(1, "old")], "a int, b string")
+    batch = spark.createDataFrame([(1, 2.0)], "a long, newcol double")
     with pytest.raises(ValueError):
-        enforce_schema(df, target, "fail")
-    synced = enforce_schema(df, target, "sync_all_columns")
-    assert synced.schema == target
-    merged = enforce_schema(df, target, "append_new_columns")
-    assert merged.columns == ["a", "b", "c"]
+        sync_schema(target, batch, "fail")
+    t, b = sync_schema(target, batch, "sync_all_columns")      # the target follows the source
+    assert t.columns == b.columns == ["a", "newcol"] and t.schema["a"].dataType == batch.schema["a"].dataType
+    assert t.collect()[0].newcol is None
+    t, b = sync_schema(target, batch, "merge")                 # nothing is lost on either side
+    assert t.columns == b.columns == ["a", "b", "newcol"] and b.collect()[0].b is None
+    t, b = sync_schema(target, batch, "ignore")
+    assert t.columns == b.columns == ["a", "b"]
+
+
+def test_load_times_must_grow(spark):
+    marks = set_mark(empty_watermarks(spark), "x", TS1)
+    require_newer(marks, TS2)
+    require_newer(None, TS1)
+    for again in (TS1, dt.datetime(2024, 5, 1)):
+        with pytest.raises(ValueError, match="not later"):
+            require_newer(marks, again)
 
 
 def _dim(spark, rows, ts):
@@ -139,3 +145,12 @@ def test_quality(spark):
     assert (s["s"].n_null, s["s"].n_duplicate) == (1, 0)
     assert unique_violations(df, "id").collect()[0].n_rows == 2
     assert not_null_violations(df, "s").count() == 1
+
+
+def test_quality_summary_multiplies_no_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (1, None)], "id int, s string")
+    plan = quality_summary(df, "t", ["id", "s"])._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    got = check_models({"m": df}, {"m": ["id"]}).collect()
+    assert [(r.table_name, r.n_duplicate, r.passed) for r in got] == [("m", 1, False)]
+    assert quality_summary(df.filter("false"), "t", ["id"]).collect()[0].n_rows == 0

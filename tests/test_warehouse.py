@@ -5,6 +5,8 @@ import os
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from cabmart.functions import ntz_lit
 from cabmart.plans import warehouse, reports, ods
 from cabmart.sources import standins as S
@@ -58,3 +60,42 @@ def test_append_mode(spark, tmpdir_path):
     # the lookback re-reads a day of trips and append keeps both copies
     full = ods.valid_trips(S.raw_trip_events(t)).count()
     assert s2.fact.count() >= full
+
+
+def test_same_load_time_is_refused_and_moved_dates_keep_the_fact(spark, tmpdir_path):
+    t = Tables(spark, SF_SMALL)
+    root = os.path.join(tmpdir_path, "wh")
+    first = warehouse.run_warehouse(t, root, dt.datetime(2024, 6, 1), trips="events", raw_filter=_first_part,
+                                    date_start="2024-01-31", date_end="2050-12-31")
+    n1 = first.fact.count()
+    with pytest.raises(ValueError, match="not later"):
+        warehouse.run_warehouse(t, root, dt.datetime(2024, 6, 1), trips="events")
+    assert warehouse.read_stored(spark, root).fact.count() == n1
+    s = warehouse.run_warehouse(t, root, dt.datetime(2024, 7, 1), trips="events", date_start="2024-01-01",
+                                date_end="2050-12-31")
+    trips = ods.valid_trips(S.raw_trip_events(t)).count()
+    assert s.ods_trip.count() == s.fact.count() == trips
+    keys = [r[0] for r in s.fact.select("key_taxi_trip").collect()]
+    assert len(set(keys)) == len(keys)
+    checks = spark.read.parquet(os.path.join(root, "quality_summary", "v=1")).collect()
+    assert len(checks) == 7 and all(c.passed for c in checks if c.table_name != "ods_taxi_trip")
+
+
+def test_a_run_leaves_no_scratch(spark, tmpdir_path):
+    from cabmart.session import ensure_checkpoint_dir
+    folder = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "cabmart")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    warehouse.run_warehouse(Tables(spark, SF_SMALL), os.path.join(tmpdir_path, "wh"), dt.datetime(2024, 6, 1), trips="events")
+    assert set(os.listdir(folder)) <= before
+
+
+def test_weather_keys_survive_a_re_read(spark):
+    from cabmart.plans import mart
+    t = Tables(spark, SF_SMALL)
+    b = ods.ods_borough(S.raw_borough(t), dt.datetime(2024, 6, 1))
+    w1 = ods.ods_weather_dt(S.raw_weather(t).filter(F.col("time") < ntz_lit(CUT)), b, dt.datetime(2024, 6, 1))
+    first = mart.dm_weather_dt(w1, b)
+    old = {r.id_weather: r.key_weather for r in first.collect()}
+    w2 = ods.ods_weather_dt(S.raw_weather(t), b, dt.datetime(2024, 7, 1))
+    new = {r.id_weather: r.key_weather for r in mart.dm_weather_dt(w2, b, target=first).collect()}
+    assert len(new) > len(old) and all(new[i] == k for i, k in old.items()) and len(set(new.values())) == len(new)
