@@ -35,6 +35,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete the files of a lineage cut that no frame reads any more."""
+    spark = table.sparkSession
+    for folder in {os.path.dirname(f) for f in table.inputFiles()}:
+        done = [p for p in _cuts if p.rpartition("/")[2] == folder.rpartition("/")[2]]
+        if not done:
+            raise ValueError(f"not a lineage cut: {folder}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(done[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _cuts.remove(done[0])
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete all lineage cuts made so far.
 

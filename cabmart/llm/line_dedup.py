@@ -6,8 +6,9 @@ least ``percent`` / 100 with it; lines of fewer than ``least_words`` distinct
 words always stay.
 
 1. Words are counted in ``BUCKETS`` hashed counters.  A token is the level of
-   its counter above 56 bits of its hash, so a sorted array of tokens has the
-   rare words first.
+   its counter, then the word's length (of words whose counters are alike the
+   longer ones are the rarer ones), then 51 bits of its hash; so a sorted array
+   of tokens has the rare words first.
 2. Lines with equal sets are one set, of which the first line is kept.
 3. Prefix filter: two similar sets share a token among their first
    n - ceil(t n) + 1.  Tokens that two sets or more have there are the keys.
@@ -21,7 +22,7 @@ words always stay.
    again without the lines removed.
 
 Only DataFrame functions are used.  Two words share a token with a probability
-of 2**-56.
+of 2**-51.
 
 Defined results: a null text stays null; a text that loses every line is empty;
 rows that repeat an id and text are one document and keep the same lines; texts
@@ -35,7 +36,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, free_name, release
+from .common import cut, drop, free_name, release
 
 BUCKETS = 1 << 18
 #: Sets from which on a key is hot.
@@ -49,13 +50,13 @@ def _words(line: Column) -> Column:
 
 
 def word_levels(texts: DataFrame) -> bytearray:
-    """For each hashed counter of words, a level of 0 (rare) to 127; ``BUCKETS`` counts come to the driver."""
+    """For each hashed counter of words, a level of 0 (rare) to 63; ``BUCKETS`` counts come to the driver."""
     words = texts.select(F.explode(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+")).alias("word"))
     counted = (words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
                .count().collect())
     levels = bytearray(BUCKETS)
     for b, n in counted:
-        levels[b] = min(127, int(4 * math.log2(n + 1)))
+        levels[b] = min(63, int(2 * math.log2(n + 1)))
     return levels
 
 
@@ -63,12 +64,15 @@ def _tokens(line: Column, levels: bytearray) -> Column:
     """Sorted distinct tokens of a line, rare words first."""
     table = F.lit(bytes(levels))
 
+    def hashed(word):
+        short = F.lit(63) - F.least(F.length(word), F.lit(63))
+        return F.shiftleft(short.cast("long"), 51).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << 51) - 1)))
+
     def token(h):
         level = F.ascii(F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.shiftleft(level.cast("long"), 57).bitwiseOR(h)
 
-    hashes = F.transform(_words(line), lambda word: F.xxhash64(word))
-    return F.sort_array(F.transform(F.array_distinct(hashes), token))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), hashed)), token))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -155,21 +159,27 @@ def removed_lines(docs: DataFrame, percent: int = 80, least_words: int = 5, id_c
     held = cut(held.select("doc", "version", "line", "n", F.xxhash64("tokens").alias("set"),
                            F.transform(F.slice("tokens", F.lit(1), _prefix_size(percent)),
                                        lambda t: F.hash(t)).alias("prefix")), "lines")
+    whole = held
     sets = cut(held.groupBy("set").agg(F.min(place).alias("first"), F.first("n").alias("n"),
                                        F.first("prefix").alias("prefix")), "sets")
+    held = cut(whole.select("set", "doc", "version", "line"), "lines")
+    drop(whole)
     release(spark)
 
     rows = sets.select("set", "n", F.posexplode("prefix").alias("at", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
     index = cut(rows.join(shared, "key"), "index")
     release(spark)
-    cold, hot = index.filter(F.col("many") < HOT).drop("many"), index.filter(F.col("many") >= HOT).drop("many")
+    cold = index.filter(F.col("many") < HOT).drop("many")
+    hot = cut(index.filter(F.col("many") >= HOT).drop("many"), "hot")
     lead = (hot.join(sets.select("set", "first"), "set").groupBy("key")
             .agg(F.min(F.struct("first", "set", "n", "at")).alias("lead"))
             .select("key", "lead.set", "lead.n", "lead.at"))
-    pairs = cut(_pairs(cold, cold, percent, once=True).union(_pairs(hot, lead, percent)).distinct(), "pairs")
+    shares = cut(_pairs(cold, cold, percent, once=True).union(_pairs(hot, lead, percent)).distinct(), "pairs")
+    drop(index)
     release(spark)
-    pairs = cut(_promising(pairs, sets, percent), "pairs")
+    pairs = cut(_promising(shares, sets, percent), "pairs")
+    drop(shares)
     release(spark)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("set"))
     tokens = cut(_tokens_of(asked, sets, texts, levels), "tokens")
