@@ -33,6 +33,7 @@ repeated rows are equal sets, hence one group; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,7 +119,7 @@ def profile(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
         for p in range(_PARTS):
             own = counters[p * step:(p + 1) * step]
             if own.any():
-                row = [None, None, None, None, None, p, own.astype("<i8").tobytes()]
+                row = [None, None, None, None, None, p, _packed(own)]
                 yield pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row, kinds)], names=names)
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"),
@@ -126,13 +127,18 @@ def profile(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
             .mapInArrow(run, "doc_id long, version long, n int, node long, minhash array<long>, part int, counts binary"))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as bytes; those of one task are mostly zeros."""
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
 def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum the counters of a group, batch by batch."""
     total = np.zeros(COUNTERS // _PARTS, dtype=np.int64)
     for batch in batches:
         for c in batch.column(batch.schema.get_field_index("counts")):
-            total += np.frombuffer(c.as_py(), dtype="<i8")
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], type=pa.int32()), pa.array([total.astype("<i8").tobytes()])],
+            total += np.frombuffer(zlib.decompress(c.as_py()), dtype="<i8")
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], type=pa.int32()), pa.array([_packed(total)])],
                                      names=["part", "counts"])
 
 
@@ -143,7 +149,7 @@ def frequencies(profiled: DataFrame) -> np.ndarray:
     step = COUNTERS // _PARTS
     out = np.zeros(COUNTERS)
     for r in rows.groupBy("part").applyInArrow(_add, "part int, counts binary").collect():   # _PARTS rows
-        out[r.part * step:(r.part + 1) * step] = np.frombuffer(r.counts, dtype="<i8")
+        out[r.part * step:(r.part + 1) * step] = np.frombuffer(zlib.decompress(r.counts), dtype="<i8")
     return np.minimum(255, np.floor(4 * np.log2(out + 1))).astype(np.uint8)
 
 
