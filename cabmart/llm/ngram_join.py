@@ -44,7 +44,7 @@ from .common import cut, free_name, release
 from .components import components
 from .words import Words, mix, ngrams, runs
 
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 _PARTS = 16
 #: Min-hashes for the first links; groups that share a token from which on it counts as frequent.
 MINHASHES, FREQUENT = 6, 64
@@ -94,13 +94,13 @@ def profile(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def run(batches):
-        counters = np.zeros(COUNTERS, dtype=np.int64)
+        counters = np.zeros(COUNTERS, dtype=np.uint32)
         for batch in batches:
             ids, versions = batch.column(0), batch.column(1)
             done = 0
             for part in runs([(t or "").encode() for t in batch.column(2).to_pylist()]):
                 text, gram = shingles(part, n)
-                counters += np.bincount((gram % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(counters, (gram % np.uint64(COUNTERS)).astype(np.int64), np.uint32(1))
                 bounds = _bounds(text, len(part))
                 size = np.diff(bounds)
                 node = signatures(gram, bounds).view(np.int64)
