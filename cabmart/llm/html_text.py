@@ -21,7 +21,10 @@ Defined results: a null or empty page, and one without content, has an empty
 text; white space inside a block becomes one space and blocks are joined by
 one; a line break counts as white space; repeated rows are extracted each for
 itself; an empty table gives an empty table; unclosed and stray tags, cut-off
-markup and unknown elements are taken as they come.
+markup and unknown elements are taken as they come.  An element that is not
+shown (``svg``, ``iframe``, ``noscript``, ...) hides what lies before its own
+end tag, and nothing if that never comes; ``head`` ends at its end tag or at the
+first thing that cannot be in it.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "strike strong sub sup time tt u var".split())
 UNSEEN = frozenset("head script style template noscript iframe object svg math audio video canvas map datalist "
                    "title".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+FOREIGN = frozenset(("svg", "math"))
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 "
                      "h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -75,12 +80,15 @@ class Node:
 class Tree(HTMLParser):
     """Block elements of a page, and its text as (node, block, text) in page order."""
 
-    def __init__(self):
+    def __init__(self, shown: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.shown = shown                                         # unseen elements, by number, that hide nothing
+        self.n_unseen, self.unclosed = 0, set()
+        self.hidden: list[tuple[str, int]] = []                    # from the outermost unseen element on: tag and number
         self.nodes = [Node("body", -1, (), 0)]
         self.texts: list[tuple[int, int, str]] = []
         self.open: list[tuple[str, int]] = [("body", 0)]           # tag and node (inline elements keep their block's)
-        self.block = self.unseen = self.links = 0
+        self.block = self.links = 0
 
     def _pop(self, at: int):
         for tag, _ in self.open[at:]:
@@ -90,11 +98,17 @@ class Tree(HTMLParser):
         del self.open[at:]
 
     def handle_starttag(self, tag, attrs):
-        if self.unseen:
-            self.unseen += tag in UNSEEN
-            return
+        if self.hidden and self.hidden[0][0] == "head" and (
+                tag == "body" or len(self.hidden) == 1 and tag not in IN_HEAD):
+            self.hidden = []
         if tag in UNSEEN:
-            self.unseen = 1
+            self.n_unseen += 1
+            if self.n_unseen not in self.shown:
+                self.hidden.append((tag, self.n_unseen))
+            return
+        if self.hidden:
+            if tag not in VOID:
+                self.hidden.append((tag, 0))
             return
         if tag in ("html", "body"):
             return
@@ -130,23 +144,43 @@ class Tree(HTMLParser):
             if self.open[at][0] in within:
                 return
 
+    def _show(self):
+        """End the unseen elements that are open.  Those that lack an end tag they need are noted.
+
+        (A script or style without one goes on to the page's end.)
+        """
+        self.unclosed.update(number for tag, number in self.hidden if number and tag not in ("head", "script", "style"))
+        self.hidden = []
+
+    def _opened(self, tag) -> int:
+        """The place of the open element that an end tag closes, 0 if there is none."""
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at][0] == tag:
+                return at
+            if tag in INLINE and self.open[at][0] not in INLINE:
+                return 0                                 # a stray end of an inline element closes no block
+        return 0
+
     def handle_startendtag(self, tag, attrs):
-        if tag in UNSEEN:
+        if tag in UNSEEN or any(t in FOREIGN for t, _ in self.hidden):
             return
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if self.unseen:
-            self.unseen -= tag in UNSEEN
-            return
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                return self._pop(at)
-            if tag in INLINE and self.open[at][0] not in INLINE:
-                return                                   # a stray end of an inline element closes no block
+        for at in range(len(self.hidden) - 1, -1, -1):
+            if self.hidden[at][0] == tag:
+                del self.hidden[at:]
+                return
+        at = self._opened(tag)
+        if at:
+            if self.hidden:
+                self._show()
+            self._pop(at)
 
     def handle_data(self, data):
-        if self.unseen or not data:
+        if len(self.hidden) == 1 and self.hidden[0][0] == "head" and data.strip():
+            self._show()
+        if self.hidden or not data:
             return
         node = self.open[-1][1]
         self.texts.append((node, self.block, data))
@@ -160,6 +194,11 @@ def parse(html: str) -> Tree:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    tree._show()
+    if tree.unclosed:                                    # rare: read again, now that it is known which elements have no end
+        tree = Tree(frozenset(tree.unclosed))
+        tree.feed(html)
+        tree.close()
     return tree
 
 

@@ -62,6 +62,25 @@ def test_pages(model, page, text):
     assert isinstance(got, str) if text is None else got == text
 
 
+HEAD = "<html><head><meta charset=utf-8><title>x</title><noscript><img src=a><p>no</p></noscript><style>p{}</style>"
+
+
+@pytest.mark.parametrize("page", [
+    HEAD + "<body><article><p>The text.</p></article></body></html>", HEAD + "<article><p>The text.</p></article>",
+    HEAD + "</head><body><article><p>The text.</p></article></body></html>",
+    "<html><head><title>x<body><article><p>The text.</p></article></body></html>",
+    "<head><noscript><link rel=a><body><article><p>The text.</p></article>",
+    "<article><div><svg><path d=m></div><p>The text.</p></article>", "<svg><g/><article><p>The text.</p></article>",
+    "<body><iframe src=x><article><p>The text.</p></article></body>", "<div><noscript><img></div><article><p>The text.</p></article>",
+    "<iframe src=x><article><svg><g><text>no</text></g></svg><p>The <canvas>no</canvas>text.</p></article>",
+    "<article><p>The text.</p><svg><g/><title>no</title><a/></svg><noscript><div>no</noscript><object><object>no</object>no</object></article>",
+    "<article><p>The text.</p><noscript><div><p>no</div></noscript></article>", "<article><p>The text.</p></article><script>var no='<p>no';",
+    "<iframe src=x><article><p>The text.</p></article><script>var no='<p>no';",
+])
+def test_only_closed_elements_hide_what_they_hold(model, page):
+    assert list(X.extract_pages([page], model)) == ["The text."]
+
+
 def test_table(spark, model):
     rows = [(1, "u", "<article><p>x y</p></article>"), (1, "u", "<article><p>x y</p></article>"), (None, None, None),
             (2, "v", "<article>" + "<p>some words of text</p>" * 50_000 + "</article>")]
