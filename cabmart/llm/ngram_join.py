@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import cut, free_name, release
 from .components import components
@@ -48,6 +48,7 @@ COUNTERS = 1 << 22
 _PARTS = 16
 #: Min-hashes for the first links; groups that share a token from which on it counts as frequent.
 MINHASHES, FREQUENT = 6, 64
+ROW = ["none", "id", "version"]
 
 
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,15 +195,24 @@ def prefixes(docs: DataFrame, n: int, percent: int, level: np.ndarray, text_col:
     return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "common", "keys")])
 
 
+def _row(doc_id: Column, version: Column) -> list[Column]:
+    """What tells a row's id and text, as columns that are never null (``ROW``)."""
+    return [doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), version.alias("version")]
+
+
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str,
            text_col: str) -> DataFrame:
     """The pairs of nodes (``a``, ``b``) whose sets are similar enough, by their whole texts."""
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).filter("rep IS NOT NULL")
-    reps = classes.select("node", "rep")
+    doc_id = F.col(id_col).cast("long")
+    texts = docs.select(*_row(doc_id, F.xxhash64(text_col)), F.col(text_col).alias("text"))
+    reps = classes.select("node", *_row(F.col("rep.doc_id"), F.col("rep.version")))
+    wanted = (reps.join(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", "left_semi")
+              .select(*ROW))
+    # A row that is repeated, as copies without an id are, counts once.
+    texts = texts.join(wanted, ROW, "left_semi").groupBy(*ROW).agg(F.first("text").alias("text"))
     for side in "ab":
-        pairs = (pairs.join(reps.select(F.col("node").alias(side), F.col("rep").alias(f"rep_{side}")), side)
-                 .join(texts.select(F.col("rep").alias(f"rep_{side}"), F.col("text").alias(f"text_{side}")),
-                       f"rep_{side}"))
+        own = [f"{c}_{side}" for c in ROW]
+        pairs = (pairs.join(reps.toDF(side, *own), side).join(texts.toDF(*own, f"text_{side}"), own))
 
     def run(batches):
         for batch in batches:
@@ -220,7 +230,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
                 equal = (g[1:] == g[:-1]) & (p[1:] == p[:-1])
                 both = np.bincount(p[1:][equal], minlength=len(a))
                 union = size[::2] + size[1::2] - both
-                # An id that several rows have brings several texts; those of the classes meant count.
+                # Texts are found by a hash; those of the classes meant count.
                 good = (100 * both >= percent * union) & (node[::2] == a) & (node[1::2] == b)
                 at_ = np.flatnonzero(good)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(a, dtype=np.int64)[at_]),
@@ -288,17 +298,20 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     """Classes of equal sets and the groups that links make of them.
 
     Returns (documents, labels): every row of ``docs`` as (``doc_id``, ``version``, a
-    hash of the text, ``n``, ``node``), and (``node``, ``component_id``) of every class.  Two sets are linked
+    hash of the text, ``n``, ``node``), and (``node``, ``comp``, ``component_id``) of every class: a name of
+    its group and the group's smallest id, null if it has none.  Two sets are linked
     when 100 * |intersection| >= percent * |union|.
     """
     profiled = cut(profile(docs, n, id_col, text_col), "profile")
     level = frequencies(profiled)
     rows = profiled.filter("part IS NULL")
-    classes = cut(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("minhash").alias("minhash")),
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
+    classes = cut(rows.filter("n > 0").groupBy("node").agg(F.min(place).alias("rep"), F.first("minhash").alias("minhash")),
                   "classes")
     prefixed = cut(prefixes(docs, n, percent, level, text_col), "prefixes")
     release(docs.sparkSession)
-    links = cut(verify(first_links(classes, prefixed), classes, docs, n, percent, id_col, text_col), "links")
+    first = cut(first_links(classes, prefixed), "first")
+    links = cut(verify(first, classes, docs, n, percent, id_col, text_col), "links")
     groups = components(links)
     release(docs.sparkSession)
     pairs = cut(candidates(prefixed, groups, percent), "pairs")
@@ -306,10 +319,10 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     more = verify(pairs, classes, docs, n, percent, id_col, text_col)
     every = cut(links.union(more), "links")
     release(docs.sparkSession)
-    labelled = classes.select("node", "rep").join(components(every), "node", "left")
+    labelled = classes.select("node", F.col("rep.doc_id").alias("rep")).join(components(every), "node", "left")
     named = labelled.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("rep").alias("least"))
     labels = (labelled.join(named, "comp", "left")
-              .select("node", F.coalesce("least", "rep").alias("component_id")))
+              .select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("least", "rep").alias("component_id")))
     return rows.select("doc_id", "version", "n", "node"), labels
 
 
@@ -330,14 +343,9 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     """
     rows, labels = link(docs, n, percent, id_col, text_col)
     named = cut(rows.filter("n > 0").join(labels, "node")
-                .select("component_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version").alias("row"),
-                        "node"), "named")
-    # A group is told apart by its classes' label, and by its class where no id is known.
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("node")).alias("lone")]
-    first = named.groupBy(*group).agg(F.min("row").alias("first"))
-    same = (F.col("component_id").eqNullSafe(F.col("f_component")) & F.col("lone").eqNullSafe(F.col("f_lone")))
-    gone = (named.select(*group, "row").join(first.toDF("f_component", "f_lone", "first"), same)
-            .filter("row <> first").select("row.doc_id", "row.version").distinct())
+                .select("comp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version").alias("row")), "named")
+    first = named.groupBy("comp").agg(F.min("row").alias("first"))
+    gone = (named.join(first, "comp").filter("row <> first").select("row.doc_id", "row.version").distinct())
     a, b, c, d = (free_name(docs, x) for x in ("version", "g_doc", "g_version", "number"))
     gone = gone.toDF(b, c)
     kept = docs.withColumn(a, F.xxhash64(text_col)).join(

@@ -80,6 +80,24 @@ def test_edge_cases(spark):
     assert J.one_of_each(df.filter("false")).count() == 0
 
 
+def test_near_copies_without_ids_and_one_id_on_many_texts(spark):
+    def words(name, n=60):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    more = words("more", 6)
+    chain = [f"{words('b')} {more}", words("b"), f"{more} {words('b')}"]        # the ends are linked by the middle alone
+    rows = [(1, words("a")), (None, words("a") + " x"), (2, chain[0]), (3, chain[2]), (None, words("c")), (None, words("c") + " x")]
+    rows += [(None, chain[1])] * 3 + [(9, words(f"t{i}x")) for i in range(30)] + [(10, words("t5x") + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.join(df).collect()), key=str)
+    want = [(1, 57, 1), (None, 58, 1), (2, 63, 2), (3, 63, 2), (None, 57, None), (None, 58, None)]
+    assert got == sorted(want + [(None, 57, 2)] * 3 + [(9, 57, 9)] * 30 + [(10, 58, 9)], key=str)
+    kept = [tuple(r) for r in J.one_of_each(df, 4, 85).collect()]
+    lone = [r for r in kept if r[0] is None]
+    assert len(lone) == 1 and lone[0] in rows[4:6]
+    assert sorted(r for r in kept if r[0] is not None) == sorted([rows[0], rows[2]] + [r for r in rows if r[0] == 9])
+
+
 def test_components(spark):
     rnd = random.Random(9)
     edges = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 260)] + [(-5, 7), (7, 8), (3, 3)]
