@@ -124,19 +124,23 @@ REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 def _weather_files(spark, d) -> str:
     """The stand-in readings as hourly files: one folder per borough, three preamble lines and a header.
 
-    The column order differs from folder to folder, as the headers say.
+    The column order differs from folder to folder, as the headers say.  Every task
+    writes its own file, with the preamble and header in front of its first row.
     """
     root = _folder(spark, "raw")
     raw = S.raw_weather(_t(spark, d))
     names = [c for c in raw.columns if c != "borough_name"]
     for i, region in enumerate(REGIONS):
         own = [names[0], *names[1 + i:], *names[1:1 + i]]
-        lines = raw.filter(F.col("borough_name") == region).select(F.lit(1).alias("part"), F.concat_ws(
+        line = F.concat_ws(
             ",", *[F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm") if c == "time" else F.col(f"`{c}`").cast("string"),
-                              F.lit("")) for c in own]).alias("value"))
+                              F.lit("")) for c in own])
         head = ["latitude,longitude,elevation", "1.0,2.0,3.0", "", ",".join(own)]
-        preamble = spark.createDataFrame([(0, "\n".join(head))], "part int, value string")
-        (preamble.union(lines).coalesce(1).sortWithinPartitions("part").select("value").write
+        # The id has the row's number within its partition in the lower 33 bits.
+        begins = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        value = F.when(begins, F.concat(F.lit("\n".join(head) + "\n"), line)).otherwise(line)
+        # A file without its header would not be read, so a task's rows stay in one file.
+        (raw.filter(F.col("borough_name") == region).select(value.alias("value")).write.option("maxRecordsPerFile", 0)
          .text(os.path.join(root, "weather_dt", f"Weather_{region}", "hourly.csv")))
     return root
 

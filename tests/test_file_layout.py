@@ -111,3 +111,22 @@ def test_report_sql_on_registered_catalog(spark, tmpdir_path):
     want = reports.weather_multidim(star.fact, star.dm_zone, star.dm_date).groupBy("pickup_borough") \
         .sum("total_trips").collect()
     assert sorted((r.borough_name.lower(), r.n) for r in got) == sorted(tuple(r) for r in want)
+
+
+def test_weather_files_are_written_by_many_tasks(spark, tmpdir_path):
+    from cabmart.plans import catalog
+    given = Tables(spark, SF_SMALL)
+    given("events").repartition(6).write.parquet(f"{tmpdir_path}/events.parquet")
+    given("region").write.parquet(f"{tmpdir_path}/region.parquet")
+    size = "spark.sql.files.openCostInBytes"
+    spark.conf.set(size, "1g")                            # one file is one partition
+    try:
+        root = catalog._weather_files(spark, tmpdir_path)
+    finally:
+        spark.conf.unset(size)
+    text = spark.read.text(f"{root}/weather_dt/*/hourly.csv").select("value", F.col("_metadata.file_path").alias("path"))
+    by_file = text.groupBy("path").agg(F.sum(F.col("value").startswith("time,").cast("int")).alias("heads")).collect()
+    assert len(by_file) == 6 * len(catalog.REGIONS) and all(r.heads == 1 for r in by_file)
+    got = FileRoles(spark, root).weather()
+    want = S.raw_weather(given).select(got.columns)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
