@@ -129,7 +129,7 @@ class Tree(HTMLParser):
         words = []
         for key, value in attrs:
             if value and key in ("class", "id", "role", "itemprop"):
-                words += [f"{key[0]}:{w}" for w in re.findall(r"[a-z]+", value[:400].lower())]
+                words += [f"{key[0]}:{w}" for w in dict.fromkeys(re.findall(r"[a-z]+", value.lower()))]
         parent = self.open[-1][1]
         self.nodes[parent].n_children += 1
         self.nodes.append(Node(tag, parent, tuple(words), self.nodes[parent].depth + 1))

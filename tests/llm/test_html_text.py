@@ -81,6 +81,13 @@ def test_only_closed_elements_hide_what_they_hold(model, page):
     assert list(X.extract_pages([page], model)) == ["The text."]
 
 
+def test_all_words_of_long_attributes_count_once():
+    many = "wide tall " * 300
+    tree = X.parse(f'<article><p>The text.</p><div class="{many}comments"><p>a reply</p></div></article>')
+    assert tree.nodes[3].words == ("c:wide", "c:tall", "c:comments")
+    assert X.labels(tree) == [0, 1, 1, 0, 0]
+
+
 def test_table(spark, model):
     rows = [(1, "u", "<article><p>x y</p></article>"), (1, "u", "<article><p>x y</p></article>"), (None, None, None),
             (2, "v", "<article>" + "<p>some words of text</p>" * 50_000 + "</article>")]
