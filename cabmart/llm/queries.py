@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann_search, byte_bpe, exact_search, html_text, line_dedup, ngram_join, packing, quality, toxicity, warc
+from . import (ann_search, byte_bpe, exact_search, html_text, line_dedup, ngram_join, packing, prefix_trie, quality, toxicity,
+               warc)
 from .common import labelled_fold, scratch_path, table
 
 
@@ -70,6 +71,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.conversations(table(spark, sf_dir, "conversations"))
+    first = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    return prefix_trie.trie(prefix_trie.with_shared_heads(convs, block=100, n_first=first, most=5))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -81,6 +88,7 @@ QUERIES = {
     "op8_ann_search": op8_ann_search,
     "op9_html_text": op9_html_text,
     "op10_ngram_join": op10_ngram_join,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -103,4 +111,42 @@ ORACLE: dict[str, str] = {
                CASE WHEN first_id IS NULL OR p.page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN p.page_id <> first_id THEN first_id END AS refers_to
         FROM p LEFT JOIN g USING (digest)""",
+    # CRC-32, a bit at a time: DuckDB has no function for it.
+    "op12_prefix_trie": """
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            WHERE conv_id IS NOT NULL),
+        own AS (
+            SELECT conv_id, list({'step': md5(length(role) || ':' || role || text), 'chars': length(text)}
+                                 ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS steps
+            FROM t GROUP BY conv_id),
+        numbered AS (
+            SELECT *, (xor(list_reduce(list_concat([4294967295::BIGINT],
+                list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda crc, byte:
+                list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, i:
+                    CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)) % 6 AS h
+            FROM own),
+        rebuilt AS (
+            SELECT c.conv_id, list_concat(coalesce(b.steps, [])[1:c.h], c.steps[c.h + 1:]) AS steps
+            FROM numbered c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
+        member AS (
+            SELECT conv_id, d, list_transform(steps[1:d], lambda s: s.step) AS path, list_transform(steps[1:d - 1], lambda s: s.step) AS up,
+                   CASE WHEN d > 0 THEN steps[d].chars ELSE 0 END AS chars, len(steps) = d AS ends
+            FROM (SELECT *, unnest(range(len(steps) + 1)) AS d FROM rebuilt)),
+        node AS (
+            SELECT path, d AS depth, first(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, first(chars) AS chars,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM member GROUP BY path, d),
+        family AS (
+            SELECT n.*, p.conv_id AS parent_conv_id FROM node n
+            LEFT JOIN node p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = n.up),
+        children AS (SELECT up, depth - 1 AS depth, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+        sized AS (
+            SELECT f.*, coalesce(c.n, 0) AS n_children FROM family f LEFT JOIN children c ON c.up = f.path AND c.depth = f.depth),
+        under AS (
+            SELECT path[1:k] AS path, k AS depth, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+            FROM (SELECT *, unnest(range(depth + 1)) AS k FROM sized) GROUP BY ALL)
+        SELECT s.conv_id, s.depth::BIGINT AS depth, s.parent_conv_id, s.n_convs::BIGINT AS n_convs,
+               s.n_children::BIGINT AS n_children, u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, s.ends_sha256
+        FROM sized s JOIN under u ON u.path = s.path AND u.depth = s.depth""",
 }
