@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (ann_search, byte_bpe, exact_search, html_text, line_dedup, ngram_join, packing, prefix_trie, quality, toxicity,
-               warc)
+from . import (ann_search, byte_bpe, collocations, exact_search, html_text, line_dedup, ngram_join, packing, prefix_trie, quality,
+               toxicity, warc)
 from .common import labelled_fold, scratch_path, table
 
 
@@ -77,6 +77,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.with_shared_heads(convs, block=100, n_first=first, most=5))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), support=10, longest=3, percent=50, top=2000)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_ngram_join": op10_ngram_join,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -149,4 +154,37 @@ ORACLE: dict[str, str] = {
         SELECT s.conv_id, s.depth::BIGINT AS depth, s.parent_conv_id, s.n_convs::BIGINT AS n_convs,
                s.n_children::BIGINT AS n_children, u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, s.ends_sha256
         FROM sized s JOIN under u ON u.path = s.path AND u.depth = s.depth""",
+    "op13_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        split AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]'), lambda w: w <> '') AS words FROM pieces),
+        placed AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM split),
+        grams AS (
+            SELECT lang, 1 AS w, words[i] AS phrase FROM placed
+            UNION ALL SELECT lang, 2, words[i] || ' ' || words[i + 1] FROM placed WHERE i + 1 <= len(words)
+            UNION ALL SELECT lang, 3, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FROM placed WHERE i + 2 <= len(words)),
+        counted AS (SELECT lang, w, phrase, count(*) AS f FROM grams GROUP BY ALL),
+        sizes AS (SELECT lang, sum(f) AS n FROM counted WHERE w = 1 GROUP BY lang),
+        cand AS (SELECT *, string_split(phrase, ' ') AS p FROM counted WHERE w > 1 AND f >= 10),
+        cuts AS (
+            SELECT lang, phrase, f AS a, 1 AS k, p[1] AS x, array_to_string(p[2:], ' ') AS y FROM cand
+            UNION ALL SELECT lang, phrase, f, 2, p[1] || ' ' || p[2], p[3] FROM cand WHERE w = 3),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+            FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.x JOIN counted y ON y.lang = c.lang AND y.phrase = c.y),
+        weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        longer AS (
+            SELECT lang, phrase, max(f) AS f FROM (
+                SELECT lang, p[1] || ' ' || p[2] AS phrase, f FROM cand WHERE w = 3
+                UNION ALL SELECT lang, p[2] || ' ' || p[3], f FROM cand WHERE w = 3) GROUP BY ALL),
+        kept AS (
+            SELECT w.* FROM weakest w LEFT JOIN longer g ON g.lang = w.lang AND g.phrase = w.phrase
+            WHERE g.f IS NULL OR 100 * g.f < 50 * w.a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT r.lang, r.rank::BIGINT AS rank, r.phrase, r.a::BIGINT AS a, r.l::BIGINT AS l, r.r::BIGINT AS r, s.n::BIGINT AS n,
+               r.score::BIGINT AS score
+        FROM ranked r JOIN sizes s ON s.lang = r.lang WHERE r.rank <= 2000""",
 }
