@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (ann_search, byte_bpe, collocations, exact_search, html_text, line_dedup, ngram_join, packing, prefix_trie, quality,
-               toxicity, warc)
+from . import (ann_search, bloom_lm, byte_bpe, collocations, exact_search, html_text, line_dedup, ngram_join, packing, prefix_trie,
+               quality, toxicity, warc)
 from .common import labelled_fold, scratch_path, table
 
 
@@ -71,6 +71,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op11_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), labelled_fold(F.col("doc_id"), 10, 0)
+    scored = bloom_lm.score(docs, bloom_lm.fit(docs, train=~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = prefix_trie.conversations(table(spark, sf_dir, "conversations"))
     first = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
@@ -92,6 +98,7 @@ QUERIES = {
     "op8_ann_search": op8_ann_search,
     "op9_html_text": op9_html_text,
     "op10_ngram_join": op10_ngram_join,
+    "op11_bloom_lm": op11_bloom_lm,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_collocations": op13_collocations,
 }
