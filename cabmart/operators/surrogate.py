@@ -5,9 +5,9 @@ and an SQL ``row_number() over (order by ...)`` can check them.
 
 ``assign_keys`` numbers tables with a proven bound (code lists, type-2
 dimensions, whose batch is counted by the uniqueness check) in one window.
-``number_in_buckets`` numbers tables of any size: rows are counted by bucket,
-the few bucket counts are summed up in bucket order, and rows are numbered
-inside their bucket.
+``number_in_buckets`` numbers tables of any size: rows are sorted into ranges
+by one shuffle and numbered inside their range, and the few range counts are
+summed up.
 """
 
 from __future__ import annotations
@@ -41,28 +41,26 @@ def number_in_buckets(df: DataFrame, buckets: list[Column], order: list, key: st
                       start: int | Column = 0) -> DataFrame:
     """Add ``key`` = start + 1, ... following ``buckets``, then ``order`` (both NULLS FIRST).
 
-    Buckets should be many and even, and their number must not grow with the
-    rows (such as a day and two hex digits of a hash).  Exact copies of a row are
-    counted first (with partial sums) and numbered as one, so a group of copies
-    that holds a large share of the rows is one row here.  The counted rows are
-    written once: numbering reads them twice.
+    The rows are shuffled once, into ranges of that order, and written with their
+    place in the range; a second pass adds the rows of the ranges before, one number a
+    range.  ``order`` names all columns that tell two rows apart, so equal rows are
+    interchangeable, and a hash of where a row was read cuts a group of copies into several ranges.
     """
     start_col = start if isinstance(start, Column) else F.lit(int(start))
     cols = df.columns
     names = [f"_bucket{i}" for i in range(len(buckets))]
-    held = materialize(df.select(*[b.alias(n) for b, n in zip(buckets, names)], *cols)
-                         .groupBy(*names, *cols).agg(F.count(F.lit(1)).alias("_copies")), f"keys-{key}")
-    before = Window.orderBy(*_order(names)).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = (held.groupBy(*names).agg(F.sum("_copies").alias("_n"))
-                   .select(*[F.col(n).alias(f"o{n}") for n in names],
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
-    inside = (Window.partitionBy(*names).orderBy(*_order(order))
-              .rowsBetween(Window.unboundedPreceding, -1))
-    ranked = held.withColumn("_before", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
-    same = None
-    for n in names:
-        c = F.col(n).eqNullSafe(F.col(f"o{n}"))
-        same = c if same is None else same & c
-    numbered = ranked.join(offsets, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    return numbered.select((start_col + F.col("_off") + F.col("_before") + F.col("_copy")).cast("long").alias(key), *cols)
+    source = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
+    rows = df.select(*[b.alias(n) for b, n in zip(buckets, names)], *cols).withColumn("_source", source)
+    by = [*_order(names), *_order(order)]
+    ranged = rows.repartitionByRange(*by, F.col("_source")).sortWithinPartitions(*by)
+    # The id has the partition's number above the row's place in it.
+    held = materialize(ranged.select(F.monotonically_increasing_id().alias("_id"), *cols), f"keys-{key}")
+    part = F.shiftright("_id", 33)
+    before, offsets = 0, []
+    for r in held.groupBy(part.alias("part")).count().orderBy("part").collect():       # one row a range
+        offsets.append((r.part, before))
+        before += r["count"]
+    ranges = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return (held.withColumn("_part", part).join(F.broadcast(ranges), "_part")
+            .select((start_col + F.col("_before") + place + 1).cast("long").alias(key), *cols))

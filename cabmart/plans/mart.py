@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import (date_key, day_name, month_name, iso_week, is_weekend, season,
                          holiday_name, is_holiday, weather_bins, positive_flag, time_text,
                          hour_of, minutes_between, dec2, time_of_day)
+from ..operators.lookup import DEFAULT_BROADCAST_LIMIT
 from ..operators import (number_in_buckets, lookup, lookup_many, broadcast_if_small, scd2_apply, upsert_by_key,
                          read_mark, after_process_mark, high_water)
 
@@ -104,9 +105,13 @@ def weather_attributes(ods_weather: DataFrame, ods_borough: DataFrame) -> DataFr
 
 
 def dm_weather_dt(ods_weather: DataFrame, ods_borough: DataFrame,
-                  target: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
+                  target: DataFrame | None = None, marks: DataFrame | None = None,
+                  last_key: int | None = None) -> DataFrame:
     """Weather dimension; new readings get fresh keys, a re-read reading keeps the key it
-    had (facts hold it) and has its other columns replaced."""
+    had (facts hold it) and has its other columns replaced.
+
+    ``target`` may be the part of the dimension that the readings' months are in; then
+    ``last_key`` is the largest key of the whole."""
     src = ods_weather
     if target is not None:
         src = _mark_filter(src, marks, "dm_weather_dt", "last_update")
@@ -119,7 +124,7 @@ def dm_weather_dt(ods_weather: DataFrame, ods_borough: DataFrame,
         return number_in_buckets(attrs, bucket, order, "key_weather").select(*WEATHER_DIM_COLUMNS)
     known = target.select("id_weather", "key_weather")
     fresh = number_in_buckets(attrs.join(known, "id_weather", "left_anti"), bucket, order, "key_weather",
-                              start=high_water(target, "key_weather") or 0)
+                              start=(high_water(target, "key_weather") or 0) if last_key is None else last_key)
     again = attrs.join(known, "id_weather")
     batch = fresh.select(*WEATHER_DIM_COLUMNS).unionByName(again.select(*WEATHER_DIM_COLUMNS))
     return upsert_by_key(target, batch, ["id_weather"])
@@ -160,18 +165,19 @@ def _frame(dim):
 
 def fact_rows(ods_trip: DataFrame, vendors, zones, dates, weather, payments, ratecodes,
               date_rows: int | None = None, only: list[str] | None = None,
-              month: bool = False) -> DataFrame:
+              month: bool = False, limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """M12 without the key: date/time split, eight lookups with unknown members, measures.
 
     ``only`` names the fact columns that are needed: lookups that none of them
     comes from are not joined, and dimensions given as functions not built.
-    ``month`` adds the pickup month.
+    ``month`` adds the pickup month.  Weather beyond the broadcast ``limit`` is looked up
+    a few months at a time, so that the fact is not shuffled for it.
     """
     wanted = [c for c in FACT_COLUMNS if c != "key_taxi_trip" and (only is None or c in only)]
     need = set(wanted)
     by_borough = bool(need & {"key_weather", "is_cross_borough"})
     o = ods_trip.select(
-        *([trip_month().alias(PICKUP_MONTH)] if month else []),
+        (F.col(PICKUP_MONTH) if PICKUP_MONTH in ods_trip.columns else trip_month()).alias(PICKUP_MONTH),
         "id_trip",
         F.to_date("pickup_datetime").alias("_pickup_date"),
         F.to_date("dropoff_datetime").alias("_dropoff_date"),
@@ -204,14 +210,15 @@ def fact_rows(ods_trip: DataFrame, vendors, zones, dates, weather, payments, rat
         w = _frame(weather).select("key_weather", "borough_name", "weather_date",
                                    F.substring("weather_time", 1, 2).cast("int").alias("_hour"))
         specs.append(dict(dim=w, on=[("_pu_borough", "borough_name"), ("_pickup_date", "weather_date"),
-                                     ("_pickup_hour", "_hour")], take={"key_weather": ("key_weather", -1)}))
+                                     ("_pickup_hour", "_hour")], take={"key_weather": ("key_weather", -1)},
+                          slices=(PICKUP_MONTH, trip_month("weather_date"))))
     if "payment_type" in need:
         specs.append(dict(dim=_frame(payments), on=[("payment_type_fk", "id_payment_type")],
                           take={"payment_type": ("payment_type", "Unknown")}))
     if "ratecode_name" in need:
         specs.append(dict(dim=_frame(ratecodes), on=[("rate_code_fk", "id_ratecode")],
                           take={"ratecode_name": ("ratecode_name", "Unknown")}))
-    o = lookup_many(o, specs) if specs else o
+    o = lookup_many(o, specs, limit=limit) if specs else o
     fare, tip = F.col("fare_amount"), F.col("tip_amount")
     made = {
         "trip_duration_minutes": lambda: dec2("_minutes"),

@@ -1,48 +1,54 @@
 """Expose a stored warehouse as SQL tables, so report SQL runs through ``spark.sql``.
 
-Tables are external (``USING parquet LOCATION``) over the current versions;
-nothing is copied.  Schemas follow the original's names: ``dwh_ods`` for the
+Tables are external (``USING parquet LOCATION``) over the folders of the newest
+snapshot; nothing is copied.  Schemas follow the original's names: ``dwh_ods`` for the
 operational layer and ``dwh_datamart`` for the star (with ``dm_weather`` as
 a second name of ``dm_weather_dt``, the name its reports use).
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import SparkSession
+from pyspark.sql.types import StructType
 
-from . import tables as T
 from .files import register_views
+from .snapshots import Snapshots, folders
 
 ODS_TABLES = ["ods_borough", "ods_neighborhood", "ods_vendor", "ods_ratecode",
               "ods_payment_type", "ods_weather_dt", "ods_taxi_trip"]
 MART_TABLES = ["dm_date", "dm_vendor", "dm_zone", "dm_weather_dt", "dm_fact_taxi_trip",
                "last_execution_times", "quality_summary"]
-PARTITIONED = {"ods_taxi_trip", "dm_fact_taxi_trip"}
 
 
-def _location(spark, root, name):
-    path = os.path.join(root, name)
-    if name in PARTITIONED:
-        return path if T.partition_values(spark, path, "pickup_month") else None
-    return T.current_path(spark, path)
+def _create(spark: SparkSession, table: str, root: str, entry: dict) -> None:
+    """An external table over the folders of a snapshot's entry."""
+    schema = StructType.fromJson(json.loads(entry["schema"]))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    if "path" in entry:
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet LOCATION '{root}/{entry['path']}'")
+        return
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY ({entry['by']}) LOCATION '{root}'")
+    parts = " ".join(f"PARTITION ({entry['by']}={month}) LOCATION '{root}/{f}'"
+                     for month, f in zip(sorted(entry["months"]), folders(entry)))
+    spark.sql(f"ALTER TABLE {table} ADD {parts}")
 
 
 def register_catalog(spark: SparkSession, root: str, ods_schema: str = "dwh_ods",
                      mart_schema: str = "dwh_datamart", raw_roles=None) -> list[str]:
     """Create (or refresh) the schemas and one external table per stored table."""
     made = []
+    _, content = Snapshots(spark, root).latest()
     for schema, names in ((ods_schema, ODS_TABLES), (mart_schema, MART_TABLES)):
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
         for name in names:
-            loc = _location(spark, root, name)
-            if loc is None:
+            entry = content.get("tables", {}).get(name)
+            if entry is None:
                 continue
             spark.sql(f"DROP TABLE IF EXISTS {schema}.{name}")
-            spark.sql(f"CREATE TABLE {schema}.{name} USING parquet LOCATION '{loc}'")
-            if name in PARTITIONED:
-                spark.sql(f"MSCK REPAIR TABLE {schema}.{name}")
+            _create(spark, f"{schema}.{name}", os.path.join(root, name), entry)
             made.append(f"{schema}.{name}")
     spark.sql(f"DROP VIEW IF EXISTS {mart_schema}.dm_weather")
     spark.sql(f"CREATE VIEW {mart_schema}.dm_weather AS SELECT * FROM {mart_schema}.dm_weather_dt")

@@ -69,6 +69,35 @@ def read_headed_folders(spark: SparkSession, path_glob: str, schema, tag_col: st
         [], StructType([*StructType.fromDDL(f"{tag_col} string").fields, *st.fields]))
 
 
+def same_types(spark: SparkSession, paths: list[str]) -> list[tuple[StructType, list[str]]]:
+    """Groups of parquet files whose columns have equal types, with the merged schema of each.
+
+    Spark's tasks read the footers of a whole group at once; only a group whose types differ
+    is halved.  Files come sorted by name, so a type that changes once in a folder's history costs
+    about as many jobs as the logarithm of its files.  Neighbours that agree are joined again.
+    """
+    def group(own: list[str]) -> list[tuple[StructType, list[str]]]:
+        try:
+            return [(spark.read.option("mergeSchema", True).parquet(*own).schema, own)]
+        except Exception as e:
+            if len(own) == 1 or "MERGE" not in str(e).upper():
+                raise
+        half = len(own) // 2
+        return group(own[:half]) + group(own[half:])
+
+    out: list[tuple[StructType, list[str]]] = []
+    for schema, own in (group(paths) if paths else []):
+        types = {f.name.lower(): f.dataType for f in schema.fields}
+        for i, (have, held) in enumerate(out):
+            if all(types.get(f.name.lower(), f.dataType) == f.dataType for f in have.fields):
+                known = {f.name.lower() for f in have.fields}
+                out[i] = (StructType(have.fields + [f for f in schema.fields if f.name.lower() not in known]), held + own)
+                break
+        else:
+            out.append((schema, own))
+    return out
+
+
 def register_views(frames: dict[str, DataFrame]) -> None:
     """Named lazy views (S5); nothing is read until a query runs."""
     for name, df in frames.items():

@@ -14,7 +14,6 @@ File layout (as the original registers it)::
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -78,14 +77,11 @@ class FileRoles:
 
     def trips(self):
         """All trip files.  A column's physical type may differ between files (a count as INT64 or
-        DOUBLE), so files are grouped by their footer's schema, and each group is cast."""
-        groups: dict[str, list[str]] = {}
-        for f in self._files("taxi_trip", "*.parquet"):
-            groups.setdefault(self.spark.read.parquet(f).schema.json(), []).append(f)
+        DOUBLE), so files are grouped by their types, and each group is cast."""
         want = schemas.schema("taxi_trip")
         out = None
-        for footer, paths in groups.items():
-            part = conform(self.spark.read.schema(StructType.fromJson(json.loads(footer))).parquet(*paths), want)
+        for schema, paths in files.same_types(self.spark, self._files("taxi_trip", "*.parquet")):
+            part = conform(self.spark.read.schema(schema).parquet(*paths), want)
             out = part if out is None else out.unionByName(part)
         return self.spark.createDataFrame([], want) if out is None else out
 

@@ -1,109 +1,38 @@
-"""Table storage for the layers (L1, L4, S10): plain parquet folders.
+"""Single stored tables (L1, L4, S10), each with snapshots of its own (see ``snapshots``).
 
-A parquet folder cannot be overwritten while a job reads it, so every
-full rewrite goes to a new version folder ``v=<n>``; readers take the
-highest complete version (Spark writes ``_SUCCESS`` last).  Appends add
-files to the current version.  Month-partitioned facts overwrite only the
-months present in the batch.
+A warehouse publishes all its tables in one snapshot; these helpers are for a
+table that is written on its own, such as the target of a stream.
 """
 
 from __future__ import annotations
 
-import os
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-_V = re.compile(r"^v=(\d+)$")
-
-
-def _fs(spark: SparkSession, root: str):
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(conf), path, jvm
+from .snapshots import Build, Snapshots
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:
-    fs, path, jvm = _fs(spark, root)
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        m = _V.match(st.getPath().getName())
-        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(m.group(1)))
-    return sorted(out)
-
-
-def current_path(spark: SparkSession, root: str) -> str | None:
-    v = versions(spark, root)
-    return os.path.join(root, f"v={v[-1]}") if v else None
+    return Snapshots(spark, root).numbers()
 
 
 def read_current(spark: SparkSession, root: str, schema: StructType | str | None = None):
-    """The table's current version; an empty frame (or None) on first run."""
-    p = current_path(spark, root)
-    if p is None:
-        if schema is None:
-            return None
+    """The table's newest snapshot; an empty frame (or None) on first run."""
+    found = Build(spark, root).stored("")
+    if found is None and schema is not None:
         return spark.createDataFrame([], schema)
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.parquet(p)
-
-
-def write_version(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
-    """Full rewrite into the next version folder (L1, and L2/L3 results)."""
-    spark = df.sparkSession
-    v = versions(spark, root)
-    path = os.path.join(root, f"v={(v[-1] + 1) if v else 0}")
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return path
+    return found
 
 
-def read_partitioned(spark: SparkSession, root: str, schema: StructType | str | None = None):
-    """A month-partitioned table (or None/empty frame when it does not exist yet)."""
-    fs, path, _ = _fs(spark, root)
-    if not fs.exists(path):
-        return None if schema is None else spark.createDataFrame([], schema)
-    return spark.read.parquet(root)
+def write_version(df: DataFrame, root: str, build: Build | None = None) -> str:
+    """Full rewrite (L1, and L2/L3 results); ``build`` is what the caller read the old version from.
 
-
-def overwrite_partitions(df: DataFrame, root: str, partition_by: list[str]) -> str:
-    """Replace only the partitions present in ``df`` (dynamic partition overwrite).
-
-    ``df`` must not read ``root`` lazily (write it to the checkpoint folder
-    first when it was computed from the same table).
+    Without it the version to build on is the newest one when the write begins.
     """
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(*partition_by).parquet(root))
-    return root
-
+    build = build or Build(df.sparkSession, root)
+    build.save(df, "")
+    build.publish()
+    return f"{build.root}/{build.tables['']['path']}"
 
-def partition_values(spark: SparkSession, root: str, column: str) -> list[str]:
-    """Values of a partition column, from the folder names (no data is read)."""
-    fs, path, _ = _fs(spark, root)
-    if not fs.exists(path):
-        return []
-    prefix = f"{column}="
-    return [st.getPath().getName()[len(prefix):] for st in fs.listStatus(path)
-            if st.isDirectory() and st.getPath().getName().startswith(prefix)]
 
-
-def latest_partition(spark: SparkSession, root: str, column: str):
-    """The table's rows in its highest partition of ``column`` (None when empty).
-
-    Lets a high-water mark on a partitioned table read one partition instead
-    of the whole table.
-    """
-    vals = [v for v in partition_values(spark, root, column) if v != "__HIVE_DEFAULT_PARTITION__"]
-    if not vals:
-        return None
-    top = max(vals, key=lambda v: int(v))
-    return spark.read.parquet(root).filter(f"{column} = {int(top)}")
+read_partitioned = read_current

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import scratch_scope
 from ..sources import schemas
-from ..sources import tables as T
+from ..sources.snapshots import Build
 from ..plans import mart, ods
-from ..plans.warehouse import _upsert_months
+from ..plans.warehouse import upsert_months
 
 
 def load_trip_batch(batch: DataFrame, zones: DataFrame, trip_root: str, run_ts) -> None:
@@ -27,7 +27,9 @@ def load_trip_batch(batch: DataFrame, zones: DataFrame, trip_root: str, run_ts)
     spark = batch.sparkSession
     rows = ods.transform_trips(ods.valid_trips(batch), zones, run_ts).withColumn(mart.PICKUP_MONTH, mart.trip_month())
     with scratch_scope(spark):
-        _upsert_months(T.read_partitioned(spark, trip_root), rows, "id_trip", trip_root, policy="merge")
+        build = Build(spark, trip_root)
+        upsert_months(build, "", rows, "id_trip", policy="merge")
+        build.publish()
 
 
 def stream_trips(spark: SparkSession, source_dir: str, zones: DataFrame, trip_root: str,
@@ -54,9 +56,9 @@ def stream_trips(spark: SparkSession, source_dir: str, zones: DataFrame, trip_ro
 def load_weather_batch(batch: DataFrame, boroughs: DataFrame, weather_root: str, run_ts) -> None:
     """Apply one batch of raw weather readings to the ODS weather table (new version)."""
     spark = batch.sparkSession
-    prev = T.read_current(spark, weather_root)
-    rows = ods.ods_weather_dt(batch, boroughs, run_ts, target=prev, policy="sync_all_columns", mark=False)
-    T.write_version(rows, weather_root)
+    build = Build(spark, weather_root)
+    build.save(ods.ods_weather_dt(batch, boroughs, run_ts, target=build.stored(""), policy="sync_all_columns", mark=False), "")
+    build.publish()
 
 
 def stream_weather(spark: SparkSession, folders_glob: str, boroughs: DataFrame,

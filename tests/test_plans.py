@@ -57,3 +57,61 @@ def test_a_report_joins_only_what_it_needs(spark):
         assert other not in plan
     built = set(vars(s))
     assert not built & {"dm_vendor", "dm_zone", "dm_weather", "ods_weather", "ods_payment_type", "ods_ratecode"}
+
+
+def test_numbering_shuffles_the_rows_once(spark, monkeypatch):
+    """One range exchange of the rows; the second pass joins a broadcast row per range."""
+    from cabmart.operators import number_in_buckets, surrogate
+    from pyspark.sql import functions as F
+    plans = []
+    real = surrogate.materialize
+
+    def spy(df, name):
+        plans.append(plan_text(df))
+        return real(df, name)
+
+    monkeypatch.setattr(surrogate, "materialize", spy)
+    df = spark.range(5000).select((F.col("id") % 30).alias("day"), F.col("id").cast("string").alias("id"))
+    plans.append(plan_text(number_in_buckets(df, [F.col("day")], ["id"], "key")))
+    assert plans[0].count("Exchange") == 1 and "Exchange rangepartitioning" in plans[0]
+    assert "Aggregate" not in plans[0] and "Window" not in plans[0]
+    assert "BroadcastHashJoin" in plans[1] and plans[1].replace("BroadcastExchange", "").count("Exchange") == 0
+
+
+def test_weather_beyond_the_broadcast_limit_is_looked_up_by_months(spark):
+    """The fact is not shuffled for it, and every row has the key that a broadcast of the whole gives."""
+    from cabmart.plans import mart
+    s = star.LazyStar(Tables(spark, SF_SMALL), "events")
+    trips = s.ods_trip
+    dims = [f() for f in s._dims()]
+    need = ["id_trip", "key_weather", "is_cross_borough"]
+    whole = mart.fact_rows(trips, *dims, only=need)
+    # The other lookups stay below the lowered limit; weather does not.
+    from cabmart.operators import estimated_bytes
+    limit = estimated_bytes(dims[3].select("key_weather", "borough_name", "weather_date", "weather_time")) * 5
+    parts = mart.fact_rows(trips, *dims, only=need, limit=limit)
+    plan = plan_text(parts)
+    assert "Union" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    rows = sorted(map(str, whole.collect()))
+    assert sorted(map(str, parts.collect())) == rows and any("key_weather=-1" not in r for r in rows)
+
+
+def test_many_trip_files_are_opened_by_few_jobs(spark, tmpdir_path):
+    import os
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from cabmart.sources import files
+    for i in range(120):                                  # the type of a count changes once
+        kind = pa.float64() if i < 70 else pa.int64()
+        pq.write_table(pa.table({"VendorID": pa.array([i]), "passenger_count": pa.array([i % 5], type=kind)}),
+                       os.path.join(tmpdir_path, f"trip_{i:03d}.parquet"))
+    paths = sorted(os.path.join(tmpdir_path, f) for f in os.listdir(tmpdir_path))
+    sc = spark.sparkContext
+    sc.setJobGroup("footers", "footers")
+    try:
+        groups = files.same_types(spark, paths)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("footers"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(len(own) for _, own in groups) == [50, 70] and jobs < 40
+    assert {s["passenger_count"].dataType.simpleString() for s, _ in groups} == {"double", "bigint"}

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 import pytest
 
 from cabmart.functions import ntz_lit
+from cabmart.operators import monthly_counts, quality_summary
 from cabmart.plans import warehouse, reports, ods
 from cabmart.sources import standins as S
+from cabmart.sources import tables as T
 from cabmart.sources import Tables
+from cabmart.sources.snapshots import Build, ConcurrentRunError, Snapshots
 from conftest import SF_SMALL
 
 CUT = dt.datetime(2024, 1, 20)
@@ -99,3 +102,110 @@ def test_weather_keys_survive_a_re_read(spark):
     w2 = ods.ods_weather_dt(S.raw_weather(t), b, dt.datetime(2024, 7, 1))
     new = {r.id_weather: r.key_weather for r in mart.dm_weather_dt(w2, b, target=first).collect()}
     assert len(new) > len(old) and all(new[i] == k for i, k in old.items()) and len(set(new.values())) == len(new)
+
+
+def _build(spark, root, ts, **kw):
+    return warehouse.run_warehouse(Tables(spark, SF_SMALL), root, ts, trips="events", **kw)
+
+
+def test_frames_read_before_a_run_stay_valid_and_a_broken_run_changes_nothing(spark, tmpdir_path, monkeypatch):
+    root = os.path.join(tmpdir_path, "wh")
+    s1 = _build(spark, root, dt.datetime(2024, 6, 1), raw_filter=_first_part)
+    n, trips = s1.fact.count(), sorted(s1.ods_trip.collect())
+    monkeypatch.setattr(warehouse, "summary_of_months", lambda counts: 1 / 0)      # breaks off after all tables are written
+    with pytest.raises(ZeroDivisionError):
+        _build(spark, root, dt.datetime(2024, 7, 1))
+    assert warehouse.read_stored(spark, root).fact.count() == n
+    monkeypatch.undo()
+    s2 = _build(spark, root, dt.datetime(2024, 7, 1))
+    assert s2.fact.count() > n and s1.fact.count() == n and sorted(s1.ods_trip.collect()) == trips
+    keys = [r[0] for r in s2.fact.select("key_taxi_trip").collect()]
+    assert len(set(keys)) == len(keys)
+    # folders of the broken run are named by no snapshot
+    gone = Snapshots(spark, root).vacuum(keep=1)
+    assert gone and warehouse.read_stored(spark, root).fact.count() == len(keys)
+
+
+def test_of_two_runs_from_one_snapshot_one_wins(spark, tmpdir_path, monkeypatch):
+    root = os.path.join(tmpdir_path, "wh")
+    _build(spark, root, dt.datetime(2024, 6, 1), raw_filter=_first_part)
+    publish, other = warehouse.Build.publish, []
+
+    def late(self):
+        if not other:
+            other.append(1)
+            _build(spark, root, dt.datetime(2024, 7, 1))                           # another run ends in between
+        return publish(self)
+
+    monkeypatch.setattr(warehouse.Build, "publish", late)
+    with pytest.raises(ConcurrentRunError):
+        _build(spark, root, dt.datetime(2024, 8, 1))
+    assert Snapshots(spark, root).numbers() == [0, 1]
+    s = warehouse.read_stored(spark, root)
+    assert {r[0] for r in s.ods_vendor.select("last_update").distinct().collect()} == {dt.datetime(2024, 7, 1)}
+    assert s.fact.count() == ods.valid_trips(S.raw_trip_events(Tables(spark, SF_SMALL))).count()
+
+
+def test_a_snapshot_that_was_not_finished_is_passed_over(spark, tmpdir_path):
+    root = os.path.join(tmpdir_path, "t")
+    T.write_version(spark.range(3).toDF("a"), root)
+    with open(os.path.join(root, "_snapshots", "s=1.json"), "w") as f:
+        f.write('{"tables": {"": ')
+    assert T.read_current(spark, root).count() == 3
+    T.write_version(spark.range(5).toDF("a"), root)
+    assert T.read_current(spark, root).count() == 5 and T.versions(spark, root) == [0, 1, 2]
+    held = Build(spark, root)
+    T.write_version(spark.range(7).toDF("a"), root)
+    with pytest.raises(ConcurrentRunError):
+        T.write_version(spark.range(9).toDF("a"), root, build=held)
+    assert T.read_current(spark, root).count() == 7
+
+
+def test_a_second_run_touches_its_months_only(spark, tmpdir_path, monkeypatch):
+    """Trips, weather, fact and the key checks: months without new rows are neither read nor written."""
+    root = os.path.join(tmpdir_path, "wh")
+    counted = []
+
+    def spy(df, table, col, month):
+        counted.append((table, {int(f.split(f"{month}=")[1].split("/")[0]) for f in df.inputFiles()}))
+        return monthly_counts(df, table, col, month)
+
+    monkeypatch.setattr(warehouse, "monthly_counts", spy)
+    cut = dt.datetime(2024, 3, 10)
+
+    def spread(trips, weather):                          # the events' month, dealt over three
+        far = F.make_interval(months=F.day("tpep_pickup_datetime") % 3)
+        return (trips.withColumns({c: F.col(c) + far for c in ("tpep_dropoff_datetime", "tpep_pickup_datetime")}),
+                weather.withColumn("time", F.col("time") + F.make_interval(months=F.day("time") % 3)))
+
+    def early(trips, weather):
+        trips, weather = spread(trips, weather)
+        return trips.filter(F.col("tpep_pickup_datetime") < ntz_lit(cut)), weather.filter(F.col("time") < ntz_lit(cut))
+
+    _build(spark, root, dt.datetime(2024, 6, 1), raw_filter=early)
+    before = Snapshots(spark, root).latest()[1]["tables"]
+    counted.clear()
+    s = _build(spark, root, dt.datetime(2024, 7, 1), raw_filter=spread)
+    after = Snapshots(spark, root).latest()[1]["tables"]
+    for name in ("ods_taxi_trip", "dm_fact_taxi_trip", "ods_weather_dt", "dm_weather_dt"):
+        old = {m for m in before[name]["months"] if int(m) < 202403}
+        assert old and all(after[name]["months"][m] == before[name]["months"][m] for m in old), name
+        assert after[name]["months"]["202403"] == 1, name
+    assert {t for t, _ in counted} == {"ods_taxi_trip", "ods_weather_dt"} and all(min(months) == 202403 for _, months in counted)
+    got = {r.table_name: tuple(r)[2:] for r in Build(spark, root).stored("quality_summary").collect()}
+    for name, df, col in (("ods_taxi_trip", s.ods_trip, "id_trip"), ("ods_weather_dt", s.ods_weather, "id_weather")):
+        assert got[name] == tuple(quality_summary(df, name, [col]).first())[2:]
+    keys = [r[0] for r in s.dm_weather.select("key_weather").collect()]
+    assert len(keys) == len(set(keys)) == s.ods_weather.count()
+
+
+def test_a_large_month_is_written_by_many_tasks(spark, tmpdir_path):
+    build = Build(spark, os.path.join(tmpdir_path, "t"))
+    df = spark.range(200_000).select(F.when(F.col("id") % 10 < 9, 202401).otherwise(202402).alias("m"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        assert build.save_months(df, "", "m") == [202401, 202402]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = build.current("").filter("m = 202401").inputFiles()
+    assert len([f for f in files if "m=202401" in f]) >= 4 and build.current("").count() == 200_000
