@@ -7,7 +7,8 @@ split with numpy (the classes of the published pattern, run by run), every
 are gathered from that table.  Distinct matches of earlier batches are kept in
 a bounded table of the Python worker.
 
-Model: either a tokenizer file of the library (``.json``) or a rank file
+Model: either a tokenizer file of the library (``.json``; where its added tokens
+stand in a text they are one id each, as in the library) or a rank file
 (``.tiktoken``).  From ranks, every way to cut a token into two tokens of
 lower rank is a merge of that token's rank, and a match that is itself a token
 is taken whole: the result is that of the tiktoken library.
@@ -27,6 +28,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -92,10 +94,13 @@ class Codec:
         if path.endswith(".json"):
             model = Tokenizer.from_file(path).model
             with open(path, encoding="utf-8") as f:
-                vocab = json.load(f)["model"]["vocab"]
+                content = json.load(f)
+            vocab = content["model"]["vocab"]
             back = {c: b for b, c in byte_chars().items()}
             tokens = {i: bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)}
+            self._add(content.get("added_tokens") or [], tokens)
         else:
+            self._add([], {})
             ranks = read_ranks(path)
             model = rank_model(ranks)
             tokens = {r: t for t, r in ranks.items()}
@@ -113,6 +118,28 @@ class Codec:
         steps[1:] = np.uint64(pow(int(_MUL), -1, 1 << 64))
         self.inverse = np.multiply.accumulate(steps)
 
+    def _add(self, added: list[dict], tokens: dict[int, bytes]):
+        """Texts are cut at the file's added tokens, each of which is one id."""
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at what is beside them are not supported")
+        self.added = {t["content"]: t["id"] for t in added}
+        tokens.update({i: t.encode() for t, i in self.added.items()})
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cuts = re.compile("|".join(map(re.escape, longest_first))) if added else None
+
+    def _cut(self, text: str) -> np.ndarray:
+        """Ids of a text that holds added tokens."""
+        parts, at = [], 0
+        for m in self.cuts.finditer(text):
+            parts += [self._whole(text[at:m.start()]), np.array([self.added[m.group()]], dtype=np.uint32)]
+            at = m.end()
+        return np.concatenate(parts + [self._whole(text[at:])])
+
+    def _whole(self, text: str) -> np.ndarray:
+        if len(text) <= CHUNK:
+            return self._encode_run([text])[0]
+        return np.concatenate([self._encode_chunk(p, np.zeros(1, dtype=np.int64))[0] for p in pieces(text)])
+
     def _forget(self):
         """Empty the table of known matches: sorted keys, and the entry of each; new ones lie in a small table first."""
         none = np.zeros(0, dtype=np.uint64)
@@ -205,12 +232,12 @@ class Codec:
         """Yield (ids, ids per text) for runs of texts of bounded size, in order."""
         run, size = [], 0
         for text in texts:
-            if len(text) > CHUNK:
+            held = any(t in text for t in self.added)
+            if held or len(text) > CHUNK:
                 if run:
                     yield self._encode_run(run)
                     run, size = [], 0
-                parts = [self._encode_chunk(p, np.zeros(1, dtype=np.int64))[0] for p in pieces(text)]
-                ids = np.concatenate(parts)
+                ids = self._cut(text) if held else self._whole(text)
                 yield ids, np.array([len(ids)])
                 continue
             if run and size + len(text) > CHUNK:

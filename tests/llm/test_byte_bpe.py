@@ -42,10 +42,18 @@ def test_ids_are_those_of_tiktoken(oracle):
 
 def test_ids_are_those_of_the_library():
     lib = Tokenizer.from_file(JSON)
-    lib.encode_special_tokens = True
     assert encode(texts(2000), JSON) == [e.ids for e in lib.encode_batch(texts(2000), add_special_tokens=False)]
 
 
+def test_added_tokens_of_the_file():
+    lib = Tokenizer.from_file(JSON)
+    own = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext", "x" * 300_000 + " <|endoftext|> y"]
+    assert encode(own, JSON) == [e.ids for e in lib.encode_batch(own, add_special_tokens=False)]
+    assert encode(own, JSON)[0] == [3826, 220, 50256, 994]
+    c = B.codec(JSON)
+    assert [c.decode(np.array(i)).tobytes().decode() for i in encode(own, JSON)] == own
+
+
 def test_classes_of_all_code_points(oracle):
     every = [f"a{chr(c)}a {chr(c)} 1{chr(c)}" for c in range(0, 0x30000, 3) if not 0xD800 <= c < 0xE000]
     assert encode(every) == [oracle.encode_ordinary(t) for t in every]
