@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,41 +26,64 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "cabmart", f"{name}-{uuid.uuid4().hex}")
 
 
-_cuts: list[str] = []
+class Cuts:
+    """The lineage cuts of one piece of work; whoever made this object deletes them once no frame reads them."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def delete(self, spark: SparkSession) -> None:
+        while self.paths:
+            _delete(spark, self.paths.pop())
+
+
+#: Cuts of single queries: their frames may be read as long as the application runs, which deletes them at its end.
+_unowned = Cuts()
+_working = threading.local()
+
+
+@contextmanager
+def owned(cuts: Cuts):
+    """Lineage cuts made inside (by this thread) belong to ``cuts``."""
+    before = getattr(_working, "cuts", None)
+    _working.cuts = cuts
+    try:
+        yield cuts
+    finally:
+        _working.cuts = before
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _delete_unowned() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        _unowned.delete(spark)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back (a lineage cut)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    _cuts.append(path)
+    (getattr(_working, "cuts", None) or _unowned).paths.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(table: DataFrame) -> None:
-    """Delete the files of a lineage cut that no frame reads any more."""
-    spark = table.sparkSession
-    for folder in {os.path.dirname(f) for f in table.inputFiles()}:
-        done = [p for p in _cuts if p.rpartition("/")[2] == folder.rpartition("/")[2]]
-        if not done:
-            raise ValueError(f"not a lineage cut: {folder}")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(done[0])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        _cuts.remove(done[0])
-
-
-def sweep(spark: SparkSession) -> None:
-    """Delete all lineage cuts made so far.
-
-    For a chain of stages: once a stage's result is written, no frame reads the
-    cuts it was made with.
-    """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _cuts:
-        path = jvm.org.apache.hadoop.fs.Path(_cuts.pop())
-        path.getFileSystem(conf).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of lineage cuts that no frame reads any more, and the shuffle files of finished jobs."""
+    spark = tables[0].sparkSession
+    root = scratch_path(spark, "").rpartition("/")[0]
+    for table in tables:
+        for folder in {os.path.dirname(f) for f in table.inputFiles()}:
+            if f"/{os.path.basename(root)}/" not in folder:
+                raise ValueError(f"not a lineage cut: {folder}")
+            _delete(spark, folder)
+    release(spark)
 
 
 def release(spark: SparkSession) -> None:

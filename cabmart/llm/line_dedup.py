@@ -2,18 +2,17 @@
 
 A line's set is its distinct lower-cased words.  A line is removed if a line
 before it (by document id, then line number) has a Jaccard similarity of at
-least ``percent`` / 100 with it; lines of fewer than ``least_words`` distinct
-words always stay.
-
-1. Words are counted in ``BUCKETS`` hashed counters.  A token is the level of
-   its counter, then the word's length (of words whose counters are alike the
-   longer ones are the rarer ones), then 51 bits of its hash; so a sorted array
-   of tokens has the rare words first.
-2. Lines with equal sets are one set, of which the first line is kept.
+least ``percent`` / 100 with it.
+
+1. Words are counted exactly.  The ``KEPT`` most frequent ones get a level by
+   their count; the others count as rare.  A token is its word's level, then 57 bits of its
+   hash, so a sorted array of tokens has the rare words first.
+2. Lines with equal sets are one set, of which the first line is kept.  Sets that
+   are too small to be similar to any other go no further.
 3. Prefix filter: two similar sets share a token among their first
-   n - ceil(t n) + 1.  Tokens that two sets or more have there are the keys.
-   Length and positional filters: the sizes, what is left behind a shared token,
-   and what both prefixes share in all, must allow the overlap.
+   n - ceil(t n) + 1, the keys.  On a shared key the length and positional filters
+   and a bitmap must allow the overlap.  (The bitmap has a bit for the parity of the tokens
+   that hash to it; two sets differ in as many tokens at least as their bitmaps in bits.)
 4. A key of fewer than ``HOT`` sets brings all its sets together.  On a hotter
    key each set first meets the earliest one only; sets that this removes need
    no further partner, and only the others meet all sets of that key.  So a line with thousands of variants costs
@@ -22,61 +21,71 @@ words always stay.
    again without the lines removed.
 
 Only DataFrame functions are used.  Two words share a token with a probability
-of 2**-51.
+of 2**-57.
 
-Defined results: a null text stays null; a text that loses every line is empty;
-rows that repeat an id and text are one document and keep the same lines; texts
-that share an id are ordered by a hash; documents without an id come last; an
-empty table gives an empty table; other columns pass through.
+Defined results: a null text stays null; a line without words stays; a text that
+loses every line is empty; rows that repeat an id and text are one document and
+keep the same lines; texts that share an id are ordered by a hash; documents
+without an id come last; an empty table gives an empty table; other columns pass
+through.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import cut, drop, free_name, release
+from .common import cut, drop, free_name
 
-BUCKETS = 1 << 18
+#: Most frequent words that have a level of their own, and places of the table that holds the levels.
+KEPT, PLACES = 1 << 17, 1 << 20
 #: Sets from which on a key is hot.
 HOT = 64
 _SPACE = " \t\x0b\f\r"
 
 
 def _words(line: Column) -> Column:
-    """The words of a line; one empty word if it has none."""
     return F.split(F.trim(F.lower(line), F.lit(_SPACE)), r"[ \t\x0B\f\r]+")
 
 
-def word_levels(texts: DataFrame) -> bytearray:
-    """For each hashed counter of words, a level of 0 (rare) to 63; ``BUCKETS`` counts come to the driver."""
-    words = texts.select(F.explode(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+")).alias("word"))
-    counted = (words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
-               .count().collect())
-    levels = bytearray(BUCKETS)
-    for b, n in counted:
-        levels[b] = min(63, int(2 * math.log2(n + 1)))
-    return levels
-
+def word_levels(texts: DataFrame) -> bytes:
+    """A level of 0 (rare) to 63 for every place that words hash to: that of the most frequent word there.
 
-def _tokens(line: Column, levels: bytearray) -> Column:
+    At most ``KEPT`` words come to the driver, those of the highest exact counts.
+    """
+    words = texts.select(F.explode(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+")).alias("word"))
+    counted = cut(words.groupBy(F.xxhash64("word").alias("h")).count().filter("count > 1"), "words")
+    total, least = 0, 2
+    for r in counted.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).toLocalIterator():
+        total += r.n                                     # words that occur so often or more
+        if total > KEPT:
+            least = r["count"] + 1
+            break
+    levels = bytearray(PLACES)
+    place = F.col("h").bitwiseAND(F.lit(PLACES - 1)).alias("place")
+    for p, n in counted.filter(F.col("count") >= least).select(place, "count").collect():
+        levels[p] = max(levels[p], min(63, 1 + int(2 * math.log2(n / least))))
+    drop(counted)
+    return bytes(levels)
+
+
+def _tokens(line: Column, levels: bytes) -> Column:
     """Sorted distinct tokens of a line, rare words first."""
-    table = F.lit(bytes(levels))
-
-    def hashed(word):
-        short = F.lit(63) - F.least(F.length(word), F.lit(63))
-        return F.shiftleft(short.cast("long"), 51).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << 51) - 1)))
+    table = F.lit(levels)
 
     def token(h):
-        level = F.ascii(F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+        level = F.ascii(F.substring(table, h.bitwiseAND(F.lit(PLACES - 1)).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("long"), 57).bitwiseOR(h)
 
-    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), hashed)), token))
+    hashed = F.transform(_words(line), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 57) - 1)))
+    return F.sort_array(F.transform(F.array_distinct(hashed), token))
 
 
-def _lines(texts: DataFrame) -> DataFrame:
-    return texts.select("doc", "version", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+def _bitmap(tokens: Column) -> Column:
+    """A bit for each of 64 values of a token's hash: set if an odd number of tokens has it."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 40).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(bit(t)))
 
 
 def _prefix_size(percent: int) -> Column:
@@ -85,42 +94,24 @@ def _prefix_size(percent: int) -> Column:
 
 
 def _close(percent: int) -> Column:
-    """Length and positional filter of two sets (l_n, l_at) and (n, at) that share a token there."""
+    """Length, positional and bitmap filter of two sets (l_n, l_at, l_bits) and (n, at, bits) that share a token there.
+
+    The positions hold where the token is the first that both share; at a later one, what
+    precedes it could be shared as well, and the pair is found at the first.
+    """
     most = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("l_n") - F.col("l_at") - 1)
+    both = F.col("n") + F.col("l_n")
+    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("l_bits")))
     return ((100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n"))
-            & ((100 + percent) * most >= percent * (F.col("n") + F.col("l_n"))))
+            & ((100 + percent) * most >= percent * both)
+            & ((100 + percent) * apart <= (100 - percent) * both))
 
 
 def _left(rows: DataFrame) -> DataFrame:
-    return rows.select("key", *(F.col(c).alias(f"l_{c}") for c in ("set", "n", "at")))
-
-
-def _pairs(left: DataFrame, right: DataFrame, percent: int, once: bool = False) -> DataFrame:
-    """Pairs (``a``, ``b``) of sets that share a key and pass the filters; with ``once`` each in one order."""
-    other = F.col("l_set") < F.col("set") if once else F.col("l_set") != F.col("set")
-    return (_left(left).join(right, "key").filter(other & _close(percent))
-            .select(F.col("l_set").alias("a"), F.col("set").alias("b")))
-
+    return rows.select("key", *(F.col(c).alias(f"l_{c}") for c in ("set", "n", "at", "bits")))
 
-def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose prefixes share enough.
 
-    Of two prefixes, the one whose last token comes first in the order shares
-    with the other set only what lies in the other's prefix; so the overlap is at
-    most the tokens common to both prefixes and what follows that prefix.
-    """
-    for side in "ab":
-        pairs = pairs.join(sets.select(*(F.col(c).alias(f"{side}_{c}") for c in ("set", "n", "prefix"))),
-                           F.col(side) == F.col(f"{side}_set"))
-    # Keys are 32 bits of tokens: within a prefix two may be equal, which must not lessen the count.
-    twins = sum(F.size(f"{side}_prefix") - F.size(F.array_distinct(f"{side}_prefix")) for side in "ab")
-    both = F.size(F.array_intersect("a_prefix", "b_prefix")) + twins
-    behind = F.greatest(F.col("a_n") - F.size("a_prefix"), F.col("b_n") - F.size("b_prefix"))
-    return (pairs.filter((100 + percent) * (both + behind) >= percent * (F.col("a_n") + F.col("b_n")))
-            .select("a", "b"))
-
-
-def _tokens_of(asked: DataFrame, sets: DataFrame, texts: DataFrame, levels: bytearray) -> DataFrame:
+def _tokens_of(asked: DataFrame, sets: DataFrame, texts: DataFrame, levels: bytes) -> DataFrame:
     """(``set``, ``first``, ``tokens``) of the sets asked for, from their first lines."""
     wanted = sets.join(asked, "set", "left_semi").select("set", "first")
     some = (wanted.groupBy(F.col("first.doc").alias("w_doc"), F.col("first.version").alias("w_version"))
@@ -131,7 +122,9 @@ def _tokens_of(asked: DataFrame, sets: DataFrame, texts: DataFrame, levels: byte
     found = split.select(F.explode(F.transform("wanted", lambda w: F.struct(
         w["set"].alias("set"), w["first"].alias("first"),
         F.element_at("split", w["line"] + 1).alias("body")))).alias("w")).select("w.*")
-    return found.select("set", "first", _tokens(F.col("body"), levels).alias("tokens"))
+    # Rows that repeat an id and text have the same line.
+    one = found.select("set", "first", _tokens(F.col("body"), levels).alias("tokens"))
+    return one.groupBy("set").agg(F.first("first").alias("first"), F.first("tokens").alias("tokens"))
 
 
 def _later(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -145,80 +138,87 @@ def _later(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(100 * both >= percent * union).select(later.alias("set")).distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, least_words: int = 5, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, levels: bytes, percent: int) -> DataFrame:
+    tokens = cut(_tokens_of(pairs.select(F.explode(F.array("a", "b")).alias("set")), sets, texts, levels), "tokens")
+    gone = cut(_later(pairs, tokens, percent), "gone")
+    drop(tokens)
+    return gone
+
+
+def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``doc``, ``version``, ``lines`` array<int>): the numbers of the lines that go, of documents that lose any."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("version"),
                         F.col(text_col).alias("text")).filter("text IS NOT NULL")
     levels = word_levels(texts)
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "version", "line")
-    # One pass over the texts: sizes, prefixes and a hash of each line's set.
-    held = (_lines(texts).select("doc", "version", "line", _tokens(F.col("body"), levels).alias("tokens"))
-            .withColumn("n", F.size("tokens")).filter(F.col("n") >= least_words))
-    held = cut(held.select("doc", "version", "line", "n", F.xxhash64("tokens").alias("set"),
-                           F.transform(F.slice("tokens", F.lit(1), _prefix_size(percent)),
-                                       lambda t: F.hash(t)).alias("prefix")), "lines")
-    whole = held
-    sets = cut(held.groupBy("set").agg(F.min(place).alias("first"), F.first("n").alias("n"),
-                                       F.first("prefix").alias("prefix")), "sets")
+    # One pass over the texts: sizes, prefixes, a bitmap and a hash of each line's set.
+    lines = texts.select("doc", "version", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    held = (lines.filter(F.trim("body", F.lit(_SPACE)) != "")
+            .select("doc", "version", "line", _tokens(F.col("body"), levels).alias("tokens")).withColumn("n", F.size("tokens")))
+    # A set that one word more or less makes unlike has only equal ones: no prefix.
+    prefix = F.when(100 * F.col("n") >= percent * (F.col("n") + 1), F.slice("tokens", F.lit(1), _prefix_size(percent)))
+    whole = cut(held.select("doc", "version", "line", "n", F.xxhash64("tokens").alias("set"), _bitmap(F.col("tokens")).alias("bits"),
+                            F.coalesce(prefix, F.array().cast("array<bigint>")).alias("prefix")), "lines")
+    sets = cut(whole.groupBy("set").agg(F.min(place).alias("first"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix"))), "sets")
     held = cut(whole.select("set", "doc", "version", "line"), "lines")
     drop(whole)
-    release(spark)
-
-    rows = sets.select("set", "n", F.posexplode("prefix").alias("at", "key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
-    index = cut(rows.join(shared, "key"), "index")
-    release(spark)
-    cold = index.filter(F.col("many") < HOT).drop("many")
-    hot = cut(index.filter(F.col("many") >= HOT).drop("many"), "hot")
-    lead = (hot.join(sets.select("set", "first"), "set").groupBy("key")
-            .agg(F.min(F.struct("first", "set", "n", "at")).alias("lead"))
-            .select("key", "lead.set", "lead.n", "lead.at"))
-    shares = cut(_pairs(cold, cold, percent, once=True).union(_pairs(hot, lead, percent)).distinct(), "pairs")
-    drop(index)
-    release(spark)
-    pairs = cut(_promising(shares, sets, percent), "pairs")
-    drop(shares)
-    release(spark)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("set"))
-    tokens = cut(_tokens_of(asked, sets, texts, levels), "tokens")
-    release(spark)
-    gone = cut(_later(pairs, tokens, percent), "gone")
-    release(spark)
+
+    index = sets.select("set", "n", "bits", F.coalesce("first.doc", F.lit((1 << 63) - 1)).alias("doc"),
+                        F.posexplode("prefix").alias("at", "key"))
+    by_key = W.partitionBy("key")
+    index = (index.withColumn("many", F.count("*").over(by_key))
+             .withColumn("lead", F.min(F.struct("doc", "set", "n", "at", "bits")).over(by_key)))
+    cold = index.filter((F.col("many") > 1) & (F.col("many") < HOT) & F.col("lead").isNotNull())
+    hot = index.filter(F.col("many") >= HOT)
+    pair = ["a", "b", "key", "set", "n", "at", "bits"]
+    none = [F.lit(None).cast("long").alias(c) for c in ("key", "set")] + [F.lit(None).cast("int").alias(c) for c in ("n", "at")]
+    met = (_left(cold).join(cold, "key").filter((F.col("l_set") < F.col("set")) & _close(percent))
+           .select(F.col("l_set").alias("a"), F.col("set").alias("b"), *none, F.lit(None).cast("long").alias("bits")))
+    lead = [F.col(f"lead.{c}").alias(f"l_{c}") for c in ("set", "n", "at", "bits")]
+    led = hot.select("key", "set", "n", "at", "bits", *lead)
+    good = (F.col("l_set") != F.col("set")) & _close(percent)
+    led = led.select(F.when(good, F.col("l_set")).alias("a"), F.when(good, F.col("set")).alias("b"), "key", "set", "n", "at", "bits")
+    met = cut(met.select(*pair).union(led.select(*pair)), "met")
+    hot = met.filter("key IS NOT NULL")
+    pairs = cut(met.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+    drop_now = [pairs]
+    gone = _verified(pairs, sets, texts, levels, percent)
 
     # What the leaders of hot keys did not remove meets all sets of those keys.
     open_ = hot.join(gone, "set", "left_anti")
-    more = cut(_promising(_pairs(open_, hot, percent).distinct(), sets, percent), "pairs")
-    release(spark)
-    tokens = cut(_tokens_of(more.select(F.explode(F.array("a", "b")).alias("set")), sets, texts, levels), "tokens")
-    gone = cut(gone.union(_later(more, tokens, percent)).distinct(), "gone")
-    release(spark)
+    more = cut(_left(open_).join(hot.drop("a", "b"), "key").filter((F.col("l_set") != F.col("set")) & _close(percent))
+               .select(F.least("l_set", "set").alias("a"), F.greatest("l_set", "set").alias("b")).distinct(), "pairs")
+    drop(met, *drop_now)
+    gone = cut(gone.union(_verified(more, sets, texts, levels, percent)).distinct(), "gone")
 
     verdict = sets.select("set", "first").join(gone.withColumn("gone", F.lit(True)), "set", "left")
     lost = (held.select("set", "doc", "version", "line").join(verdict, "set")
             .filter(F.coalesce("gone", F.lit(False)) | (place > F.col("first"))))
-    return lost.groupBy("doc", "version").agg(F.collect_set("line").alias("lines"))
+    out = cut(lost.groupBy("doc", "version").agg(F.collect_set("line").alias("lines")), "lost")
+    drop(sets, held, more)
+    return out
 
 
-def dedup(docs: DataFrame, percent: int = 80, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text",
+def dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
           counts: bool = True) -> DataFrame:
     """``docs`` without near-duplicate lines.
 
     With ``counts``, ``n_lines`` and ``n_removed`` (long) are added (underscores in front of taken names).
     """
-    lost = removed_lines(docs, percent, least_words, id_col, text_col).toDF("l_doc", "l_version", "l_lines")
+    lost = removed_lines(docs, percent, id_col, text_col).toDF("l_doc", "l_version", "l_lines")
     keys = {c: free_name(docs, c) for c in ("l_doc", "l_version", "l_lines", "n_lines", "n_removed")}
     lost = lost.toDF(*(keys[c] for c in ("l_doc", "l_version", "l_lines")))
     match = (F.col(keys["l_doc"]).eqNullSafe(F.col(id_col))
              & (F.col(keys["l_version"]) == F.xxhash64(F.col(text_col))))
     joined = docs.join(lost, match, "left")
-    gone = F.coalesce(F.col(keys["l_lines"]), F.array().cast("array<int>"))
+    gone = F.col(keys["l_lines"])
     parts = F.split(F.col(text_col), "\n")
-    kept = F.filter(parts, lambda line, i: ~F.array_contains(gone, i))
-    text = F.when(F.size(gone) == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    # Set operations find the lines that stay in one go, however many were lost.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    text = F.when(gone.isNull(), F.col(text_col)).otherwise(kept)
     out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
         out += [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long").alias(keys["n_lines"]),
-                F.size(gone).cast("long").alias(keys["n_removed"])]
+                F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(keys["n_removed"])]
     return joined.select(*out)

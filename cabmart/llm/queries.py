@@ -55,7 +55,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup(docs, percent=80, least_words=5)
+    return line_dedup.dedup(docs, percent=80)
 
 
 def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def line_words(line):
     return frozenset(w for w in re.split(r"[ \t\x0B\f\r]+", line.lower()) if w)
 
 
-def dedup_lines(rows, percent=80, least=5):
+def dedup_lines(rows, percent=80):
     """rows: (id, text) with ids in order. The texts without near-duplicate lines."""
     seen, out = [], []
     for _, text in rows:
@@ -54,7 +54,7 @@ def dedup_lines(rows, percent=80, least=5):
         kept = []
         for line in text.split("\n"):
             words = line_words(line)
-            if len(words) >= least:
+            if words:
                 gone = any(100 * len(words & s) >= percent * len(words | s) for s in seen
                            if 100 * min(len(s), len(words)) >= percent * max(len(s), len(words)))
                 seen.append(words)

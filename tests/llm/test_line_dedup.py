@@ -61,5 +61,24 @@ def test_edge_cases(spark):
     for r in out.collect():
         got.setdefault(r.doc_id, []).append(r.text)
     assert got[1] == [a] and got[3] == [b] and got[None] == [""] and got[4] == [None] and got[5] == [""] and got[6] == ["\n\n"]
-    assert sorted(got[7]) == ["", "", ""] and got[9] == [""] and got[2] == ["a b c d\na b c d"] and len(got[8][0]) > 100_000
+    assert sorted(got[7]) == ["", "", ""] and got[9] == [""] and got[2] == ["a b c d"] and len(got[8][0]) > 100_000
     assert L.dedup(df.filter("false")).count() == 0
+
+
+def test_short_lines_and_small_sets(spark):
+    """Lines of any number of words are compared; sets of four and five words can be similar."""
+    rows = [(1, "all rights reserved\nx\n\n"), (2, "All rights  reserved\nX\n \t\ny"), (3, "a b c d e"), (4, "a b c d"), (5, "a b c"),
+            (6, "reserved all rights"), (7, "- -")]
+    got = {r.doc_id: r.text for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "all rights reserved\nx\n\n", 2: " \t\ny", 3: "a b c d e", 4: "", 5: "a b c", 6: "", 7: "- -"}
+    assert [got[i] for i, _ in rows] == dedup_lines(rows)
+
+
+def test_frequent_words_and_hot_keys(spark, monkeypatch):
+    """With few levels and a low bound, every key is hot and most pairs meet in the second round."""
+    monkeypatch.setattr(L, "HOT", 3)
+    monkeypatch.setattr(L, "KEPT", 20)
+    for seed in (5, 6):
+        rows = corpus(seed)
+        got = {r.doc_id: r.text for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+        assert [got[i] for i, _ in rows] == dedup_lines(rows)
