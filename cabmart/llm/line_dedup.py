@@ -164,7 +164,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     drop(whole)
 
     index = sets.select("set", "n", "bits", F.coalesce("first.doc", F.lit((1 << 63) - 1)).alias("doc"),
-                        F.posexplode("prefix").alias("at", "key"))
+                        F.posexplode("prefix").alias("at", "key")).filter("key IS NOT NULL")    # one exchange serves all below
     by_key = W.partitionBy("key")
     index = (index.withColumn("many", F.count("*").over(by_key))
              .withColumn("lead", F.min(F.struct("doc", "set", "n", "at", "bits")).over(by_key)))
