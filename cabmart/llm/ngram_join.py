@@ -1,29 +1,29 @@
 """Exact Jaccard self-join of word n-gram sets, and the groups it links (operator 10).
 
 Token-combination prefixes.  Tokens are the 64-bit hashes of a document's
-distinct n-grams, in a global order from rare to frequent.  Two sets of sizes
-x >= y with Jaccard similarity of at least t share k tokens or more within
-their first |s| - ceil(t |s|) + k tokens (the prefix, extended by k - 1).
-With k = 2:
-
-* a token that few groups share is *rare*: it is indexed alone;
-* a token that many groups share is *frequent*: pairs of frequent tokens of an
-  extended prefix are indexed instead.
-
-A similar pair shares two tokens; if one is rare it meets there, else it meets
-at a pair of frequent tokens.  What meets, passes the length and positional
-bounds and is not linked already is verified on whole texts.
+distinct n-grams.  In the order of the hashes, two sets of sizes x and y with a
+Jaccard similarity of at least t share min(k(x), k(y)) tokens or more within their
+first |s| - ceil(t |s|) + k(|s|), where k(s) = 2 + s / ``PART``: the extended prefix.
+
+1. All tokens of all extended prefixes are shuffled, and each is counted exactly:
+   only tokens that two groups or more share (see below) stay.
+2. A set that has fewer of these left than it has to share with its smallest possible partner
+   is similar to none: it leaves the index.
+3. What is left of a set is ordered from rare to frequent by the counts, and of it again a
+   prefix is indexed.  A token that few groups share is *rare*: it is indexed alone.  A token that
+   many groups share is *frequent*: pairs of frequent tokens are indexed, as two shared
+   tokens lie in a prefix that is one longer.  Large sets, whose pairs would be too many, index frequent
+   tokens alone; sets of about that size do both.
+4. What meets at a key, passes the length bound and is not linked already is verified on whole texts.
 
 Copies cost little: documents with equal sets are one class; classes that
-share a min-hash are first verified against the one of most common tokens
-among them (of near copies, their source) and linked; and then only keys that join *different* groups are kept, the largest group of
-a key meeting the rest but not itself.  Neither step takes a decision that the
-exact one would not: links are verified, and pairs are left out only if they
-are connected already.
+share a min-hash are first verified against the one whose min-hashes most others share
+(of near copies, their source) and linked; and then only keys that join *different*
+groups are kept, the largest group of a key meeting the rest but not itself.  Neither step takes a
+decision that the exact one would not: links are verified, and pairs are left
+out only if they are connected already.
 
-The order comes from counts of all documents' tokens in ``COUNTERS`` hashed
-counters (any order gives the same result).  Two different n-grams share a
-hash with a probability of 2**-64.
+Two different n-grams share a hash with a probability of 2**-64.
 
 Defined results: a null text has no words; a document without words has an
 empty set, is linked with nothing and is its own group; fewer than n words
@@ -33,21 +33,18 @@ repeated rows are equal sets, hence one group; an empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, free_name, release
 from .components import components
 from .words import Words, mix, ngrams, runs
 
-COUNTERS = 1 << 22
-_PARTS = 16
 #: Min-hashes for the first links; groups that share a token from which on it counts as frequent.
 MINHASHES, FREQUENT = 6, 64
+#: A prefix is extended by one token for so many of a set; sets from which on frequent tokens are indexed alone.
+PART, LARGE = 20, 1024
 ROW = ["none", "id", "version"]
 
 
@@ -86,22 +83,15 @@ def signatures(gram: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def profile(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """Of each document its set's size, signature and min-hashes; of each task the counts of its tokens.
-
-    Rows of counts have ``part`` and ``counts`` and no document.
-    """
-    step = COUNTERS // _PARTS
-    names = ["doc_id", "version", "n", "node", "minhash", "part", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    """Of each document its set's size, signature and min-hashes."""
+    names = ["doc_id", "version", "n", "node", "minhash"]
 
     def run(batches):
-        counters = np.zeros(COUNTERS, dtype=np.uint32)
         for batch in batches:
             ids, versions = batch.column(0), batch.column(1)
             done = 0
             for part in runs([(t or "").encode() for t in batch.column(2).to_pylist()]):
                 text, gram = shingles(part, n)
-                np.add.at(counters, (gram % np.uint64(COUNTERS)).astype(np.int64), np.uint32(1))
                 bounds = _bounds(text, len(part))
                 size = np.diff(bounds)
                 node = signatures(gram, bounds).view(np.int64)
@@ -112,87 +102,46 @@ def profile(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                     least[full, k] = mix(np.minimum.reduceat(value, bounds[full]) + np.uint64(k)).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * MINHASHES),
                                                 pa.array(least.ravel()))
-                none = [pa.nulls(len(part), type=k) for k in kinds[5:]]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(done, len(part)), versions.slice(done, len(part)), pa.array(size, type=pa.int32()), pa.array(node), flat, *none],
-                    names=names)
+                    [ids.slice(done, len(part)), versions.slice(done, len(part)), pa.array(size, type=pa.int32()),
+                     pa.array(node), flat], names=names)
                 done += len(part)
-        for p in range(_PARTS):
-            own = counters[p * step:(p + 1) * step]
-            if own.any():
-                row = [None, None, None, None, None, p, _packed(own)]
-                yield pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row, kinds)], names=names)
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"),
                         F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, version long, n int, node long, minhash array<long>, part int, counts binary"))
-
-
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts as bytes; those of one task are mostly zeros."""
-    return zlib.compress(counts.astype("<i8").tobytes(), 1)
-
+            .mapInArrow(run, "doc_id long, version long, n int, node long, minhash array<long>"))
 
-def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the counters of a group, batch by batch."""
-    total = np.zeros(COUNTERS // _PARTS, dtype=np.int64)
-    for batch in batches:
-        for c in batch.column(batch.schema.get_field_index("counts")):
-            total += np.frombuffer(zlib.decompress(c.as_py()), dtype="<i8")
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], type=pa.int32()), pa.array([_packed(total)])],
-                                     names=["part", "counts"])
 
+def _shared_least(size):
+    """k: tokens that two sets share in their extended prefixes, if the smaller has ``size``."""
+    return 2 + size // PART
 
-def frequencies(profiled: DataFrame) -> np.ndarray:
-    """The counters of all tasks together, as steps of a quarter of a power of two (one byte each)."""
-    rows = profiled.filter("part IS NOT NULL").select("part", "counts", (F.spark_partition_id() % 32).alias("lot"))
-    rows = rows.groupBy("part", "lot").applyInArrow(_add, "part int, counts binary")
-    step = COUNTERS // _PARTS
-    out = np.zeros(COUNTERS)
-    for r in rows.groupBy("part").applyInArrow(_add, "part int, counts binary").collect():   # _PARTS rows
-        out[r.part * step:(r.part + 1) * step] = np.frombuffer(zlib.decompress(r.counts), dtype="<i8")
-    return np.minimum(255, np.floor(4 * np.log2(out + 1))).astype(np.uint8)
-
-
-def prefixes(docs: DataFrame, n: int, percent: int, level: np.ndarray, text_col: str) -> DataFrame:
-    """(``node``, ``n``, ``common``, ``keys`` array<int>): the extended prefix of every set, rare tokens first.
-
-    ``common`` is the mean level of its tokens: of near copies, the text that the
-    others were made from has the highest.
-
-    Keys are 32 bits of the tokens: a clash only brings a candidate more.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(level)
 
+def prefixes(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
+    """(``node``, ``n``, ``keys`` array<long>): the extended prefix of every set, in the order of the hashes."""
     def run(batches):
-        order_of, seen = shared.value, set()
+        seen = set()
         for batch in batches:
             for part in runs([(t or "").encode() for t in batch.column(0).to_pylist()]):
-                text, gram = shingles(part, n)
+                text, gram = shingles(part, n)                        # sorted by hash
                 bounds = _bounds(text, len(part))
                 size = np.diff(bounds)
                 node = signatures(gram, bounds).view(np.int64)
-                rank = order_of[(gram % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
-                common = 1000 * np.bincount(text, weights=rank, minlength=len(part)) // np.maximum(size, 1)
-                order = np.lexsort((gram, rank, text))
                 place = np.arange(len(gram)) - np.repeat(bounds[:-1], size)
-                upto = size + (-percent * size) // 100 + 2            # |s| - ceil(t |s|) + k
+                upto = np.minimum(size, size + (-percent * size) // 100 + _shared_least(size))    # |s| - ceil(t |s|) + k
                 fresh = np.zeros(len(part), dtype=bool)
                 for i in np.flatnonzero(size).tolist():
                     if node[i] not in seen:
                         seen.add(node[i])
                         fresh[i] = True
                 keep = (place < np.repeat(upto, size)) & np.repeat(fresh, size)
-                keys = (gram[order][keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                count = np.minimum(upto, size)[fresh]
-                ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+                ends = np.concatenate(([0], np.cumsum(upto[fresh]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[fresh]), pa.array(size[fresh], type=pa.int32()),
-                     pa.array(common[fresh].astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["node", "n", "common", "keys"])
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(gram[keep].view(np.int64)))], names=["node", "n", "keys"])
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, n int, common int, keys array<int>")
-    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "common", "keys")])
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, n int, keys array<long>")
+    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "keys")])
 
 
 def _row(doc_id: Column, version: Column) -> list[Column]:
@@ -239,58 +188,59 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
     return (pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
 
 
-def first_links(classes: DataFrame, prefixed: DataFrame) -> DataFrame:
-    """Pairs to verify first: every class with the one of most common tokens that shares a min-hash."""
-    keys = (classes.select("node", F.explode("minhash").alias("key"))
-            .join(prefixed.select("node", "common"), "node"))
-    lead = (keys.groupBy("key").agg(F.max(F.struct("common", "node")).alias("lead"), F.count("*").alias("many"))
-            .filter("many > 1").select("key", F.col("lead.node").alias("b")))
+def first_links(classes: DataFrame) -> DataFrame:
+    """Pairs to verify first: every class with the one of most widely shared min-hashes that has one of its own."""
+    keys = classes.select("node", F.explode("minhash").alias("key"))
+    many = keys.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
+    keys = cut(keys.join(many, "key"), "minhashes")
+    weight = keys.groupBy("node").agg(F.sum("many").alias("weight"))
+    lead = (keys.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("lead"))
+            .select("key", F.col("lead.node").alias("b")))
     return keys.join(lead, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def _meet(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different groups that share a key and pass the length and positional bounds.
+    """Pairs of nodes of different groups that share a key and pass the length bound.
 
-    ``rows``: key, node, comp, n, pos, before.  The largest group of a key meets the
-    others, not itself.  A pair is wanted at the first key it shares; of what lies
-    before that key, only tokens that are indexed otherwise can be shared
-    (``before``, how many of them a set has).
+    ``rows``: key, node, comp, n.  The largest group of a key meets the others, not itself.
     """
     by_group = rows.groupBy("key", "comp").agg(F.count("*").alias("many"))
-    home = by_group.groupBy("key").agg(F.max_by("comp", "many").alias("home"))
-    tagged = rows.join(home, "key")
-    few = tagged.filter("comp <> home").select(*(F.col(c).alias(f"l_{c}") for c in ("node", "comp", "n", "pos", "before")), "key")
-    both = few.join(tagged, "key").filter("l_comp <> comp AND (comp = home OR l_node < node)")
-    shared_most = (F.least("before", "l_before") + 1
-                   + F.least(F.col("n") - F.col("pos") - 1, F.col("l_n") - F.col("l_pos") - 1))
-    close = ((F.lit(100) * F.least("n", "l_n") >= F.lit(percent) * F.greatest("n", "l_n"))
-             & (F.lit(100 + percent) * shared_most >= F.lit(percent) * (F.col("n") + F.col("l_n"))))
-    return (both.filter(close).select(F.greatest("node", "l_node").alias("a"), F.least("node", "l_node").alias("b")))
+    home = by_group.groupBy("key").agg(F.max_by("comp", "many").alias("home"), F.count("*").alias("groups")).filter("groups > 1")
+    tagged = rows.join(home.drop("groups"), "key")
+    few = tagged.filter("comp <> home").select(*(F.col(c).alias(f"l_{c}") for c in ("node", "comp", "n")), "key")
+    close = F.lit(100) * F.least("n", "l_n") >= F.lit(percent) * F.greatest("n", "l_n")
+    both = few.join(tagged, "key").filter((F.col("l_comp") != F.col("comp")) & ((F.col("comp") == F.col("home")) | (F.col("l_node") < F.col("node"))) & close)
+    return both.select(F.greatest("node", "l_node").alias("a"), F.least("node", "l_node").alias("b"))
 
 
 def candidates(prefixed: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs (``a``, ``b``) of nodes of different groups that the prefix index brings together."""
-    held = (prefixed.join(groups, "node", "left")
-            .select("node", "n", F.coalesce("comp", "node").alias("comp"), "keys"))
-    rows = held.select("node", "n", "comp", F.posexplode("keys").alias("pos", "key"))
+    rows = (prefixed.select("node", "n", F.explode("keys").alias("key")).join(groups, "node", "left")
+            .select("node", "n", F.coalesce("comp", "node").alias("comp"), "key"))
     joining = (rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                .filter("lo <> hi").select("key"))
     rows = cut(rows.join(joining, "key"), "index")       # tokens that join different groups: few
+    smallest = F.ceil(F.col("n") * percent / 100).cast("int")
+    need = (F.lit(2) + F.floor(smallest / PART)).cast("int")            # k of the smallest set it can be similar to
+    need = F.least(need, smallest)                       # a small set is all prefix
     spread = rows.groupBy("key", "comp").count().groupBy("key").agg(F.count("*").alias("groups"))
-    rows = rows.join(spread, "key")
-    often = (rows.filter(F.col("groups") >= FREQUENT).groupBy("node", "n", "comp")
-             .agg(F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("tokens")))    # at most a prefix
-    singles = (rows.filter(F.col("groups") < FREQUENT).drop("groups")
-               .join(often.select("node", F.size("tokens").alias("before")), "node", "left")
-               .withColumn("before", F.coalesce("before", F.lit(0))))
-    two = (often.select("node", "n", "comp", "tokens", F.posexplode("tokens").alias("i", "one"))
-           .select("node", "n", "comp", "one", F.explode(F.expr("slice(tokens, i + 2, size(tokens))")).alias("other"))
-           .select("node", "n", "comp", F.xxhash64("one.key", "other.key").alias("key"), F.col("one.pos").alias("pos"),
-                   F.lit(0).alias("before")))
-    joining = (two.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-               .filter("lo <> hi").select("key"))
-    pairs = _meet(two.join(joining, "key"), percent)
-    return _meet(singles.withColumn("key", F.col("key").cast("long")), percent).union(pairs).distinct()
+    held = (rows.withColumn("need", need).join(spread, "key").groupBy("node", "n", "comp", "need")
+            .agg(F.array_sort(F.collect_list(F.struct("groups", "key"))).alias("tokens"))      # at most a prefix
+            .filter(F.size("tokens") >= F.col("need")))
+    held = cut(held.select("node", "n", "comp", F.slice("tokens", F.lit(1), F.size("tokens") - F.col("need") + F.least("need", F.lit(2)))
+                           .alias("tokens"), F.size("tokens").alias("left"), "need"), "held")
+    # The first shared token is alone an answer if it is rare; if not, the second is frequent as well.
+    often = F.filter("tokens", lambda t: t["groups"] >= FREQUENT)
+    at = F.posexplode("tokens").alias("at", "token")
+    alone = held.select("node", "comp", "n", "left", "need", at).filter(
+        (F.col("at") <= F.col("left") - F.col("need")) & ((F.col("token.groups") < FREQUENT) | (F.col("n") >= LARGE * percent / 100) | (F.col("need") < 2)))
+    alone = alone.select("node", "comp", "n", F.col("token.key").alias("key"))
+    two = (held.filter((F.col("n") < LARGE * 100 / percent) & (F.col("need") >= 2))
+           .select("node", "comp", "n", often.alias("tokens"))
+           .select("node", "comp", "n", "tokens", F.posexplode("tokens").alias("i", "one"))
+           .select("node", "comp", "n", "one", F.explode(F.expr("slice(tokens, i + 2, size(tokens))")).alias("other"))
+           .select("node", "comp", "n", F.xxhash64("one.key", "other.key").alias("key")))
+    return _meet(alone, percent).union(_meet(two, percent)).distinct()
 
 
 def link(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
@@ -302,17 +252,16 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     its group and the group's smallest id, null if it has none.  Two sets are linked
     when 100 * |intersection| >= percent * |union|.
     """
-    profiled = cut(profile(docs, n, id_col, text_col), "profile")
-    level = frequencies(profiled)
-    rows = profiled.filter("part IS NULL")
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 (a pair of tokens has to be shared)")
+    rows = cut(profile(docs, n, id_col, text_col), "profile")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
     classes = cut(rows.filter("n > 0").groupBy("node").agg(F.min(place).alias("rep"), F.first("minhash").alias("minhash")),
                   "classes")
-    prefixed = cut(prefixes(docs, n, percent, level, text_col), "prefixes")
-    release(docs.sparkSession)
-    first = cut(first_links(classes, prefixed), "first")
+    first = cut(first_links(classes), "first")
     links = cut(verify(first, classes, docs, n, percent, id_col, text_col), "links")
     groups = components(links)
+    prefixed = cut(prefixes(docs, n, percent, text_col), "prefixes")
     release(docs.sparkSession)
     pairs = cut(candidates(prefixed, groups, percent), "pairs")
     release(docs.sparkSession)
@@ -346,9 +295,13 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
                 .select("comp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version").alias("row")), "named")
     first = named.groupBy("comp").agg(F.min("row").alias("first"))
     gone = (named.join(first, "comp").filter("row <> first").select("row.doc_id", "row.version").distinct())
-    a, b, c, d = (free_name(docs, x) for x in ("version", "g_doc", "g_version", "number"))
+    a, b, c = (free_name(docs, x) for x in ("version", "g_doc", "g_version"))
     gone = gone.toDF(b, c)
     kept = docs.withColumn(a, F.xxhash64(text_col)).join(
         gone, F.col(b).eqNullSafe(F.col(id_col).cast("long")) & (F.col(a) == F.col(c)), "left_anti")
-    once = W.partitionBy(id_col, a).orderBy(F.lit(0))
-    return kept.withColumn(d, F.row_number().over(once)).filter(F.col(d) == 1).select(*docs.columns)
+    # Rows that repeat an id and text are few, or copies of few: only they are brought together.
+    again = (rows.groupBy("doc_id", "version").count().filter("count > 1").select("doc_id", "version").toDF(b, c))
+    match = F.col(b).eqNullSafe(F.col(id_col).cast("long")) & (F.col(a) == F.col(c))
+    once = kept.join(again, match, "left_anti")
+    first = kept.join(again, match, "left_semi").dropDuplicates([id_col, a])
+    return once.select(*docs.columns).unionByName(first.select(*docs.columns))

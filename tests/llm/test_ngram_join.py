@@ -37,8 +37,9 @@ def expected(rows, n, percent):
     return {i: (s, least[g] if s else i) for (i, _), s, g in zip(rows, sizes, group)}
 
 
-@pytest.mark.parametrize("seed, n, percent, frequent", [(1, 4, 85, 64), (2, 5, 80, 3), (3, 2, 60, 2), (4, 1, 70, 4)])
-def test_against_plain_python(spark, monkeypatch, seed, n, percent, frequent):
+@pytest.mark.parametrize("seed, n, percent, frequent, large", [(1, 4, 85, 64, 1024), (2, 5, 80, 3, 1024), (3, 2, 60, 2, 30), (4, 1, 70, 4, 8)])
+def test_against_plain_python(spark, monkeypatch, seed, n, percent, frequent, large):
+    monkeypatch.setattr(J, "LARGE", large)               # some sets index frequent tokens alone
     monkeypatch.setattr(J, "FREQUENT", frequent)         # few groups make a token frequent: pairs of tokens are used
     monkeypatch.setattr(J, "MINHASHES", 1)               # weak first links leave the rest to the exact index
     rows = corpus(seed)

@@ -85,3 +85,14 @@ def test_no_forbidden_calls(name):
     import inspect
     import cabmart.llm.queries as Q
     assert "localCheckpoint" not in inspect.getsource(Q) and name in Q.QUERIES
+
+
+def test_a_stage_leaves_the_cuts_of_other_queries(spark):
+    """A frame of a single query can be read after stages of a chain have deleted their own cuts."""
+    from cabmart.llm import ngram_join
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    frame = ngram_join.join(docs)
+    n = frame.count()
+    for _ in range(2):
+        C.STAGES[3][1](spark, docs, SF_SMALL)
+    assert frame.count() == n == docs.count()
