@@ -36,7 +36,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import cut, drop, free_name
+from .common import cut, drop, free_name, release
 
 #: Most frequent words that have a level of their own, and places of the table that holds the levels.
 KEPT, PLACES = 1 << 17, 1 << 20
@@ -179,16 +179,16 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     good = (F.col("l_set") != F.col("set")) & _close(percent)
     led = led.select(F.when(good, F.col("l_set")).alias("a"), F.when(good, F.col("set")).alias("b"), "key", "set", "n", "at", "bits")
     met = cut(met.select(*pair).union(led.select(*pair)), "met")
+    release(docs.sparkSession)                           # the index was large, what met is less
     hot = met.filter("key IS NOT NULL")
     pairs = cut(met.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs")
-    drop_now = [pairs]
     gone = _verified(pairs, sets, texts, levels, percent)
 
     # What the leaders of hot keys did not remove meets all sets of those keys.
     open_ = hot.join(gone, "set", "left_anti")
     more = cut(_left(open_).join(hot.drop("a", "b"), "key").filter((F.col("l_set") != F.col("set")) & _close(percent))
                .select(F.least("l_set", "set").alias("a"), F.greatest("l_set", "set").alias("b")).distinct(), "pairs")
-    drop(met, *drop_now)
+    drop(met, pairs)
     gone = cut(gone.union(_verified(more, sets, texts, levels, percent)).distinct(), "gone")
 
     verdict = sets.select("set", "first").join(gone.withColumn("gone", F.lit(True)), "set", "left")
