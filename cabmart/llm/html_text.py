@@ -13,7 +13,7 @@ same messages).  Labelled are pages that mark their main part themselves
 (``article``, ``main`` or such a role): its blocks are content, but for blocks
 inside it that are navigation, notes, forms, adverts or comments by tag or
 class; everything else is not.  At most ``SAMPLE`` pages (in the order of a
-hash of the id) of at most ``LONGEST`` bytes are used for the fit, besides a
+hash of the id) of at most ``LONGEST`` bytes and ``DEEPEST`` levels are used for the fit, besides a
 few hand-labelled layouts that are part of this module; every page is scored
 whole.
 
@@ -24,12 +24,15 @@ itself; an empty table gives an empty table; unclosed and stray tags, cut-off
 markup and unknown elements are taken as they come.  An element that is not
 shown (``svg``, ``iframe``, ``noscript``, ...) hides what lies before its own
 end tag, and nothing if that never comes; ``head`` ends at its end tag or at the
-first thing that cannot be in it.
+first thing that cannot be in it; a comment without an end goes on to the page's
+end.  The work grows with the page's length, whatever its depth.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -38,10 +41,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import free_name
 
-#: Labelled pages for the fit and the longest of them; hashed features; steps of the fit.
-SAMPLE, LONGEST, FEATURES, STEPS = 400, 200_000, 1 << 13, 150
-#: Nodes whose messages are passed together.
-TOGETHER = 20_000
+#: Labelled pages for the fit, the longest and the deepest of them; hashed features; steps of the fit.
+SAMPLE, LONGEST, DEEPEST, FEATURES, STEPS = 400, 200_000, 256, 1 << 13, 150
+#: Nodes whose messages are passed together, and levels from which on a tree's go node by node.
+TOGETHER, DEEP = 20_000, 1_000
 
 # HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -85,30 +88,49 @@ class Tree(HTMLParser):
         self.shown = shown                                         # unseen elements, by number, that hide nothing
         self.n_unseen, self.unclosed = 0, set()
         self.hidden: list[tuple[str, int]] = []                    # from the outermost unseen element on: tag and number
+        self.n_hidden = Counter()                                  # their tags
         self.nodes = [Node("body", -1, (), 0)]
         self.texts: list[tuple[int, int, str]] = []
         self.open: list[tuple[str, int]] = [("body", 0)]           # tag and node (inline elements keep their block's)
+        self.places = defaultdict(list)                            # places in it of each tag, and of all blocks ("")
         self.block = self.links = 0
 
+    def _push(self, tag: str, node: int):
+        self.places[tag].append(len(self.open))
+        if tag not in INLINE:
+            self.places[""].append(len(self.open))
+        self.open.append((tag, node))
+
     def _pop(self, at: int):
         for tag, _ in self.open[at:]:
             self.links -= tag == "a"
+            self.places[tag].pop()
             if tag not in INLINE:
+                self.places[""].pop()
                 self.block += 1
         del self.open[at:]
 
+    def _place(self, tag: str) -> int:
+        """The place of the innermost open ``tag``, 0 if there is none."""
+        at = self.places.get(tag)
+        return at[-1] if at else 0
+
+    def _hide(self, tag: str, number: int):
+        self.hidden.append((tag, number))
+        self.n_hidden[tag] += 1
+
     def handle_starttag(self, tag, attrs):
         if self.hidden and self.hidden[0][0] == "head" and (
                 tag == "body" or len(self.hidden) == 1 and tag not in IN_HEAD):
-            self.hidden = []
+            self.hidden, self.n_hidden = [], Counter()
         if tag in UNSEEN:
             self.n_unseen += 1
             if self.n_unseen not in self.shown:
-                self.hidden.append((tag, self.n_unseen))
+                self._hide(tag, self.n_unseen)
             return
         if self.hidden:
             if tag not in VOID:
-                self.hidden.append((tag, 0))
+                self._hide(tag, 0)
             return
         if tag in ("html", "body"):
             return
@@ -119,7 +141,7 @@ class Tree(HTMLParser):
                 self.block += 1
             return
         if tag in INLINE:
-            self.open.append((tag, self.open[-1][1]))
+            self._push(tag, self.open[-1][1])
             self.links += tag == "a"
             return
         if tag in CLOSES_P:
@@ -133,16 +155,14 @@ class Tree(HTMLParser):
         parent = self.open[-1][1]
         self.nodes[parent].n_children += 1
         self.nodes.append(Node(tag, parent, tuple(words), self.nodes[parent].depth + 1))
-        self.open.append((tag, len(self.nodes) - 1))
+        self._push(tag, len(self.nodes) - 1)
         self.block += 1
 
     def _close(self, tag, within):
         """Close the innermost open ``tag`` unless an element of ``within`` lies inside it."""
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                return self._pop(at)
-            if self.open[at][0] in within:
-                return
+        at = self._place(tag)
+        if at and all(self._place(other) <= at for other in within):
+            self._pop(at)
 
     def _show(self):
         """End the unseen elements that are open.  Those that lack an end tag they need are noted.
@@ -150,27 +170,27 @@ class Tree(HTMLParser):
         (A script or style without one goes on to the page's end.)
         """
         self.unclosed.update(number for tag, number in self.hidden if number and tag not in ("head", "script", "style"))
-        self.hidden = []
+        self.hidden, self.n_hidden = [], Counter()
 
     def _opened(self, tag) -> int:
         """The place of the open element that an end tag closes, 0 if there is none."""
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                return at
-            if tag in INLINE and self.open[at][0] not in INLINE:
-                return 0                                 # a stray end of an inline element closes no block
-        return 0
+        at = self._place(tag)
+        if tag in INLINE and self._place("") > at:
+            return 0                                     # a stray end of an inline element closes no block
+        return at
 
     def handle_startendtag(self, tag, attrs):
-        if tag in UNSEEN or any(t in FOREIGN for t, _ in self.hidden):
+        if tag in UNSEEN or any(self.n_hidden[t] for t in FOREIGN):
             return
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        for at in range(len(self.hidden) - 1, -1, -1):
-            if self.hidden[at][0] == tag:
-                del self.hidden[at:]
-                return
+        if self.n_hidden[tag]:
+            closed = ""
+            while closed != tag:
+                closed, _ = self.hidden.pop()
+                self.n_hidden[closed] -= 1
+            return
         at = self._opened(tag)
         if at:
             if self.hidden:
@@ -190,15 +210,19 @@ class Tree(HTMLParser):
             self.nodes[node].n_links += size if self.links > 0 else 0
 
 
+    def read(self, html: str) -> "Tree":
+        self.feed(html)
+        if self.rawdata.startswith("<!--") and self.cdata_elem is None:
+            self.rawdata = ""                            # a comment without an end
+        self.close()
+        return self
+
+
 def parse(html: str) -> Tree:
-    tree = Tree()
-    tree.feed(html)
-    tree.close()
+    tree = Tree().read(html)
     tree._show()
     if tree.unclosed:                                    # rare: read again, now that it is known which elements have no end
-        tree = Tree(frozenset(tree.unclosed))
-        tree.feed(html)
-        tree.close()
+        tree = Tree(frozenset(tree.unclosed)).read(html)
     return tree
 
 
@@ -308,15 +332,18 @@ def marginals(forest: Forest, weights: np.ndarray, edges: np.ndarray, joint: boo
     n = len(forest.parent)
     own = np.zeros((n, 2))
     own[:, 1] = np.bincount(forest.row, weights=weights[forest.features], minlength=n)
+    if len(forest.levels) > DEEP and not joint:
+        return _node_by_node(forest, own[:, 1], edges)
     up, message = own.copy(), np.zeros((n, 2))
     for level in forest.levels[:0:-1]:                   # from the leaves to the root
         message[level] = _lse(up[level][:, None, :] + edges[forest.kind[level]], 2)
+        above, at = np.unique(forest.parent[level], return_inverse=True)
         for s in (0, 1):
-            up[:, s] += np.bincount(forest.parent[level], weights=message[level, s], minlength=n)
+            up[above, s] += np.bincount(at, weights=message[level, s])
     down = np.zeros((n, 2))
     pairs = np.zeros((n, 2, 2)) if joint else None
     for level in forest.levels[1:]:                      # and back
-        above = (up + down)[forest.parent[level]] - message[level]
+        above = up[forest.parent[level]] + down[forest.parent[level]] - message[level]
         both = above[:, :, None] + edges[forest.kind[level]]
         down[level] = _lse(both, 1)
         if joint:
@@ -327,6 +354,27 @@ def marginals(forest: Forest, weights: np.ndarray, edges: np.ndarray, joint: boo
     return (content, pairs) if joint else content
 
 
+def _node_by_node(forest: Forest, own: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The same messages as log odds, for trees with few nodes a level."""
+    def passed(odds, table):                             # log odds of what (0, odds) sends through a table of potentials
+        (a, b), (c, d) = table
+        low, high = max(a, b + odds), max(c, d + odds)
+        return (high + math.log(math.exp(c - high) + math.exp(d + odds - high))
+                - low - math.log(math.exp(a - low) + math.exp(b + odds - low)))
+
+    parent, kind = forest.parent.tolist(), forest.kind.tolist()
+    to_parent, to_child = edges.tolist(), edges.transpose(0, 2, 1).tolist()
+    up, message = own.tolist(), [0.0] * len(parent)
+    for i in range(len(parent) - 1, -1, -1):             # children come behind their parents
+        if parent[i] >= 0:
+            message[i] = passed(up[i], to_parent[kind[i]])
+            up[parent[i]] += message[i]
+    for i, p in enumerate(parent):                       # from here on, ``up`` of a node done is its belief
+        if p >= 0:
+            up[i] += passed(up[p] - message[i], to_child[kind[i]])
+    return 1 / (1 + np.exp(np.clip(-np.array(up), -500, 500)))
+
+
 class Model:
     def __init__(self):
         self.weights = np.zeros(FEATURES)
@@ -439,7 +487,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
     for r in sorted(picked.collect(), key=lambda r: (r.id is None, r.id or 0, r.html)):  # at most SAMPLE x LONGEST bytes
         tree = parse(r.html)
         gold = labels(tree)
-        if gold is not None:
+        if gold is not None and max(n.depth for n in tree.nodes) <= DEEPEST:
             forest.add(tree, node_features(tree), gold)
     for layout in LAYOUTS * 5:
         tree = parse(layout)

@@ -1,12 +1,13 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
 
 from cabmart.llm import html_text as X
-from conftest import SF_SMALL
+from conftest import SF_MIDDLE, SF_SMALL
 
 
 @pytest.fixture(scope="module")
@@ -56,12 +57,48 @@ def test_messages_give_the_exact_marginals():
      "<ul><li><a href='/x'>more</a></li></ul></aside><div class='comments'><p>i like it</p></div>", "Head Body of it, long enough."),
     ("<article><p>cut off in the mid", "cut off in the mid"), ("</div></p><article><p>stray</b></p></article></article>", "stray"),
     ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", None),
+    ("<article><p>The text.</p><!-- never closed <p>hidden</p></article>", "The text."),
+    ("<article><p>The <!-- closed -->text.</p></article><!-- a <!-- b", "The text."),
+    ("<article><p>Less < more, a <!-- b --> c.</p></article>", "Less < more, a c."),
 ])
 def test_pages(model, page, text):
     got = list(X.extract_pages([page or ""], model))[0]
     assert isinstance(got, str) if text is None else got == text
 
 
+def test_messages_node_by_node():
+    rng = np.random.default_rng(1)
+    forest = X.Forest()
+    for page in ("<div><p>a</p><ul><li>b</li><li>c</li></ul></div><section><h1>d</h1></section>", "<p>x</p>", "<div>" * 50 + "y"):
+        forest.add(X.parse(page), X.node_features(X.parse(page)))
+    forest.close()
+    weights, edges = rng.normal(0, 0.5, X.FEATURES), rng.normal(0, 2, (X.N_KINDS, 2, 2))
+    own = np.bincount(forest.row, weights=weights[forest.features], minlength=len(forest.parent))
+    assert np.allclose(X._node_by_node(forest, own, edges), X.marginals(forest, weights, edges), atol=1e-12)
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 400_000 + "deep", "<div>" * 180_000 + "deep" + "</div>" * 180_000, "<b>" * 300_000 + "<p>" * 300_000,
+    "<p><b>x</b></section>" * 90_000, "<div></section>" * 130_000, "<svg><g>" * 200_000 + "</a>" * 100_000,
+    "<svg>" + "<g/>" * 400_000, "<ul>" + "<li>x" * 350_000, "<table><tr><td>" * 130_000])
+def test_work_grows_with_the_length_of_a_page(model, page):
+    began = time.monotonic()
+    assert isinstance(list(X.extract_pages([page], model))[0], str)
+    assert time.monotonic() - began < 30                 # some 2 MB; quadratic work takes many minutes
+
+
+def test_pages_whose_main_part_has_another_name(spark, small):
+    """Trained on marked pages of one table, asked for the unmarked ones of another."""
+    model = X.fit(spark.read.parquet(f"{SF_SMALL}/pages.parquet"))
+    exact = total = 0
+    for _, _, page in small("pages", "page_id, url, html", SF_MIDDLE):
+        part = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", part)).split())
+        got = list(X.extract_pages([re.sub(r"(</?)article>", r"\1div>", page)], model))[0]
+        exact, total = exact + (got == want), total + 1
+    assert total and exact >= 0.95 * total
+
+
 HEAD = "<html><head><meta charset=utf-8><title>x</title><noscript><img src=a><p>no</p></noscript><style>p{}</style>"
 
 
