@@ -3,12 +3,14 @@
 Vectors are scaled to length one, where the largest cosine is the smallest
 distance, and projected to ``DIMS`` dimensions by a fixed matrix of normal
 (2-stable) numbers.  Each block of vectors is indexed by a kd-tree over the
-projections.  For a query, the tree's leaves come in the order of their
-distance in the projection; the vectors in them are verified by their true
-distance.  As projected^2 / true^2 follows a chi-square law with ``DIMS``
+projections.  For a query, points come one after another in the order of their
+distance in the projection: the tree's leaves are opened by the distance of
+their boxes, and the points of opened leaves wait until no leaf yet to open can
+hold a nearer one.  A point that comes is verified by its true distance, k at
+a time.  As projected^2 / true^2 follows a chi-square law with ``DIMS``
 degrees, a vector nearer than the k-th best found so far, at distance d, has a
 projection within r of the query's with probability chi2(r^2 / d^2); the
-search stops once that reaches ``SURE`` for the next leaf's distance r.
+search stops once that reaches ``SURE`` for the next point's distance r.
 
 Every row is indexed, and there is no cap on how many are verified.  The
 returned scores are the cosines of the original vectors.
@@ -30,9 +32,9 @@ from pyspark.sql import DataFrame, functions as F
 from .stripes import best_per_query, keep_best, usable
 
 #: Dimensions of the projection (even), and how sure the search must be to stop.
-DIMS, SURE = 10, 0.95
-#: Vectors of a leaf, leaves verified between two tests, rows of a block, queries handled at once.
-LEAF, STEP, STRIPE, GROUP, AT_ONCE = 32, 4, 8192, 16_384, 64
+DIMS, SURE = 32, 0.95
+#: Vectors of a leaf, leaves opened at once, rows of a block of candidates and of queries.
+LEAF, STEP, STRIPE, GROUP = 32, 4, 8192, 16_384
 
 
 def chi_square(x: np.ndarray, dims: int) -> np.ndarray:
@@ -66,52 +68,60 @@ def kd_tree(points: np.ndarray, leaf: int = LEAF) -> tuple[list[np.ndarray], np.
             np.array([points[at].max(axis=0) for at in leaves]))
 
 
-def block_search(k: int, dims: int = DIMS, sure: float = SURE):
+def block_search(k: int, dims: int = DIMS, sure: float = SURE, verified=lambda query, n: None):
+    """``verified(query id, n)`` is told how many vectors were verified for a query."""
+    def one(asked, unit_query, own, cand_ids, cand_unit, near, leaves, low, high):
+        """Places that were verified for a query, and their cosines."""
+        gap = np.maximum(0, np.maximum(low - asked, asked - high))
+        apart = (gap * gap).sum(axis=1)
+        order = np.argsort(apart, kind="stable")
+        boxes = np.append(apart[order], np.inf)          # distances of the leaves yet to open
+        held, far = np.zeros(0, dtype=np.int64), np.zeros(0)     # points of opened leaves, by projected distance
+        best, found, scores, opened = np.full(k, -np.inf), [], [], 0
+        while True:
+            ready = int(np.searchsorted(far, boxes[opened], side="right"))
+            if not ready:                                # the next point may lie in a leaf yet to open
+                if opened == len(leaves):
+                    break
+                if _surely_over(boxes[opened], best, dims, sure):
+                    break
+                more = np.concatenate([leaves[i] for i in order[opened:opened + STEP]])
+                opened = min(opened + STEP, len(leaves))
+                more = more[cand_ids[more] != own]
+                apart_more = ((near[more] - asked) ** 2).sum(axis=1)
+                held, far = np.concatenate((held, more)), np.concatenate((far, apart_more))
+                by = np.argsort(far, kind="stable")
+                held, far = held[by], far[by]
+                continue
+            if _surely_over(far[0], best, dims, sure):
+                break
+            take = held[:min(ready, k)]                  # the next points, in the order of their projected distance
+            cosine = cand_unit[take] @ unit_query
+            best = np.sort(np.concatenate((best, cosine)))[-k:]
+            found.append(take)
+            scores.append(cosine)
+            held, far = held[len(take):], far[len(take):]
+        if not found:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        return np.concatenate(found), np.concatenate(scores)
+
     def search(cand_ids, cand, query_ids, queries):
         cand_unit, query_unit = unit(cand), unit(queries)
         matrix = projection(cand.shape[1], dims)
         near, asked = cand_unit @ matrix, query_unit @ matrix
-        leaves, low, high = kd_tree(near)
-        width = max(len(at) for at in leaves)
-        places = np.full((len(leaves) + 1, width), -1)
-        for i, at in enumerate(leaves):
-            places[i, :len(at)] = at
+        tree = kd_tree(near)
         out = []
-        for begin in range(0, len(queries), AT_ONCE):
-            q = np.arange(begin, min(begin + AT_ONCE, len(queries)))
-            gap = np.maximum(0, np.maximum(low[None] - asked[q, None], asked[q, None] - high[None]))
-            apart = (gap * gap).sum(axis=2)
-            order = np.argsort(apart, axis=1, kind="stable")
-            apart = np.take_along_axis(apart, order, axis=1)
-            best = np.full((len(q), k), -np.inf)
-            seen: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in q]
-            active, done = np.arange(len(q)), 0
-            while len(active) and done < len(leaves):
-                take = order[active, done:done + STEP]
-                at = places[take].reshape(len(active), -1)
-                cosine = np.einsum("qcd,qd->qc", cand_unit[at], query_unit[q[active]])
-                cosine[(at < 0) | (cand_ids[at] == query_ids[q[active], None])] = -np.inf
-                for i, row in enumerate(active):
-                    good = cosine[i] >= best[row, 0]
-                    good &= cosine[i] > -np.inf
-                    seen[row].append((at[i, good], cosine[i, good]))
-                joined = np.concatenate((best[active], cosine), axis=1)
-                best[active] = np.sort(np.partition(joined, -k, axis=1)[:, -k:], axis=1)
-                done += take.shape[1]
-                if done < len(leaves):
-                    far = np.maximum(2 - 2 * best[active, 0], 1e-300)     # squared distance of the k-th best
-                    far[~np.isfinite(far)] = np.inf
-                    active = active[chi_square(apart[active, done] / far, dims) < sure]
-            for i, parts in enumerate(seen):
-                at = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, dtype=np.int64)
-                if not len(at):
-                    continue
-                # Scores of the nearest (and of what rounding may have put beside them) from the vectors as given.
-                rough = np.concatenate([p[1] for p in parts])
-                at = at[rough >= best[i, 0] - 1e-12]
-                score = cosines(cand[at], queries[q[i]])
-                pick = keep_best(score, cand_ids[at], k)
-                out.append((np.full(len(pick), query_ids[q[i]]), cand_ids[at[pick]], score[pick]))
+        for i, own in enumerate(query_ids):
+            at, rough = one(asked[i], query_unit[i], own, cand_ids, cand_unit, near, *tree)
+            verified(own, len(at))
+            if not len(at):
+                continue
+            # Scores of the nearest (and of what rounding may have put beside them) from the vectors as given.
+            least = np.partition(rough, -k)[-k] if len(rough) > k else -np.inf
+            at = at[rough >= least - 1e-12]
+            score = cosines(cand[at], queries[i])
+            pick = keep_best(score, cand_ids[at], k)
+            out.append((np.full(len(pick), own), cand_ids[at[pick]], score[pick]))
         if not out:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
         return tuple(np.concatenate([o[n] for o in out]) for n in range(3))
@@ -119,6 +129,14 @@ def block_search(k: int, dims: int = DIMS, sure: float = SURE):
     return search
 
 
+def _surely_over(apart: float, best: np.ndarray, dims: int, sure: float) -> bool:
+    """Whether a vector nearer than the k-th best would, by ``sure``, have a smaller projected distance than ``apart``."""
+    if best[0] == -np.inf:
+        return False
+    far = max(2 - 2 * best[0], 1e-300)                   # squared distance of the k-th best
+    return bool(chi_square(np.array(apart / far), dims) >= sure)
+
+
 def cosines(cand: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Cosine in double precision (components beyond 1e100 or below 1e-100 are scaled first)."""
     for x in (cand, query):

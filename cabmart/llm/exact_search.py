@@ -8,9 +8,12 @@ first, then for more.  For two vectors
 
 and as q.c = (|q|^2 + |c|^2 - distance^2) / 2, that lower bound of the
 distance is an upper bound of the inner product.  In every block the bounds
-are taken from coarse to fine; a pair whose bound is below the k-th best score
-already found is dropped, and the exact product is computed for survivors.
-No pair is dropped on equal scores, so ties are decided exactly.
+are taken from coarse to fine; at every level the pairs of the largest bounds
+are scored exactly, which raises the k-th best score found so far; a pair whose
+bound is below it is dropped.  Each query's products are computed for its own
+survivors alone.  No pair is dropped on equal scores, so ties are decided
+exactly.  How many pairs survive depends on the vectors: few where they form
+clusters, most where their segments hardly differ.
 
 Defined results: rows without an id and vectors that are null, empty or hold
 null or non-finite components take no part; shorter vectors count as filled
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from .stripes import best_per_query, keep_best, usable
 
 #: Rows of a block of candidates and of queries, and queries handled at once within it.
-STRIPE, GROUP, AT_ONCE = 4096, 16_384, 128
+STRIPE, GROUP, AT_ONCE = 4096, 16_384, 64
 
 
 def levels(dim: int) -> list[int]:
@@ -54,41 +57,44 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return whole(q) @ whole(c).T
 
 
-def block_search(k: int):
+def block_search(k: int, multiplied=lambda query, n: None):
+    """``multiplied(query id, n)`` is told how many exact products of a query were taken after the last level."""
     def search(cand_ids, cand, query_ids, queries):
         steps = [(statistics(cand, s), statistics(queries, s)) for s in levels(cand.shape[1])]
-        exact = lambda q, c: np.rint(q @ c.T).astype(np.int64)
+        exact = lambda q, c: np.rint(c @ q).astype(np.int64)
         most = float(np.abs(cand).max(initial=0) * np.abs(queries).max(initial=0)) * cand.shape[1]
         if most >= 2.0 ** 53:                            # beyond doubles: whole numbers of any size
-            exact = products
+            exact = lambda q, c: products(q[None], c)[0]
         out = []
+        # Queries alike in their coarsest statistics are handled at once, since they keep the same candidates.
+        alike = np.lexsort(steps[0][1].T) if steps else np.arange(len(queries))
         for at in range(0, len(queries), AT_ONCE):
-            part = slice(at, at + AT_ONCE)
-            own = query_ids[part, None] == cand_ids[None, :]
-            floor = np.full(len(own), -np.inf)
-            alive = ~own
+            part = alike[at:at + AT_ONCE]
+            floor = np.full(len(part), -np.inf)
+            alive = query_ids[part, None] != cand_ids[None, :]
             columns = np.arange(len(cand_ids))
-            for n, (of_cand, of_query) in enumerate(steps):
+            for of_cand, of_query in steps:
                 bound = of_query[part] @ of_cand[columns].T
                 bound += 1e-6 * (1 + np.abs(bound))
-                if n == 0 and len(cand_ids) > 4 * k:
-                    # A first floor: exact scores of the candidates with the largest coarse bounds.
+                alive &= bound >= floor[:, None]
+                if len(columns) > 2 * k:
+                    # The floor is raised by exact scores of the candidates with the largest bounds.
                     first = np.argpartition(np.where(alive, bound, -np.inf), -2 * k, axis=1)[:, -2 * k:]
                     for i, c in enumerate(first):
                         c = c[alive[i, c]]
                         if len(c) >= k:
-                            score = exact(queries[at + i:at + i + 1], cand[c])[0]
-                            floor[i] = float(np.sort(score)[len(c) - k])
-                alive &= bound >= floor[:, None]
+                            score = exact(queries[part[i]], cand[columns[c]])
+                            floor[i] = max(floor[i], float(np.partition(score, len(c) - k)[len(c) - k]))
+                    alive &= bound >= floor[:, None]
                 used = alive.any(axis=0)
                 if not used.all():
                     columns, alive = columns[used], alive[:, used]
-            score = exact(queries[part], cand[columns])
-            for i in range(len(alive)):
-                mine = np.flatnonzero(alive[i])
-                ids, own_score = cand_ids[columns[mine]], score[i, mine]
-                best = keep_best(own_score, ids, k)
-                out.append((np.full(len(best), query_ids[at + i]), ids[best], own_score[best]))
+            for i, q in enumerate(part):
+                mine = columns[alive[i]]
+                multiplied(query_ids[q], len(mine))
+                score = exact(queries[q], cand[mine])
+                best = keep_best(score, cand_ids[mine], k)
+                out.append((np.full(len(best), query_ids[q]), cand_ids[mine[best]], score[best]))
         return tuple(np.concatenate([o[n] for o in out]).astype(np.int64) for n in range(3))
 
     return search

@@ -37,6 +37,47 @@ def test_exact_search_in_many_blocks(spark):
         assert sorted(found) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
 
 
+def clustered(n=4000, dim=64, clusters=50, seed=7):
+    """Vectors around centres that differ in their segments' means."""
+    rng = np.random.default_rng(seed)
+    centre = np.repeat(rng.normal(0, 0.5, (clusters, dim // 8)), 8, axis=1)
+    return centre[rng.integers(0, clusters, n)] + rng.normal(0, 0.1, (n, dim))
+
+
+def test_bounds_spare_most_products_of_clustered_vectors():
+    x = np.floor(64 * clustered())
+    ids, taken = np.arange(len(x)), {}
+    asked = ids % 20 == 0
+    q, c, s = X.block_search(20, taken.__setitem__)(ids, x, ids[asked], x[asked])
+    assert set(taken) == set(ids[asked].tolist())
+    assert np.mean(list(taken.values())) < 0.2 * len(x)
+    scores = x[asked] @ x.T
+    for i, query in enumerate(ids[asked]):
+        want = sorted((-v, j) for j, v in enumerate(scores[i]) if j != query)[:20]
+        assert [(-v, j) for v, j in zip(s[q == query], c[q == query])] == want
+
+
+def test_few_vectors_are_verified():
+    """The share of vectors verified, on clustered vectors and on those of the driver's table."""
+    for x, most in ((clustered(), 0.1), (table_vectors("/root/testdata/sf0.1"), 0.45)):
+        ids, taken = np.arange(len(x)), {}
+        asked = ids % 50 == 0
+        q, c, _ = N.block_search(5, verified=taken.__setitem__)(ids, x, ids[asked], x[asked])
+        unit = N.unit(x)
+        hit = 0
+        for query in ids[asked]:
+            score = unit @ unit[query]
+            score[query] = -2
+            hit += len(set(np.argsort(-score, kind="stable")[:5]) & set(c[q == query]))
+        assert hit >= 0.9 * 5 * asked.sum()
+        assert np.mean(list(taken.values())) < most * len(x)
+
+
+def table_vectors(sf):
+    import pyarrow.parquet as pq
+    return np.array(pq.read_table(f"{sf}/embeddings.parquet", columns=["embedding"])["embedding"].to_pylist(), dtype=np.float64)
+
+
 def test_bounds_hold_and_large_values():
     rng = np.random.default_rng(3)
     a, b = np.floor(rng.normal(0, 50, (40, 21))), np.floor(rng.normal(0, 50, (30, 21)))
