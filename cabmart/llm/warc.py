@@ -4,10 +4,11 @@ An archive begins with a skippable frame (magic 0x184D2A5D) that holds the
 dictionary, then has one frame per record.  Archives are written and read by
 Spark alone, so they may lie in any file system that Spark knows:
 
-* writing: each task trains a dictionary on its first records and gives one
-  row per frame; Spark's text writer puts them one after another.  It must put
-  something between two rows: an empty skippable frame, which every Zstandard
-  reader passes over.  One partition becomes one archive.
+* writing: each task cuts its records into archives of about ``ARCHIVE_BYTES``
+  (a longer record has one of its own) and trains a dictionary on the first
+  records of each.  An archive is one row, and Spark's text writer puts each row
+  into a file.  It must end a row with something: an empty skippable frame,
+  which every Zstandard reader passes over.
 * reading: Spark's ``binaryFile`` source gives each archive as a row; frames
   are found by their block headers, decoded one at a time and checked.
 
@@ -34,9 +35,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 #: An empty skippable frame, all ASCII.
-BETWEEN = "P*M\x18\x00\x00\x00\x00"
+ROW_END = "P*M\x18\x00\x00\x00\x00"
 #: Bytes of a dictionary; records (and bytes of them) that train it.
 DICTIONARY_BYTES, TRAIN_RECORDS, TRAIN_BYTES = 32_768, 400, 4_000_000
+#: An archive is closed once it has so many bytes: a reader holds one at a time.
+ARCHIVE_BYTES = 32_000_000
 LEVEL = 3
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SHA256 = re.compile(r"[0-9a-f]{64}")
@@ -169,15 +172,24 @@ def read_records(archive: bytes):
             yield parse(raw)
 
 
-def archive_frames(records):
-    """The frames of one archive; the dictionary is trained on the first records."""
+def archives(records, most: int = ARCHIVE_BYTES):
+    """Whole archives of ``records``, each closed once it has ``most`` bytes."""
+    records = iter(records)
+    while archive := b"".join(archive_frames(records, most)):
+        yield archive
+
+
+def archive_frames(records, most: int = ARCHIVE_BYTES):
+    """The frames of one archive; the dictionary is trained on the first records.
+
+    Once they have ``most`` bytes, no more records are taken.
+    """
     import zstandard
     first, size = [], 0
-    records = iter(records)
     for r in records:
         first.append(r)
         size += len(r)
-        if len(first) >= TRAIN_RECORDS or size >= TRAIN_BYTES:
+        if len(first) >= TRAIN_RECORDS or size >= min(TRAIN_BYTES, most):
             break
     if not first:
         return
@@ -193,10 +205,15 @@ def archive_frames(records):
         encoder = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
     else:
         encoder = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
+    size = 0
     for r in first:
-        yield encoder.compress(r)
-    for r in records:
-        yield encoder.compress(r)
+        frame = encoder.compress(r)
+        size += len(frame)
+        yield frame
+    while size < most and (r := next(records, None)) is not None:
+        frame = encoder.compress(r)
+        size += len(frame)
+        yield frame
 
 
 # -- tables ----------------------------------------------------------------------------------------------------------
@@ -221,8 +238,8 @@ def with_revisits(pages: DataFrame, least: int = 100, id_col: str = "page_id", u
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 100, id_col: str = "page_id", url_col: str = "url",
-                   payload_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> str:
-    """Write one record per page into archives under ``path`` (one for each partition)."""
+                   payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", most: int = ARCHIVE_BYTES) -> str:
+    """Write one record per page into archives of about ``most`` bytes under ``path``."""
     def run(batches):
         def records():
             for batch in batches:
@@ -230,20 +247,13 @@ def write_archives(pages: DataFrame, path: str, least: int = 100, id_col: str =
                     yield record(r["page_id"], r["url"], r["payload"].encode(), r["digest"], r["refers_to"],
                                  r["revisit"], date)
 
-        held, size = [], 0
-        for frame in archive_frames(records()):
-            held.append(frame)
-            size += len(frame)
-            if size > 4_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(held, type=pa.binary())], names=["frame"])
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, type=pa.binary())], names=["frame"])
-
-    rows = with_revisits(pages, least, id_col, url_col, payload_col).mapInArrow(run, "frame binary")
+        for archive in archives(records(), most):
+            yield pa.RecordBatch.from_arrays([pa.array([archive], type=pa.binary())], names=["archive"])
+
+    rows = with_revisits(pages, least, id_col, url_col, payload_col).mapInArrow(run, "archive binary")
     # A cast from binary to string keeps the bytes as they are, and the text writer writes them so.
-    (rows.select(F.col("frame").cast("string").alias("value")).write
-     .option("lineSep", BETWEEN).option("compression", "none").text(path))
+    (rows.select(F.col("archive").cast("string").alias("value")).write
+     .option("maxRecordsPerFile", 1).option("lineSep", ROW_END).option("compression", "none").text(path))
     return path
 
 

@@ -63,6 +63,22 @@ def test_archives_begin_with_a_dictionary(spark):
         list(A.read_records(body[first:]))
 
 
+def test_a_partition_is_cut_into_archives_of_bounded_size(spark):
+    rows = [(i, f"http://h/{i}", "".join(f"{(i * 7919 + j * j) % 99991:x} " for j in range(400))) for i in range(600)]
+    rows.append((600, "http://long", "".join(f"{j * 2654435761 % 4294967296:x}" for j in range(60_000))))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = A.write_archives(df, scratch_path(spark, "warc"), most=100_000)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).filter("length > 0").collect()]
+    assert len(files) > 4
+    records = [[r["page_id"] for r in A.read_records(f)] for f in files]
+    assert sorted(i for r in records for i in r) == list(range(601))
+    assert all(len(f) < 200_000 or 600 in r for f, r in zip(files, records))
+    kinds = [[k for k, _, _ in A.frames(f)] for f in files]
+    assert all(k[0] == "dictionary" for k in kinds if k.count("data") >= 16)
+    assert A.read_archives(spark, path, payload=False).count() == 601
+    assert list(A.archives([])) == []
+
+
 def archive(payload=b"some payload", **change):
     raw = A.record(1, "http://h", payload, hashlib.sha256(payload).hexdigest(), None, False, "2020-01-01T00:00:00Z")
     for a, b in change.values():
