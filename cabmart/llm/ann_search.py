@@ -4,13 +4,14 @@ Vectors are scaled to length one, where the largest cosine is the smallest
 distance, and projected to ``DIMS`` dimensions by a fixed matrix of normal
 (2-stable) numbers.  Each block of vectors is indexed by a kd-tree over the
 projections.  For a query, points come one after another in the order of their
-distance in the projection: the tree's leaves are opened by the distance of
-their boxes, and the points of opened leaves wait until no leaf yet to open can
-hold a nearer one.  A point that comes is verified by its true distance, k at
-a time.  As projected^2 / true^2 follows a chi-square law with ``DIMS``
+distance in the projection, and are verified by their true distance, k at
+first, then more at a time.  The leaf nearest to the query is verified before
+all; what it gives bounds the leaves to open (by the distance of their boxes)
+and the points that can come at all.  As projected^2 / true^2 follows a chi-square law with ``DIMS``
 degrees, a vector nearer than the k-th best found so far, at distance d, has a
 projection within r of the query's with probability chi2(r^2 / d^2); the
-search stops once that reaches ``SURE`` for the next point's distance r.
+search stops once that reaches ``SURE`` for the next point's distance r, that is
+once r^2 reaches d^2 times the law's quantile.
 
 Every row is indexed, and there is no cap on how many are verified.  The
 returned scores are the cosines of the original vectors.
@@ -33,8 +34,9 @@ from .stripes import best_per_query, keep_best, usable
 
 #: Dimensions of the projection (even), and how sure the search must be to stop.
 DIMS, SURE = 32, 0.95
-#: Vectors of a leaf, leaves opened at once, rows of a block of candidates and of queries.
-LEAF, STEP, STRIPE, GROUP = 32, 4, 8192, 16_384
+#: Vectors of a leaf, most points verified between two tests, rows of a block of candidates and of queries,
+#: queries handled at once.
+LEAF, AT_ONCE, STRIPE, GROUP, TOGETHER = 32, 64, 8192, 16_384, 64
 
 
 def chi_square(x: np.ndarray, dims: int) -> np.ndarray:
@@ -44,6 +46,15 @@ def chi_square(x: np.ndarray, dims: int) -> np.ndarray:
     return 1 - np.exp(-half) * tail
 
 
+def quantile(sure: float, dims: int) -> float:
+    """The value that a chi-square number does not pass by a probability of ``sure``."""
+    low, high = 0.0, 20.0 * dims + 200
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(np.array(middle), dims) < sure else (low, middle)
+    return high
+
+
 def projection(dim: int, dims: int = DIMS) -> np.ndarray:
     return np.random.default_rng(20_24).standard_normal((dim, dims))
 
@@ -70,58 +81,62 @@ def kd_tree(points: np.ndarray, leaf: int = LEAF) -> tuple[list[np.ndarray], np.
 
 def block_search(k: int, dims: int = DIMS, sure: float = SURE, verified=lambda query, n: None):
     """``verified(query id, n)`` is told how many vectors were verified for a query."""
-    def one(asked, unit_query, own, cand_ids, cand_unit, near, leaves, low, high):
-        """Places that were verified for a query, and their cosines."""
-        gap = np.maximum(0, np.maximum(low - asked, asked - high))
-        apart = (gap * gap).sum(axis=1)
-        order = np.argsort(apart, kind="stable")
-        boxes = np.append(apart[order], np.inf)          # distances of the leaves yet to open
-        held, far = np.zeros(0, dtype=np.int64), np.zeros(0)     # points of opened leaves, by projected distance
-        best, found, scores, opened = np.full(k, -np.inf), [], [], 0
-        while True:
-            ready = int(np.searchsorted(far, boxes[opened], side="right"))
-            if not ready:                                # the next point may lie in a leaf yet to open
-                if opened == len(leaves):
-                    break
-                if _surely_over(boxes[opened], best, dims, sure):
-                    break
-                more = np.concatenate([leaves[i] for i in order[opened:opened + STEP]])
-                opened = min(opened + STEP, len(leaves))
-                more = more[cand_ids[more] != own]
-                apart_more = ((near[more] - asked) ** 2).sum(axis=1)
-                held, far = np.concatenate((held, more)), np.concatenate((far, apart_more))
-                by = np.argsort(far, kind="stable")
-                held, far = held[by], far[by]
-                continue
-            if _surely_over(far[0], best, dims, sure):
-                break
-            take = held[:min(ready, k)]                  # the next points, in the order of their projected distance
-            cosine = cand_unit[take] @ unit_query
-            best = np.sort(np.concatenate((best, cosine)))[-k:]
-            found.append(take)
-            scores.append(cosine)
-            held, far = held[len(take):], far[len(take):]
-        if not found:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        return np.concatenate(found), np.concatenate(scores)
+    reach = quantile(sure, dims)
+
+    def limit(best: np.ndarray) -> float:
+        """The squared projected distance from which on the test stops a search."""
+        return reach * max(2 - 2 * float(best[0]), 1e-300) if best[0] > -np.inf else np.inf
 
     def search(cand_ids, cand, query_ids, queries):
         cand_unit, query_unit = unit(cand), unit(queries)
         matrix = projection(cand.shape[1], dims)
         near, asked = cand_unit @ matrix, query_unit @ matrix
-        tree = kd_tree(near)
+        leaves, low, high = kd_tree(near)
+        place = np.concatenate(leaves)                   # from here on, the vectors lie leaf by leaf
+        first = np.cumsum([0] + [len(at) for at in leaves])
+        leaf = np.repeat(np.arange(len(leaves)), np.diff(first))
+        near, ids, exact = near[place], cand_ids[place], cand[place]
+        rough_unit, rough_query = cand_unit[place].astype(np.float32), query_unit.astype(np.float32)
+        square = np.einsum("pd,pd->p", near, near)
         out = []
-        for i, own in enumerate(query_ids):
-            at, rough = one(asked[i], query_unit[i], own, cand_ids, cand_unit, near, *tree)
-            verified(own, len(at))
-            if not len(at):
-                continue
-            # Scores of the nearest (and of what rounding may have put beside them) from the vectors as given.
-            least = np.partition(rough, -k)[-k] if len(rough) > k else -np.inf
-            at = at[rough >= least - 1e-12]
-            score = cosines(cand[at], queries[i])
-            pick = keep_best(score, cand_ids[at], k)
-            out.append((np.full(len(pick), own), cand_ids[at[pick]], score[pick]))
+        for begin in range(0, len(queries), TOGETHER):
+            part = np.arange(begin, min(begin + TOGETHER, len(queries)))
+            gap = np.maximum(0, np.maximum(low[None] - asked[part, None], asked[part, None] - high[None]))
+            boxes = np.einsum("qld,qld->ql", gap, gap)
+            nearest, seeds = boxes.argmin(axis=1), []
+            limits = np.empty(len(part))
+            for i, q in enumerate(part):                 # the nearest leaf gives a first k-th best
+                at = np.arange(first[nearest[i]], first[nearest[i] + 1])
+                at = at[ids[at] != query_ids[q]]
+                cosine = rough_unit[at] @ rough_query[q]
+                best = np.partition(np.concatenate((np.full(k, -np.inf), cosine)), -k)[-k:]
+                limits[i] = limit(best)
+                seeds.append((at, cosine, best))
+            # Leaves that one of the queries opens, and the projected distances of their points.
+            opened = np.flatnonzero((boxes < limits[:, None]).any(axis=0)[leaf])
+            apart = square[opened] - 2 * (asked[part] @ near[opened].T) + (asked[part] ** 2).sum(axis=1)[:, None]
+            for i, q in enumerate(part):
+                at, cosine, best = seeds[i]
+                found, scores, most = [at], [cosine], k
+                next_ones = np.flatnonzero((apart[i] < limits[i]) & (leaf[opened] != nearest[i]) & (ids[opened] != query_ids[q]))
+                next_ones = next_ones[np.argsort(apart[i, next_ones], kind="stable")]
+                far, held, done = apart[i, next_ones], opened[next_ones], 0
+                while (within := np.searchsorted(far, limit(best))) > done:      # all before it pass the test so far
+                    take = held[done:min(done + most, within)]
+                    cosine = rough_unit[take] @ rough_query[q]
+                    best = np.partition(np.concatenate((best, cosine)), -k)[-k:]
+                    found.append(take)
+                    scores.append(cosine)
+                    done, most = done + len(take), min(2 * most, AT_ONCE)
+                at, rough = np.concatenate(found), np.concatenate(scores)
+                verified(query_ids[q], len(at))
+                if not len(at):
+                    continue
+                # Scores of the nearest (and of what rounding may have put beside them) from the vectors as given.
+                at = at[rough >= best[0] - 1e-5]
+                score = cosines(exact[at], queries[q])
+                pick = keep_best(score, ids[at], k)
+                out.append((np.full(len(pick), query_ids[q]), ids[at[pick]], score[pick]))
         if not out:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
         return tuple(np.concatenate([o[n] for o in out]) for n in range(3))
@@ -129,14 +144,6 @@ def block_search(k: int, dims: int = DIMS, sure: float = SURE, verified=lambda q
     return search
 
 
-def _surely_over(apart: float, best: np.ndarray, dims: int, sure: float) -> bool:
-    """Whether a vector nearer than the k-th best would, by ``sure``, have a smaller projected distance than ``apart``."""
-    if best[0] == -np.inf:
-        return False
-    far = max(2 - 2 * best[0], 1e-300)                   # squared distance of the k-th best
-    return bool(chi_square(np.array(apart / far), dims) >= sure)
-
-
 def cosines(cand: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Cosine in double precision (components beyond 1e100 or below 1e-100 are scaled first)."""
     for x in (cand, query):

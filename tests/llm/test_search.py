@@ -147,6 +147,7 @@ def test_stop_test_and_tree():
     x = (rng.standard_normal((200_000, 10)) ** 2).sum(axis=1)
     for at in (3.0, 9.0, 16.0):
         assert abs((x <= at).mean() - N.chi_square(np.array([at]), 10)[0]) < 0.005
+    assert abs((x <= N.quantile(0.95, 10)).mean() - 0.95) < 0.005
     points = np.concatenate((rng.normal(0, 1, (500, 6)), np.zeros((300, 6))))        # many equal points
     leaves, low, high = N.kd_tree(points, leaf=16)
     assert sorted(np.concatenate(leaves).tolist()) == list(range(800)) and max(map(len, leaves)) <= 16
