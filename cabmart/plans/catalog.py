@@ -16,11 +16,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import normalize_text, ntz_lit
+from ..functions.calendar import day_of_week0
 from ..operators import (materialize, scd2_apply, scd2_changed, scd2_closed, scd2_new, quality_summary, check_models,
                          unique_violations, not_null_violations, empty_watermarks, set_mark, sync_schema,
                          append, high_water, after_event_mark, upsert_by_key as upsert)
 from ..session import ensure_checkpoint_dir
 from ..sources import standins as S
+from ..sources.files import register_views
 from ..sources.raw import FileRoles
 from ..sources.standins import Tables
 from . import ods, mart, reports, charts, warehouse
@@ -212,6 +214,18 @@ def date_dim(spark, d):
     return _trip_dates(spark, d)
 
 
+def views_by_weekday(spark, d):
+    """Trips per weekday (0 = Sunday) and pickup borough, read from named views over the raw roles."""
+    t = _t(spark, d)
+    register_views({"weekday_trips": S.raw_trip_events(t), "weekday_zones": S.raw_neighborhood(t)})
+    zones = spark.table("weekday_zones").groupBy(F.col("LocationID").alias("PULocationID")).agg(F.min("Borough").alias("borough"))
+    trips = spark.table("weekday_trips").withColumn("weekday", day_of_week0("tpep_pickup_datetime"))
+    by_zone = trips.groupBy("weekday", "PULocationID").agg(
+        F.count("*").alias("trips"), F.max("fare_amount").alias("top_fare"))
+    return (by_zone.join(zones, "PULocationID", "left").groupBy("weekday", "borough")
+            .agg(F.sum("trips").alias("trips"), F.max("top_fare").alias("top_fare")))
+
+
 def date_dim_flags(spark, d):
     dd = _trip_dates(spark, d)
     return dd.filter(F.col("is_holiday") | (F.col("week") == 53)).select(
@@ -579,6 +593,7 @@ QUERIES = {
     "trip_files_mixed": trip_files_mixed,
     "date_dim": date_dim,
     "date_dim_flags": date_dim_flags,
+    "views_by_weekday": views_by_weekday,
     "fact_star": fact_star,
     "fact_keys": fact_keys,
     "fact_unknown_dates": fact_unknown_dates,
