@@ -111,13 +111,22 @@ def levels(low: np.ndarray, body: np.ndarray, start: np.ndarray, size: np.ndarra
     """The level of each n-gram: probes of level 1, 2, ... in ``body`` from the bit ``start`` on, until one fails."""
     out = np.zeros(len(low), dtype=np.int64)
     alive = np.flatnonzero(size > 0)
+    low, start, size = low[alive].astype(np.uint64), start[alive].astype(np.int64), size[alive]
     k = probes_of(error)
     for j in range(1, LEVELS + 1):
+        # One hash and two divisions a level: each probe lies ``step`` bits behind the one before, modulo the size.
+        h = mix(low + (np.uint64(j) << np.uint64(32)) + np.uint64(0x51ED270B))
+        at, step = ((v % size).view(np.int64) for v in (h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)))
+        first, bits, left = start, size.view(np.int64), np.arange(len(alive))
         for p in range(k):                               # most absent ones fail early
-            h = mix(low[alive].astype(np.uint64) + (np.uint64(j) << np.uint64(32)) + np.uint64(0x51ED270B))
-            at = ((h & np.uint64(0xFFFFFFFF)) + np.uint64(p) * ((h >> np.uint64(32)) | np.uint64(1))) % size[alive]
-            at += start[alive]
-            alive = alive[(body[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+            if p:
+                at += step
+                at -= bits * (at >= bits)
+            bit = at + first
+            yes = np.flatnonzero(body.take(bit >> 3) >> (bit & 7).astype(np.uint8) & 1)
+            if len(yes) < len(at):
+                at, step, first, bits, left = (v.take(yes) for v in (at, step, first, bits, left))
+        alive, low, start, size = (v.take(left) for v in (alive, low, start, size))
         if not len(alive):
             break
         out[alive] = j

@@ -137,3 +137,27 @@ def test_edge_cases(spark):
     untaught = M.score(df, M.fit(df, F.lit(False)))
     assert {r.score for r in untaught.collect()} == {0.0} and {r.base_score for r in untaught.collect()} == {0.0}
     assert M.score(df.filter("false"), M.fit(df.filter("false"), F.lit(True))).count() == 0
+
+
+def test_levels_hash_a_key_once_a_level(monkeypatch):
+    """The answers are those of the bits by their definition, with one hash for each level that a key is asked for."""
+    rnd = np.random.default_rng(3)
+    low = [np.unique(rnd.integers(0, 1 << 32, 3000).astype("<u4")) for _ in range(3)]
+    held = [M.build_bits(k[:1000], rnd.integers(1, 200, 1000), M.ERROR) for k in low]
+    body = np.frombuffer(b"".join(held), dtype=np.uint8)
+    start = np.cumsum([0] + [8 * len(b) for b in held[:-1]]).astype(np.uint64)
+    own = np.repeat(np.arange(4), [len(k) for k in low] + [5])            # the last five belong to a segment without bits
+    keys = np.concatenate([*low, low[0][:5]])
+    start, size = np.append(start, np.uint64(0)), np.array([8 * len(b) for b in held] + [0], dtype=np.uint64)
+    want = np.zeros(len(keys), dtype=np.int64)
+    for i in np.flatnonzero(size[own] > 0):
+        for j in range(1, M.LEVELS + 1):
+            at = M._places(keys[i:i + 1], j, size[own[i]], M.probes_of(M.ERROR)).ravel() + start[own[i]]
+            if not all(body[int(a) >> 3] >> (int(a) & 7) & 1 for a in at):
+                break
+            want[i] = j
+    hashed, mix = [], M.mix
+    monkeypatch.setattr(M, "mix", lambda h: hashed.append(len(h)) or mix(h))
+    got = M.levels(keys, body, start[own], size[own], M.ERROR)
+    assert got.tolist() == want.tolist() and want.max() >= 8
+    assert sum(hashed) <= (want[size[own] > 0] + 1).sum()
