@@ -49,10 +49,10 @@ def _words(line: Column) -> Column:
     return F.split(F.trim(F.lower(line), F.lit(_SPACE)), r"[ \t\x0B\f\r]+")
 
 
-def word_levels(texts: DataFrame) -> bytes:
+def word_levels(texts: DataFrame) -> DataFrame:
     """A level of 0 (rare) to 63 for every place that words hash to: that of the most frequent word there.
 
-    At most ``KEPT`` words come to the driver, those of the highest exact counts.
+    One row, a lineage cut, with the levels as bytes (``levels``).  At most ``KEPT`` words come to the driver, those of the highest exact counts.
     """
     words = texts.select(F.explode(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+")).alias("word"))
     counted = cut(words.groupBy(F.xxhash64("word").alias("h")).count().filter("count > 1"), "words")
@@ -67,19 +67,23 @@ def word_levels(texts: DataFrame) -> bytes:
     for p, n in counted.filter(F.col("count") >= least).select(place, "count").collect():
         levels[p] = max(levels[p], min(63, 1 + int(2 * math.log2(n / least))))
     drop(counted)
-    return bytes(levels)
+    return cut(texts.sparkSession.createDataFrame([(levels,)], "levels binary"), "levels")
 
 
-def _tokens(line: Column, levels: bytes) -> Column:
-    """Sorted distinct tokens of a line, rare words first."""
-    table = F.lit(levels)
+def _tokenized(lines: DataFrame, levels: DataFrame) -> DataFrame:
+    """``lines`` with the sorted distinct tokens of ``body``, rare words first, as ``tokens`` in its place.
 
+    The levels are a subquery of one value: as a literal, each printed plan that the
+    driver keeps would hold them in full, several times.
+    """
     def token(h):
-        level = F.ascii(F.substring(table, h.bitwiseAND(F.lit(PLACES - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+        level = F.ascii(F.substring("levels", h.bitwiseAND(F.lit(PLACES - 1)).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("long"), 57).bitwiseOR(h)
 
-    hashed = F.transform(_words(line), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 57) - 1)))
-    return F.sort_array(F.transform(F.array_distinct(hashed), token))
+    hashed = F.transform(_words(F.col("body")), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 57) - 1)))
+    tokens = F.sort_array(F.transform(F.array_distinct(hashed), token))
+    rest = [c for c in lines.columns if c != "body"]
+    return lines.withColumn("levels", levels.scalar()).select(*rest, tokens.alias("tokens"))
 
 
 def _bitmap(tokens: Column) -> Column:
@@ -111,7 +115,7 @@ def _left(rows: DataFrame) -> DataFrame:
     return rows.select("key", *(F.col(c).alias(f"l_{c}") for c in ("set", "n", "at", "bits")))
 
 
-def _tokens_of(asked: DataFrame, sets: DataFrame, texts: DataFrame, levels: bytes) -> DataFrame:
+def _tokens_of(asked: DataFrame, sets: DataFrame, texts: DataFrame, levels: DataFrame) -> DataFrame:
     """(``set``, ``first``, ``tokens``) of the sets asked for, from their first lines."""
     wanted = sets.join(asked, "set", "left_semi").select("set", "first")
     some = (wanted.groupBy(F.col("first.doc").alias("w_doc"), F.col("first.version").alias("w_version"))
@@ -123,7 +127,7 @@ def _tokens_of(asked: DataFrame, sets: DataFrame, texts: DataFrame, levels: byte
         w["set"].alias("set"), w["first"].alias("first"),
         F.element_at("split", w["line"] + 1).alias("body")))).alias("w")).select("w.*")
     # Rows that repeat an id and text have the same line.
-    one = found.select("set", "first", _tokens(F.col("body"), levels).alias("tokens"))
+    one = _tokenized(found, levels)
     return one.groupBy("set").agg(F.first("first").alias("first"), F.first("tokens").alias("tokens"))
 
 
@@ -138,13 +142,34 @@ def _later(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(100 * both >= percent * union).select(later.alias("set")).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, levels: bytes, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, levels: DataFrame, percent: int) -> DataFrame:
     tokens = cut(_tokens_of(pairs.select(F.explode(F.array("a", "b")).alias("set")), sets, texts, levels), "tokens")
     gone = cut(_later(pairs, tokens, percent), "gone")
     drop(tokens)
     return gone
 
 
+def _met(index: DataFrame, percent: int) -> DataFrame:
+    """What meets on the keys of ``index`` (one exchange serves all below).
+
+    Rows with ``a`` and ``b`` are pairs; rows with a key are the sets of hot keys.
+    """
+    by_key = W.partitionBy("key")
+    index = (index.withColumn("many", F.count("*").over(by_key))
+             .withColumn("lead", F.min(F.struct("doc", "set", "n", "at", "bits")).over(by_key)))
+    cold = index.filter((F.col("many") > 1) & (F.col("many") < HOT) & F.col("lead").isNotNull())
+    hot = index.filter(F.col("many") >= HOT)
+    pair = ["a", "b", "key", "set", "n", "at", "bits"]
+    none = [F.lit(None).cast("long").alias(c) for c in ("key", "set")] + [F.lit(None).cast("int").alias(c) for c in ("n", "at")]
+    met = (_left(cold).join(cold, "key").filter((F.col("l_set") < F.col("set")) & _close(percent))
+           .select(F.col("l_set").alias("a"), F.col("set").alias("b"), *none, F.lit(None).cast("long").alias("bits")))
+    lead = [F.col(f"lead.{c}").alias(f"l_{c}") for c in ("set", "n", "at", "bits")]
+    led = hot.select("key", "set", "n", "at", "bits", *lead)
+    good = (F.col("l_set") != F.col("set")) & _close(percent)
+    led = led.select(F.when(good, F.col("l_set")).alias("a"), F.when(good, F.col("set")).alias("b"), "key", "set", "n", "at", "bits")
+    return met.select(*pair).union(led.select(*pair))
+
+
 def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``doc``, ``version``, ``lines`` array<int>): the numbers of the lines that go, of documents that lose any."""
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("version"),
@@ -153,8 +178,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "version", "line")
     # One pass over the texts: sizes, prefixes, a bitmap and a hash of each line's set.
     lines = texts.select("doc", "version", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    held = (lines.filter(F.trim("body", F.lit(_SPACE)) != "")
-            .select("doc", "version", "line", _tokens(F.col("body"), levels).alias("tokens")).withColumn("n", F.size("tokens")))
+    held = _tokenized(lines.filter(F.trim("body", F.lit(_SPACE)) != ""), levels).withColumn("n", F.size("tokens"))
     # A set that one word more or less makes unlike has only equal ones: no prefix.
     prefix = F.when(100 * F.col("n") >= percent * (F.col("n") + 1), F.slice("tokens", F.lit(1), _prefix_size(percent)))
     whole = cut(held.select("doc", "version", "line", "n", F.xxhash64("tokens").alias("set"), _bitmap(F.col("tokens")).alias("bits"),
@@ -164,21 +188,8 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     drop(whole)
 
     index = sets.select("set", "n", "bits", F.coalesce("first.doc", F.lit((1 << 63) - 1)).alias("doc"),
-                        F.posexplode("prefix").alias("at", "key")).filter("key IS NOT NULL")    # one exchange serves all below
-    by_key = W.partitionBy("key")
-    index = (index.withColumn("many", F.count("*").over(by_key))
-             .withColumn("lead", F.min(F.struct("doc", "set", "n", "at", "bits")).over(by_key)))
-    cold = index.filter((F.col("many") > 1) & (F.col("many") < HOT) & F.col("lead").isNotNull())
-    hot = index.filter(F.col("many") >= HOT)
-    pair = ["a", "b", "key", "set", "n", "at", "bits"]
-    none = [F.lit(None).cast("long").alias(c) for c in ("key", "set")] + [F.lit(None).cast("int").alias(c) for c in ("n", "at")]
-    met = (_left(cold).join(cold, "key").filter((F.col("l_set") < F.col("set")) & _close(percent))
-           .select(F.col("l_set").alias("a"), F.col("set").alias("b"), *none, F.lit(None).cast("long").alias("bits")))
-    lead = [F.col(f"lead.{c}").alias(f"l_{c}") for c in ("set", "n", "at", "bits")]
-    led = hot.select("key", "set", "n", "at", "bits", *lead)
-    good = (F.col("l_set") != F.col("set")) & _close(percent)
-    led = led.select(F.when(good, F.col("l_set")).alias("a"), F.when(good, F.col("set")).alias("b"), "key", "set", "n", "at", "bits")
-    met = cut(met.select(*pair).union(led.select(*pair)), "met")
+                        F.posexplode("prefix").alias("at", "key")).filter("key IS NOT NULL")
+    met = cut(_met(index, percent), "met")
     release(docs.sparkSession)                           # the index was large, what met is less
     hot = met.filter("key IS NOT NULL")
     pairs = cut(met.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs")
@@ -195,7 +206,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     lost = (held.select("set", "doc", "version", "line").join(verdict, "set")
             .filter(F.coalesce("gone", F.lit(False)) | (place > F.col("first"))))
     out = cut(lost.groupBy("doc", "version").agg(F.collect_set("line").alias("lines")), "lost")
-    drop(sets, held, more)
+    drop(sets, held, more, levels)
     return out
 
 

@@ -82,3 +82,20 @@ def test_frequent_words_and_hot_keys(spark, monkeypatch):
         rows = corpus(seed)
         got = {r.doc_id: r.text for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
         assert [got[i] for i, _ in rows] == dedup_lines(rows)
+
+
+def test_small_plans(spark, monkeypatch):
+    """No plan holds the million levels in print."""
+    rows = corpus(7)
+    names, sizes, cut = [], [], L.cut
+
+    def noted(df, name):
+        names.append(name)
+        sizes.append(len(df._jdf.queryExecution().toString()))
+        return cut(df, name)
+
+    monkeypatch.setattr(L, "cut", noted)
+    monkeypatch.setattr(L, "HOT", 8)
+    got = {r.doc_id: r.text for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == dedup_lines(rows)
+    assert max(sizes) < 200_000
