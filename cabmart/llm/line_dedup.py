@@ -32,6 +32,7 @@ through.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -42,6 +43,8 @@ from .common import cut, drop, free_name, release
 KEPT, PLACES = 1 << 17, 1 << 20
 #: Sets from which on a key is hot.
 HOT = 64
+#: Parts that the index is joined in, by its keys (a power of two): the shuffle files of one part lie on the disk at a time.
+PARTS = 4
 _SPACE = " \t\x0b\f\r"
 
 
@@ -150,7 +153,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, levels: DataF
 
 
 def _met(index: DataFrame, percent: int) -> DataFrame:
-    """What meets on the keys of ``index`` (one exchange serves all below).
+    """What meets on the keys of ``index``, or of a part of it that has all rows of its keys (one exchange serves all below).
 
     Rows with ``a`` and ``b`` are pairs; rows with a key are the sets of hot keys.
     """
@@ -189,8 +192,12 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
 
     index = sets.select("set", "n", "bits", F.coalesce("first.doc", F.lit((1 << 63) - 1)).alias("doc"),
                         F.posexplode("prefix").alias("at", "key")).filter("key IS NOT NULL")
-    met = cut(_met(index, percent), "met")
-    release(docs.sparkSession)                           # the index was large, what met is less
+    parts = []
+    for part in range(PARTS):
+        own = index.filter(F.col("key").bitwiseAND(F.lit(PARTS - 1)) == part)
+        parts.append(cut(_met(own, percent), "met"))
+        release(docs.sparkSession)                       # that part of the index was large, what met is less
+    met = functools.reduce(DataFrame.union, parts)
     hot = met.filter("key IS NOT NULL")
     pairs = cut(met.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs")
     gone = _verified(pairs, sets, texts, levels, percent)

@@ -84,8 +84,8 @@ def test_frequent_words_and_hot_keys(spark, monkeypatch):
         assert [got[i] for i, _ in rows] == dedup_lines(rows)
 
 
-def test_small_plans(spark, monkeypatch):
-    """No plan holds the million levels in print."""
+def test_small_plans_and_index_in_parts(spark, monkeypatch):
+    """No plan holds the million levels in print, and the index is joined part by part, with the same result."""
     rows = corpus(7)
     names, sizes, cut = [], [], L.cut
 
@@ -98,4 +98,4 @@ def test_small_plans(spark, monkeypatch):
     monkeypatch.setattr(L, "HOT", 8)
     got = {r.doc_id: r.text for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i, _ in rows] == dedup_lines(rows)
-    assert max(sizes) < 200_000
+    assert max(sizes) < 200_000 and names.count("met") == L.PARTS > 1
