@@ -15,8 +15,10 @@ least ``percent`` / 100 with it.
    that hash to it; two sets differ in as many tokens at least as their bitmaps in bits.)
 4. A key of fewer than ``HOT`` sets brings all its sets together.  On a hotter
    key each set first meets the earliest one only; sets that this removes need
-   no further partner, and only the others meet all sets of that key.  So a line with thousands of variants costs
-   its count, not the square of it.
+   no further partner.  So a line with thousands of variants costs
+   its count, not the square of it.  The others meet the sets that share a second token as well: two similar sets
+   of a common word share two tokens among their first n - ceil(t n) + 2, so what a hot key brings together
+   does not grow with the square of the word's count.
 5. Candidates are verified on whole lines, and documents are put together
    again without the lines removed.
 
@@ -41,8 +43,8 @@ from .common import cut, drop, free_name, release
 
 #: Most frequent words that have a level of their own, and places of the table that holds the levels.
 KEPT, PLACES = 1 << 17, 1 << 20
-#: Sets from which on a key is hot.
-HOT = 64
+#: Sets from which on a key is hot: a row of the index meets fewer than that many by its key, however large the corpus.
+HOT = 256
 #: Parts that the index is joined in, by its keys (a power of two): the shuffle files of one part lie on the disk at a time.
 PARTS = 4
 _SPACE = " \t\x0b\f\r"
@@ -67,8 +69,12 @@ def word_levels(texts: DataFrame) -> DataFrame:
             break
     levels = bytearray(PLACES)
     place = F.col("h").bitwiseAND(F.lit(PLACES - 1)).alias("place")
-    for p, n in counted.filter(F.col("count") >= least).select(place, "count").collect():
-        levels[p] = max(levels[p], min(63, 1 + int(2 * math.log2(n / least))))
+    # (Lists of numbers: a row object a word would take the driver several times as much.)
+    best = counted.filter(F.col("count") >= least).select(place, "count").groupBy("place").agg(F.max("count").alias("n"))
+    packed = best.groupBy((F.col("place") % 64).alias("lot")).agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("counts"))
+    for r in packed.toLocalIterator():
+        for p, n in zip(r.places, r.counts):
+            levels[p] = min(63, 1 + int(2 * math.log2(n / least)))
     drop(counted)
     return cut(texts.sparkSession.createDataFrame([(levels,)], "levels binary"), "levels")
 
@@ -114,6 +120,32 @@ def _close(percent: int) -> Column:
             & ((100 + percent) * apart <= (100 - percent) * both))
 
 
+def _two_token_keys(hot: DataFrame, sets: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
+    """(``key``, ``set``, ``n``, ``bits``, ``at``, ``open``): each hot token at ``at`` with every later token of the extended prefix.
+
+    The first two tokens that similar sets share are among the first n - ceil(t n) + 2 of both,
+    if they share two.  Sets that may share one only with a similar one also have that token alone.
+    Sets are open that are not ``gone``.
+    """
+    asked = (hot.groupBy("set").agg(F.collect_set("at").alias("ats"))        # at most a prefix
+             .join(gone.withColumn("gone", F.lit(True)), "set", "left"))
+    rows = (sets.join(asked, "set")
+            .select("set", "n", "bits", "prefix", F.col("gone").isNull().alias("open"), F.explode("ats").alias("at")))
+    first = F.element_at("prefix", F.col("at") + 1)
+    keys = F.transform(F.slice("prefix", F.col("at") + 2, F.size("prefix")), lambda token: F.xxhash64(first, token))
+    alone = F.when(F.col("n") * percent <= 100, F.array(F.xxhash64(first))).otherwise(F.array().cast("array<bigint>"))
+    return rows.select(F.explode(F.concat(keys, alone)).alias("key"), "set", "n", "bits", "at", "open")
+
+
+def _met_again(index: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of the open sets of a key with all sets of it."""
+    by_key = W.partitionBy("key")
+    index = (index.withColumn("many", F.count("*").over(by_key)).withColumn("some", F.max("open").over(by_key))
+             .filter("many > 1 AND some"))
+    return (_left(index.filter("open")).join(index, "key").filter((F.col("l_set") != F.col("set")) & _close(percent))
+            .select(F.least("l_set", "set").alias("a"), F.greatest("l_set", "set").alias("b")).distinct())
+
+
 def _left(rows: DataFrame) -> DataFrame:
     return rows.select("key", *(F.col(c).alias(f"l_{c}") for c in ("set", "n", "at", "bits")))
 
@@ -155,22 +187,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, levels: DataF
 def _met(index: DataFrame, percent: int) -> DataFrame:
     """What meets on the keys of ``index``, or of a part of it that has all rows of its keys (one exchange serves all below).
 
-    Rows with ``a`` and ``b`` are pairs; rows with a key are the sets of hot keys.
+    Rows with ``a`` and ``b`` are pairs; rows with ``hot`` are the sets of hot keys, and where in the prefix the key is.
     """
     by_key = W.partitionBy("key")
     index = (index.withColumn("many", F.count("*").over(by_key))
              .withColumn("lead", F.min(F.struct("doc", "set", "n", "at", "bits")).over(by_key)))
     cold = index.filter((F.col("many") > 1) & (F.col("many") < HOT) & F.col("lead").isNotNull())
     hot = index.filter(F.col("many") >= HOT)
-    pair = ["a", "b", "key", "set", "n", "at", "bits"]
-    none = [F.lit(None).cast("long").alias(c) for c in ("key", "set")] + [F.lit(None).cast("int").alias(c) for c in ("n", "at")]
     met = (_left(cold).join(cold, "key").filter((F.col("l_set") < F.col("set")) & _close(percent))
-           .select(F.col("l_set").alias("a"), F.col("set").alias("b"), *none, F.lit(None).cast("long").alias("bits")))
+           .select(F.col("l_set").alias("a"), F.col("set").alias("b"), F.lit(None).cast("long").alias("hot"), F.lit(None).cast("int").alias("at")))
     lead = [F.col(f"lead.{c}").alias(f"l_{c}") for c in ("set", "n", "at", "bits")]
-    led = hot.select("key", "set", "n", "at", "bits", *lead)
+    led = hot.select("set", "n", "at", "bits", *lead)
     good = (F.col("l_set") != F.col("set")) & _close(percent)
-    led = led.select(F.when(good, F.col("l_set")).alias("a"), F.when(good, F.col("set")).alias("b"), "key", "set", "n", "at", "bits")
-    return met.select(*pair).union(led.select(*pair))
+    led = led.select(F.when(good, F.col("l_set")).alias("a"), F.when(good, F.col("set")).alias("b"), F.col("set").alias("hot"), "at")
+    return met.union(led)
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,7 +213,8 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     lines = texts.select("doc", "version", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     held = _tokenized(lines.filter(F.trim("body", F.lit(_SPACE)) != ""), levels).withColumn("n", F.size("tokens"))
     # A set that one word more or less makes unlike has only equal ones: no prefix.
-    prefix = F.when(100 * F.col("n") >= percent * (F.col("n") + 1), F.slice("tokens", F.lit(1), _prefix_size(percent)))
+    # (Extended by a token, for the keys of two.)
+    prefix = F.when(100 * F.col("n") >= percent * (F.col("n") + 1), F.slice("tokens", F.lit(1), _prefix_size(percent) + 1))
     whole = cut(held.select("doc", "version", "line", "n", F.xxhash64("tokens").alias("set"), _bitmap(F.col("tokens")).alias("bits"),
                             F.coalesce(prefix, F.array().cast("array<bigint>")).alias("prefix")), "lines")
     sets = cut(whole.groupBy("set").agg(F.min(place).alias("first"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix"))), "sets")
@@ -191,21 +222,24 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     drop(whole)
 
     index = sets.select("set", "n", "bits", F.coalesce("first.doc", F.lit((1 << 63) - 1)).alias("doc"),
-                        F.posexplode("prefix").alias("at", "key")).filter("key IS NOT NULL")
+                        F.posexplode(F.slice("prefix", F.lit(1), _prefix_size(percent))).alias("at", "key"))
     parts = []
     for part in range(PARTS):
         own = index.filter(F.col("key").bitwiseAND(F.lit(PARTS - 1)) == part)
         parts.append(cut(_met(own, percent), "met"))
         release(docs.sparkSession)                       # that part of the index was large, what met is less
     met = functools.reduce(DataFrame.union, parts)
-    hot = met.filter("key IS NOT NULL")
+    hot = met.filter("hot IS NOT NULL").select(F.col("hot").alias("set"), "at")
     pairs = cut(met.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs")
     gone = _verified(pairs, sets, texts, levels, percent)
 
-    # What the leaders of hot keys did not remove meets all sets of those keys.
-    open_ = hot.join(gone, "set", "left_anti")
-    more = cut(_left(open_).join(hot.drop("a", "b"), "key").filter((F.col("l_set") != F.col("set")) & _close(percent))
-               .select(F.least("l_set", "set").alias("a"), F.greatest("l_set", "set").alias("b")).distinct(), "pairs")
+    # What the leaders of hot keys did not remove meets all sets that share a second token, too.
+    again = []
+    for part in range(PARTS):
+        own = _two_token_keys(hot, sets, gone, percent).filter(F.col("key").bitwiseAND(F.lit(PARTS - 1)) == part)
+        again.append(cut(_met_again(own, percent), "pairs"))
+        release(docs.sparkSession)
+    more = functools.reduce(DataFrame.union, again).distinct()
     drop(met, pairs)
     gone = cut(gone.union(_verified(more, sets, texts, levels, percent)).distinct(), "gone")
 
@@ -213,7 +247,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     lost = (held.select("set", "doc", "version", "line").join(verdict, "set")
             .filter(F.coalesce("gone", F.lit(False)) | (place > F.col("first"))))
     out = cut(lost.groupBy("doc", "version").agg(F.collect_set("line").alias("lines")), "lost")
-    drop(sets, held, more, levels)
+    drop(sets, held, levels, *again)
     return out
 
 

@@ -99,3 +99,38 @@ def test_small_plans_and_index_in_parts(spark, monkeypatch):
     got = {r.doc_id: r.text for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i, _ in rows] == dedup_lines(rows)
     assert max(sizes) < 200_000 and names.count("met") == L.PARTS > 1
+
+
+def test_hot_keys_meet_by_a_second_token(spark):
+    """Similar sets whose first shared token is hot share a key of two tokens; few others do."""
+    rnd = random.Random(8)
+    tokens = {i: sorted(rnd.sample(range(400), rnd.randrange(2, 14))) for i in range(1000)}
+    for i in range(1000, 1100):                           # some with near copies
+        tokens[i] = sorted({*tokens[i - 1000], rnd.randrange(400)})
+    rows = [(i, len(t), 0, t[:len(t) - -(-len(t) * 80 // 100) + 2]) for i, t in tokens.items()]
+    sets = spark.createDataFrame(rows, "set long, n int, bits long, prefix array<long>")
+    hot = spark.createDataFrame([(i, at) for i, n, _, p in rows for at in range(n - -(-n * 80 // 100) + 1)], "set long, at int")
+    gone = spark.createDataFrame([(1000,)], "set long")
+    held = {}
+    for r in L._two_token_keys(hot, sets, gone, 80).collect():
+        held.setdefault(r.key, set()).add(r.set)
+        assert r.open == (r.set != 1000)
+    met = {(a, b) for s in held.values() for a in s for b in s if a < b}
+    similar = {(a, b) for a in tokens for b in tokens if a < b and len(tokens[a]) * 100 >= 80 and
+               100 * len({*tokens[a]} & {*tokens[b]}) >= 80 * len({*tokens[a]} | {*tokens[b]}) and tokens[a] != tokens[b]}
+    assert len(similar) > 50 and similar <= met
+    single = {}
+    for i, n, _, p in rows:
+        for t in p:
+            single.setdefault(t, set()).add(i)
+    assert 20 * sum(len(s) ** 2 for s in held.values()) < 30 * sum(len(s) ** 2 for s in single.values())
+    assert max(map(len, held.values())) * 5 < max(map(len, single.values()))
+
+
+def test_sets_that_share_one_token_only(spark, monkeypatch):
+    """At 50 percent, sets of one and two words are similar by a single token, also on a hot key."""
+    monkeypatch.setattr(L, "HOT", 3)
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.sample("abcdefghijkl", rnd.randrange(1, 5)))) for i in range(60)]
+    got = {r.doc_id: r.text for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent=50).collect()}
+    assert [got[i] for i, _ in rows] == dedup_lines(rows, 50)
