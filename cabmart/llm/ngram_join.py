@@ -148,10 +148,11 @@ def frequencies(profiled: DataFrame) -> np.ndarray:
     rows = profiled.filter("part IS NOT NULL").select("part", "counts", (F.spark_partition_id() % 32).alias("lot"))
     rows = rows.groupBy("part", "lot").applyInArrow(_add, "part int, counts binary")
     step = COUNTERS // _PARTS
-    out = np.zeros(COUNTERS)
+    out = np.zeros(COUNTERS, dtype=np.uint8)
     for r in rows.groupBy("part").applyInArrow(_add, "part int, counts binary").collect():   # _PARTS rows
-        out[r.part * step:(r.part + 1) * step] = np.frombuffer(zlib.decompress(r.counts), dtype="<i8")
-    return np.minimum(255, np.floor(4 * np.log2(out + 1))).astype(np.uint8)
+        counts = np.frombuffer(zlib.decompress(r.counts), dtype="<i8").astype(np.float64)
+        out[r.part * step:(r.part + 1) * step] = np.minimum(255, np.floor(4 * np.log2(counts + 1)))
+    return out
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, level: np.ndarray, text_col: str) -> DataFrame:

@@ -105,8 +105,7 @@ def hinge_fit(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: fl
     sign = np.where(y == 1, 1.0, -1.0)
     # The rarer class weighs as much as the other.
     most = np.where(y == 1, (y == 0).sum(), (y == 1).sum()) / len(y) * 2 * cost
-    values = [scale[r] for r in rows]
-    square = np.array([v @ v for v in values])
+    square = np.array([(v := scale[r]) @ v for r in rows])
     alpha, weights = np.zeros(len(y)), np.zeros(BUCKETS)
     rng = np.random.default_rng(7)
     for _ in range(passes):
@@ -114,10 +113,11 @@ def hinge_fit(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: fl
         for i in rng.permutation(len(y)):
             if square[i] == 0:
                 continue
-            gradient = sign[i] * (weights[rows[i]] @ values[i]) - 1
+            values = scale[rows[i]]
+            gradient = sign[i] * (weights[rows[i]] @ values) - 1
             after = min(max(alpha[i] - gradient / square[i], 0.0), most[i])
             if after != alpha[i]:
-                weights[rows[i]] += (after - alpha[i]) * sign[i] * values[i]
+                weights[rows[i]] += (after - alpha[i]) * sign[i] * values
                 moved = max(moved, abs(after - alpha[i]) / most[i])
                 alpha[i] = after
         if moved < 1e-3:
@@ -139,11 +139,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out
         sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on a bounded sample of the labelled rows that are not ``held_out``."""
     texts = sample_texts(docs, sample_rows(labels, label_col, sample, id_col, held_out), id_col, text_col)
-    got = sorted((r.y, bytes(r.features)) for r in feature_rows(texts, features).collect())   # at most ``sample`` rows
+    # At most ``sample`` rows, taken one at a time: the driver holds them once, as the numbers that came.
+    got = sorted((r.y, bytes(r.features)) for r in feature_rows(texts, features).toLocalIterator())
     rng = np.random.default_rng(3)
     got = [got[i] for i in rng.permutation(len(got))]
     y = np.array([g[0] for g in got], dtype=np.int64)
-    rows = [np.frombuffer(g[1], dtype="<u4").astype(np.int64) for g in got]
+    rows = [np.frombuffer(g[1], dtype="<u4") for g in got]
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return Model(np.zeros(BUCKETS), 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))

@@ -1,12 +1,13 @@
 import shutil
 import subprocess
 import sys
+import tracemalloc
 
 import public_tokenizers as P
 import pytest
 
 import corpus_pipeline as C
-from cabmart.llm import quality, toxicity
+from cabmart.llm import ngram_join, quality, toxicity
 from cabmart.llm.common import labelled_fold, scratch_path
 from conftest import SF_SMALL
 from plain import dedup_lines, group_rows
@@ -96,3 +97,20 @@ def test_a_stage_leaves_the_cuts_of_other_queries(spark):
     for _ in range(2):
         C.STAGES[3][1](spark, docs, SF_SMALL)
     assert frame.count() == n == docs.count()
+
+
+def test_the_driver_holds_little(spark, small, monkeypatch):
+    """The counters come to the driver part by part, and a stage starts with what those before it held given back."""
+    docs = spark.createDataFrame([(i, f"a b c d e f {i}") for i in range(20)], "doc_id long, text string")
+    profiled = ngram_join.profile(docs, 4, "doc_id", "text").cache()
+    want = ngram_join.frequencies(profiled)
+    tracemalloc.start()
+    assert (ngram_join.frequencies(profiled) == want).all() and want.any()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    profiled.unpersist()
+    assert peak < 4 * ngram_join.COUNTERS
+    released = []
+    monkeypatch.setattr(C, "release", lambda spark: released.append(1))
+    C.STAGES[4][1](spark, docs, SF_SMALL)
+    assert len(released) == 1
