@@ -32,7 +32,7 @@ names get underscores in front.  Words are known by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,22 +136,36 @@ def levels(low: np.ndarray, body: np.ndarray, start: np.ndarray, size: np.ndarra
 class Segments:
     """All segments of a model, in the worker's memory."""
 
-    def __init__(self, rows: list, bits: int, error: float):
-        """``rows``: (kind, segment, n, body); kind 1 has words and their counts, kind n the bits of n-grams."""
+    def __init__(self, sizes: list, rows: Iterable, bits: int, error: float):
+        """``rows``: (kind, segment, n, body); kind 1 has words and their counts, kind n the bits of n-grams.
+
+        ``sizes`` (kind, segment, n, bytes of the body) come first, so that rows are taken one at
+        a time, in any order, and each body is held once.
+        """
         self.bits, self.error = bits, error
-        rows = sorted(rows, key=lambda r: (r[0], r[1]))
-        words = [r for r in rows if r[0] == WORD]
-        self.keys = np.concatenate([np.frombuffer(r[3], dtype="<u8", count=r[2]) for r in words] or [np.zeros(0, dtype="<u8")])
-        self.counts = np.concatenate([_word_counts(r[2], r[3]) for r in words] or [np.zeros(0, dtype=np.uint32)])
+        sizes = sorted(sizes)
+        words = [s for s in sizes if s[0] == WORD]
+        n_words = sum(n for _, _, n, _ in words)
+        self.keys = np.zeros(n_words, dtype="<u8")
+        self.counts = np.zeros(n_words, dtype="<u4" if all(b == 12 * n for _, _, n, b in words) else "<u8")
+        first = dict(zip((s[1] for s in words), np.cumsum([0] + [s[2] for s in words]).tolist()))
         self.kinds = {}
-        for kind in sorted({r[0] for r in rows} - {WORD}):
-            own = [r for r in rows if r[0] == kind]
+        for kind in sorted({s[0] for s in sizes} - {WORD}):
             size, start = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.uint64)
             at = 0
-            for _, segment, _, body in own:
-                size[segment], start[segment] = 8 * len(body), 8 * at
-                at += len(body)
-            self.kinds[kind] = (np.frombuffer(b"".join(r[3] for r in own), dtype=np.uint8), start, size)
+            for _, segment, _, n_bytes in (s for s in sizes if s[0] == kind):
+                size[segment], start[segment] = 8 * n_bytes, 8 * at
+                at += n_bytes
+            self.kinds[kind] = (np.zeros(at, dtype=np.uint8), start, size)
+        for kind, segment, n, body in rows:
+            if kind == WORD:
+                at = first[segment]
+                self.keys[at:at + n] = np.frombuffer(body, dtype="<u8", count=n)
+                self.counts[at:at + n] = _word_counts(n, body)
+            else:
+                whole, start, _ = self.kinds[kind]
+                at = int(start[segment]) >> 3
+                whole[at:at + len(body)] = np.frombuffer(body, dtype=np.uint8)
 
     def ask(self, kind: int, keys: np.ndarray) -> np.ndarray:
         """Counts of words, or levels of n-grams; ``keys`` are distinct and sorted."""
@@ -188,8 +202,9 @@ class Model:
         self.unseen = np.ones((order + 1, LEVELS + 1))
         self.shared = None
         if self.n_bytes <= BROADCAST:
-            rows = [(r.kind, r.segment, r.n, bytes(r.body)) for r in table.select("kind", "segment", "n", "body").collect()]
-            self.shared = table.sparkSession.sparkContext.broadcast(Segments(rows, bits, error))
+            sizes = [tuple(r) for r in table.select("kind", "segment", "n", F.length("body")).collect()]      # a row per segment
+            rows = table.select("kind", "segment", "n", "body").toLocalIterator()
+            self.shared = table.sparkSession.sparkContext.broadcast(Segments(sizes, rows, bits, error))
 
 
 class _Scorer:
@@ -351,7 +366,8 @@ def _with_answers(texts: DataFrame, model: Model) -> DataFrame:
         keys = np.sort(asked.column("key").to_numpy().view(np.uint64))
         kinds = asked.column("kind").to_pylist()
         rows = [tuple(r[c] for c in ("kind", "segment", "n", "body")) for r in segment.to_pylist()]
-        value = Segments(rows, bits, error).ask(kinds[0], keys) if kinds and rows else np.zeros(len(keys), dtype=np.int64)
+        sizes = [(kind, segment, n, len(body)) for kind, segment, n, body in rows]
+        value = Segments(sizes, rows, bits, error).ask(kinds[0], keys) if kinds and rows else np.zeros(len(keys), dtype=np.int64)
         return pa.table({"kind": pa.array(kinds, type=pa.int32()), "key": pa.array(keys.view(np.int64)), "value": pa.array(value)})
 
     rows = texts.select("id", F.xxhash64("text").alias("version"), "text")

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -161,3 +162,16 @@ def test_levels_hash_a_key_once_a_level(monkeypatch):
     got = M.levels(keys, body, start[own], size[own], M.ERROR)
     assert got.tolist() == want.tolist() and want.max() >= 8
     assert sum(hashed) <= (want[size[own] > 0] + 1).sum()
+
+
+def test_the_driver_holds_the_segments_once(spark):
+    """Their rows are taken one at a time, so the driver needs little more than the segments themselves."""
+    df = frame(spark, [(i, " ".join(f"w{i}x{j}" for j in range(20_000))) for i in range(60)]).repartition(6)
+    table = M.fit(df, F.lit(True)).table.repartition(16, "kind", "segment").cache()
+    table.count()
+    tracemalloc.start()
+    model = M.Model(table, 2, 7, M.ERROR)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    table.unpersist()
+    assert model.shared is not None and peak < 1.6 * model.n_bytes
