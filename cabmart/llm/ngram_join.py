@@ -269,6 +269,18 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
     return (both.filter(close).select(F.greatest("node", "l_node").alias("a"), F.least("node", "l_node").alias("b")))
 
 
+def _by_set(rows: DataFrame) -> DataFrame:
+    """(``node``, ``n``, ``comp``, ``often``, ``alone``): the tokens (pos, key) of each set that ``FREQUENT`` groups or more share, and its others."""
+    tokens = F.array_sort(F.collect_list(F.struct("pos", "key", "groups")))      # at most a prefix
+    held = rows.groupBy("node", "n", "comp").agg(tokens.alias("tokens"))
+
+    def kept(wanted):
+        return F.transform(F.filter("tokens", wanted), lambda t: F.struct(t["pos"].alias("pos"), t["key"].alias("key")))
+
+    return held.select("node", "n", "comp", kept(lambda t: t["groups"] >= FREQUENT).alias("often"),
+                       kept(lambda t: t["groups"] < FREQUENT).alias("alone"))
+
+
 def candidates(prefixed: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs (``a``, ``b``) of nodes of different groups that the prefix index brings together."""
     held = (prefixed.join(groups, "node", "left")
@@ -278,13 +290,10 @@ def candidates(prefixed: DataFrame, groups: DataFrame, percent: int) -> DataFram
                .filter("lo <> hi").select("key"))
     rows = cut(rows.join(joining, "key"), "index")       # tokens that join different groups: few
     spread = rows.groupBy("key", "comp").count().groupBy("key").agg(F.count("*").alias("groups"))
-    rows = rows.join(spread, "key")
-    often = (rows.filter(F.col("groups") >= FREQUENT).groupBy("node", "n", "comp")
-             .agg(F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("tokens")))    # at most a prefix
-    singles = (rows.filter(F.col("groups") < FREQUENT).drop("groups")
-               .join(often.select("node", F.size("tokens").alias("before")), "node", "left")
-               .withColumn("before", F.coalesce("before", F.lit(0))))
-    two = (often.select("node", "n", "comp", "tokens", F.posexplode("tokens").alias("i", "one"))
+    by_set = cut(_by_set(rows.join(spread, "key")), "index")     # read for each side of what meets
+    singles = (by_set.select("node", "n", "comp", F.size("often").alias("before"), F.explode("alone").alias("one"))
+               .select("node", "n", "comp", "one.pos", "one.key", "before"))
+    two = (by_set.select("node", "n", "comp", F.col("often").alias("tokens"), F.posexplode("often").alias("i", "one"))
            .select("node", "n", "comp", "one", F.explode(F.expr("slice(tokens, i + 2, size(tokens))")).alias("other"))
            .select("node", "n", "comp", F.xxhash64("one.key", "other.key").alias("key"), F.col("one.pos").alias("pos"),
                    F.lit(0).alias("before")))

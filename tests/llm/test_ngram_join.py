@@ -119,3 +119,22 @@ def test_components(spark):
         size[root(x)] += 1
     assert got == {x: root(x) for x in up if size[root(x)] > 1}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_index_is_split_without_a_join(spark, monkeypatch):
+    """A set's tokens are told apart by an aggregation: no join makes a row for every row of the index."""
+    monkeypatch.setattr(J, "FREQUENT", 3)
+    rows = [(1, 9, 1, 0, 70, 2), (1, 9, 1, 1, 71, 3), (1, 9, 1, 4, 72, 5), (1, 9, 1, 3, 73, 2), (2, 8, 2, 0, 70, 2), (3, 7, 1, 2, 71, 3)]
+    df = spark.createDataFrame(rows, "node long, n int, comp long, pos int, key int, groups long")
+    split = J._by_set(df)
+    got = {r.node: (r.n, r.comp, [tuple(t) for t in r.often], [tuple(t) for t in r.alone]) for r in split.collect()}
+    assert got == {1: (9, 1, [(1, 71), (4, 72)], [(0, 70), (3, 73)]), 2: (8, 2, [], [(0, 70)]), 3: (7, 1, [(2, 71)], [])}
+
+    plans, cut = [], J.cut
+    monkeypatch.setattr(J, "cut", lambda df, name: cut(df, name) if not plans.append(df._jdf.queryExecution().optimizedPlan().toString()) else None)
+    prefixed = spark.createDataFrame([(i, 4, 0, [1, 2, 3, 10 + i]) for i in range(6)], "node long, n int, common int, keys array<int>")
+    groups = spark.createDataFrame([(0, 0), (1, 0)], "node long, comp long")
+    pairs = J.candidates(prefixed, groups, 60)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in range(6) for b in range(a)} - {(1, 0)}
+    later = [*plans[1:], pairs._jdf.queryExecution().optimizedPlan().toString()]     # (the first has the groups, a row for each set)
+    assert len(plans) == 2 and not any("LeftOuter" in p for p in later)
