@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import threading
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -15,6 +16,8 @@ from ..session import ensure_checkpoint_dir
 
 #: Rows per Arrow batch that Python operators ask for where rows can be long.
 TEXT_BATCH = 1000
+#: Seconds after which the JVM knows what Python has given back.
+TOLD_S = 1.2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,14 +89,18 @@ def drop(*tables: DataFrame) -> None:
     release(spark)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, last: bool = False) -> None:
     """Let Spark remove the shuffle files of finished jobs now.
 
     It does so once nothing refers to their plans any more, which the driver's
     JVM notices only when it collects its garbage; after a lineage cut that is
     worth doing, as the jobs before it may have shuffled far more than they left.
+    Python tells the JVM only once a second what it no longer refers to, so the plan of
+    the job that has just ended stays.  With ``last``, that one goes as well.
     """
     gc.collect()
+    if last:
+        time.sleep(TOLD_S)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, drop
 
 #: Far more than the rounds that any graph of long ids needs (they grow with the logarithm of its diameter).
 MOST_ROUNDS = 100
@@ -17,9 +17,9 @@ def _mark(edges: DataFrame):
 def components(edges: DataFrame) -> DataFrame:
     """(``node``, ``comp``) of every node of the edges (``a``, ``b``); comp is the smallest node of the component.
 
-    Each round is written to the shared folder.  Minima are taken by partial
-    sums, so a node with very many neighbours does not load one task; joins on
-    such a node are split by Spark.
+    Each round is written to the shared folder, and what the one before it held is
+    given back, files and memory.  Minima are taken by partial sums, so a node with
+    very many neighbours does not load one task; joins on such a node are split by Spark.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
               "edges")
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now, before = cut(small, "edges"), mark
+        last, now, before = now, cut(small, "edges"), mark
+        drop(last)
         mark = _mark(now)
         if mark == before:
             break

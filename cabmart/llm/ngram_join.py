@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, free_name, release
+from .common import cut, drop, free_name, release
 from .components import components
 from .words import Words, mix, ngrams, runs
 
@@ -321,14 +321,16 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     prefixed = cut(prefixes(docs, n, percent, level, text_col), "prefixes")
     release(docs.sparkSession)
     first = cut(first_links(classes, prefixed), "first")
+    release(docs.sparkSession, last=True)                # on small tables the driver made many broadcasts
     links = cut(verify(first, classes, docs, n, percent, id_col, text_col), "links")
+    drop(first)
     groups = components(links)
     release(docs.sparkSession)
     pairs = cut(candidates(prefixed, groups, percent), "pairs")
     release(docs.sparkSession)
     more = verify(pairs, classes, docs, n, percent, id_col, text_col)
     every = cut(links.union(more), "links")
-    release(docs.sparkSession)
+    drop(links, pairs)
     labelled = classes.select("node", F.col("rep.doc_id").alias("rep")).join(components(every), "node", "left")
     named = labelled.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("rep").alias("least"))
     labels = (labelled.join(named, "comp", "left")

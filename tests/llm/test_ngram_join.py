@@ -138,3 +138,17 @@ def test_index_is_split_without_a_join(spark, monkeypatch):
     assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in range(6) for b in range(a)} - {(1, 0)}
     later = [*plans[1:], pairs._jdf.queryExecution().optimizedPlan().toString()]     # (the first has the groups, a row for each set)
     assert len(plans) == 2 and not any("LeftOuter" in p for p in later)
+
+
+def test_rounds_of_components_give_back_the_one_before(spark, monkeypatch):
+    """Of a long path's rounds only the last one's edges are left."""
+    import os
+    from cabmart.llm import components as K
+    made, cut = [], K.cut
+    monkeypatch.setattr(K, "cut", lambda df, name: (made.append(cut(df, name)), made[-1])[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    got = {r.node: r.comp for r in K.components(edges).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    files = [[f.removeprefix("file:").replace("///", "/") for f in frame.inputFiles()] for frame in made]
+    assert len(files) > 3 and all(map(os.path.exists, files[-1]))
+    assert not any(os.path.exists(f) for some in files[:-1] for f in some)
