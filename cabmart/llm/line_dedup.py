@@ -179,6 +179,7 @@ def _later(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, levels: DataFrame, percent: int) -> DataFrame:
     tokens = cut(_tokens_of(pairs.select(F.explode(F.array("a", "b")).alias("set")), sets, texts, levels), "tokens")
+    release(texts.sparkSession, last=True)               # whole texts were shuffled
     gone = cut(_later(pairs, tokens, percent), "gone")
     drop(tokens)
     return gone
@@ -231,6 +232,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     met = functools.reduce(DataFrame.union, parts)
     hot = met.filter("hot IS NOT NULL").select(F.col("hot").alias("set"), "at")
     pairs = cut(met.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+    release(docs.sparkSession, last=True)
     gone = _verified(pairs, sets, texts, levels, percent)
 
     # What the leaders of hot keys did not remove meets all sets that share a second token, too.

@@ -134,3 +134,15 @@ def test_sets_that_share_one_token_only(spark, monkeypatch):
     rows = [(i, " ".join(rnd.sample("abcdefghijkl", rnd.randrange(1, 5)))) for i in range(60)]
     got = {r.doc_id: r.text for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent=50).collect()}
     assert [got[i] for i, _ in rows] == dedup_lines(rows, 50)
+
+
+def test_texts_shuffled_for_verification_go_first(spark, monkeypatch):
+    """The shuffle files of the joined texts are given back, the last job's too, before what they brought is compared."""
+    rows = corpus(10)
+    steps, cut, release = [], L.cut, L.release
+    monkeypatch.setattr(L, "cut", lambda df, name: (steps.append(name), cut(df, name))[1])
+    monkeypatch.setattr(L, "release", lambda spark, last=False: (steps.append("release") if last else None, release(spark, last))[1])
+    got = {r.doc_id: r.text for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == dedup_lines(rows)
+    at = steps.index("tokens")
+    assert steps[at - 1:at + 3] == ["release", "tokens", "release", "gone"]
