@@ -11,8 +11,10 @@ high with a probability of ``error``.
   as its n-grams need, so it grows with the corpus and its error does not.
 * While all segments take at most ``BROADCAST`` bytes they are sent to the
   workers, which probe them where the texts lie.  A larger filter stays where it
-  is: distinct n-grams are sent to the segments, and the answers are joined back
-  to the texts.  Both ways ask the same bits and give the same scores.
+  is: the texts are packed into blocks, each block's distinct words and n-grams are
+  sent to the segments as sorted arrays, and the answers come back to the block as
+  arrays in the same order, without the keys (a byte an n-gram).  Both ways ask the
+  same bits and give the same scores.
 
 A word's probability mixes the orders, from the words alone upward:
 
@@ -36,16 +38,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import cut, free_name, release
-from .tallies import by_segment, low32, merged, segment_bits, tallied, text_bytes
-from .words import _STEP, Words, mix, runs
+from .common import cut, drop, free_name, release
+from .tallies import SEGMENT_TEXT, by_segment, low32, merged, segment_bits, tallied, text_bytes
+from .words import _STEP, Words, distinct, mix, runs
 
 #: Bytes of segments that are broadcast at most.
 BROADCAST = 160 << 20
 #: Tokens that a task counts or scores at once.
 BLOCK = 1_000_000
+#: Bytes of the texts that ask segments which are not broadcast at once (a longer text asks alone).
+ASKED = 4 << 20
 #: Probability that an absent (n-gram, level) is taken for present.
 ERROR = 1 / 128
 LEVELS = 64
@@ -64,6 +69,16 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, text, np.arange(len(out)) - np.repeat(ends - size, size)
 
 
+def all_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``tokens`` of more texts than are cut into words at once."""
+    parts, done = [], 0
+    for part in runs(texts):
+        token, text, place = tokens(part)
+        parts.append((token, text + done, place))
+        done += len(part)
+    return tuple(map(np.concatenate, zip(*parts))) if len(parts) > 1 else parts[0] if parts else tokens([])
+
+
 def grams(token: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the n-gram that ends at each token, and where there is one.
 
@@ -220,9 +235,9 @@ class _Scorer:
 
     def counts(self, texts: list[bytes], ask):
         """Tokens, their counts, and for each order from 2 on: (where, level, context's count)."""
-        token, text, place = tokens(texts)
+        token, text, place = all_tokens(texts)
         count = self._asked(ask, WORD, token)
-        boundary = self._asked(ask, WORD, np.array([END]))[0]
+        boundary = count[-1] if len(count) else 0.0      # every text's last token is the end
         rows = []
         context = np.where(place > 0, np.append(boundary, count[:-1]), boundary) if len(token) else count
         for n in range(2, self.order + 1):
@@ -315,9 +330,9 @@ def _mixing(model: Model, texts: DataFrame) -> None:
     """The share of new continuations by order and by the power of two of the context's count."""
     order, scorer = model.order, _Scorer(model.order, model.total, model.distinct, model.unseen)
 
-    def run(batches):
+    def run(pieces):
         sums = np.zeros((2, order + 1, LEVELS + 1), dtype=np.int64)
-        for part, ask in _asking(batches):
+        for _, part, ask in pieces:
             _, _, _, rows = scorer.counts(part, ask)
             for n, (there, level, context) in enumerate(rows, 2):
                 own = np.minimum(level_of(np.maximum(context[there], 1)), LEVELS)
@@ -327,103 +342,159 @@ def _mixing(model: Model, texts: DataFrame) -> None:
         yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(sums[0][n, at]),
                                           pa.array(sums[1][n, at])], names=["order", "at", "n", "new"])
 
-    _asking = _asker(model)
-    rows = (_with_answers(texts, model).mapInArrow(run, "order int, at int, n long, new long")
+    cuts = _with_answers(texts, model) if model.shared is None else ()
+    rows = (_pieces(texts, model, cuts, run, "order int, at int, n long, new long")
             .groupBy("order", "at").agg(F.sum("n").alias("n"), F.sum("new").alias("new")).collect())       # a row per order and power
+    if cuts:
+        drop(*cuts)
     for r in rows:
         new = min(r.n, r.new / (1 - model.error))        # some of level 1 were taken for more
         model.unseen[r.order, r["at"]] = (new + 1) / (r.n + 2)
 
 
-def _with_answers(texts: DataFrame, model: Model) -> DataFrame:
-    """``texts`` (id, text): as they are, or each with the answers to its questions if the segments are not broadcast."""
-    if model.shared is not None:
-        return texts
-    order, bits, error = model.order, model.bits, model.error
+def _blocks(texts: DataFrame) -> DataFrame:
+    """``texts`` (id, text) in blocks of about ``ASKED`` bytes: ``block``, ``n_bytes``, ``body`` (its rows, compressed)."""
+    def pack(batches):
+        def flush():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for rows in held:
+                    out.write_batch(rows)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([size]), pa.array([sink.getvalue().to_pybytes()])], names=["n_bytes", "body"])
+
+        held, size = [], 0
+        for batch in batches:
+            first = 0
+            for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+                if size and size + n + 4 > ASKED:
+                    held.append(batch.slice(first, i - first))
+                    yield flush()
+                    first, size = i, 0
+                size += n + 4                            # an empty text has a token, too
+            held.append(batch.slice(first))
+        if size:
+            yield flush()
+
+    return texts.select("id", "text").mapInArrow(pack, "n_bytes long, body binary").withColumn("block", F.monotonically_increasing_id())
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go now; a single collection often left those of the last job."""
+    release(spark)
+    release(spark, last=True)
+
+
+def _unpacked(body: bytes) -> tuple[pa.Array, list[bytes]]:
+    rows = pa.ipc.open_stream(body).read_all().combine_chunks()
+    return rows.column(0).combine_chunks(), [(t or "").encode() for t in rows.column(1).to_pylist()]
+
+
+def _answered(kind: int, keys: np.ndarray, n: int, body: bytes, error: float) -> np.ndarray:
+    """Counts of words, or levels of n-grams (by their ``low32``), as the segment ``body`` of ``n`` keys has them."""
+    if kind == WORD:
+        return _found(np.frombuffer(body, dtype="<u8", count=n), _word_counts(n, body), keys)
+    return levels(keys, np.frombuffer(body, dtype=np.uint8), np.zeros(len(keys), dtype=np.uint64),
+                  np.full(len(keys), 8 * len(body), dtype=np.uint64), error)
+
+
+def _with_answers(texts: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
+    """Lineage cuts of ``_blocks(texts)`` and of the answers to each block's questions.
+
+    The answers of a block, kind by kind and in the order of their segments, are those to its sorted distinct keys.
+    """
+    spark, order, bits, error = texts.sparkSession, model.order, model.bits, model.error
+    kept = "<u4" if model.total < 1 << 32 else "<u8"     # how the counts of words are sent
 
     def ask(batches):
         for batch in batches:
-            done = 0
-            for part in runs([(t or "").encode() for t in batch.column(2).to_pylist()]):
-                token, text, place = tokens(part)
-                asked = [(WORD, np.append(token, END), np.append(text, 0))]
-                for n in range(2, order + 1):
-                    key, there = grams(token, place, n)
-                    asked.append((n, key[there], text[there]))
-                ids, versions = (batch.column(c).slice(done, len(part)) for c in (0, 1))
-                done += len(part)
-                for kind, key, text in asked:
-                    if kind == WORD:                     # every text asks for the end
-                        key, text = np.append(key[:-1], np.full(len(part), END)), np.append(text[:-1], np.arange(len(part)))
-                    pair = np.unique(np.stack([text.astype(np.uint64), key]), axis=1)
-                    row = pa.array(pair[0].astype(np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(row), versions.take(row), pa.array(np.full(len(row), kind, dtype=np.int32)),
-                         pa.array((pair[1] >> np.uint64(64 - bits)).astype(np.int32)), pa.array(pair[1].view(np.int64))],
-                        names=["id", "version", "kind", "segment", "key"])
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                token, _, place = all_tokens(_unpacked(body)[1])
+                for kind in range(1, order + 1):
+                    key = token
+                    if kind > WORD:
+                        key, there = grams(token, place, kind)
+                        key = key[there]
+                    key = distinct(key)
+                    low = key.astype("<u8") if kind == WORD else low32(key, bits)
+                    parts = [(s, low[at].tobytes()) for s, at in by_segment(key, bits)]
+                    if parts:
+                        segments, keys = zip(*parts)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(parts), block)), pa.array(np.full(len(parts), kind, dtype=np.int32)),
+                             pa.array(segments, type=pa.int32()), pa.array(keys, type=pa.binary())], names=["block", "kind", "segment", "keys"])
 
     def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
-        keys = np.sort(asked.column("key").to_numpy().view(np.uint64))
-        kinds = asked.column("kind").to_pylist()
-        rows = [tuple(r[c] for c in ("kind", "segment", "n", "body")) for r in segment.to_pylist()]
-        sizes = [(kind, segment, n, len(body)) for kind, segment, n, body in rows]
-        value = Segments(sizes, rows, bits, error).ask(kinds[0], keys) if kinds and rows else np.zeros(len(keys), dtype=np.int64)
-        return pa.table({"kind": pa.array(kinds, type=pa.int32()), "key": pa.array(keys.view(np.int64)), "value": pa.array(value)})
-
-    rows = texts.select("id", F.xxhash64("text").alias("version"), "text")
-    asked = rows.mapInArrow(ask, "id long, version long, kind int, segment int, key long").distinct()
-    answers = (asked.select("kind", "segment", "key").distinct().groupBy("kind", "segment")
-               .cogroup(model.table.select("kind", "segment", "n", "body").groupBy("kind", "segment"))
-               .applyInArrow(answer, "kind int, key long, value long"))
-    told = (asked.join(answers.filter("value > 0"), ["kind", "key"]).groupBy(F.col("id").alias("t_id"), F.col("version").alias("t_version"))
-            .agg(F.collect_list(F.struct("kind", "key", "value")).alias("answers")))      # those of one text
-    match = F.col("id").eqNullSafe(F.col("t_id")) & (F.col("version") == F.col("t_version"))
-    return rows.join(told, match, "left").select(*texts.columns, "answers")
-
-
-def _asker(model: Model):
-    """A function that gives (texts, ask) of batches whose last columns are the text and, maybe, its answers."""
-    shared = model.shared
+        if not len(asked):
+            return pa.table({n: pa.array([], type=t) for n, t in zip(names, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))})
+        kind = asked.column("kind")[0].as_py()
+        parts = [np.frombuffer(k, dtype="<u8" if kind == WORD else "<u4") for k in asked.column("keys").to_pylist()]
+        keys = np.concatenate(parts)
+        value = np.zeros(len(keys), dtype=np.int64)
+        for n, body in zip(*(segment.column(c).to_pylist() for c in ("n", "body"))):
+            value = _answered(kind, keys, n, body, error)
+        value = value.astype(kept if kind == WORD else np.uint8)
+        ends = np.cumsum([len(p) for p in parts])
+        return pa.table([asked.column("block"), asked.column("kind"), asked.column("segment"),
+                         pa.array([value[b - len(p):b].tobytes() for p, b in zip(parts, ends)], type=pa.binary())], names=names)
+
+    names = ["block", "kind", "segment", "answers"]
+    _let_go(spark)
+    blocks = cut(_blocks(texts), "blocks")
+    # A segment's questions meet in one place; if far more is asked than was learned they are dealt to copies of it.
+    shares = max(1, round((blocks.agg(F.sum("n_bytes")).first()[0] or 0) / (SEGMENT_TEXT << bits)))
+    asked = (blocks.select("block", "body").mapInArrow(ask, "block long, kind int, segment int, keys binary")
+             .withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int")))
+    table = model.table.select("kind", "segment", "n", "body", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    by = ["kind", "segment", "share"]
+    answers = cut(asked.groupBy(*by).cogroup(table.groupBy(*by)).applyInArrow(answer, "block long, kind int, segment int, answers binary"), "answers")
+    _let_go(spark)                                       # of the questions
+    return blocks, answers
+
+
+def _pieces(texts: DataFrame, model: Model, cuts: tuple, run, schema) -> DataFrame:
+    """What ``run`` makes of pieces (ids, texts, ask) of ``texts`` (id, text), or of ``cuts`` if the segments are not broadcast."""
+    shared, kept = model.shared, "<u4" if model.total < 1 << 32 else "<u8"
 
     def broadcast(batches):
         ask = shared.value.ask
         for batch in batches:
+            done = 0
             for part in runs([(t or "").encode() for t in batch.column(1).to_pylist()]):
-                yield part, ask
+                yield batch.column(0).slice(done, len(part)), part, ask
+                done += len(part)
 
-    def joined(batches):
-        for batch in batches:
-            for text, answers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                told: dict = {}
-                for a in answers or []:
-                    told.setdefault(a["kind"], {})[a["key"]] = a["value"]
+    def joined(block: pa.Table, told: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(told.column(c).to_pylist() for c in ("kind", "segment", "answers"))))
+        answers = {kind: np.frombuffer(b"".join(r[2] for r in rows if r[0] == kind), dtype=kept if kind == WORD else np.uint8)
+                   for kind in {r[0] for r in rows}}
 
-                def ask(kind, keys, told=told):
-                    own = told.get(kind, {})
-                    return np.array([own.get(k, 0) for k in keys.view(np.int64).tolist()], dtype=np.int64)
+        def ask(kind, keys):
+            own = answers.get(kind, np.zeros(0, dtype=np.uint8))
+            if len(own) != len(keys):
+                raise ValueError(f"{len(own)} answers to {len(keys)} questions")
+            return own
 
-                yield [(text or "").encode()], ask
+        return pa.Table.from_batches(run([(*_unpacked(body), ask) for body in block.column("body").to_pylist()]))
 
-    return broadcast if shared is not None else joined
+    if shared is not None:
+        return texts.mapInArrow(lambda batches: run(broadcast(batches)), schema)
+    blocks, answers = cuts
+    return blocks.select("block", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(joined, schema)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(``id_col``, ``text_col`` of every row and) ``n_tokens``, ``n_known``, ``train_tokens`` long, ``base_score``, ``score`` double."""
     names = [free_name(docs.select(id_col), n) for n in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
-    scorer = _Scorer(model.order, model.total, model.distinct, model.unseen)
-    total, ready = model.total, _asker(model)
+    scorer, total = _Scorer(model.order, model.total, model.distinct, model.unseen), model.total
     kinds = [T.LongType()] * 3 + [T.DoubleType()] * 2
     schema = T.StructType([T.StructField(id_col, T.LongType())] + [T.StructField(n, k) for n, k in zip(names, kinds)])
 
-    def run(batches):
-        for batch in batches:
-            done = 0
-            for part, ask in ready([batch]):
-                size, known, base, own = scorer.score(part, ask)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(done, len(part)), pa.array(size), pa.array(known), pa.array(np.full(len(part), total)),
-                     pa.array(base), pa.array(own)], names=schema.names)
-                done += len(part)
+    def run(pieces):
+        for ids, part, ask in pieces:
+            size, known, base, own = scorer.score(part, ask)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(known), pa.array(np.full(len(part), total)),
+                                              pa.array(base), pa.array(own)], names=schema.names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return _with_answers(rows, model).mapInArrow(run, schema)
+    return _pieces(rows, model, _with_answers(rows, model) if model.shared is None else (), run, schema)

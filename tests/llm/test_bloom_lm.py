@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import tracemalloc
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 
 from cabmart.llm import bloom_lm as M
+from cabmart.llm.common import release, scratch_path
 from conftest import SF_MIDDLE
 from pyspark.sql import functions as F
 
@@ -175,3 +177,38 @@ def test_the_driver_holds_the_segments_once(spark):
     tracemalloc.stop()
     table.unpersist()
     assert model.shared is not None and peak < 1.6 * model.n_bytes
+
+
+def on_disk(spark):
+    """Shuffle files and lineage cuts, and their bytes."""
+    tops = [*spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(),
+            os.path.dirname(scratch_path(spark, "any")).removeprefix("file:")]
+    return {f: os.path.getsize(f) for top in tops for d, _, names in os.walk(top) for f in (os.path.join(d, n) for n in names)}
+
+
+def test_a_large_filter_takes_little_disk(spark, monkeypatch):
+    """Questions and answers are packed: with segments that are not broadcast, scoring writes less than twice the texts."""
+    monkeypatch.setattr(M, "BROADCAST", 0)
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{int(rnd.expovariate(1 / 3000))}" for _ in range(400)) for _ in range(1500)]
+    df = frame(spark, list(enumerate(texts))).repartition(4)
+    model = M.fit(df, F.lit(True))
+    release(spark, last=True)
+    before = on_disk(spark)
+    scored = M.score(df, model)
+    assert len(scored.collect()) == len(texts)
+    assert sum(n for f, n in on_disk(spark).items() if f not in before) < 2 * sum(map(len, texts))
+
+
+def test_blocks_of_texts_keep_every_row(spark, monkeypatch):
+    """Texts come back from their blocks whole, however the blocks are cut and however often a segment is copied."""
+    monkeypatch.setattr(M, "BROADCAST", 0)
+    rows = [(i % 7 if i % 5 else None, t if i % 11 else None) for i, t in corpus(8, 90)] + [(9, ""), (9, "long " * 300)] * 2
+    df = frame(spark, rows).repartition(3)
+    model = M.fit(df, F.col("doc_id") < 4, error=1e-9)
+    want = sorted(tuple(map(str, r)) for r in M.score(df, model).collect())
+    assert len(want) == len(rows)
+    for asked, text in ((40, M.SEGMENT_TEXT), (M.ASKED, 64)):
+        monkeypatch.setattr(M, "ASKED", asked)
+        monkeypatch.setattr(M, "SEGMENT_TEXT", text)
+        assert sorted(tuple(map(str, r)) for r in M.score(df, model).collect()) == want
