@@ -380,9 +380,10 @@ def _blocks(texts: DataFrame) -> DataFrame:
 
 
 def _let_go(spark: SparkSession) -> None:
-    """Shuffle files of finished jobs go now; a single collection often left those of the last job."""
+    """Shuffle files of finished jobs go now; one or two collections often left those of the last job."""
     release(spark)
-    release(spark, last=True)
+    for _ in range(2):
+        release(spark, last=True)
 
 
 def _unpacked(body: bytes) -> tuple[pa.Array, list[bytes]]:

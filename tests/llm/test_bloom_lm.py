@@ -201,14 +201,14 @@ def test_a_large_filter_takes_little_disk(spark, monkeypatch):
 
 
 def test_blocks_of_texts_keep_every_row(spark, monkeypatch):
-    """Texts come back from their blocks whole, however the blocks are cut and however often a segment is copied."""
-    monkeypatch.setattr(M, "BROADCAST", 0)
+    """Segments that are not broadcast give what broadcast ones do, however blocks are cut and however often a segment is copied."""
     rows = [(i % 7 if i % 5 else None, t if i % 11 else None) for i, t in corpus(8, 90)] + [(9, ""), (9, "long " * 300)] * 2
     df = frame(spark, rows).repartition(3)
-    model = M.fit(df, F.col("doc_id") < 4, error=1e-9)
-    want = sorted(tuple(map(str, r)) for r in M.score(df, model).collect())
+    train = F.col("doc_id") < 4
+    want = sorted(tuple(map(str, r)) for r in M.score(df, M.fit(df, train)).collect())
     assert len(want) == len(rows)
-    for asked, text in ((40, M.SEGMENT_TEXT), (M.ASKED, 64)):
-        monkeypatch.setattr(M, "ASKED", asked)
-        monkeypatch.setattr(M, "SEGMENT_TEXT", text)
-        assert sorted(tuple(map(str, r)) for r in M.score(df, model).collect()) == want
+    monkeypatch.setattr(M, "BROADCAST", 0)
+    model = M.fit(df, train)
+    monkeypatch.setattr(M, "ASKED", 40)
+    monkeypatch.setattr(M, "SEGMENT_TEXT", 64)
+    assert sorted(tuple(map(str, r)) for r in M.score(df, model).collect()) == want
